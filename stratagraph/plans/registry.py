@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from stratagraph.plans import commerce
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(commerce.QUERIES)
+SQL: dict[str, str] = dict(commerce.SQL)
