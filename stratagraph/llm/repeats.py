@@ -42,6 +42,7 @@ from stratagraph.llm.sentencepiece_codec import blocks
 
 GRAM = 24
 BLOCK = 8  # windows
+SCAN_BYTES = 192 << 10  # hashed at a time, so that the arrays stay in cache
 NO_ID = -(1 << 63)
 # Odd 64-bit multipliers of the rolling hash.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -103,7 +104,7 @@ def _segment_rows(docs: DataFrame, length: int, full: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = [x.as_py() for x in batch.column(2)]
-            for i, j in blocks([len(t) for t in texts], 2 << 20):
+            for i, j in blocks([len(t) for t in texts], SCAN_BYTES):
                 data = b"".join(texts[i:j])
                 starts = np.r_[0, np.cumsum([len(t) for t in texts[i:j]])]
                 found = segments(data, starts, length)
@@ -122,15 +123,15 @@ def _segment_rows(docs: DataFrame, length: int, full: bool) -> DataFrame:
     return keyed(docs).mapInArrow(run, schema)
 
 
-def named(items: DataFrame, group: str, name: str) -> DataFrame:
-    """items with: repeated (not the first place of its name) and ambiguous (its group has several names)."""
+def named(items: DataFrame, group: str, name: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """The items that are not the first of their name, and the first ones whose group has several names."""
     place = F.struct("doc", "text_hash", "start")
-    first = items.groupBy(group, name).agg(F.min(place).alias("first"))
-    several = items.groupBy(group).agg((F.min(name) < F.max(name)).alias("ambiguous"))
-    out = items.join(first, [group, name])
-    out = out.withColumn("repeated", F.col("first") != place).drop("first")
-    again = out.where("repeated").withColumn("ambiguous", F.lit(False))
-    return again.unionByName(out.where("not repeated").join(several, group))
+    first = cut(items.groupBy(group, name).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), f"{label}-first")
+    out = items.join(first, [group, name], "left").withColumn("repeated", F.coalesce(F.col("first") != place, F.lit(False))).drop("first")
+    out = cut(out, f"{label}-places")
+    reps = out.where("not repeated")
+    several = cut(reps.groupBy(group).agg((F.min(name) < F.max(name)).alias("several")).where("several").select(group), f"{label}-several")
+    return out.where("repeated"), reps.join(several, group)
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -144,10 +145,10 @@ def _compressed(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc long, text_hash long, packed binary")
 
 
-def _unpacked(packed: bytes) -> bytes:
+def _unpacker():
     import zstandard
 
-    return zstandard.ZstdDecompressor().decompress(packed)
+    return zstandard.ZstdDecompressor().decompress
 
 
 def _segment_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -155,10 +156,11 @@ def _segment_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame
     lists = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "start", "windows", "place")).alias("of"))
 
     def run(batches):
+        unpack = _unpacker()
         for batch in batches:
             rows, size = [], 0
             for doc, text_hash, packed, of in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = _unpacked(packed)
+                raw = unpack(packed)
                 for s in of:
                     part = raw[s["start"] : s["start"] + s["windows"] + length - 1]
                     rows.append((doc, text_hash, s["start"], s["windows"], s["place"], part))
@@ -193,7 +195,7 @@ def _block_rows(parts: DataFrame, length: int) -> DataFrame:
 
 
 def _window_rows(parts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    lists = wanted.groupBy("doc", "text_hash", "segment").agg(F.collect_list(F.struct("start", "windows")).alias("of"))
+    lists = wanted.groupBy("doc", "text_hash", "segment").agg(F.collect_list(F.struct("start", "windows", "core")).alias("of"))
 
     def run(batches):
         for batch in batches:
@@ -202,29 +204,26 @@ def _window_rows(parts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 view = memoryview(raw)
                 for b in of:
                     for at in range(b["start"] - segment, b["start"] - segment + b["windows"]):
-                        x = view[at : at + length]
-                        out.append((digest(x), xxhash.xxh3_64_intdigest(x, seed=1) - (1 << 63), doc, text_hash, segment + at))
+                        out.append((b["core"], digest(view[at : at + length]), doc, text_hash, segment + at))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["name", "check", "doc", "text_hash", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["core", "name", "doc", "text_hash", "start"])
 
     joined = parts.select("doc", "text_hash", "segment", "raw").join(lists, ["doc", "text_hash", "segment"])
-    return joined.mapInArrow(run, "name long, check long, doc long, text_hash long, start int")
+    return joined.mapInArrow(run, "core long, name long, doc long, text_hash long, start int")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     """doc, text_hash, start, end of byte spans that are covered by strings of `length` that start earlier; spans may overlap."""
     spark = docs.sparkSession
     span = lambda df: df.select("doc", "text_hash", "start", (F.col("start") + F.col("windows") + F.lit(length - 1)).alias("end"))
-    again = _segment_rows(docs, length, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    again = cut(_segment_rows(docs, length, False).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "anchors")
     found = cut(_segment_rows(docs, length, True).join(again, "anchor"), "segments")
-    level0 = cut(named(found, "anchor", "name").where("repeated or ambiguous"), "segment-names")
-    parts = cut(_segment_bytes(docs, level0.where("ambiguous"), length), "segment-bytes")
-    level1 = cut(named(_block_rows(parts, length), "core", "name").where("repeated or ambiguous"), "block-names")
-    windows = cut(_window_rows(parts, level1.where("ambiguous"), length), "windows")
-    place = F.struct("doc", "text_hash", "start")
-    first = windows.groupBy("name", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    level2 = windows.join(first, ["name", "check"]).where(F.col("first") != place).withColumn("windows", F.lit(1))
-    return span(level0.where("repeated")).unionByName(span(level1.where("repeated"))).unionByName(span(level2))
+    spans0, open0 = named(found, "anchor", "name", "segment")
+    parts = cut(_segment_bytes(docs, open0, length), "segment-bytes")
+    spans1, open1 = named(cut(_block_rows(parts, length), "blocks"), "core", "name", "block")
+    windows = cut(_window_rows(parts, open1, length), "windows")
+    spans2, _ = named(windows.withColumn("windows", F.lit(1)), "core", "name", "window")
+    return span(spans0).unionByName(span(spans1)).unionByName(span(spans2))
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -236,10 +235,11 @@ def without_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     spans = cut(spans, "spans")
 
     def run(batches):
+        unpack = _unpacker()
         for batch in batches:
             rows = []
             for doc, packed, of in zip(*(batch.column(n) for n in ("doc", "packed", "spans")), strict=True):
-                raw = _unpacked(packed.as_py())
+                raw = unpack(packed.as_py())
                 keep, n, end, last = [], 0, 0, -1
                 for s in sorted((x["start"], x["end"]) for x in (of.as_py() or ())):
                     if s[0] > last:
