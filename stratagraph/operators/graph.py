@@ -113,7 +113,7 @@ def cycles(graph_edges: DataFrame) -> DataFrame:
     c = components(graph_edges)
     inner = graph_edges.join(c.select("repo_id", F.col("node").alias("src"), "component"), ["repo_id", "src"]).join(c.select("repo_id", F.col("node").alias("dst"), F.col("component").alias("other")), ["repo_id", "dst"]).where("component = other")
 
-    def enumerate_(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def enumerate_(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(key[0], key[1], ring[0], " -> ".join([*ring, ring[0]])) for ring in back_edge_cycles(list(zip(pdf.src, pdf.dst, strict=True)))]
         return pd.DataFrame(rows, columns=["repo_id", "component", "first", "chain"])
 

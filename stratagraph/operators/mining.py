@@ -136,7 +136,7 @@ def cycle_rules(nodes: DataFrame, graph_edges: DataFrame, min_support: int = 20)
     """A no_cycle candidate for each component of enough files."""
     c = graph.components(graph_edges).join(nodes.withColumnRenamed("subtree", "node"), ["repo_id", "node"])
     g = c.groupBy("repo_id", "component").agg(F.sum("n_files").alias("support"), F.count(F.lit(1)).alias("violations"), F.array_sort(F.collect_set("node")).alias("members"))
-    shared = F.aggregate(F.transform("members", lambda m: F.split(m, "/")), F.split(F.element_at("members", 1), "/"), lambda acc, m: F.transform(F.filter(F.sequence(F.lit(1), F.size(acc)), lambda i: F.slice(acc, 1, i) == F.slice(m, 1, i)), lambda i: F.element_at(acc, i)))
+    shared = F.aggregate(F.transform("members", lambda m: F.split(m, "/")), F.split(F.element_at("members", 1), "/"), lambda acc, m: F.when(F.size(acc) == 0, acc).otherwise(F.slice(acc, 1, F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(acc))), lambda i: F.slice(acc, 1, i) == F.slice(m, 1, i))))))
     prefix = F.array_join(shared, "/")
     scope = F.concat(F.when(prefix != "", prefix).otherwise(F.element_at("members", 1)), F.lit("/**"))
     return g.where(F.col("support") >= min_support).select("repo_id", F.lit("no_cycle").alias("kind"), scope.alias("scope"), F.lit("error").alias("severity"), "support", "violations", F.lit(1.0).alias("prevalence"), F.array_join("members", " <-> ").alias("evidence"))
