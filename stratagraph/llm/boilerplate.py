@@ -39,23 +39,24 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = RATI
 
 
 def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """docs with _kept (the text that stays), _n_lines and _n_dropped."""
+    """doc (the row of docs), n_lines, n_dropped and kept_text."""
     found = cut(boilerplate_lines(docs, host, ratio, min_pages), "boilerplate")
-    by_host = found.groupBy("host").agg(F.collect_list("line_hash").alias("_hashes")).withColumnRenamed("host", "_host")
+    by_host = found.groupBy("host").agg(F.collect_list("line_hash").alias("hashes"))
     if found.count() <= broadcast_rows:
         by_host = F.broadcast(by_host)
-    joined = docs.join(by_host, F.col(host).cast("string").eqNullSafe(F.col("_host")), "left")
-    every = lines(F.col("text").cast("string"))
-    kept = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains("_hashes", F.xxhash64(x)))
-    out = joined.withColumn("_lines", F.when(F.col("_hashes").isNull(), every).otherwise(kept))
+    d = docs.select(F.struct("*").alias("doc"), F.col("text").cast("string").alias("text"), F.col(host).cast("string").alias("of"))
+    joined = d.join(by_host, F.col("of").eqNullSafe(F.col("host")), "left")
+    every = lines("text")
+    kept = F.filter(every, lambda x: (F.trim(x) == "") | ~F.array_contains("hashes", F.xxhash64(x)))
+    out = joined.withColumn("kept", F.when(F.col("hashes").isNull(), every).otherwise(kept))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(every))
-    out = out.withColumn("_n_lines", n.cast("long")).withColumn("_n_dropped", F.when(F.col("text").isNull(), 0).otherwise(n - F.size("_lines")).cast("long"))
-    return out.withColumn("_kept", F.when(F.col("_n_dropped") == 0, F.col("text").cast("string")).otherwise(F.array_join("_lines", "\n"))).drop("_lines", "_host", "_hashes")
+    dropped = F.when(F.col("text").isNull(), 0).otherwise(n - F.size("kept"))
+    return out.select("doc", n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.when(dropped == 0, F.col("text")).otherwise(F.array_join("kept", "\n")).alias("kept_text"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return without_boilerplate(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_kept").alias("kept_text"))
+    return without_boilerplate(docs).select("doc.doc_id", "n_lines", "n_dropped", "kept_text")
 
 
 def line_sql(documents: str) -> dict[str, str]:
