@@ -22,15 +22,14 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source."""
     d = boilerplate.without_boilerplate(docs)
-    changed = F.col("_n_dropped") > 0
-    d = d.withColumn("text", F.col("_kept")).withColumn("n_chars", F.when(changed, F.char_length("_kept").cast("long")).otherwise(F.col("n_chars")))
-    return d.select(*docs.columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("doc.n_chars"))}
+    return d.select(*(new.get(c, F.col("doc")[c]).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the smallest doc_id: shingles of five words, similarity 0.8."""
     gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,7 +145,7 @@ def bayes_pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: floa
 
 
 def _packed_texts(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the documents in used."""
+    """doc_id and compressed text of the documents in used. Texts are compressed before they are dealt; used grows with the corpus, so it is never broadcast."""
     import zstandard
 
     def compress(batches):
@@ -153,7 +153,8 @@ def _packed_texts(docs: DataFrame, used: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(x.as_py()) for x in batch.column(1)], pa.binary())], ["doc_id", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).join(used.distinct(), "doc_id", "left_semi").mapInArrow(compress, "doc_id long, packed binary")
+    packed = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).where("doc_id is not null").mapInArrow(compress, "doc_id long, packed binary")
+    return packed.join(used.distinct().hint("merge"), "doc_id", "left_semi")
 
 
 def _sets(packed: list[bytes], words: int) -> list[np.ndarray]:
