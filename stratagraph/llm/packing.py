@@ -34,7 +34,7 @@ from stratagraph.llm.sentencepiece_codec import blocks
 SPLIT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\sa-zß-öø-ÿà0-9]+")
 # Characters on which Python and the library agree: printable ASCII and the letters of Latin-1.
 SAFE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 
 
 class Tokens:
@@ -179,7 +179,7 @@ def pack(lens: list[int], capacity: int, linear: float = 1.0, quadratic: float =
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, group_tokens: int = 4 << 20, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 4096, group_tokens: int = 1 << 20, with_ids: bool = False) -> DataFrame:
     """One row for each piece; with_ids adds the ids themselves. group_tokens bounds what a task holds."""
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
 

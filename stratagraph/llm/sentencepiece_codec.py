@@ -25,7 +25,7 @@ from stratagraph.llm.common import table
 
 SPACE = "▁"
 UNKNOWN = 1 << 20  # + code point: a character that has no piece of its own
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 6 << 20
 
 
 class Codec:
