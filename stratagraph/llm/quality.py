@@ -157,7 +157,7 @@ def _inputs(docs: DataFrame):
 def _blocks(batch):
     texts = [x.as_py() for x in batch.column(1)]
     chars = np.array([len(t) if c is None else c for t, c in zip(texts, batch.column(2).to_pylist(), strict=True)], float)
-    for i, j in blocks([len(t) for t in texts], 8 << 20):
+    for i, j in blocks([len(t) for t in texts], 2 << 20):
         yield i, j, *features(texts[i:j], chars[i:j])
 
 
@@ -165,7 +165,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
-def trained(docs: DataFrame, labels: DataFrame, bound: int = 12000) -> Machine:
+def trained(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Machine:
     """A machine for labels.quality, from at most bound labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
@@ -175,10 +175,10 @@ def trained(docs: DataFrame, labels: DataFrame, bound: int = 12000) -> Machine:
             for i, j, hashed, bins in _blocks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(hashed, pa.list_(pa.int32())), pa.array(list(bins), pa.list_(pa.int32())), batch.column(3).slice(i, j - i)], ["doc_id", "hashed", "bins", "quality"])
 
-    found = _inputs(docs).join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id long, hashed array<int>, bins array<int>, quality int").toPandas()
-    found = found.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    pairs = [rows_of([h], np.asarray([b]))[:2] for h, b in zip(found.hashed, found.bins, strict=True)]
-    return fit([p[0].astype(np.int64) for p in pairs], [p[1] for p in pairs], found.quality.to_numpy(float))
+    found = _inputs(docs).join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id long, hashed array<int>, bins array<int>, quality int").toArrow().sort_by("doc_id")
+    hashed, bins = (found.column(n).combine_chunks() for n in ("hashed", "bins"))
+    pairs = [rows_of([h.values.to_numpy()], b.values.to_numpy()[None])[:2] for h, b in zip(hashed, bins, strict=True)]
+    return fit([p[0].astype(np.int64) for p in pairs], [p[1] for p in pairs], found.column("quality").to_numpy().astype(float))
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFrame:
@@ -203,7 +203,7 @@ def accepted(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataF
             texts = [(x.as_py() or "").encode("utf-8", "replace") for x in batch.column(at[0])]
             own = batch.column(at[1]).to_pylist() if at[1] is not None else [None] * len(texts)
             chars = np.array([len(t) if c is None else c for t, c in zip(texts, own, strict=True)], float)
-            for i, j in blocks([len(t) for t in texts], 8 << 20):
+            for i, j in blocks([len(t) for t in texts], 2 << 20):
                 keep = sigmoid(machine.raw(*rows_of(*features(texts[i:j], chars[i:j])))[0]) >= threshold
                 yield batch.slice(i, j - i).filter(pa.array(keep))
 
