@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import confidence_rank, effective_support, fingerprint, naming_score, package_id, prevalence_support, score_confidence, weighted_score
-from stratagraph.operators import constructions, graph, mining, policy, resolve
+from stratagraph.operators import constructions, extract, graph, mining, policy, report, resolve
 from stratagraph.operators.policy import Rule
 from stratagraph.sources import tabular as t
 
@@ -188,6 +188,15 @@ def _bare(kind):
     return lambda spark, sf_dir: _pairs(kind)(spark, sf_dir).select(*PAIR)
 
 
+def _facts(spark, sf_dir):
+    return extract.facts(t.order_sources(spark, sf_dir))
+
+
+#: Places follow from the text of order_sources: the blanked comment counts as blank space before the first statement.
+ORDER_FILES = "SELECT 'orders' AS repo_id, 'orders/' || o_orderkey || '.ts' AS source_file, "
+EXTRACT_SQL = ORDER_FILES + "'./cust' || o_custkey AS raw_import, 1 AS line, 1 AS \"column\", 'import' AS kind FROM orders UNION ALL " + ORDER_FILES + "'@pri/p' || o_orderkey % 5, 3, 11, 'require' FROM orders"
+
+
 def _upper(c):
     return F.regexp_replace(c, "/[A-Z]+$", "/[segment]")
 
@@ -225,6 +234,9 @@ QUERIES = {
     "normalised_graph": lambda s, d: graph.normalised_graph(graph.edges(t.commerce_imports(s, d)), _upper).select("src", "dst", "n_files"),
     "resolve_imports": _page_resolve,
     "constructions": _constructions,
+    "extract_imports": lambda s, d: extract.imports(_facts(s, d)).select("repo_id", "source_file", "raw_import", "line", "column", "kind"),
+    "extract_constructions": lambda s, d: extract.constructions(_facts(s, d)),
+    "findings_text": lambda s, d: report.text_findings(policy.evaluate(RULES, t.commerce_files(s, d), t.commerce_imports(s, d))).select("heading", "text"),
 }
 SQL = {
     "nodes_by_subtree": BASE + "SELECT 'commerce' AS repo_id, * FROM nodes",
@@ -257,4 +269,7 @@ SQL = {
     "normalised_graph": BASE + "SELECT regexp_replace(src, '/[A-Z]+$', '/[segment]') AS src, regexp_replace(dst, '/[A-Z]+$', '/[segment]') AS dst, sum(n_files)::BIGINT AS n_files FROM edges GROUP BY 1, 2 HAVING src <> dst",
     "resolve_imports": PAGE_SQL,
     "constructions": CONSTRUCTION_SQL,
+    "extract_imports": EXTRACT_SQL,
+    "extract_constructions": "SELECT 'orders' AS repo_id, 'orders/' || o_orderkey || '.ts' AS file, 'Cust' AS class_name, 5 AS line, 11 AS \"column\", true AS is_identifier FROM orders",
+    "findings_text": _found([F1, F2, F3, F4, F5]) + "SELECT rule_id || ' (' || severity || ')' AS heading, file_path || ':' || line || ':' || \"column\" || ' ' || message || CASE WHEN raw_import <> '' THEN ' (' || raw_import || ')' ELSE '' END AS text FROM found",
 }

@@ -93,3 +93,13 @@ def event_edges(spark: SparkSession, sf_dir: str, least: int = 1) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("src"), F.lead("event_type").over(w).alias("dst")).where("dst is not null and src <> dst")
     return e.groupBy(F.lit("events").alias("repo_id"), "src", "dst").agg(F.countDistinct("user_id").alias("n_files")).where(F.col("n_files") >= least)
+
+
+def order_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each order, with the imports, class and construction that follow from its keys."""
+    k = F.col("o_orderkey").cast("string")
+    lines = F.concat_ws(
+        "\n", F.concat(F.lit("/* import 'no/"), k, F.lit("' */")), F.concat(F.lit("import Cust, { Order as O"), k, F.lit(" } from './cust"), "o_custkey", F.lit("';")),
+        F.concat(F.lit("const p = require(\"@pri/p"), (F.col("o_orderkey") % 5).cast("string"), F.lit("\");")), F.concat(F.lit("export class Order"), k, F.lit(" {}")), F.concat(F.lit("const s = new Cust(O"), k, F.lit(");")),
+    )
+    return table(spark, sf_dir, "orders").select(F.lit("orders").alias("repo_id"), F.concat(F.lit("orders/"), k, F.lit(".ts")).alias("path"), lines.alias("text"))

@@ -128,7 +128,7 @@ def test_registered_queries_match_sql(spark):
     con = duckdb.connect()
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
-    for name in ("subtree_edges", "findings_all_rules", "mine_file_pattern", "cycle_components", "resolve_imports"):
+    for name in ("subtree_edges", "findings_all_rules", "mine_file_pattern", "cycle_components", "resolve_imports", "extract_imports", "extract_constructions", "findings_text"):
         a, b = registry.QUERIES[name](spark, d).toPandas(), con.execute(registry.SQL[name]).df()
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
