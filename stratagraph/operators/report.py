@@ -81,3 +81,12 @@ def in_workspaces(files: DataFrame, workspaces: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     every = files.withColumn("root", F.explode(F.array_union(F.array(F.lit(".")), above)))
     return every.join(workspaces.select("repo_id", "root").distinct(), ["repo_id", "root"])
+
+
+def text_candidates(candidates: DataFrame) -> DataFrame:
+    """One text block for each candidate of mining."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), c)
+    listed = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    shown = [line("kind", F.col("kind")), line("scope", listed(F.col("scope"))), F.when(F.coalesce("target", F.lit("")) != "", line("target", listed(F.col("target")))), line("severity", F.col("severity")), line("support", F.col("support")), line("violations", F.col("violations"))]
+    shown += [line("prevalence", F.format_string("%.4f", "prevalence")), line("confidence", F.col("confidence")), line("evidence", F.col("evidence"))]
+    return candidates.select("repo_id", "kind", "scope", "target", F.concat_ws("\n", *shown).alias("block"))

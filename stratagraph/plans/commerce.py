@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import confidence_rank, effective_support, fingerprint, naming_score, package_id, prevalence_support, score_confidence, weighted_score
-from stratagraph.operators import constructions, extract, graph, mining, policy, report, resolve
+from stratagraph.operators import catalog, constructions, extract, graph, mining, policy, report, resolve, workspaces
 from stratagraph.operators.policy import Rule
+from stratagraph.sources import repository
 from stratagraph.sources import tabular as t
 
 RULES = [
@@ -201,7 +202,29 @@ def _upper(c):
     return F.regexp_replace(c, "/[A-Z]+$", "/[segment]")
 
 
+BOUNDARIES = (
+    catalog.Boundary("CAT-BUILDING-SUPPLIERS", "Building avoids suppliers", "layering", "Building customers should not depend on suppliers.", "no_import", ("**/BUILDING/**",), ("**/suppliers/**",)),
+    catalog.Boundary("CAT-EUROPE-SUPPLIERS", "Europe avoids suppliers", "layering", "European customers should not depend on suppliers.", "no_import", ("EUROPE/**",), ("**/suppliers/**",), 0.03),
+)
+
+
+def _boundary_matches(spark, sf_dir):
+    m = catalog.boundary_matches(_candidates("no_import")(spark, sf_dir), BOUNDARIES, show_low=True)
+    return m.select("catalog_id", "relation", "scope", "target", "support", "violations", "prevalence", F.round("score", 9).alias("score"), "confidence")
+
+
+BOUNDARY_SQL = _pairs_sql("no_import") + ", " + CAND_SQL + """,
+m AS (SELECT 'CAT-BUILDING-SUPPLIERS' AS catalog_id, 0.02::DOUBLE AS mp, (lower(scope) LIKE '%ui%' OR lower(target) LIKE '%ui%')::INT::DOUBLE AS nm, * FROM cand WHERE regexp_matches(scope, '/BUILDING/') AND regexp_matches(target, '/suppliers/')
+  UNION ALL SELECT 'CAT-EUROPE-SUPPLIERS', 0.03::DOUBLE, 0.6::DOUBLE, * FROM cand WHERE regexp_matches(scope, '^EUROPE/') AND regexp_matches(target, '/suppliers/')),
+s AS (SELECT *, (least(1.0, support / least(20, greatest(3, support))) + CASE WHEN prevalence > mp THEN greatest(0.0, least(1.0, 1.0 - (prevalence - mp) / (1.0 - mp))) ELSE 1.0 END) / 2.0 AS ps FROM m),
+w AS (SELECT *, greatest(0.0, least(1.0, 0.4 + 0.4 * ps + 0.2 * nm)) AS raw FROM s),
+k AS (SELECT *, row_number() OVER (PARTITION BY scope, target ORDER BY raw DESC, catalog_id) AS k FROM w)
+SELECT catalog_id, 'imports' AS relation, scope, target, support, violations, prevalence, round(raw, 9) AS score, CASE WHEN raw >= 0.85 THEN 'HIGH' WHEN raw >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM k WHERE k = 1"""
+
 QUERIES = {
+    "catalog_matches": _boundary_matches,
+    "discovered_files": lambda s, d: repository.discovered(t.commerce_files(s, d), ["EUROPE/**", "ASIA/**"], ["**/MACHINERY", "ASIA/*/suppliers/**"]).select("repo_id", "path"),
+    "workspace_roots": lambda s, d: workspaces.workspace_roots(t.place_manifests(s, d)),
     "nodes_by_subtree": lambda s, d: graph.nodes(t.commerce_files(s, d)),
     "subtree_edges": lambda s, d: graph.edges(t.commerce_imports(s, d)),
     "package_edges": lambda s, d: graph.package_edges(t.commerce_imports(s, d)),
@@ -239,6 +262,9 @@ QUERIES = {
     "findings_text": lambda s, d: report.text_findings(policy.evaluate(RULES, t.commerce_files(s, d), t.commerce_imports(s, d))).select("heading", "text"),
 }
 SQL = {
+    "catalog_matches": BOUNDARY_SQL,
+    "discovered_files": BASE + "SELECT repo_id, path FROM files WHERE (path LIKE 'EUROPE/%' OR path LIKE 'ASIA/%') AND path NOT LIKE '%/MACHINERY/%' AND NOT regexp_matches(path, '^ASIA/[^/]*/suppliers/')",
+    "workspace_roots": BASE + "SELECT 'commerce' AS repo_id, place AS workspace FROM place WHERE place LIKE 'A%'",
     "nodes_by_subtree": BASE + "SELECT 'commerce' AS repo_id, * FROM nodes",
     "subtree_edges": BASE + "SELECT 'commerce' AS repo_id, * FROM edges",
     "package_edges": BASE + "SELECT 'commerce' AS repo_id, * FROM pkg_edges",

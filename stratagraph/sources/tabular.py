@@ -103,3 +103,11 @@ def order_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("const p = require(\"@pri/p"), (F.col("o_orderkey") % 5).cast("string"), F.lit("\");")), F.concat(F.lit("export class Order"), k, F.lit(" {}")), F.concat(F.lit("const s = new Cust(O"), k, F.lit(");")),
     )
     return table(spark, sf_dir, "orders").select(F.lit("orders").alias("repo_id"), F.concat(F.lit("orders/"), k, F.lit(".ts")).alias("path"), lines.alias("text"))
+
+
+def place_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation's directory with a manifest, and a root manifest whose workspaces are the nations of regions with an A."""
+    held = _places(spark, sf_dir).select(F.lit("commerce").alias("repo_id"), F.concat("place", F.lit("/package.json")).alias("path"), F.lit("{}").alias("text"))
+    region = F.replace(F.col("r_name"), F.lit(" "), F.lit("_"))
+    named = table(spark, sf_dir, "region").where("r_name like 'A%'").agg(F.array_sort(F.collect_list(F.concat(region, F.lit("/*")))).alias("workspaces"))
+    return held.unionByName(named.select(F.lit("commerce").alias("repo_id"), F.lit("package.json").alias("path"), F.to_json(F.struct("workspaces")).alias("text")))
