@@ -66,7 +66,7 @@ def luhn(value: Column) -> Column:
 
 
 def octets(value: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda p: p.rlike("^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
+    return F.forall(F.split(value, r"\."), lambda p: p.rlike("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"))
 
 
 def holds(kind: str, value: Column) -> Column:

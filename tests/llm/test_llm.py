@@ -204,6 +204,15 @@ def test_personal_data(spark, odd, empty):
     assert pii.with_spans(odd, pii.fitted(odd)).count() == odd.count() and pii.fitted(empty)["email"].trees == []
 
 
+def test_octets_of_zeros(spark):
+    texts = ["at 10.0.0.1 end", "0.0.0.0", "1.000.2.3", "00.1.2.3", "192.168.0.1, 127.0.0.1", "0.0.0.256 1.0.0.0001 0000.0.0.0255"]
+    off = {k: pii.Trees([], float("inf")) for k in pii.KINDS}
+    docs = table(spark, texts)
+    got = {x.doc_id: x.s for x in pii.with_spans(docs, off).select("doc_id", pii.shown("_base_").alias("s")).collect()}
+    assert got == {i: plain_spans(t) for i, t in enumerate(texts)} and all(s.startswith("ip:") for s in got.values())
+    assert pii.redacted(docs, off).where("doc_id = 4").first().text == "[IP], [IP]"
+
+
 def test_line_dedup_equals_sql(spark, odd, empty):
     texts = [f"menu\n\nown line {k}\n{'often' if k % 3 else 'seldom'}" for k in range(60)] + [None, "", "\n", "menu"]
     docs = table(spark, texts)
