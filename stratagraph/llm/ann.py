@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 A table hashes a vector by `hashes` Gaussian projections, shifted and cut into
-cells of one width; the width is fitted on a bounded sample. Every distinct
-vector is indexed in every table. A query visits, in each table, its own bucket
-and then buckets whose cells are perturbed by one step, in the order of
+cells of one width; the width is fitted on whole vectors of a bounded sample, so
+it holds for any number of components. Every distinct vector is indexed in every
+table. A query visits, in each table, its own bucket and then buckets whose cells are perturbed by one step, in the order of
 estimated success: the sum of squared distances to the cells' borders, smallest
 first. The candidates of all tables are merged and ranked by exact Euclidean
 distance in double precision.
@@ -102,6 +102,19 @@ def nearest(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries
             yield int(query_ids[q]), int(ids[at[i]]), float(d[i])
 
 
+def nearest_scale(x: np.ndarray, asked: int = 256) -> float:
+    """The median distance of the first vectors to their nearest unequal one in x, all components; 1 if there is none. One vector at a time, so memory is bounded."""
+    least = []
+    for q in x[:asked]:
+        d = x - q
+        d = np.einsum("ij,ij->i", d, d)
+        d = d[d > 0]
+        if len(d):
+            least.append(np.sqrt(d.min()))
+    least = np.array(least)[np.isfinite(least)]
+    return float(np.median(least)) if len(least) else 1.0
+
+
 def _valid(df: DataFrame) -> DataFrame:
     v = F.col("embedding")
     d = df.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
@@ -119,10 +132,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
         return empty
     dim = int(sample.v.map(len).mode()[0])
     x = np.stack([v for v in sample.v if len(v) == dim])
-    near = np.sqrt(np.maximum(((x[:, None, :64] - x[None, :256, :64]) ** 2).sum(axis=2), 0)) if len(x) > 1 else np.ones((1, 1))
-    near[near == 0] = np.inf
-    least = np.min(near, axis=0)
-    scale = float(np.median(least[np.isfinite(least)])) if np.isfinite(least).any() else 1.0
+    scale = nearest_scale(x)
     hashing = Hashing(dim, WIDTH * scale)
 
     valid = valid.where(F.size("v") == dim).dropDuplicates(["vec_id", "v"])

@@ -265,6 +265,22 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.where("vec_id < 3")).count() == 2 and ann.nearest_neighbours(df.where("false")).count() == 0
 
 
+def test_neighbours_of_wide_vectors(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(2500, 384))
+    assert np.isclose(ann.nearest_scale(x[:400]), np.median([np.sort(np.linalg.norm(x[:400] - q, axis=1))[1] for q in x[:256]]))
+    assert ann.nearest_scale(x[:1]) == 1.0 and ann.nearest_scale(np.ones((3, 5))) == 1.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {q: 10 for q in range(0, 2500, 100)}
+    hit = 0
+    for q, g in got.groupby("query_id"):
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(g.vec_id))
+    assert hit >= 0.9 * 250
+
+
 def test_transport_streams(spark, odd, empty):
     for n in (0, 1, 150, 161, 162, 163, 176, 177, 345, 346, 347, 16384, 16385, 65541, 99999):
         raw = os.urandom(n)
