@@ -27,9 +27,15 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the smallest doc_id: shingles of five words, similarity 0.8."""
-    gone = neardup.near_duplicates(docs).where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates, the smallest by doc_id and hash of text: shingles of five words, similarity 0.8.
+
+    Rows that repeat a doc_id are judged by their own texts; of rows with equal
+    doc_id and text one stays. Rows with a null doc_id all stay.
+    """
+    gone = neardup.near_duplicate_rows(docs).where("not first").select("doc_id", "text_key")
+    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), neardup.text_key(), F.col("text").isNull().alias("empty"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("row"))
+    rows = rows.join(gone.hint("merge"), ["doc_id", "text_key"], "left_anti").dropDuplicates(["doc_id", "text_key", "empty", "row"])
+    return rows.select(*(F.col("doc")[c].alias(c) for c in docs.columns))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

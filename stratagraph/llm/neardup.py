@@ -1,8 +1,8 @@
 """Near-duplicate groups by MinHash bands with sequential Bayesian verification.
 
 1. A document's set is its distinct word shingles, hashed to 64 bits. Documents
-   of equal sets form a class; only a class's smallest doc_id goes on, so exact
-   copies cost nothing more.
+   of equal sets form a class, a node of the graph named by the set's hash; only
+   a class's smallest row goes on, so exact copies cost nothing more.
 2. Bands of the signature give buckets. With 40 bands of 5 a pair at similarity
    0.8 shares no bucket with probability 1.2e-7.
 3. Candidates of a bucket are compared with its smallest member first, and
@@ -18,8 +18,10 @@
 
 Null and empty texts and those without words have an empty set and are linked
 with nothing. Texts with fewer words than a shingle count as one shingle. Rows
-with a null doc_id are not linked and get a null component_id. Rows that repeat
-a doc_id are one node of the graph.
+with a null doc_id are not linked and get a null component_id. Rows are ordered by
+doc_id and the hash of their text: rows that repeat a doc_id with other texts are
+linked by their own texts only, and `first` marks the smallest row of a component
+and its equals, where `kept` marks all rows of the smallest doc_id.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm.bpe import binary, offsets
@@ -104,7 +106,12 @@ def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, sig binary, bands array<long>"
+SKETCH = "doc_id long, text_key long, n_shingles long, key1 long, key2 long, sig binary, bands array<long>"
+
+
+def text_key() -> Column:
+    """The hash that tells rows of one doc_id apart; null counts as empty."""
+    return F.xxhash64(text_bytes()).alias("text_key")
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -119,9 +126,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     bands = np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(sig.reshape(BANDS, ROWS))], np.uint64).view(np.int64) if len(s) else np.zeros(0, np.int64)
                     for c, v in zip(cols, (len(s), xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh3_64_intdigest(raw, seed=1) - (1 << 63), (sig >> 24).astype(np.uint8).tobytes(), bands), strict=True):
                         c.append(v)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], [x.split()[0] for x in SKETCH.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], [x.split()[0] for x in SKETCH.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw"), text_key()).mapInArrow(run, SKETCH)
 
 
 def bayes_pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -144,17 +151,18 @@ def bayes_pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: floa
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _packed_texts(docs: DataFrame, used: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the documents in used. Texts are compressed before they are dealt; used grows with the corpus, so it is never broadcast."""
+def _packed_texts(docs: DataFrame, used: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id and compressed text of the nodes in used. Texts are compressed before they are dealt; used grows with the corpus, so it is never broadcast."""
     import zstandard
 
     def compress(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([z.compress(x.as_py()) for x in batch.column(1)], pa.binary())], ["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(x.as_py()) for x in batch.column(2)], pa.binary())], ["rep", "text_key", "packed"])
 
-    packed = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).where("doc_id is not null").mapInArrow(compress, "doc_id long, packed binary")
-    return packed.join(used.distinct().hint("merge"), "doc_id", "left_semi")
+    packed = docs.select(F.col("doc_id").cast("long").alias("rep"), text_key(), text_bytes().alias("raw")).where("rep is not null").mapInArrow(compress, "rep long, text_key long, packed binary")
+    wanted = nodes.join(used.distinct(), "doc_id")
+    return packed.join(wanted.hint("merge"), ["rep", "text_key"]).select("doc_id", "packed")
 
 
 def _sets(packed: list[bytes], words: int) -> list[np.ndarray]:
@@ -170,9 +178,9 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union."""
-    texts = _packed_texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))))
+    texts = _packed_texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), nodes)
     joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b")
 
     def run(batches):
@@ -220,13 +228,13 @@ def block_links(x: list[dict], y: list[dict], bounds: list[tuple[int, int]], wor
     return [(x[a]["doc_id"], y[b]["doc_id"]) for a, b in zip(i[good], j[good], strict=True)]
 
 
-def linked_to_group(outside: DataFrame, members: DataFrame, sigs: DataFrame, docs: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> DataFrame:
+def linked_to_group(outside: DataFrame, members: DataFrame, sigs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> DataFrame:
     """Links between outside (main, doc_id) and both members and outside of the same main, compared block against block."""
     bounds = least_matches(percent / 100, miss)
     rows = outside.withColumn("out", F.lit(True)).unionByName(members.withColumn("out", F.lit(False)))
     rows = cut(rows, "groups")
     sizes = rows.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks"))
-    carried = rows.join(sizes, "main").join(sigs, "doc_id").join(_packed_texts(docs, rows.select("doc_id")), "doc_id")
+    carried = rows.join(sizes, "main").join(sigs, "doc_id").join(_packed_texts(docs, rows.select("doc_id"), nodes), "doc_id")
     carried = carried.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
     doc = F.struct("doc_id", "sig", "packed")
     grouped = cut(carried.groupBy("main", "block", "n_blocks").agg(F.collect_list(doc).alias("y"), F.collect_list(F.when(F.col("out"), doc)).alias("x")), "blocks")
@@ -263,15 +271,21 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for every document."""
+    return near_duplicate_rows(docs, words, percent, miss).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_duplicate_rows(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
+    """near_duplicates with text_key and first; rows of one doc_id and text are equal here. In the graph, doc_id is a class's node."""
     s = cut(sketches(docs, words), "sketches")
     linked = s.where("doc_id is not null and n_shingles > 0")
-    classes = cut(linked.groupBy("key1", "key2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = linked.join(classes, ["key1", "key2"]).where("doc_id = rep")
+    classes = cut(linked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")), "classes")
+    nodes = classes.select(F.col("key1").alias("doc_id"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("text_key"))
+    reps = linked.join(classes, ["key1", "key2"]).where("doc_id = rep.doc_id and text_key = rep.text_key").select(F.col("key1").alias("doc_id"), "sig", "bands")
     sigs = reps.select("doc_id", "sig")
     member = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id"))
     shared = member.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("bucket", "hub")
     buckets = cut(member.join(shared, "bucket"), "buckets")
-    verify = lambda pairs: confirmed(cut(bayes_pruned(pairs, sigs, percent / 100, miss), "candidates"), docs, words, percent)
+    verify = lambda pairs: confirmed(cut(bayes_pruned(pairs, sigs, percent / 100, miss), "candidates"), docs, nodes, words, percent)
     stars = buckets.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     edges = cut(verify(stars), "links")
     labels = cut(components(edges), "labels")
@@ -283,13 +297,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     outside = of.join(main, "bucket").where("label <> main").select("main", "doc_id").distinct()
     mains = main.select("main").distinct()
     members = labels.select(F.col("label").alias("main"), "doc_id").unionByName(mains.select("main", F.col("main").alias("doc_id"))).distinct().join(mains, "main", "left_semi")
-    edges = edges.unionByName(cut(linked_to_group(outside, members, sigs, docs, words, percent, miss), "links"))
+    edges = edges.unionByName(cut(linked_to_group(outside, members, sigs, docs, nodes, words, percent, miss), "links"))
     labels = cut(components(edges), "labels")
-    final = classes.join(labels, classes.rep == labels.doc_id, "left").select("key1", "key2", F.coalesce("label", "rep").alias("component"))
+    heads = labels.join(nodes, "doc_id").groupBy("label").agg(F.min(F.struct(F.col("rep").alias("doc_id"), "text_key")).alias("head"))
+    named = labels.join(heads, "label").select("doc_id", "head")
+    final = classes.join(named, classes.key1 == named.doc_id, "left").select("key1", "key2", F.coalesce("head", "rep").alias("head"))
     out = s.join(final, ["key1", "key2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    first = alone | ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key")))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), first.alias("first"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

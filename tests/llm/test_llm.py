@@ -170,6 +170,20 @@ def test_blocks_agree_with_pairs():
     assert sorted(neardup.block_links(docs[:20], docs, neardup.least_matches(0.8, 1e-7), 2, 80)) == want and want
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(3, long), (5, long), (5, "quite another text of its own words here"), (6, long + " end"), (6, "one more text that is unlike all the others"), (7, "a row on two lines of this table"), (7, "a row on two lines of this table"), (8, long.upper()), (8, long + " tail"), (9, None), (9, ""), (9, ""), (None, long), (None, long)]
+    rows += [(1, "same words under one id and in other case"), (1, "Same words under one id and in other case")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t) if t else None, 1, "x") for i, t in rows], SCHEMA)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    got = Counter((x.doc_id, x.text) for x in out.collect())
+    one = [k for k in got if k[0] == 1]
+    assert out.columns == docs.columns and len(one) == 1 and got.pop(one[0]) == 1
+    assert got == Counter([(3, long), rows[2], rows[4], rows[5], (9, None), (9, ""), (None, long), (None, long)])
+
+
 def luhn(s):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
 
