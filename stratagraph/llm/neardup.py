@@ -92,7 +92,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 @lru_cache(16)
 def least_matches(threshold: float, miss: float) -> list[tuple[int, int]]:
-    """(hashes compared, fewest matches that keep a pair) after each batch; a byte of each hash is compared, so unequal hashes match once in 256."""
+    """(hashes compared, fewest matches that keep a pair) after each batch; the low byte of each minimum is compared, so unequal minima match once in 256; the top byte is 0 for long texts, as a minimum of n hashes is near 2^32 / n."""
     t = threshold + (1 - threshold) / 256
     out = []
     for n in range(BATCH, BANDS * ROWS + 1, BATCH):
@@ -124,7 +124,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     raw = s.tobytes()
                     sig = signature(s)
                     bands = np.array([xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) for k, row in enumerate(sig.reshape(BANDS, ROWS))], np.uint64).view(np.int64) if len(s) else np.zeros(0, np.int64)
-                    for c, v in zip(cols, (len(s), xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh3_64_intdigest(raw, seed=1) - (1 << 63), (sig >> 24).astype(np.uint8).tobytes(), bands), strict=True):
+                    for c, v in zip(cols, (len(s), xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh3_64_intdigest(raw, seed=1) - (1 << 63), (sig & 255).astype(np.uint8).tobytes(), bands), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True))], [x.split()[0] for x in SKETCH.split(", ")])
 

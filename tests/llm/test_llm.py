@@ -170,6 +170,16 @@ def test_blocks_agree_with_pairs():
     assert sorted(neardup.block_links(docs[:20], docs, neardup.least_matches(0.8, 1e-7), 2, 80)) == want and want
 
 
+def test_unrelated_long_texts_are_pruned_at_once(spark):
+    texts = [" ".join(f"t{d}w{k}" for k in range(2001)) for d in range(12)]
+    rows = neardup.sketches(table(spark, [*texts, texts[0] + " end"]), 2).orderBy("doc_id").collect()
+    sig = np.array([np.frombuffer(x.sig, np.uint8) for x in rows])
+    size, least = neardup.least_matches(0.8, 1e-7)[0]
+    same = (sig[:, None, :size] == sig[None, :, :size]).sum(axis=2)
+    assert all(x.n_shingles >= 2000 for x in rows) and same[0, 12] >= least
+    assert same[:12, :12][~np.eye(12, dtype=bool)].max() < least
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     import corpus_pipeline
 
