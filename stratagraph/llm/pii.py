@@ -17,8 +17,9 @@ of a held-out fold: the lowest score from which the precision on candidates is
 at least `precision`. Candidates that overlap no base span become spans of the
 kind whose threshold they pass by most. Without enough positives for a kind, it adds none.
 
-The fit reads at most about `bound` documents, chosen by hash, and `cells` cells,
-the most frequent ones; scoring covers all documents and whole texts.
+The trees are fitted on at most about `bound` documents, chosen by hash, and on
+`cells` cells, the most frequent ones; the calibration counts the candidates of all
+held-out documents by score, and scoring covers all documents and whole texts.
 
 Null texts are empty and have no spans. Repeated rows and null ids get their
 own rows.
@@ -186,15 +187,12 @@ def boost(cells: list[tuple[tuple, float, float]], features: list[int], rounds:
     return trees
 
 
-def calibrated(cells: list[tuple[tuple, float, float]], trees: list, precision: float, least: float) -> float:
-    """The lowest score from which held-out candidates have the precision, infinite if none."""
-    scored = sorted(((sum(value_of(t, c) for t in trees), pos, n) for c, pos, n in cells), reverse=True)
+def calibrated(scores: list[tuple[float, float, float]], precision: float, least: float) -> float:
+    """The lowest score from which held-out candidates, given as (score, positives, all), have the precision, infinite if none."""
     pos = n = 0.0
-    found, k = math.inf, 0
-    while k < len(scored):
-        s = scored[k][0]
-        while k < len(scored) and scored[k][0] == s:
-            pos, n, k = pos + scored[k][1], n + scored[k][2], k + 1
+    found = math.inf
+    for s, a, b in sorted(scores, reverse=True):
+        pos, n = pos + a, n + b
         if pos >= least and pos >= precision * n:
             found = s
     return found
@@ -204,32 +202,41 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
+def _held() -> Column:
+    return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False))
+
+
 def candidate_cells(docs: DataFrame) -> DataFrame:
-    """Counts of candidates by features, base kinds they lie on, and held-out fold."""
+    """Counts of candidates by features and base kinds they lie on."""
     d = _texts(docs.select("doc_id", "text")).where(F.col("_t").rlike(r"[0-9@]|\(at\)|\[at\]"))
-    d = d.select(F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False)).alias("held"), "_t", *(base_spans(F.col("_t"), k).alias(k) for k in KINDS), F.explode(proposals(F.col("_t"))).alias("s"))
-    made = d.select("held", *(c.cast("int").alias(n) for n, c in feature_columns(F.col("_t"), F.col("s")).items()), *(inside(F.col("s"), F.col(k)).cast("int").alias(k) for k in KINDS))
-    return made.groupBy("held", *FEATURES, *KINDS).agg(F.count(F.lit(1)).alias("n"))
+    d = d.select("_t", *(base_spans(F.col("_t"), k).alias(k) for k in KINDS), F.explode(proposals(F.col("_t"))).alias("s"))
+    made = d.select(*(c.cast("int").alias(n) for n, c in feature_columns(F.col("_t"), F.col("s")).items()), *(inside(F.col("s"), F.col(k)).cast("int").alias(k) for k in KINDS))
+    return made.groupBy(*FEATURES, *KINDS).agg(F.count(F.lit(1)).alias("n"))
 
 
 def fitted(docs: DataFrame, bound: int = 20000, cells: int = 20000, precision: float = 0.98, least: int = 20) -> dict[str, Trees]:
     n = docs.count()
     share = max(1, round((1 << 30) * min(1.0, bound / max(n, 1))))
     sample = docs.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1 << 30)) < share)
-    rows = candidate_cells(sample).orderBy(F.desc("n"), *FEATURES).limit(cells).collect()
-    out = {}
+    rows = candidate_cells(sample.where(~_held())).orderBy(F.desc("n"), *FEATURES, *KINDS).limit(cells).collect()
+    trees = {}
     for kind in KINDS:
         features = [i for i, f in enumerate(FEATURES) if f not in OWN[kind]]
-        fold: dict[bool, dict[tuple, list[float]]] = {True: {}, False: {}}
+        data: dict[tuple, list[float]] = {}
         for r in rows:
-            x = fold[r["held"]].setdefault(tuple(r[f] for f in FEATURES), [0.0, 0.0])
+            x = data.setdefault(tuple(r[f] for f in FEATURES), [0.0, 0.0])
             x[0] += r["n"] * r[kind]
             x[1] += r["n"]
-        data = {h: [(c, a, b) for c, (a, b) in sorted(x.items())] for h, x in fold.items()}
-        positives = sum(a for _, a, _ in data[False])
-        trees = boost(data[False], features) if positives >= least else []
-        out[kind] = Trees(trees, calibrated(data[True], trees, precision, least / 4) if trees else math.inf)
-    return out
+        if sum(a for a, _ in data.values()) >= least:
+            trees[kind] = boost([(c, a, b) for c, (a, b) in sorted(data.items())], features)
+    scores: dict[str, list[tuple[float, float, float]]] = {k: [] for k in trees}
+    if trees:
+        f = {n: F.col(n) for n in FEATURES}
+        scored = [F.struct(F.lit(k).alias("kind"), _score(t, f).alias("score"), (F.col(k) * F.col("n")).alias("pos"), F.col("n").alias("n")) for k, t in trees.items()]
+        counts = candidate_cells(docs.where(_held())).select(F.inline(F.array(*scored))).groupBy("kind", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        for r in counts.collect():
+            scores[r["kind"]].append((r["score"], r["pos"], r["n"]))
+    return {k: Trees(trees[k], calibrated(scores[k], precision, least / 4)) if k in trees else Trees([], math.inf) for k in KINDS}
 
 
 def _expression(tree: tuple | float, f: dict[str, Column]) -> Column:
@@ -238,15 +245,18 @@ def _expression(tree: tuple | float, f: dict[str, Column]) -> Column:
     return F.when(f[FEATURES[tree[0]]] <= tree[1], _expression(tree[2], f)).otherwise(_expression(tree[3], f))
 
 
-def _margin(trees: Trees, x: Column) -> Column:
-    """The sum of the trees above the threshold."""
-    f = {n: x[n] for n in FEATURES}
-    total = F.lit(-trees.threshold)
-    for tree in trees.trees:
+def _score(trees: list, f: dict[str, Column]) -> Column:
+    total = F.lit(0.0)
+    for tree in trees:
         total = total + _expression(tree, f)
     return total
 
 
+def _margin(trees: Trees, x: Column) -> Column:
+    """The sum of the trees above the threshold, by the sum that the threshold was calibrated on."""
+    return _score(trees.trees, {n: x[n] for n in FEATURES}) - F.lit(float(trees.threshold))
+
+
 def _chosen(kind: str, trees: dict[str, Trees], active: list[str]):
     """Of candidates with margins: those whose best kind this is."""
 

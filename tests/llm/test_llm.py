@@ -228,6 +228,15 @@ def test_personal_data(spark, odd, empty):
     assert pii.with_spans(odd, pii.fitted(odd)).count() == odd.count() and pii.fitted(empty)["email"].trees == []
 
 
+def test_rare_candidates_count_in_calibration(spark):
+    common = table(spark, ["call +1 (605) 555-9305 now, order 12345678 x"] * 300)
+    held = [x.id for x in spark.range(300, 1500).where("pmod(xxhash64(id), 5) = 0").limit(100).collect()]
+    ends = [(a, b) for a in ("", " ", "a", "#") for b in ("", " ", "b", ",", "#")]
+    rare = spark.createDataFrame([(i, f"{ends[k % 20][0]}1 (605) 555-9305{ends[k % 20][1]}", "en", "s", 1, 1, "x") for k, i in enumerate(held)], SCHEMA)
+    assert pii.fitted(common, cells=4)["phone"].threshold < float("inf")
+    assert pii.fitted(common.unionByName(rare), cells=4)["phone"].threshold == float("inf")
+
+
 def test_octets_of_zeros(spark):
     texts = ["at 10.0.0.1 end", "0.0.0.0", "1.000.2.3", "00.1.2.3", "192.168.0.1, 127.0.0.1", "0.0.0.256 1.0.0.0001 0000.0.0.0255"]
     off = {k: pii.Trees([], float("inf")) for k in pii.KINDS}
