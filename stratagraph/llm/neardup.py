@@ -4,17 +4,22 @@
    of equal sets form a class, a node of the graph named by the set's hash; only
    a class's smallest row goes on, so exact copies cost nothing more.
 2. Bands of the signature give buckets. With 40 bands of 5 a pair at similarity
-   0.8 shares no bucket with probability 1.2e-7.
+   0.8 shares no bucket with probability 1.2e-7. Nodes of buckets with several
+   nodes are open: their texts are fetched once.
 3. Candidates of a bucket are compared with its smallest member first, and
    verified links are joined to components. Where a bucket then still holds
-   several components, the members outside the most frequent one are compared
-   with all of that component and with each other, block against block, so that
-   no pair becomes a row and no candidate is left out.
+   several components, the members outside its most frequent one are compared
+   with the open members of all buckets of that component, block against block,
+   so that no pair becomes a row and no candidate is left out.
 4. Verification reads signatures batch by batch and drops a pair as soon as the
    posterior probability (uniform prior) that its similarity reaches the
    threshold is below `miss`. Survivors are confirmed on their full sets.
 5. Components come from large-star and small-star rounds, each cut to the shared
-   folder.
+   folder, after a union-find within blocks of edges. The links of step 3's second
+   half lead from component to component, so their rounds run on labels only.
+
+Joins are merge joins at every size: no side has a proven bound. Aggregates that
+meet a frequent key in a join are written first, so that the join can be split.
 
 Null and empty texts and those without words have an empty set and are linked
 with nothing. Texts with fewer words than a shingle count as one shingle. Rows
@@ -32,11 +37,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm.bpe import binary, offsets
-from stratagraph.llm.common import cut, table, text_bytes
+from stratagraph.llm.common import cut, release, table, text_bytes
 from stratagraph.llm.sentencepiece_codec import blocks
 
 BANDS, ROWS, BATCH = 40, 5, 40
@@ -132,9 +137,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def bayes_pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs (a, b) that survive all signature batches."""
+    """Pairs (a, b) of nodes that survive all signature batches."""
     bounds = least_matches(threshold, miss)
-    joined = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    side = lambda end: sigs.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}")).hint("merge")
 
     def run(batches):
         for batch in batches:
@@ -148,21 +153,21 @@ def bayes_pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: floa
                 left = left[matches[left] >= least]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(left)), batch.column(1).take(pa.array(left))], ["a", "b"])
 
-    return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def _packed_texts(docs: DataFrame, used: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id and compressed text of the nodes in used. Texts are compressed before they are dealt; used grows with the corpus, so it is never broadcast."""
+def open_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, sig and packed, the compressed text, of nodes (node, rep, sig). Texts are compressed before they are dealt, once for each doc_id and text."""
     import zstandard
 
     def compress(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(x.as_py()) for x in batch.column(2)], pa.binary())], ["rep", "text_key", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([z.compress(x.as_py()) for x in batch.column(2)], pa.binary())], ["doc_id", "text_key", "packed"])
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("rep"), text_key(), text_bytes().alias("raw")).where("rep is not null").mapInArrow(compress, "rep long, text_key long, packed binary")
-    wanted = nodes.join(used.distinct(), "doc_id")
-    return packed.join(wanted.hint("merge"), ["rep", "text_key"]).select("doc_id", "packed")
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), text_bytes().alias("raw")).where("doc_id is not null").mapInArrow(compress, "doc_id long, text_key long, packed binary")
+    packed = packed.groupBy("doc_id", "text_key").agg(F.first("packed").alias("packed"))
+    return nodes.select("node", "sig", "rep.doc_id", "rep.text_key").hint("merge").join(packed, ["doc_id", "text_key"]).select("node", "sig", "packed")
 
 
 def _sets(packed: list[bytes], words: int) -> list[np.ndarray]:
@@ -170,7 +175,7 @@ def _sets(packed: list[bytes], words: int) -> list[np.ndarray]:
 
     z = zstandard.ZstdDecompressor()
     texts = [z.decompress(x) for x in packed]
-    return [s for i, j in blocks([len(t) for t in texts], 8 << 20) for s in shingle_sets(texts[i:j], words)]
+    return [s for i, j in blocks([len(t) for t in texts], 2 << 20) for s in shingle_sets(texts[i:j], words)]
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -178,19 +183,19 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
-    texts = _packed_texts(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), nodes)
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("packed").alias("text_b")), "b")
+def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of nodes whose full sets have 100 * intersection >= percent * union; texts are (node, packed)."""
+    side = lambda end: texts.select(F.col("node").alias(end), F.col("packed").alias(f"text_{end}")).hint("merge")
 
     def run(batches):
         for batch in batches:
-            n = batch.num_rows
-            sets = _sets(batch.column(2).to_pylist() + batch.column(3).to_pylist(), words)
-            keep = pa.array([similar(sets[k], sets[n + k], percent) for k in range(n)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            for i, j in blocks([len(p) + len(q) for p, q in zip(x, y, strict=True)], 1 << 20):
+                sets = _sets(x[i:j] + y[i:j], words)
+                keep = pa.array([similar(sets[k], sets[j - i + k], percent) for k in range(j - i)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i).filter(keep) for k in (0, 1)], ["a", "b"])
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def block_links(x: list[dict], y: list[dict], bounds: list[tuple[int, int]], words: int, percent: int) -> list[tuple[int, int]]:
@@ -228,45 +233,85 @@ def block_links(x: list[dict], y: list[dict], bounds: list[tuple[int, int]], wor
     return [(x[a]["doc_id"], y[b]["doc_id"]) for a, b in zip(i[good], j[good], strict=True)]
 
 
-def linked_to_group(outside: DataFrame, members: DataFrame, sigs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> DataFrame:
-    """Links between outside (main, doc_id) and both members and outside of the same main, compared block against block."""
+def linked_components(groups: DataFrame, texts: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> DataFrame:
+    """Pairs (a, b) of labels that a link joins. groups: (main, node, label); in each, nodes of other labels than main are compared with all of it, block against block."""
     bounds = least_matches(percent / 100, miss)
-    rows = outside.withColumn("out", F.lit(True)).unionByName(members.withColumn("out", F.lit(False)))
-    rows = cut(rows, "groups")
-    sizes = rows.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks"))
-    carried = rows.join(sizes, "main").join(sigs, "doc_id").join(_packed_texts(docs, rows.select("doc_id"), nodes), "doc_id")
-    carried = carried.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
-    doc = F.struct("doc_id", "sig", "packed")
-    grouped = cut(carried.groupBy("main", "block", "n_blocks").agg(F.collect_list(doc).alias("y"), F.collect_list(F.when(F.col("out"), doc)).alias("x")), "blocks")
+    sizes = cut(groups.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks")), "group-sizes")
+    carried = groups.join(sizes.hint("merge"), "main").join(texts.hint("merge"), "node")
+    carried = carried.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
+    doc = F.struct(F.col("label").alias("doc_id"), "sig", "packed")
+    grouped = cut(carried.groupBy("main", "block", "n_blocks").agg(F.collect_list(doc).alias("y"), F.collect_list(F.when(F.col("label") != F.col("main"), doc)).alias("x")), "blocks")
     x = grouped.where(F.size("x") > 0).select("main", "x", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    joined = x.join(grouped.select("main", "block", "y"), ["main", "block"]).select("x", "y")
+    joined = x.join(grouped.select("main", "block", "y").hint("merge"), ["main", "block"]).select("x", "y")
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                links = block_links(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), bounds, words, percent)
+                links = set(block_links(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), bounds, words, percent))
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
     return joined.mapInArrow(run, "a long, b long")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from every node to the smallest node of its component, for the edges (a, b) alone."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(names)))
+    for i, j in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        while up[j] != j:
+            up[j] = j = up[up[j]]
+        up[max(i, j)] = min(i, j)
+    for i, j in enumerate(up):  # parents come first
+        up[i] = up[j]
+    root = names[up]
+    leaf = root != names
+    return names[leaf], root[leaf]
+
+
+def contracted(edges: DataFrame, block: int = 1 << 18) -> DataFrame:
+    """(u, v) with u > v: the edges (a, b) of each block of rows as stars, without loss of connections."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= block:
+                yield made(held)
+                held = []
+        if held:
+            yield made(held)
+
+    def made(held):
+        u, v = forest(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
+def _stars(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Contracted edges, written, and the count and hash that tell whether they have changed."""
+    seen = Observation()
+    e = cut(contracted(edges).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return e, (seen.get["n"], seen.get["sum"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, label) of every node with an edge; label is the smallest node of its component. Large-star and small-star rounds."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    """(u, v) for every node that is not the smallest of its component, v being the smallest; edges are (a, b). Large-star and small-star rounds."""
+    e, now = _stars(edges)
     before = None
-    while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        e = cut(small, "edges")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now == before or (now[0] == now[2] and not e.alias("x").join(e.alias("y"), F.col("x.v") == F.col("y.u")).limit(1).count()):
-            break
+    while now[0] and now != before:
         before = now
-    return e.select(F.col("u").alias("doc_id"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("doc_id"), F.col("v").alias("label")).distinct())
+        least = cut(e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "least")
+        large = e.join(least.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).distinct()
+        past = e
+        e, now = _stars(small)
+        release(past, least)
+    return e
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
@@ -275,34 +320,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
 
 
 def near_duplicate_rows(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """near_duplicates with text_key and first; rows of one doc_id and text are equal here. In the graph, doc_id is a class's node."""
+    """near_duplicates with text_key and first; rows of one doc_id and text are equal here."""
     s = cut(sketches(docs, words), "sketches")
     linked = s.where("doc_id is not null and n_shingles > 0")
-    classes = cut(linked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep")), "classes")
-    nodes = classes.select(F.col("key1").alias("doc_id"), F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("text_key"))
-    reps = linked.join(classes, ["key1", "key2"]).where("doc_id = rep.doc_id and text_key = rep.text_key").select(F.col("key1").alias("doc_id"), "sig", "bands")
-    sigs = reps.select("doc_id", "sig")
-    member = reps.select(F.explode("bands").alias("bucket"), F.col("doc_id"))
-    shared = member.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("bucket", "hub")
-    buckets = cut(member.join(shared, "bucket"), "buckets")
-    verify = lambda pairs: confirmed(cut(bayes_pruned(pairs, sigs, percent / 100, miss), "candidates"), docs, nodes, words, percent)
-    stars = buckets.where("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    edges = cut(verify(stars), "links")
-    labels = cut(components(edges), "labels")
-    # Members of a bucket outside its most frequent component, against that whole component and each other.
-    of = buckets.join(labels, "doc_id", "left").select("bucket", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    split = of.groupBy("bucket").agg((F.min("label") < F.max("label")).alias("split")).where("split").select("bucket")
-    of = cut(of.join(split, "bucket"), "open-buckets")
-    main = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    outside = of.join(main, "bucket").where("label <> main").select("main", "doc_id").distinct()
-    mains = main.select("main").distinct()
-    members = labels.select(F.col("label").alias("main"), "doc_id").unionByName(mains.select("main", F.col("main").alias("doc_id"))).distinct().join(mains, "main", "left_semi")
-    edges = edges.unionByName(cut(linked_to_group(outside, members, sigs, docs, nodes, words, percent, miss), "links"))
-    labels = cut(components(edges), "labels")
-    heads = labels.join(nodes, "doc_id").groupBy("label").agg(F.min(F.struct(F.col("rep").alias("doc_id"), "text_key")).alias("head"))
-    named = labels.join(heads, "label").select("doc_id", "head")
-    final = classes.join(named, classes.key1 == named.doc_id, "left").select("key1", "key2", F.coalesce("head", "rep").alias("head"))
-    out = s.join(final, ["key1", "key2"], "left")
+    classes = cut(linked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
+    nodes = classes.select(F.col("key1").alias("node"), "key2", "rep", "sig")
+    member = classes.select(F.explode("bands").alias("bucket"), F.col("key1").alias("node"))
+    shared = cut(member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub"), "shared")
+    buckets = cut(member.join(shared.hint("merge"), "bucket"), "buckets")
+    texts = cut(open_nodes(docs, nodes.join(buckets.select("node").distinct().hint("merge"), "node")), "open")
+    pairs = buckets.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    label = components(confirmed(bayes_pruned(pairs, texts, percent / 100, miss), texts, words, percent))
+    # Members of a bucket outside its most frequent component.
+    named = label.select(F.col("u").alias("node"), F.col("v").alias("label")).hint("merge")
+    of = cut(buckets.join(named, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
+    count = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    main = cut(count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "main"), "mains")
+    groups = cut(of.join(main.hint("merge"), "bucket").select("main", "node", "label").distinct(), "groups")
+    over = components(linked_components(groups, texts, words, percent, miss))
+    root = nodes.join(named, "node", "left").select("node", "key2", "rep", F.coalesce("label", "node").alias("v"))
+    root = cut(root.join(over.select(F.col("u").alias("v"), F.col("v").alias("w")).hint("merge"), "v", "left").select("node", "key2", "rep", F.coalesce("w", "v").alias("root")), "roots")
+    heads = cut(root.groupBy("root").agg(F.min("rep").alias("head")), "heads")
+    final = root.join(heads.hint("merge"), "root").select(F.col("node").alias("key1"), "key2", "head")
+    out = s.join(final.hint("merge"), ["key1", "key2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
     first = alone | ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("text_key") == F.col("head.text_key")))
