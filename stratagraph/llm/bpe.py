@@ -1,17 +1,20 @@
 """Byte-pair merging as vectorised rounds over flat numpy arrays.
 
-A batch of words is one flat array of symbols with word lengths. Each round
-looks up the rank of every adjacent pair, takes the minimum of (rank, position)
-over each word's segment, and merges that leftmost pair in all words at once;
-then the arrays are compacted. A word leaves when none of its pairs has a rank.
-One pair a word and round keeps the order of the sequential algorithm, also
-where merging one occurrence makes a better pair next to another.
+A batch of words is one flat array of symbols with word lengths. Words are first
+cut where no merge can cross: between two symbols that no rule brings together.
+Each round looks up the rank of every adjacent pair, takes the minimum of (rank,
+position) over each word's segment, and merges in all words at once; then the
+arrays are compacted. A word leaves when none of its pairs has a rank.
+
+A word's leftmost pair of least rank is always merged. The other pairs of that
+rank follow in the same round, leftmost first where they overlap, unless a merge to
+their left makes a pair that ranks no later ("loud") and is so near that what
+follows from it could reach them: no symbol is longer than `reach` first symbols.
+So the order is that of the sequential algorithm wherever order matters.
 """
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 
@@ -28,6 +31,37 @@ class Pairs:
         self.key = key[order]
         self.rank = np.append(np.asarray(rank, np.int64)[order], NONE)
         self.merged = np.append(np.asarray(merged, np.int64)[order], -1)
+        self._rules(np.asarray(left, np.int64)[order], np.asarray(right, np.int64)[order])
+
+    def _rules(self, left: np.ndarray, right: np.ndarray) -> None:
+        """crossed: adjacent first symbols that a rule can bring together; quiet: by rank, whether all rules of what it makes rank later; reach: see above."""
+        merged, rank = self.merged[:-1], self.rank[:-1]
+        size = int(max(left.max(initial=0), right.max(initial=0), merged.max(initial=0))) + 1
+        first, last = np.arange(size), np.arange(size)
+        while True:
+            f, e = first[left], last[right]
+            if (first[merged] == f).all() and (last[merged] == e).all():
+                break
+            first[merged], last[merged] = f, e
+        self.crossed = np.unique((last[left] << SHIFT) | first[right])
+        long = np.ones(size, np.int64)
+        while (long[merged] < long[left] + long[right]).any():
+            np.maximum.at(long, merged, long[left] + long[right])
+        self.reach = 2 * int(long.max(initial=1)) + 2
+        soonest = np.full(size, NONE)
+        np.minimum.at(soonest, left, rank)
+        np.minimum.at(soonest, right, rank)
+        self.quiet = np.ones(int(rank.max(initial=0)) + 1, bool)
+        np.logical_and.at(self.quiet, rank, soonest[merged] > rank)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where no merge can join the first symbols a and b."""
+        if not len(self.crossed):
+            return np.ones(len(a), bool)
+        key = (a << SHIFT) | b
+        at = np.searchsorted(self.crossed, key)
+        at[at == len(self.crossed)] = 0
+        return self.crossed[at] != key
 
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Index of each pair, the last index where there is none."""
@@ -37,6 +71,28 @@ class Pairs:
         return np.where(self.key[at] == key, at, len(self.key))
 
 
+def _together(at: np.ndarray, sym: np.ndarray, word: np.ndarray, pair: np.ndarray, rank: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """Which of the pairs at these places, those of least rank in their words, are merged in one round."""
+    n = len(at)
+    k = np.arange(n)
+    new = np.flatnonzero(np.r_[True, np.diff(at) != 1][:n])  # runs of overlapping pairs
+    run = np.repeat(new, np.diff(np.r_[new, n]))
+    good = (k - run) % 2 == 0
+    odd = np.flatnonzero(~pairs.quiet[rank])
+    if not len(odd):
+        return good
+    place, made = at[odd], pairs.merged[pair[at]]
+    end = len(sym) - 1
+    right, left, before = np.minimum(place + 2, end), np.maximum(place - 1, 0), np.maximum(odd - 2, 0)
+    loud = np.zeros(n, bool)
+    loud[odd] = (word[right] == word[place]) & (right == place + 2) & (pairs.rank[pairs.find(made[odd], sym[right])] <= rank[odd])
+    loud[odd] |= (word[left] == word[place]) & (left < place) & (pairs.rank[pairs.find(sym[left], made[odd])] <= rank[odd])
+    loud[odd] |= (at[before] == place - 2) & (word[at[before]] == word[place]) & (pairs.rank[pairs.find(made[before], made[odd])] <= rank[odd])
+    last = np.r_[-1, np.maximum.accumulate(np.where(loud, k, -1))[:-1]]  # the loud pair to the left
+    clear = (last < 0) | (word[at[last]] != word[at]) | (at - at[last] > pairs.reach)
+    return good & clear & clear[run]
+
+
 def _merge_block(sym: np.ndarray, lens: np.ndarray, pairs: Pairs) -> tuple[np.ndarray, np.ndarray]:
     n = len(lens)
     word = np.repeat(np.arange(n), lens)
@@ -47,15 +103,18 @@ def _merge_block(sym: np.ndarray, lens: np.ndarray, pairs: Pairs) -> tuple[np.nd
     out_sym, out_word = [], []
     while len(sym):
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        least = np.minimum.reduceat((pairs.rank[pair] << 32) | np.arange(len(sym)), first)
+        rank = pairs.rank[pair]
+        least = np.minimum.reduceat((rank << 32) | np.arange(len(sym)), first)
         open_ = (least >> 32) < NONE
+        size = np.diff(np.r_[first, len(sym)])
         keep = np.ones(len(sym), bool)
         if not open_.all():
-            closed = ~np.repeat(open_, np.diff(np.r_[first, len(sym)]))
+            closed = ~np.repeat(open_, size)
             out_sym.append(sym[closed])
             out_word.append(word[closed])
             keep = ~closed
-        at = least[open_] & 0xFFFFFFFF
+        at = np.flatnonzero(rank == np.repeat(np.where(open_, least >> 32, -1), size))
+        at = at[_together(at, sym, word, pair, rank[at], pairs)]
         sym[at] = pairs.merged[pair[at]]
         keep[at + 1] = False
         moved = np.cumsum(keep) - 1
@@ -74,61 +133,22 @@ def _merge_block(sym: np.ndarray, lens: np.ndarray, pairs: Pairs) -> tuple[np.nd
     return sym[order], np.bincount(word, minlength=n)
 
 
-def _merge_long(sym: list[int], pairs: Pairs) -> list[int]:
-    """One very long word, with a heap: rounds would cost the square of its length."""
-    n = len(sym)
-    nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    heap: list[tuple[int, int, int, int, int]] = []
-
-    def push(i: int, j: int) -> None:
-        k = int(pairs.find(np.array([sym[i]]), np.array([sym[j]]))[0])
-        if k < len(pairs.key):
-            heapq.heappush(heap, (int(pairs.rank[k]), i, j, sym[i], sym[j]))
-
-    known = pairs.find(np.array(sym[:-1], np.int64), np.array(sym[1:], np.int64))
-    for i in np.flatnonzero(known < len(pairs.key)):
-        i = int(i)
-        heap.append((int(pairs.rank[known[i]]), i, i + 1, sym[i], sym[i + 1]))
-    heapq.heapify(heap)
-    while heap:
-        _, i, j, a, b = heapq.heappop(heap)
-        if not (alive[i] and j < n and alive[j] and nxt[i] == j and sym[i] == a and sym[j] == b):
-            continue
-        sym[i] = int(pairs.merged[pairs.find(np.array([a]), np.array([b]))[0]])
-        alive[j], nxt[i] = False, nxt[j]
-        if nxt[j] < n:
-            prv[nxt[j]] = i
-            push(i, nxt[i])
-        if prv[i] >= 0:
-            push(prv[i], i)
-    return [s for s, a in zip(sym, alive, strict=True) if a]
-
-
-def merge_words(sym: np.ndarray, lens: np.ndarray, pairs: Pairs, block: int = 1 << 17, long_word: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def merge_words(sym: np.ndarray, lens: np.ndarray, pairs: Pairs, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """Merge all words; returns the flat symbols and the new lengths."""
-    ends = np.cumsum(lens)
-    starts = ends - lens
-    out, out_lens = [], []
+    if not len(sym):
+        return np.zeros(0, np.int64), np.zeros(len(lens), np.int64)
+    word = np.repeat(np.arange(len(lens)), lens)
+    starts = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | pairs.apart(sym[:-1], sym[1:])])
+    ends = np.r_[starts[1:], len(sym)]
+    out, counts = [], []
     i = 0
-    while i < len(lens):
-        if lens[i] > long_word:
-            merged = np.array(_merge_long(sym[starts[i] : ends[i]].tolist(), pairs), np.int64)
-            out.append(merged)
-            out_lens.append(np.array([len(merged)]))
-            i += 1
-            continue
-        j = int(np.searchsorted(ends, starts[i] + block, side="right"))
-        j = max(j, i + 1)
-        long_ = np.flatnonzero(lens[i:j] > long_word)
-        if len(long_):
-            j = i + int(long_[0])
-        a, b = _merge_block(sym[starts[i] : ends[j - 1]].copy(), lens[i:j], pairs)
+    while i < len(starts):
+        j = max(int(np.searchsorted(ends, starts[i] + block, side="right")), i + 1)
+        a, b = _merge_block(sym[starts[i] : ends[j - 1]].copy(), ends[i:j] - starts[i:j], pairs)
         out.append(a)
-        out_lens.append(b)
+        counts.append(b)
         i = j
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(out_lens)
+    return np.concatenate(out), np.bincount(word[starts], weights=np.concatenate(counts), minlength=len(lens)).astype(np.int64)
 
 
 def binary(data: np.ndarray | bytes, starts: np.ndarray) -> pa.Array:

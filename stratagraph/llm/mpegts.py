@@ -7,11 +7,16 @@ CRC) stand at the front and before every random-access point, whose first
 packet has the random-access flag and a clock reference.
 
 Reading: the program tables give the elementary stream, continuity counters
-are checked, packets are put together again by their start indicators, and
-times and random-access points are stored with the samples.
+are checked, and packets are put together again by their start indicators. The
+times of all elementary packets and the random-access points (time and the byte
+of the stream from which reading can begin) are columns beside the samples, as
+are the packets that are missing by the counters and the elementary packets
+that are left out because a part of them is missing. A stream without a valid
+program table, or of another packet size, has null for all of these.
 
 A null text is empty; payloads are padded with zero bytes to a positive
-multiple of 64. Texts of any length are handled one at a time.
+multiple of 64. Texts of any length are handled one at a time. Every row gets a
+row, repeated and null ids too; other columns are not read.
 """
 
 from __future__ import annotations
@@ -112,8 +117,9 @@ def mux(payload: bytes) -> bytes:
 class Stream:
     payload: bytes
     times: list[int] = field(default_factory=list)
-    access: list[int] = field(default_factory=list)  # times of random-access points
-    lost: int = 0  # breaks of continuity
+    access: list[tuple[int, int]] = field(default_factory=list)  # time and first byte of random-access points
+    lost: int = 0  # packets missing by the continuity counters
+    broken: int = 0  # elementary packets left out
 
 
 def _section_of(packets: np.ndarray, start: np.ndarray, table_id: int) -> bytes:
@@ -140,22 +146,28 @@ def demux(media: bytes) -> Stream:
     pmt = _section_of(a[own], start[own], 2)
     at = 4 + ((pmt[2] & 15) << 8 | pmt[3])
     es = (pmt[at + 1] & 31) << 8 | pmt[at + 2]
-    own = pid == es
-    packets, start, adapted = a[own], start[own], adapted[own]
-    out = Stream(b"", lost=int((np.diff(packets[:, 3].astype(np.int32) & 15) % 16 != 1).sum()))
+    own = np.flatnonzero(pid == es)
+    packets = a[own]
+    count = packets[:, 3].astype(np.int32) & 15
+    again = np.r_[False, (count[1:] == count[:-1]) & (packets[1:, 4:] == packets[:-1, 4:]).all(axis=1)]  # a packet may be sent twice
+    own, packets, count, start, adapted = own[~again], packets[~again], count[~again], start[own][~again], adapted[own][~again]
+    missing = np.r_[0, (np.diff(count) - 1) % 16]
+    out = Stream(b"", lost=int(missing.sum()))
     data = packets[np.arange(PACKET) >= start[:, None]].tobytes()
     at = np.r_[0, np.cumsum(PACKET - start)]
     first = np.flatnonzero(packets[:, 1] & 0x40)
-    flagged = (adapted & (packets[:, 5] & 0x40 > 0) & (packets[:, 4] > 0))[first]
+    flagged = adapted & (packets[:, 5] & 0x40 > 0) & (packets[:, 4] > 0)
+    out.broken = int(len(first) == 0 or first[0] > 0)  # packets before the first start belong to a lost one
     parts = []
-    for begin, end, access in zip(at[first], np.r_[at[first[1:]], at[-1]], flagged, strict=True):
-        unit = data[begin:end]
-        if unit[:3] != b"\0\0\1" or len(unit) != 6 + int.from_bytes(unit[4:6], "big"):
-            raise ValueError("broken elementary packet")
+    for i, j in zip(first.tolist(), [*first[1:].tolist(), len(packets)], strict=True):
+        unit = data[at[i] : at[j]]
+        if missing[i + 1 : j].any() or unit[:3] != b"\0\0\1" or len(unit) != 6 + int.from_bytes(unit[4:6], "big"):
+            out.broken += 1
+            continue
         s = unit[9:14]
         out.times.append((s[0] & 14) << 29 | s[1] << 22 | (s[2] & 254) << 14 | s[3] << 7 | s[4] >> 1)
-        if access:
-            out.access.append(out.times[-1])
+        if flagged[i]:
+            out.access.append((out.times[-1], int(own[i]) * PACKET))
         parts.append(unit[9 + unit[8] :])
     out.payload = b"".join(parts)
     return out
@@ -169,7 +181,7 @@ def feature(s: Stream) -> str:
     """Packets, random-access points, last time, breaks, mean level and level changes through the middle."""
     x = np.frombuffer(s.payload, np.uint8)
     high = x >= 128
-    return f"pes={len(s.times)};access={len(s.access)};last={s.times[-1]};lost={s.lost};mean={int(x.sum(dtype=np.int64)) // len(x)};cross={int((high[1:] != high[:-1]).sum())}"
+    return f"pes={len(s.times)};access={len(s.access)};last={s.times[-1] if s.times else -1};lost={s.lost};mean={int(x.sum(dtype=np.int64)) // max(len(x), 1)};cross={int((high[1:] != high[:-1]).sum())}"
 
 
 def media_column(docs: DataFrame) -> DataFrame:
@@ -190,24 +202,50 @@ def media_column(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+POINT = pa.list_(pa.struct([("time", pa.int64()), ("byte", pa.int64())]))
+SAMPLES = {"payload": pa.binary(), "times": pa.list_(pa.int64()), "access": POINT, "lost": pa.int64(), "broken": pa.int64()}
+SAMPLES_DDL = "payload binary, times array<long>, access array<struct<time: long, byte: long>>, lost long, broken long"
+DIGESTS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()} | {k: v for k, v in SAMPLES.items() if k != "payload"}
+DIGESTS_DDL = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + SAMPLES_DDL.removeprefix("payload binary")
 
 
-def media_digests(media: DataFrame) -> DataFrame:
-    """Figures of the samples read back from a media column."""
+def _read(media: DataFrame, ddl: str, types: dict[str, pa.DataType], row) -> DataFrame:
+    """doc_id, n_bytes and what row makes of a stored stream and its Stream, null where it can't be read."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for stored in batch.column(2):
+            rows, size, at = [], 0, 0
+            for i, stored in enumerate(batch.column(2)):
                 m = stored.as_py()
-                s = demux(m)
-                rows.append((len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(s)))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else []
-            if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], [x.split()[0] for x in DIGESTS.split(", ")])
+                try:
+                    rows.append(row(m, demux(m)))
+                except (ValueError, IndexError, StopIteration):
+                    rows.append((None,) * len(types))
+                size += len(m)
+                if size > 8 << 20 or i == batch.num_rows - 1:
+                    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types.values(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(k).slice(at, len(rows)) for k in (0, 1)] + cols, ["doc_id", "n_bytes", *types])
+                    at, rows, size = i + 1, [], 0
+
+    return media.select("doc_id", "n_bytes", F.coalesce("media", F.lit(b"")).alias("media")).mapInArrow(run, "doc_id long, n_bytes long, " + ddl)
+
+
+def _points(s: Stream) -> list[dict]:
+    return [{"time": t, "byte": b} for t, b in s.access]
+
+
+def media_samples(media: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, the samples read back from a media column, their times and random-access points, and what is missing."""
+    return _read(media, SAMPLES_DDL, SAMPLES, lambda m, s: (s.payload, s.times, _points(s), s.lost, s.broken))
+
+
+def media_digests(media: DataFrame) -> DataFrame:
+    """Figures of the samples read back from a media column, with their times and random-access points."""
+
+    def row(m: bytes, s: Stream) -> tuple:
+        return len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(s), s.times, _points(s), s.lost, s.broken
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGESTS)
+    return _read(media, DIGESTS_DDL, DIGESTS, row)
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Each task tokenises its documents and packs them in groups of a fixed number
 of tokens, so nothing is shuffled and memory is bounded. In a group, documents
 over a sequence's length give full sequences and a rest; the pieces then go, in
 descending length, to the sequence of lowest estimated attention cost (linear
-plus quadratic in each piece's length) that still has room. A piece that fits
-nowhere is cut to fill what room is left, so a group's sequences are full but
+plus quadratic in each piece's length) of all of the group's that have room. A piece
+that fits in none is cut to fill what room is left, so a group's sequences are full but
 for the last tokens, which go to sequences of powers of two: those need no
 padding. sequence_id holds the task's partition in its upper bits.
 
@@ -15,7 +15,6 @@ packed as documents of their own.
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import zlib
@@ -131,30 +130,19 @@ def pack(lens: list[int], capacity: int, linear: float = 1.0, quadratic: float =
     rest.sort(key=lambda x: (-x[0], x[1]))
     total = sum(x[0] for x in rest)
     bins = total // capacity
+    room, spent = np.full(bins, capacity), np.zeros(bins)
     used = [0] * bins
-    heap = [(0.0, b) for b in range(bins)]
     over: list[tuple[int, int, int]] = []
     for n, d, start in rest:
-        passed, put = [], None
-        while heap:
-            c, b = heapq.heappop(heap)
-            if capacity - used[b] >= n:
-                put = b
-                break
-            if used[b] < capacity:
-                passed.append((c, b))
-            if len(passed) >= 32:  # all are nearly full; what does not fit the cheapest is cut below
-                break
-        for x in passed:
-            heapq.heappush(heap, x)
-        if put is None:
+        put = int(np.where(room >= n, spent, np.inf).argmin()) if bins else 0
+        if not bins or room[put] < n:
             over.append((n, d, start))
             continue
         pieces.append((d, start, n, n_seq + put, used[put]))
         used[put] += n
-        if used[put] < capacity:
-            heapq.heappush(heap, (c + cost(n, linear, quadratic), put))
-    room = [b for _, b in sorted(heap)]
+        room[put] -= n
+        spent[put] += cost(n, linear, quadratic)
+    order = [int(b) for b in np.argsort(spent, kind="stable") if room[b]]
     ends: list[int] = []  # capacities of the last sequences
     left = total - bins * capacity
     for bit in reversed(range(capacity.bit_length())):
@@ -162,13 +150,13 @@ def pack(lens: list[int], capacity: int, linear: float = 1.0, quadratic: float =
             ends.append(1 << bit)
     used += [0] * len(ends)
     caps = [capacity] * bins + ends
-    room += range(bins, len(caps))
+    order += range(bins, len(caps))
     at = 0
     for n, d, start in over:
         while n:
-            while used[room[at]] == caps[room[at]]:
+            while used[order[at]] == caps[order[at]]:
                 at += 1
-            b = room[at]
+            b = order[at]
             k = min(n, caps[b] - used[b])
             pieces.append((d, start, k, n_seq + b, used[b]))
             used[b] += k

@@ -7,11 +7,11 @@ sigma(w0 + sum w x + 1/2 sum_f ((sum v_f x)^2 - sum v_f^2 x^2)), so all pairs of
 features interact in time linear in their number.
 
 It is fitted with Adagrad on at most `bound` labelled rows, those of the
-smallest hash of doc_id; labels, lang, source and doc_id are not features. The
+smallest hash of doc_id (of rows that repeat a doc_id, the text of the smallest hash); labels, lang, source and doc_id are not features. The
 rest of the corpus is only scored.
 
 Null texts count as empty; empty texts have the bins of an empty text. A null
-n_chars counts as the length. Repeated labels of a doc_id: the largest counts.
+n_chars counts as the characters of the text. Repeated labels of a doc_id: the largest counts.
 A null doc_id is scored and counts as held out. With no labels, or labels of
 one value only, every score is that share (1 where there are none).
 """
@@ -151,12 +151,12 @@ def fit(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, fa
 
 
 def _inputs(docs: DataFrame):
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw"), (F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")).alias("n_chars"))
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("raw"), F.coalesce(F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None), F.char_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_chars"))
 
 
 def _blocks(batch):
     texts = [x.as_py() for x in batch.column(1)]
-    chars = np.array([len(t) if c is None else c for t, c in zip(texts, batch.column(2).to_pylist(), strict=True)], float)
+    chars = batch.column(2).to_numpy().astype(float)
     for i, j in blocks([len(t) for t in texts], 2 << 20):
         yield i, j, *features(texts[i:j], chars[i:j])
 
@@ -169,13 +169,15 @@ def trained(docs: DataFrame, labels: DataFrame, bound: int = 6000) -> Machine:
     """A machine for labels.quality, from at most bound labelled rows outside the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality is not null").where(~held_out())
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    rows = _inputs(docs).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("raw").alias("h"), "raw", "n_chars", "quality")).alias("r")).select("doc_id", "r.raw", "r.n_chars", "r.quality")
 
     def run(batches):
         for batch in batches:
             for i, j, hashed, bins in _blocks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(hashed, pa.list_(pa.int32())), pa.array(list(bins), pa.list_(pa.int32())), batch.column(3).slice(i, j - i)], ["doc_id", "hashed", "bins", "quality"])
 
-    found = _inputs(docs).join(F.broadcast(known), "doc_id").mapInArrow(run, "doc_id long, hashed array<int>, bins array<int>, quality int").toArrow().sort_by("doc_id")
+    found = rows.mapInArrow(run, "doc_id long, hashed array<int>, bins array<int>, quality int").toArrow().sort_by("doc_id")
     hashed, bins = (found.column(n).combine_chunks() for n in ("hashed", "bins"))
     pairs = [rows_of([h.values.to_numpy()], b.values.to_numpy()[None])[:2] for h, b in zip(hashed, bins, strict=True)]
     return fit([p[0].astype(np.int64) for p in pairs], [p[1] for p in pairs], found.column("quality").to_numpy().astype(float))
@@ -200,9 +202,10 @@ def accepted(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataF
 
     def run(batches):
         for batch in batches:
-            texts = [(x.as_py() or "").encode("utf-8", "replace") for x in batch.column(at[0])]
+            texts = [x.as_py() or "" for x in batch.column(at[0])]
             own = batch.column(at[1]).to_pylist() if at[1] is not None else [None] * len(texts)
             chars = np.array([len(t) if c is None else c for t, c in zip(texts, own, strict=True)], float)
+            texts = [t.encode("utf-8", "replace") for t in texts]
             for i, j in blocks([len(t) for t in texts], 2 << 20):
                 keep = sigmoid(machine.raw(*rows_of(*features(texts[i:j], chars[i:j])))[0]) >= threshold
                 yield batch.slice(i, j - i).filter(pa.array(keep))

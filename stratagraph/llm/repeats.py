@@ -23,7 +23,8 @@ when one name is frequent; nothing is gathered for a name. Texts cross the
 network compressed.
 
 Order of documents is (doc_id, hash of text); null doc_ids come first. Rows that
-repeat both doc_id and text count as one document and get equal results. Null
+repeat both doc_id and text count as one document and get equal results: lists of
+places are sets, so K such rows cost K times one. Null
 texts are empty. Texts shorter than the length keep everything.
 """
 
@@ -153,7 +154,7 @@ def _unpacker():
 
 def _segment_bytes(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted segments with their bytes."""
-    lists = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("anchor", "start", "windows", "place")).alias("of"))
+    lists = wanted.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("anchor", "start", "windows", "place")).alias("of"))
 
     def run(batches):
         unpack = _unpacker()
@@ -195,7 +196,7 @@ def _block_rows(parts: DataFrame, length: int) -> DataFrame:
 
 
 def _window_rows(parts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    lists = wanted.groupBy("doc", "text_hash", "segment").agg(F.collect_list(F.struct("start", "windows", "core")).alias("of"))
+    lists = wanted.groupBy("doc", "text_hash", "segment").agg(F.collect_set(F.struct("start", "windows", "core")).alias("of"))
 
     def run(batches):
         for batch in batches:
@@ -231,7 +232,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def without_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
     """Per document the figures of its removal; with_text adds kept, the bytes that stay."""
-    spans = repeated_spans(docs, length).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(docs, length).groupBy("doc", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = cut(spans, "spans")
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import scratch, table
+from stratagraph.llm.common import cut, scratch, table
 
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -197,8 +197,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def page_digests(records: DataFrame) -> DataFrame:
-    """Per page: payload_bytes, payload_digest, record_type and refers_to; a revisit's figures are its response's."""
-    r = records.select("page_id", F.octet_length("payload").cast("long").alias("own_bytes"), "payload_digest", "record_type", "refers_to", "n_segments", "intact")
+    """Per page: payload_bytes, payload_digest, record_type and refers_to; a revisit's figures are its response's. The figures without payloads are written, so that archives are parsed once."""
+    r = cut(records.select("page_id", F.octet_length("payload").cast("long").alias("own_bytes"), "payload_digest", "record_type", "refers_to", "n_segments", "intact"), "digests")
     stored = r.where("record_type = 'response' and intact").groupBy(F.col("page_id").alias("stored_id"), F.col("payload_digest").alias("stored_digest")).agg(F.max("own_bytes").alias("stored_bytes"))
     found = r.join(stored, (r.record_type == "revisit") & r.refers_to.eqNullSafe(stored.stored_id) & (r.payload_digest == stored.stored_digest), "left")
     return found.select("page_id", F.coalesce("own_bytes", "stored_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", "n_segments", "intact")
