@@ -41,7 +41,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")  # the shuffle files of this write go when it ends
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "snappy").parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)

@@ -184,7 +184,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of nodes whose full sets have 100 * intersection >= percent * union; texts are (node, packed)."""
+    """Stars (u, v) of the pairs of nodes whose full sets have 100 * intersection >= percent * union; texts are (node, packed)."""
     side = lambda end: texts.select(F.col("node").alias(end), F.col("packed").alias(f"text_{end}")).hint("merge")
 
     def run(batches):
@@ -195,7 +195,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 keep = pa.array([similar(sets[k], sets[j - i + k], percent) for k in range(j - i)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, j - i).filter(keep) for k in (0, 1)], ["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: in_stars(run(batches)), STARS)
 
 
 def block_links(x: list[dict], y: list[dict], bounds: list[tuple[int, int]], words: int, percent: int) -> list[tuple[int, int]]:
@@ -234,7 +234,7 @@ def block_links(x: list[dict], y: list[dict], bounds: list[tuple[int, int]], wor
 
 
 def linked_components(groups: DataFrame, texts: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> DataFrame:
-    """Pairs (a, b) of labels that a link joins. groups: (main, node, label); in each, nodes of other labels than main are compared with all of it, block against block."""
+    """Stars (u, v) of the labels that a link joins. groups: (main, node, label); in each, nodes of other labels than main are compared with all of it, block against block."""
     bounds = least_matches(percent / 100, miss)
     sizes = cut(groups.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks")), "group-sizes")
     carried = groups.join(sizes.hint("merge"), "main").join(texts.hint("merge"), "node")
@@ -251,7 +251,10 @@ def linked_components(groups: DataFrame, texts: DataFrame, words: int, percent:
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-    return joined.mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(lambda batches: in_stars(run(batches)), STARS)
+
+
+STARS = "u long, v long"
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,36 +274,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[leaf], root[leaf]
 
 
-def contracted(edges: DataFrame, block: int = 1 << 18) -> DataFrame:
-    """(u, v) with u > v: the edges (a, b) of each block of rows as stars, without loss of connections."""
+def in_stars(batches, block: int = 1 << 18):
+    """Batches of (u, v) with u > v: the edges (a, b) of each block of rows as stars, without loss of connections."""
+    held: list[pa.RecordBatch] = []
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(x.num_rows for x in held) >= block:
-                yield made(held)
-                held = []
-        if held:
-            yield made(held)
-
-    def made(held):
+    def made():
         u, v = forest(*(np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1)))
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return edges.mapInArrow(run, "u long, v long")
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= block:
+            yield made()
+            held = []
+    if held:
+        yield made()
 
 
-def _stars(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """Contracted edges, written, and the count and hash that tell whether they have changed."""
+def _written(stars: DataFrame) -> tuple[DataFrame, tuple]:
+    """The stars, written, and the count and hash that tell whether they have changed."""
     seen = Observation()
-    e = cut(contracted(edges).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    e = cut(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
     return e, (seen.get["n"], seen.get["sum"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v) for every node that is not the smallest of its component, v being the smallest; edges are (a, b). Large-star and small-star rounds."""
-    e, now = _stars(edges)
+def components(stars: DataFrame) -> DataFrame:
+    """(u, v) for every node that is not the smallest of its component, v being the smallest; stars are edges with u > v. Large-star and small-star rounds."""
+    e, now = _written(stars)
     before = None
     while now[0] and now != before:
         before = now
@@ -309,7 +309,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).distinct()
         past = e
-        e, now = _stars(small)
+        e, now = _written(small.mapInArrow(in_stars, STARS))
         release(past, least)
     return e
 

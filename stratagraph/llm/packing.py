@@ -33,11 +33,11 @@ from stratagraph.llm.sentencepiece_codec import blocks
 SPLIT = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[^\sa-zß-öø-ÿà0-9]+")
 # Characters on which Python and the library agree: printable ASCII and the letters of Latin-1.
 SAFE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 
 
 class Tokens:
-    """Ids of a tokenizer file with lower-cased words that end in a marked symbol, words merged once a block."""
+    """Ids of a tokenizer file with lower-cased words that end in a marked symbol. Distinct words of a block are merged once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -62,7 +62,7 @@ class Tokens:
         return merge_words(sym, np.diff(off), self.pairs)
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids, flat, and counts of words without white space."""
+        """Ids, flat, and counts of distinct words without white space."""
         special = any(s in w for w in words for s in self.special) if any("|>" in w for w in words) else False
         safe = np.array([SAFE.fullmatch(w) is not None for w in words], bool)
         if special:

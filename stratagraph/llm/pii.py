@@ -5,24 +5,36 @@ matches that fail the kind's check are dropped. The patterns are written with
 possessive repeats and look-behinds that match the same strings in linear time.
 Positions come from the text between matches: code points, end exclusive.
 
-Candidates: high-recall generators propose runs of digits with separators and
-spelled-out addresses, which overlap base spans and each other. Each has format
-features (digits, groups, separators, check digit) and context features (the
-characters around it, and words such as "call" or "card" before it), in a few
-bins. Boosted trees for each kind are fitted on counts of feature cells, in
-which a candidate is positive if it lies in a base span of the kind; the plus
-sign, the at sign and the check digit of the base pattern are not features of
-the kinds they define. A threshold for each kind is calibrated on the documents
-of a held-out fold: the lowest score from which the precision on candidates is
-at least `precision`. Candidates that overlap no base span become spans of the
-kind whose threshold they pass by most. Without enough positives for a kind, it adds none.
-
-The trees are fitted on at most about `bound` documents, chosen by hash, and on
-`cells` cells, the most frequent ones; the calibration counts the candidates of all
-held-out documents by score, and scoring covers all documents and whole texts.
+Candidates: high-recall generators propose runs of digits with separators,
+numbers grouped like phones and cards, and spelled-out addresses; proposals
+overlap each other. Each has format features (digits, groups, separators, check
+digit, domain labels) and context features (the characters around it, and words
+such as "call", "card" or "order" before it), in a few bins.
+
+Boosted trees for each kind learn from weak labels. Positive are the base spans of
+the kind. What sets base spans apart from other writings of the same data is hidden
+from the trees: numbers are described without the country prefix that the base
+pattern of phones asks for, and the sign between parts of an address and the
+separators of cards and addresses of hosts are not features of these kinds. All other
+candidates count as negative: base spans of other kinds, and proposals that touch
+no base span. Some of the latter are data that no base pattern fits, so the share
+of base spans among candidates that look alike is below 1 where such data occur.
+A threshold for each kind is calibrated on the documents of a held-out fold: the
+share where base spans are purest stands for certainty, and scores are taken from
+the top as long as the share stays at `precision` of it and none of them falls
+to half of it. A kind with a share under `floor` adds nothing.
+
+Candidates that touch no base span become spans of the kind whose threshold they
+pass by most; of overlapping ones that pass, the one that passes by most stays, then
+the longest, then the first. Without enough base spans a kind adds none.
+
+The trees are fitted on at most about `bound` documents, chosen by hash. Cells
+beyond the `cells` most frequent ones are folded into coarser ones, none is left
+out; the calibration counts the candidates of all held-out documents by score, and
+scoring covers all documents and whole texts.
 
 Null texts are empty and have no spans. Repeated rows and null ids get their
-own rows.
+own rows. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +45,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import table
+from stratagraph.llm.common import cut, release, table
 
 KINDS = ("email", "ip", "card", "phone")
 # Same matches as the plain patterns: a match starts where a run starts, or where the last match ended in a run.
@@ -48,10 +60,13 @@ DIGIT_RUN = r"(?:\+|\()?[0-9](?:[ ().\[\]/_-]{0,3}+[0-9]){6,30}+"
 SPELLED = r"[A-Za-z0-9._%+-]{1,64}+ ?+(?:@|\(at\)|\[at\]) ?+[A-Za-z0-9-]{1,64}+(?: ?+(?:\.|\(dot\)|\[dot\]) ?+[A-Za-z0-9-]{1,64}+){1,8}+"
 PHONE_LIKE = r"(?:\+[0-9]{1,3}[ .-]?+)?+\(?+[0-9]{2,4}\)?+[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 CARD_LIKE = r"(?<![0-9])[0-9]{4}(?:[ -]?+[0-9]{4}){3}(?![0-9])"
+PREFIX = r"^\+(?:[0-9]{1,3}[ .-]+)?"
 SPAN = "array<struct<start:int,end:int,value:string>>"
-FEATURES = ("digits", "groups", "first", "last", "separator", "open", "luhn", "octets", "before", "after", "word", "spelled")
-#: Features that define the base pattern of a kind.
-OWN = {"email": ("spelled",), "ip": (), "card": ("luhn",), "phone": ("open",)}
+FEATURES = ("digits", "groups", "first", "last", "separator", "open", "luhn", "octets", "labels", "ending", "before", "after", "word", "spelled")
+#: Features that tell base spans of a kind from other writings of it.
+OWN = {"email": ("spelled", "separator"), "ip": ("separator",), "card": ("separator",), "phone": ()}
+#: Features that folded cells keep; digits in fours.
+COARSE = ("groups", "separator", "luhn", "octets", "word", "spelled")
 
 
 def digits(value: Column) -> Column:
@@ -96,23 +111,21 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def proposals(text: Column) -> Column:
-    """Candidate spans of all generators."""
+    """Candidate spans of all generators, each once."""
     empty = F.array().cast(SPAN)
-    runs = F.when(text.rlike("[0-9]"), F.array_distinct(F.concat(*(located(text, p) for p in (DIGIT_RUN, PHONE_LIKE, CARD_LIKE))))).otherwise(empty)
+    runs = F.when(text.rlike("[0-9]"), F.concat(*(located(text, p) for p in (DIGIT_RUN, PHONE_LIKE, CARD_LIKE)))).otherwise(empty)
     spelled = F.when(text.rlike(r"@|\(at\)|\[at\]"), located(text, SPELLED)).otherwise(empty)
-    return F.concat(runs, spelled)
+    return F.array_distinct(F.concat(runs, spelled))
 
 
 def overlaps(s: Column, spans: Column) -> Column:
     return F.exists(spans, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
 
 
-def inside(s: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))
-
-
 def feature_columns(text: Column, s: Column) -> dict[str, Column]:
-    v = s["value"]
+    """Features of a span (start, end, value), its value without a country prefix."""
+    v = F.regexp_replace(s["value"], PREFIX, "")
+    domain = F.regexp_extract(v, r"(?:@|\(at\)|\[at\])(.*)$", 1)
     group = F.filter(F.split(v, "[^0-9]+"), lambda g: g != "")
     size = lambda i: F.least(F.lit(7), F.coalesce(F.length(F.try_element_at(group, F.lit(i))), F.lit(0)))
     kind = lambda c: F.when(c == "", 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\s"), 3).when(c.rlike("[,.;:!?)]"), 4).otherwise(5)
@@ -123,12 +136,14 @@ def feature_columns(text: Column, s: Column) -> dict[str, Column]:
         "first": size(1),
         "last": size(-1),
         "separator": F.when(v.rlike("[()]"), 4).when(v.rlike(r"\."), 3).when(v.rlike("-"), 2).when(v.rlike(" "), 1).otherwise(0),
-        "open": F.when(v.startswith("+"), 2).when(v.startswith("("), 1).otherwise(0),
+        "open": v.startswith("(").cast("int"),
         "luhn": luhn(v).cast("int"),
-        "octets": (v.rlike(r"^[0-9]++(?:\.[0-9]++){3}$") & octets(v)).cast("int"),
+        "octets": ((F.size(group) == 4) & F.forall(group, lambda g: octets(g))).cast("int"),
+        "labels": F.when(domain == "", 0).otherwise(F.least(F.lit(5), F.size(F.split(domain, r"\.|\(dot\)|\[dot\]")))),
+        "ending": F.when(domain == "", 0).otherwise(F.least(F.lit(7), F.length(F.regexp_extract(domain, "([A-Za-z]*)$", 1)))),
         "before": kind(F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")),
         "after": kind(F.substring(text, s["end"] + 1, F.lit(1))),
-        "word": F.when(past.rlike("phone|tel|call|fax|mobil"), 1).when(past.rlike("card|visa|credit|iban"), 2).when(past.rlike("host|addr|server"), 3).when(past.rlike("mail|contact"), 4).otherwise(0),
+        "word": F.when(past.rlike("order|invoice|ticket|item|part|serial|account|token|version"), 5).when(past.rlike("phone|tel|call|fax|mobil"), 1).when(past.rlike("card|visa|credit|iban"), 2).when(past.rlike("host|addr|server"), 3).when(past.rlike("mail|contact|write"), 4).otherwise(0),
         "spelled": F.when(v.contains("@"), 1).when(v.rlike(r"\((?:at|dot)\)|\[(?:at|dot)\]"), 2).otherwise(0),
     }
 
@@ -187,56 +202,76 @@ def boost(cells: list[tuple[tuple, float, float]], features: list[int], rounds:
     return trees
 
 
-def calibrated(scores: list[tuple[float, float, float]], precision: float, least: float) -> float:
-    """The lowest score from which held-out candidates, given as (score, positives, all), have the precision, infinite if none."""
-    pos = n = 0.0
-    found = math.inf
-    for s, a, b in sorted(scores, reverse=True):
+def calibrated(scores: list[tuple[float, float, float]], precision: float, least: float, floor: float) -> float:
+    """The lowest score that held-out candidates, given as (score, positives, all), allow; infinite if none. See above."""
+    scores = sorted(scores, reverse=True)
+    total = sum(a for _, a, _ in scores)
+    pos = n = best = 0.0
+    for _, a, b in scores:
         pos, n = pos + a, n + b
-        if pos >= least and pos >= precision * n:
-            found = s
+        if pos >= max(least, total / 2):
+            best = max(best, pos / n)
+    if best < floor:
+        return math.inf
+    found, pos, n, p, m = math.inf, 0.0, 0.0, 0.0, 0.0
+    for s, a, b in scores:
+        pos, n, p, m = pos + a, n + b, p + a, m + b
+        if pos < precision * best * n - 2 * math.sqrt(n * best * (1 - best)):
+            break
+        if p > best * m / 2:
+            p = m = 0.0
+            found = s if pos >= least else found
     return found
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_t", F.coalesce(F.col("text").cast("string"), F.lit("")))
-
-
 def _held() -> Column:
     return F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0, F.lit(False))
 
 
 def candidate_cells(docs: DataFrame) -> DataFrame:
-    """Counts of candidates by features and base kinds they lie on."""
-    d = _texts(docs.select("doc_id", "text")).where(F.col("_t").rlike(r"[0-9@]|\(at\)|\[at\]"))
-    d = d.select("_t", *(base_spans(F.col("_t"), k).alias(k) for k in KINDS), F.explode(proposals(F.col("_t"))).alias("s"))
-    made = d.select(*(c.cast("int").alias(n) for n, c in feature_columns(F.col("_t"), F.col("s")).items()), *(inside(F.col("s"), F.col(k)).cast("int").alias(k) for k in KINDS))
-    return made.groupBy(*FEATURES, *KINDS).agg(F.count(F.lit(1)).alias("n"))
-
-
-def fitted(docs: DataFrame, bound: int = 20000, cells: int = 20000, precision: float = 0.98, least: int = 20) -> dict[str, Trees]:
+    """Counts of candidates by features and kind; the kind is empty for proposals that touch no base span."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    d = docs.select("doc_id", t.alias("t")).where(F.col("t").rlike(r"[0-9@]|\(at\)|\[at\]"))
+    d = d.select("t", *(base_spans(F.col("t"), k).alias(k) for k in KINDS))
+    named = lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind"))
+    free = F.filter(proposals(F.col("t")), lambda s: ~overlaps(s, F.concat(*KINDS)))
+    every = F.concat(F.transform(free, named("")), *(F.transform(k, named(k)) for k in KINDS))
+    made = d.select("t", F.explode(every).alias("s"))
+    made = made.select(*(c.cast("int").alias(n) for n, c in feature_columns(F.col("t"), F.col("s")).items()), F.col("s.kind").alias("kind"))
+    return made.groupBy(*FEATURES, "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fitted(docs: DataFrame, bound: int = 20000, cells: int = 20000, precision: float = 0.98, least: int = 20, floor: float = 0.25) -> dict[str, Trees]:
     n = docs.count()
     share = max(1, round((1 << 30) * min(1.0, bound / max(n, 1))))
     sample = docs.where(F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1 << 30)) < share)
-    rows = candidate_cells(sample.where(~_held())).orderBy(F.desc("n"), *FEATURES, *KINDS).limit(cells).collect()
+    every = cut(candidate_cells(sample.where(~_held())), "cells")
+    key = [*FEATURES, "kind"]
+    rows = every.orderBy(F.desc("n"), *key).limit(cells).collect()
+    if len(rows) == cells:
+        last = rows[-1]["n"]  # of the cells as frequent as the last one, all are folded
+        rows = [r for r in rows if r["n"] > last]
+        coarse = [(F.floor(F.col(f) / 4) * 4).cast("int").alias(f) if f == "digits" else F.col(f) if f in COARSE else F.lit(0).alias(f) for f in FEATURES]
+        rows += every.where(F.col("n") <= last).groupBy(*coarse, "kind").agg(F.sum("n").alias("n")).collect()
+    release(every)
     trees = {}
     for kind in KINDS:
         features = [i for i, f in enumerate(FEATURES) if f not in OWN[kind]]
         data: dict[tuple, list[float]] = {}
         for r in rows:
             x = data.setdefault(tuple(r[f] for f in FEATURES), [0.0, 0.0])
-            x[0] += r["n"] * r[kind]
+            x[0] += r["n"] * (r["kind"] == kind)
             x[1] += r["n"]
         if sum(a for a, _ in data.values()) >= least:
             trees[kind] = boost([(c, a, b) for c, (a, b) in sorted(data.items())], features)
     scores: dict[str, list[tuple[float, float, float]]] = {k: [] for k in trees}
     if trees:
         f = {n: F.col(n) for n in FEATURES}
-        scored = [F.struct(F.lit(k).alias("kind"), _score(t, f).alias("score"), (F.col(k) * F.col("n")).alias("pos"), F.col("n").alias("n")) for k, t in trees.items()]
-        counts = candidate_cells(docs.where(_held())).select(F.inline(F.array(*scored))).groupBy("kind", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+        scored = [F.struct(F.lit(k).alias("of"), F.round(_score(t, f), 6).alias("score"), F.when(F.col("kind") == k, F.col("n")).otherwise(0).alias("pos"), F.col("n").alias("n")) for k, t in trees.items()]
+        counts = candidate_cells(docs.where(_held())).select(F.inline(F.array(*scored))).groupBy("of", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
         for r in counts.collect():
-            scores[r["kind"]].append((r["score"], r["pos"], r["n"]))
-    return {k: Trees(trees[k], calibrated(scores[k], precision, least / 4)) if k in trees else Trees([], math.inf) for k in KINDS}
+            scores[r["of"]].append((r["score"], r["pos"], r["n"]))
+    return {k: Trees(trees[k], calibrated(scores[k], precision, least / 4, floor)) if k in trees else Trees([], math.inf) for k in KINDS}
 
 
 def _expression(tree: tuple | float, f: dict[str, Column]) -> Column:
@@ -254,17 +289,19 @@ def _score(trees: list, f: dict[str, Column]) -> Column:
 
 def _margin(trees: Trees, x: Column) -> Column:
     """The sum of the trees above the threshold, by the sum that the threshold was calibrated on."""
-    return _score(trees.trees, {n: x[n] for n in FEATURES}) - F.lit(float(trees.threshold))
+    return F.round(_score(trees.trees, {n: x[n] for n in FEATURES}), 6) - F.lit(float(trees.threshold))
 
 
-def _chosen(kind: str, trees: dict[str, Trees], active: list[str]):
-    """Of candidates with margins: those whose best kind this is."""
+def _beaten(passing: Column):
+    """Whether a span that passes overlaps another one that passes by more, or by as much and is longer, or as long and earlier."""
+    size = lambda s: s["end"] - s["start"]
 
-    def chosen(x: Column) -> Column:
-        best = F.greatest(*(x["m_" + k] for k in active)) if len(active) > 1 else x["m_" + kind]
-        return (x["m_" + kind] >= 0) & (x["m_" + kind] == best)
+    def beaten(x: Column) -> Column:
+        over = lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])
+        more = lambda y: (y["m"] > x["m"]) | ((y["m"] == x["m"]) & ((size(y) > size(x)) | ((size(y) == size(x)) & (y["start"] < x["start"]))))
+        return F.exists(passing, lambda y: over(y) & more(y))
 
-    return chosen
+    return beaten
 
 
 def _named(kind: str):
@@ -276,24 +313,26 @@ def _typed(kind: str):
 
 
 def with_spans(docs: DataFrame, trees: dict[str, Trees]) -> DataFrame:
-    """docs with _base_<kind> and _all_<kind>, arrays of (start, end, value) in order of start."""
-    d = _texts(docs)
-    d = d.withColumns({f"_base_{k}": base_spans(F.col("_t"), k) for k in KINDS})
+    """docs with _base_<kind> and _all_<kind>, arrays of (start, end, value) in order of start; columns of these names are replaced."""
+    t = F.col("t")
+    d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    d = d.select("doc", "t", *(base_spans(t, k).alias(k) for k in KINDS))
     active = [k for k in KINDS if trees[k].trees and trees[k].threshold < math.inf]
-    if not active:
-        return d.withColumns({f"_all_{k}": F.col(f"_base_{k}") for k in KINDS}).drop("_t")
-    base = F.concat(*(F.col(f"_base_{k}") for k in KINDS))
-    d = d.withColumn("_new", F.filter(proposals(F.col("_t")), lambda s: ~overlaps(s, base)))
-    described = F.transform("_new", lambda s: F.struct(s.alias("s"), *(c.cast("int").alias(n) for n, c in feature_columns(F.col("_t"), s).items())))
-    margins = F.transform(described, lambda x: F.struct(x["s"].alias("s"), *(_margin(trees[k], x).alias("m_" + k) for k in active)))
-    d = d.withColumn("_described", F.when(F.size("_new") > 0, margins))
-    for k in KINDS:
-        if k not in active:
-            d = d.withColumn(f"_all_{k}", F.col(f"_base_{k}"))
-            continue
-        chosen = F.transform(F.filter("_described", _chosen(k, trees, active)), lambda x: x["s"])
-        d = d.withColumn(f"_all_{k}", F.when(F.col("_described").isNull(), F.col(f"_base_{k}")).otherwise(F.array_sort(F.concat(f"_base_{k}", chosen))))
-    return d.drop("_t", "_new", "_described")
+    if active:
+        free = F.filter(proposals(t), lambda s: ~overlaps(s, F.concat(*KINDS)))
+        d = d.select("doc", "t", *KINDS, free.alias("free"))
+        described = F.transform("free", lambda s: F.struct(s.alias("s"), *(c.cast("int").alias(n) for n, c in feature_columns(t, s).items())))
+        margins = F.transform(described, lambda x: F.struct(x["s"].alias("s"), F.greatest(*(F.struct(_margin(trees[k], x).alias("m"), F.lit(k).alias("kind")) for k in active), F.struct(F.lit(-1.0).alias("m"), F.lit("").alias("kind"))).alias("best")))
+        passing = F.filter(margins, lambda x: x["best"]["m"] >= 0)
+        flat = F.transform(passing, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value"), x["best"]["kind"].alias("kind"), x["best"]["m"].alias("m")))
+        d = d.select("doc", *KINDS, F.when(F.size("free") > 0, flat).alias("passing"))
+        d = d.select("doc", *KINDS, F.filter("passing", lambda x: ~_beaten(F.col("passing"))(x)).alias("new"))
+        of = lambda k: F.transform(F.filter("new", lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+        every = {k: F.when(F.coalesce(F.size("new"), F.lit(0)) > 0, F.array_sort(F.concat(k, of(k)))).otherwise(F.col(k)) if k in active else F.col(k) for k in KINDS}
+    else:
+        every = {k: F.col(k) for k in KINDS}
+    taken = [f"_{a}_{k}" for a in ("base", "all") for k in KINDS]
+    return d.select(*(F.col("doc")[c].alias(c) for c in docs.columns if c not in taken), *(F.col(k).alias(f"_base_{k}") for k in KINDS), *(every[k].alias(f"_all_{k}") for k in KINDS))
 
 
 def shown(prefix: str) -> Column:

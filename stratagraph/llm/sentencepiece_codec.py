@@ -6,8 +6,7 @@ documents are merged once (see bpe.py), then spread back by index. Characters
 without a piece fall back to their UTF-8 bytes. Decoding maps ids to piece
 bytes and drops the one dummy space at the front.
 
-Null and empty texts have no ids and decode to the empty text; very long words
-are merged with a heap; every row keeps its doc_id, repeated or null ones too.
+Null and empty texts have no ids and decode to the empty text; every row keeps its doc_id, repeated or null ones too.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from stratagraph.llm.common import table
 
 SPACE = "▁"
 UNKNOWN = 1 << 20  # + code point: a character that has no piece of its own
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 
 
 class Codec:
