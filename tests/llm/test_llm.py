@@ -393,6 +393,43 @@ def test_neighbours(spark):
     assert ann.nearest_neighbours(df.where("vec_id < 3")).count() == 2 and ann.nearest_neighbours(df.where("false")).count() == 0
 
 
+def test_recall_on_the_given_embeddings(spark):
+    """Against brute force over all rows; the share of vectors met says how much of a full scan is left."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(x.vec_id, x.embedding) for x in df.collect() if x.embedding is not None and all(c is not None and np.isfinite(c) for c in x.embedding) and any(x.embedding)]
+    ids, v = np.array([i for i, _ in rows]), np.array([e for _, e in rows], float)
+    got = ann.nearest_neighbours(df.withColumn("v", df.vec_id).withColumn("h", df.vec_id).withColumn("head", df.vec_id)).toPandas()
+    hashing = ann.Hashing(v.shape[1], ann.WIDTH * ann.nearest_scale(v[: ann.SAMPLE], 10))
+    own = hashing.buckets(v)
+    hit = met = 0
+    asked = np.flatnonzero(ids % 100 == 0)
+    for q in asked:
+        d = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        mine = got[got.query_id == ids[q]]
+        assert np.allclose(np.sort(mine.score), [d[np.flatnonzero(ids == i)[0]] for i in mine.sort_values("score").vec_id], atol=1e-12)
+        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & set(mine.vec_id))
+        met += np.any([np.isin(own[:, t], p) for t, p in enumerate(hashing.probes(v[q], ann.PROBES))], axis=0).mean()
+    print("recall", hit / len(asked) / 10, "met", met / len(asked))
+    assert hit >= 0.9 * 10 * len(asked) and met < 0.75 * len(asked)
+
+
+def test_probes_come_by_their_score():
+    h = ann.Hashing(8, 1.5, tables=3, hashes=4)
+    q = np.random.default_rng(2).normal(size=8)
+    place = h.places(q[None])[0]
+    cell = np.floor(place)
+    for t in range(3):
+        every = {}
+        for steps in np.array(np.meshgrid(*[[-1, 0, 1]] * 4)).reshape(4, -1).T:
+            f = place[t] - cell[t]
+            every[int(ann.bucket_ids((cell[t] + steps).astype(np.int64)))] = float(((steps == -1) * f**2 + (steps == 1) * (1 - f) ** 2).sum())
+        got = h.probes(q, 20)[t].tolist()
+        score = [every[b] for b in got]
+        assert score == sorted(score) and score[0] == 0 and len(set(got)) == 20
+        assert np.isclose(score[:10], sorted(every.values())[:10]).all()
+
+
 def test_neighbours_of_wide_vectors(spark):
     r = np.random.default_rng(8)
     x = r.normal(size=(2500, 384))
