@@ -31,6 +31,12 @@ def normalised(path: Column | str) -> Column:
     return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
 
 
+def cleaned(path: Column | str) -> Column:
+    """normalised, but computed only for paths that need it."""
+    p = _col(path)
+    return F.when(p.rlike(r"^$|\\\\|//|/$|(?:^|/)[.]{1,2}(?:/|$)"), normalised(p)).otherwise(p)
+
+
 def directory(path: Column | str) -> Column:
     """The directory of a path, '.' for a file at the root."""
     d = F.regexp_extract(_col(path), "^(.*)/[^/]*$", 1)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.functions.globs import matches_any
 from stratagraph.functions.paths import effective_support, naming_score, prevalence_support, score_confidence, weighted_score
+from stratagraph.operators.constructions import construction_match
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,57 @@ BOUNDARIES = (
 )
 
 
+@dataclass(frozen=True)
+class Construction:
+    """Classes that should be constructed in composition roots only."""
+
+    id: str
+    name: str
+    category: str
+    description: str
+    scope: tuple[str, ...]
+    services: tuple[str, ...]
+    allowed: tuple[str, ...]
+    name_regex: str = ".*Service$"
+    max_prevalence: float = 0.02
+    min_support: int = 20
+    severity: str = "warning"
+
+
+# The built-in construction pattern.
+CONSTRUCTIONS = (
+    Construction("CAT-SERVICES-VIA-COMPOSITION-ROOT", "Services are constructed in composition roots", "construction", "Service classes should be instantiated in composition root/bootstrap files rather than across application code.", ("src/**",), ("src/services/**",), ("src/bootstrap/**", "src/di/**", "src/main/**")),
+)
+
+
+def rule_name(pattern_id: Column, *lists: Column) -> Column:
+    """The id of the rule that a pattern proposes: the pattern's name and a hash of its lists."""
+    plain = F.regexp_replace(F.regexp_replace(F.replace(F.upper(pattern_id), F.lit("_"), F.lit("-")), "^CAT-", ""), "[^A-Z0-9-]", "")
+    return F.concat(F.lit("AG-CAT-"), plain, F.lit("-"), F.substring(F.sha1(F.concat_ws("|", *lists)), 1, 8))
+
+
+def construction_matches(constructions_: DataFrame, files: DataFrame, pattern: Construction = CONSTRUCTIONS[0], show_low: bool = False) -> DataFrame:
+    """One row for each repository with files in the pattern's scope: how often services are constructed outside the roots, with the proposed rule."""
+    m = construction_match(constructions_, files, list(pattern.scope), list(pattern.allowed), pattern.min_support)
+    text = F.concat("violating_files", F.lit("/"), "eligible_files", F.lit(" eligible files instantiate service classes ("), "events", F.lit(" events, resolved="), "resolved_count", F.lit(" unresolved="), "unresolved_count", F.lit(")"))
+    shown = F.coalesce(F.array_join("resolved_examples", ", "), F.lit(""))
+    lists = [F.lit(",".join(x)) for x in (pattern.scope, pattern.services, pattern.allowed)]
+    m = m.select(
+        "repo_id", F.lit(pattern.id).alias("catalog_id"), F.lit(pattern.name).alias("name"), F.lit(pattern.category).alias("category"), "score", "confidence", F.concat(text, F.when(shown != "", F.concat(F.lit("; examples: "), shown)).otherwise("")).alias("evidence"),
+        "scoped_files", "eligible_files", "violating_files", F.col("eligible_files").alias("support"), "prevalence", "resolved_count", "unresolved_count", "sample_locations", "resolved_examples",
+        rule_name(F.lit(pattern.id), *lists).alias("proposed_rule_id"), F.lit(pattern.severity).alias("rule_severity"), F.lit(f"[derived_from_catalog={pattern.id}] {pattern.description}").alias("message"),
+    )
+    return m if show_low else m.where("confidence <> 'LOW'")
+
+
+def all_matches(candidates: DataFrame, constructions_: DataFrame, files: DataFrame, boundaries: tuple[Boundary, ...] = BOUNDARIES, pattern: Construction = CONSTRUCTIONS[0], show_low: bool = False) -> DataFrame:
+    """Matches of every built-in pattern, whatever it is matched against, in the columns they share."""
+    b = boundary_matches(candidates, boundaries, show_low)
+    b = b.withColumn("proposed_rule_id", rule_name(F.col("catalog_id"), F.col("scope"), F.col("target")))
+    shared = ["repo_id", "catalog_id", "name", "category", "score", "confidence", "evidence", "support", "prevalence", "proposed_rule_id", "rule_severity", "message"]
+    return b.select(*shared).unionByName(construction_matches(constructions_, files, pattern, show_low).select(*shared))
+
+
 def boundary_matches(candidates: DataFrame, boundaries: tuple[Boundary, ...] = BOUNDARIES, show_low: bool = False) -> DataFrame:
     """Candidates that a boundary describes, with scores and the proposed relation.
 

@@ -6,13 +6,14 @@ resolved_path, is_package, line, column, kind). Every table keeps repo_id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import directory, package_id
+from stratagraph.sources.written import cut, release
 
 
 def nodes(files: DataFrame) -> DataFrame:
@@ -54,36 +55,76 @@ def normalised_graph(graph_edges: DataFrame, normalise) -> DataFrame:
     return e.groupBy("repo_id", "src", "dst").agg(F.sum("n_files").alias("n_files"))
 
 
-def components(graph_edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(repo_id, node, component) of nodes on a cycle; component is its smallest node.
+def _counted(df: DataFrame, name: str, *more: Column) -> tuple[DataFrame, dict]:
+    """df, written, and its count with further aggregates of it."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *more), name)
+    return out, seen.get
 
-    Reachability by repeated squaring over the directory graph, which is small
-    for each repository; the work is spread by repo_id and node.
-    """
-    reach = graph_edges.select("repo_id", F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
-    before = -1
-    for _ in range(rounds):
-        step = reach.alias("a").join(reach.alias("b"), (F.col("a.repo_id") == F.col("b.repo_id")) & (F.col("a.v") == F.col("b.u"))).select("a.repo_id", "a.u", "b.v")
-        reach = reach.unionByName(step).distinct().persist()
-        now = reach.count()
-        if now == before:
+
+def _settled(start: DataFrame, name: str, step: Callable[[DataFrame], DataFrame], *more: Column) -> tuple[DataFrame, dict]:
+    """Repeat step until count and aggregates stay; a result goes when the next one is written."""
+    now, seen = _counted(start, name, *more)
+    while seen["n"]:
+        after, then = _counted(step(now), name, *more)
+        release(now)
+        same, now, seen = then == seen, after, then
+        if same:
             break
-        before = now
-    back = reach.select("repo_id", F.col("v").alias("u"), F.col("u").alias("v"))
-    mutual = reach.join(back, ["repo_id", "u", "v"], "left_semi")
-    return mutual.groupBy("repo_id", F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return now, seen
 
 
-def least_rotation(chain: list[str]) -> list[str]:
-    return min(chain[i:] + chain[:i] for i in range(len(chain)))
+def components(graph_edges: DataFrame) -> DataFrame:
+    """(repo_id, node, component) of nodes on a cycle; component is its smallest node.
+
+    Colouring: nodes that no cycle can hold are cut off; each node takes the
+    smallest node that reaches it as its colour; within a colour, the nodes that
+    reach the colour's node are a component, and go; then the rest again. A round
+    costs the edges that are left, whatever the number of repositories, and every
+    round's result is a written table.
+    """
+    pair = ["repo_id", "u", "v"]
+    end = lambda df, c, name: df.select("repo_id", F.col(c).alias(name))
+    trim = lambda e: e.join(end(e, "v", "u").distinct(), ["repo_id", "u"], "left_semi").join(end(e, "u", "v").distinct(), ["repo_id", "v"], "left_semi").select(*pair)
+    live = graph_edges.select("repo_id", F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
+    found = live.select("repo_id", F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
+    while True:
+        live, seen = _settled(live, "live", trim)
+        if not seen["n"]:
+            return found
+
+        def coloured(c: DataFrame, live: DataFrame = live) -> DataFrame:
+            near = live.join(c.withColumnRenamed("node", "u"), ["repo_id", "u"]).select("repo_id", F.col("v").alias("node"), "colour")
+            return c.unionByName(near).groupBy("repo_id", "node").agg(F.min("colour").alias("colour"))
+
+        nodes = end(live, "u", "node").distinct().withColumn("colour", F.col("node"))
+        colour, _ = _settled(nodes, "colours", coloured, F.sum(F.xxhash64("repo_id", "node", "colour").cast("decimal(38,0)")).alias("hash"))
+        same = live.join(colour.select("repo_id", F.col("node").alias("u"), "colour"), ["repo_id", "u"]).join(colour.select("repo_id", F.col("node").alias("v"), F.col("colour").alias("other")), ["repo_id", "v"]).where("colour = other")
+        same = cut(same.select(*pair, "colour"), "inner")
+
+        def reached(r: DataFrame, same: DataFrame = same) -> DataFrame:
+            back = same.join(r.select("repo_id", F.col("node").alias("v"), "colour"), ["repo_id", "v", "colour"]).select("repo_id", F.col("u").alias("node"), "colour")
+            return r.unionByName(back).distinct()
+
+        done, _ = _settled(colour.where("node = colour"), "reached", reached)
+        many = done.groupBy("repo_id", "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("repo_id", "colour")
+        found = found.unionByName(done.join(many, ["repo_id", "colour"]).select("repo_id", "node", F.col("colour").alias("component")))
+        rest = live.join(end(done, "node", "u"), ["repo_id", "u"], "left_anti").join(end(done, "node", "v"), ["repo_id", "v"], "left_anti")
+        past, (live, _) = live, _counted(rest.select(*pair), "live")
+        release(past, same, colour)
+
+
+def least_rotation(chain: list[str]) -> str:
+    """What a ring's rotations share: the smallest of them, joined."""
+    return min("->".join(chain[i:] + chain[:i]) for i in range(len(chain)))
 
 
 def back_edge_cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:
-    """Cycles that a depth-first search closes, nodes and neighbours in order, each once."""
+    """Cycles that a depth-first search closes, as the search meets them, nodes and neighbours in order; of rotations of a ring the first."""
     follow: dict[str, list[str]] = {}
     for a, b in sorted(set(pairs)):
         follow.setdefault(a, []).append(b)
-    found: dict[tuple, list[str]] = {}
+    found: dict[str, list[str]] = {}
     done: set[str] = set()
     for root in sorted(follow):
         if root in done:
@@ -95,8 +136,8 @@ def back_edge_cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:
             node, left = stack[-1]
             for nxt in left:
                 if nxt in path:
-                    ring = least_rotation([n for n, _ in stack[path[nxt] :]])
-                    found.setdefault(tuple(ring), ring)
+                    ring = [n for n, _ in stack[path[nxt] :]]
+                    found.setdefault(least_rotation(ring), ring)
                 elif nxt not in done:
                     done.add(nxt)
                     path[nxt] = len(stack)
@@ -105,11 +146,11 @@ def back_edge_cycles(pairs: list[tuple[str, str]]) -> list[list[str]]:
             else:
                 stack.pop()
                 del path[node]
-    return [found[k] for k in sorted(found)]
+    return list(found.values())
 
 
 def cycles(graph_edges: DataFrame) -> DataFrame:
-    """(repo_id, component, first, chain): cycles within each strongly connected component, one group for each component."""
+    """(repo_id, component, first, chain): cycles within each strongly connected component, searched from its smallest node, one group for each component."""
     c = components(graph_edges)
     inner = graph_edges.join(c.select("repo_id", F.col("node").alias("src"), "component"), ["repo_id", "src"]).join(c.select("repo_id", F.col("node").alias("dst"), F.col("component").alias("other")), ["repo_id", "dst"]).where("component = other")
 

@@ -1,18 +1,23 @@
 """Candidate rules from observed structure: supports, prevalences, gates, caps and aggregation.
 
 Sources and targets of a repository are paired by an equi-join on repo_id, as
-absence of an import is evidence too; directories under the support and targets
-that cannot pass are filtered first.
+absence of an import is evidence too. `pairs` gives every pair with its reason;
+`open_pairs`, which mining itself uses, filters both sides before pairing them.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import confidence_rank, directory, ecosystem_package, low_signal, mined_confidence, suffix
 from stratagraph.operators import graph
+from stratagraph.sources.written import cut
 
 
 def limits(min_support: int) -> dict[str, int]:
@@ -42,32 +47,83 @@ def pairs(kind: str, nodes: DataFrame, edges: DataFrame, target: str, targets: D
     return p.select("repo_id", F.lit(kind).alias("kind"), "scope", "target", "support", "violations", "prevalence", "usage", "spread", reason.alias("drop_reason"))
 
 
+def open_pairs(kind: str, nodes: DataFrame, edges: DataFrame, target: str, activity: DataFrame, min_support: int = 20, max_prevalence: float = 0.02) -> DataFrame:
+    """The pairs that `pairs` does not drop, without the others: violating ones come from the edges, and for the rest each side is filtered before they are paired."""
+    sources = nodes.where(F.col("n_files") >= min_support).select("repo_id", F.col("subtree").alias("scope"), F.col("n_files").alias("support"))
+    usage = graph.target_usage(edges, target)
+    counts = edges.select("repo_id", F.col("src").alias("scope"), F.col(target).alias("target"), F.col("n_files").alias("violations"))
+    if kind == "no_import":
+        counts = counts.join(nodes.select("repo_id", F.col("subtree").alias("target")), ["repo_id", "target"], "left_semi")
+        usage = usage.join(nodes.select("repo_id", F.col("subtree").alias("target")), ["repo_id", "target"], "left_semi")
+    bad = counts.join(sources, ["repo_id", "scope"]).where(F.col("violations") / F.col("support") <= max_prevalence).join(usage, ["repo_id", "target"])
+    active = sources.groupBy("repo_id").agg(F.count(F.lit(1)).alias("sources"))
+    spread = F.when(F.col("sources") <= 4, F.col("sources")).otherwise(F.greatest(F.lit(3), F.floor(F.col("sources") / 4)))
+    good = usage.where(F.col("usage") >= limits(min_support)["imports" if kind == "no_import" else "packages"]).join(active, "repo_id").where(F.col("spread") <= spread)
+    if kind == "no_package":
+        good = good.where(ecosystem_package(F.col("target")))
+    busy = sources.join(activity.where("activity > 0").select("repo_id", F.col("subtree").alias("scope")), ["repo_id", "scope"], "left_semi").where(~low_signal(F.col("scope")))
+    zero = busy.join(good.drop("sources"), "repo_id").join(counts.select("repo_id", "scope", "target"), ["repo_id", "scope", "target"], "left_anti")
+    if kind == "no_import":
+        zero = zero.where("scope <> target")
+    zero = zero.withColumn("violations", F.lit(0).cast("long"))
+    columns = ["repo_id", F.lit(kind).alias("kind"), "scope", "target", "support", "violations", (F.col("violations") / F.col("support")).alias("prevalence"), "usage", "spread", F.lit(None).cast("string").alias("drop_reason")]
+    return bad.select(*columns).unionByName(zero.select(*columns))
+
+
+CAPPED = "repo_id string, scope string, target string, cap_reason string"
+
+
 def greedy_caps(gated: DataFrame, min_support: int = 20) -> DataFrame:
     """Pairs without violations are accepted in order of scope and target while both their counts are under the caps.
 
-    Each acceptance depends on the earlier ones in both dimensions, so a repository
-    is folded in one group; its pairs are gated first.
+    Each acceptance depends on the earlier ones in both dimensions, so the pairs of
+    a repository stay in one partition, in order; they pass through it as a stream
+    that keeps the counts of its targets only. The pairs are gated first.
     """
     cap = limits(min_support)
     zero = gated.where("drop_reason is null and violations = 0").select("repo_id", "scope", "target")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        by_scope: dict[str, int] = {}
-        by_target: dict[str, int] = {}
-        reasons = []
-        pdf = pdf.sort_values(["scope", "target"])
-        for s, t in zip(pdf.scope, pdf.target, strict=True):
-            full = by_scope.get(s, 0) >= cap["per_scope"], by_target.get(t, 0) >= cap["per_target"]
-            reasons.append("zero_source_cap" if full[0] else "zero_target_cap" if full[1] else None)
-            if not any(full):
-                by_scope[s] = by_scope.get(s, 0) + 1
-                by_target[t] = by_target.get(t, 0) + 1
-        return pdf.assign(cap_reason=reasons)
-
-    capped = zero.groupBy("repo_id").applyInPandas(fold, "repo_id string, scope string, target string, cap_reason string")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo = scope = None
+        used, by_target = 0, Counter()
+        for batch in batches:
+            reasons = []
+            for r, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != repo:
+                    repo, scope, by_target = r, None, Counter()
+                if s != scope:
+                    scope, used = s, 0
+                full = used >= cap["per_scope"], by_target[t] >= cap["per_target"]
+                reasons.append("zero_source_cap" if full[0] else "zero_target_cap" if full[1] else None)
+                if not any(full):
+                    used += 1
+                    by_target[t] += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reasons, pa.string())], ["repo_id", "scope", "target", "cap_reason"])
+
+    capped = zero.repartition("repo_id").sortWithinPartitions("repo_id", "scope", "target").mapInArrow(fold, CAPPED)
     return gated.join(capped, ["repo_id", "scope", "target"], "left").withColumn("drop_reason", F.coalesce("drop_reason", "cap_reason")).drop("cap_reason")
 
 
+def propose(files: DataFrame, imports: DataFrame, min_support: int = 20, max_prevalence: float = 0.02, most: int = 200) -> DataFrame:
+    """All candidates of a repository: the four generators, caps on pairs without violations, siblings joined, at most `most` of a kind; to be ordered by kind and scope.
+
+    Limits of 0 or less mean the defaults. The graph is built once and written.
+    """
+    min_support, max_prevalence, most = (x if x > 0 else y for x, y in ((min_support, 20), (max_prevalence, 0.02), (most, 200)))
+    files = cut(files.select("repo_id", "path"), "files")
+    facts = cut(imports.select("repo_id", "source_file", "raw_import", "resolved_path", "is_package"), "imports")
+    nodes, edges, packages = (cut(df, name) for df, name in ((graph.nodes(files), "nodes"), (graph.edges(facts), "edges"), (graph.package_edges(facts), "package-edges")))
+    activity = cut(graph.source_activity(graph.file_edges(facts), packages), "activity")
+    parts = []
+    for kind, e, target in (("no_import", edges, "dst"), ("no_package", packages, "pkg")):
+        kept = greedy_caps(cut(open_pairs(kind, nodes, e, target, activity, min_support, max_prevalence), "pairs"), min_support)
+        parts.append(ranked_cap(sibling_scopes(candidates(kept)), most))
+    parts.append(ranked_cap(file_patterns(files, min_support), most))
+    parts.append(ranked_cap(cycle_rules(nodes, edges, min_support).withColumn("target", F.lit(None).cast("string")), most))
+    columns = ["repo_id", "kind", "scope", "target", "severity", "support", "violations", "prevalence", "confidence", "evidence"]
+    return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
+
+
 def candidates(kept: DataFrame) -> DataFrame:
     """Candidate rows from pairs that were not dropped."""
     c = kept.where("drop_reason is null")
@@ -129,7 +185,7 @@ def file_patterns(files: DataFrame, min_support: int = 20) -> DataFrame:
     d = d.withColumn("violations", F.col("n_files") - F.col("n")).withColumn("prevalence", F.col("violations") / F.col("n_files")).where("prevalence <= 0.20")
     trivial = F.col("suffix").isin(".php", ".phtml") & (F.col("violations") == 0) & (F.col("_top.suffix") == F.col("suffix")) & (-F.col("_top.m") / F.col("_files") >= 0.9)
     quoted = F.regexp_replace("suffix", r"([\\.+*?()|\[\]{}^$])", r"\\$1")
-    return d.where(~trivial).select("repo_id", F.lit("file_pattern").alias("kind"), F.concat("subtree", F.lit("/**")).alias("scope"), F.concat(F.lit("^.*"), quoted, F.lit("$")).alias("target"), F.lit("warning").alias("severity"), F.col("n_files").alias("support"), "violations", "prevalence", F.lit("HIGH").alias("confidence"))
+    return d.where(~trivial).select("repo_id", F.lit("file_pattern").alias("kind"), F.concat("subtree", F.lit("/**")).alias("scope"), F.concat(F.lit("^.*"), quoted, F.lit("$")).alias("target"), F.lit("warning").alias("severity"), F.col("n_files").alias("support"), "violations", "prevalence", F.lit("HIGH").alias("confidence"), F.concat("n", F.lit("/"), "n_files", F.lit(" files in "), "subtree", F.lit(" match suffix "), "suffix").alias("evidence"))
 
 
 def cycle_rules(nodes: DataFrame, graph_edges: DataFrame, min_support: int = 20) -> DataFrame:
@@ -139,7 +195,7 @@ def cycle_rules(nodes: DataFrame, graph_edges: DataFrame, min_support: int = 20)
     shared = F.aggregate(F.transform("members", lambda m: F.split(m, "/")), F.split(F.element_at("members", 1), "/"), lambda acc, m: F.when(F.size(acc) == 0, acc).otherwise(F.slice(acc, 1, F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(acc))), lambda i: F.slice(acc, 1, i) == F.slice(m, 1, i))))))
     prefix = F.array_join(shared, "/")
     scope = F.concat(F.when(prefix != "", prefix).otherwise(F.element_at("members", 1)), F.lit("/**"))
-    return g.where(F.col("support") >= min_support).select("repo_id", F.lit("no_cycle").alias("kind"), scope.alias("scope"), F.lit("error").alias("severity"), "support", "violations", F.lit(1.0).alias("prevalence"), F.array_join("members", " <-> ").alias("evidence"))
+    return g.where(F.col("support") >= min_support).select("repo_id", F.lit("no_cycle").alias("kind"), scope.alias("scope"), F.lit("error").alias("severity"), "support", "violations", F.lit(1.0).alias("prevalence"), F.lit("HIGH").alias("confidence"), F.concat(F.lit("cycle component ("), "violations", F.lit(" subtrees): "), F.array_join("members", " <-> ")).alias("evidence"))
 
 
 def dedupe_workspaces(c: DataFrame, most: int = 200) -> DataFrame:

@@ -24,15 +24,25 @@ def json_findings(findings: DataFrame) -> DataFrame:
 def text_findings(findings: DataFrame) -> DataFrame:
     """(repo_id, heading, file_path, line, column, text): lines below the heading of their rule, to be ordered by these columns."""
     place = F.concat_ws(":", "file_path", "line", "column")
-    tail = F.when(F.col("raw_import") != "", F.concat(F.lit(" ("), "raw_import", F.lit(")"))).when(F.col("details") != "", F.concat(F.lit(" ("), "details", F.lit(")"))).otherwise("")
-    return findings.select("repo_id", F.concat("rule_id", F.lit(" ("), "severity", F.lit(")")).alias("heading"), "file_path", "line", "column", F.concat(place, F.lit(" "), "message", tail).alias("text"))
+    shown = lambda before, c, after: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+    text = F.concat(F.lit("  - "), place, F.lit(" "), "message", shown(" (import: ", "raw_import", ")"), shown(" [", "details", "]"))
+    return findings.select("repo_id", F.concat("rule_id", F.lit(" ("), "severity", F.lit(")")).alias("heading"), "file_path", "line", "column", text.alias("text"))
+
+
+def text_summary(summary: DataFrame) -> DataFrame:
+    """(repo_id, text): the closing line of a text report."""
+    shown = {"files": "files_scanned", "imports": "imports_scanned", "findings": "findings_total"}
+    line = [F.concat(F.lit(f"{k}="), v) for k, v in shown.items()]
+    line.append(F.concat(F.lit("(error="), "findings_error", F.lit(" warning="), "findings_warning", F.lit(")")))
+    line += [F.concat(F.lit(f"{k}="), k) for k in ("parse_errors", "files_skipped")]
+    return summary.select("repo_id", F.concat(F.lit("Summary: "), F.concat_ws(" ", *line)).alias("text"))
 
 
 def sarif_rules(findings: DataFrame) -> DataFrame:
-    """(repo_id, rule_id, json): a rule with the message of its first finding as help."""
+    """(repo_id, rule_id, json): a rule with its kind as description and the message of its first finding as help."""
     first = F.struct("severity", "file_path", "line", "column", "fingerprint")
     r = findings.groupBy("repo_id", "rule_id").agg(F.min_by("message", first).alias("message"), F.min_by("rule_kind", first).alias("rule_kind"))
-    return r.select("repo_id", "rule_id", F.to_json(F.struct(F.col("rule_id").alias("id"), F.col("rule_kind").alias("name"), F.struct(F.col("message").alias("text")).alias("help"))).alias("json"))
+    return r.select("repo_id", "rule_id", F.to_json(F.struct(F.col("rule_id").alias("id"), F.struct(F.col("rule_kind").alias("text")).alias("shortDescription"), F.when(F.trim("message") != "", F.struct(F.trim("message").alias("markdown"))).alias("help"))).alias("json"))
 
 
 def sarif_results(findings: DataFrame) -> DataFrame:
@@ -41,16 +51,39 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     region = F.struct(least("line").alias("startLine"), least("column").alias("startColumn"))
     where = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
     result = F.struct(
-        F.col("rule_id").alias("ruleId"), F.col("severity").alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
+        F.col("rule_id").alias("ruleId"), F.when(F.lower("severity") == "error", "error").otherwise("warning").alias("level"), F.struct(F.col("message").alias("text")).alias("message"),
         F.array(where).alias("locations"), F.struct(F.col("fingerprint").alias("primaryLocationLineHash")).alias("partialFingerprints"),
     )
     return findings.select("repo_id", "fingerprint", F.to_json(result).alias("json"))
 
 
-def mined_rules(candidates: DataFrame) -> DataFrame:
-    """Candidates as numbered rules of a configuration, in order of kind, scope and target for each repository."""
+def mined_rules(candidates: DataFrame, no_cycle_severity: str = "warning") -> DataFrame:
+    """Candidates as numbered rules of a configuration, in order of kind, scope and target for each repository: id and the rule's YAML block."""
+    word = no_cycle_severity.strip().lower()
+    word = word if word in ("error", "warning") else "warning"
     w = Window.partitionBy("repo_id").orderBy("kind", "scope", "target")
-    return candidates.withColumn("id", F.concat(F.lit("MINED-"), F.lpad(F.row_number().over(w).cast("string"), 3, "0")))
+    c = candidates.withColumn("id", F.concat(F.lit("MINED-"), F.lpad(F.row_number().over(w).cast("string"), 3, "0")))
+    severity = F.when(F.col("kind") == "no_cycle", word).otherwise(F.col("severity"))
+    lines = [_line("  - id: ", F.col("id")), _line("    kind: ", F.col("kind")), _line("    severity: ", severity), F.lit("    scope:"), _line("      - ", quoted(F.col("scope")))]
+    lines += [F.when(F.coalesce("target", F.lit("")) != "", F.concat(F.lit("    target:\n      - "), quoted(F.col("target")))), _line("    message: ", quoted(F.col("evidence")))]
+    return c.withColumn("yaml", F.concat_ws("\n", *lines))
+
+
+def _line(name: str, c: Column) -> Column:
+    return F.concat(F.lit(name), c)
+
+
+def quoted(c: Column) -> Column:
+    """A string in double quotes, with backslashes, quotes and line feeds escaped."""
+    c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+
+
+def json_candidates(candidates: DataFrame) -> DataFrame:
+    """(repo_id, kind, scope, target, json): a mined candidate as JSON; scope and target are lists."""
+    some = F.when(F.coalesce("target", F.lit("")) != "", F.array("target"))
+    fields = F.struct("kind", F.array("scope").alias("scope"), some.alias("target"), "severity", "support", "violations", "prevalence", "confidence", "evidence")
+    return candidates.select("repo_id", "kind", "scope", "target", F.to_json(fields).alias("json"))
 
 
 def rule_signature(*lists: Column) -> Column:

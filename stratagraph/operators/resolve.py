@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import directory, normalised
+from stratagraph.operators.aliases import by_repository, stands_for
 
 # Extensions in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".php")
@@ -21,26 +22,14 @@ def _is_php(source: Column) -> Column:
     return F.lower(source).rlike(r"\.(php|phtml)$")
 
 
-def _targets(aliases: list[tuple[str, list[str]]], raw: Column) -> list[Column]:
-    """Paths that aliases give, longer aliases first, then by name; null where an alias does not fit."""
-    out = []
-    for alias, targets in sorted(aliases, key=lambda a: (-len(a[0]), a[0])):
-        head, star, tail = alias.partition("*")
-        fits = raw.startswith(head) & raw.endswith(tail) & (F.length(raw) >= len(head) + len(tail)) if star else raw == alias
-        middle = F.expr("substring({}, {}, length({}) - {})".format("raw_import", len(head) + 1, "raw_import", len(head) + len(tail)))
-        for target in targets:
-            value = F.concat(F.lit(target.partition("*")[0]), middle, F.lit(target.partition("*")[2])) if star and "*" in target else F.lit(target)
-            out.append(F.when(fits, value))
-    return out
-
-
-def candidate_paths(raw: Column, source: Column, aliases: list[tuple[str, list[str]]]) -> Column:
-    """Paths to try, in order, before extensions."""
+def candidate_paths(raw: Column, source: Column, aliased: Column) -> Column:
+    """Paths to try, in order, before extensions; aliased are those that aliases give."""
     beside = F.concat(directory(source), F.lit("/"), raw)
-    php_file = _is_php(source) & raw.contains("/") & raw.endswith(".php")
+    php_file = _is_php(source) & raw.contains("/") & F.lower(raw).endswith(".php") & ~raw.startswith("@")
     slashed = F.replace(raw, F.lit("\\"), F.lit("/"))
-    named = F.array(*_targets(aliases, raw), F.when(php_file, beside), F.when(php_file, raw), F.when(raw.contains("\\"), F.regexp_replace(slashed, "^/+", "")))
-    paths = F.when(raw.startswith("."), F.array(beside)).when(raw.startswith("/"), F.array(F.regexp_replace(raw, "^/+", ""))).when(_is_php(source) & raw.startswith("@"), F.array_compact(F.array(*_targets(aliases, raw), F.lit(None).cast("string")))).otherwise(F.array_compact(named))
+    named = F.array_compact(F.array(F.when(php_file, beside), F.when(php_file, raw), F.when(raw.contains("\\") & ~php_file, F.regexp_replace(slashed, "^/+", ""))))
+    rest = F.when(_is_php(source) & raw.startswith("@"), aliased).otherwise(F.concat(aliased, named))
+    paths = F.when(raw.startswith("."), F.array(beside)).when(raw.startswith("/"), F.array(F.regexp_replace(raw, "^/+", ""))).otherwise(rest)
     return F.transform(paths, lambda p: normalised(p))
 
 
@@ -50,17 +39,21 @@ def tried(path: Column) -> Column:
     return F.when(known, F.array(path)).otherwise(F.array(path, *more))
 
 
-def resolve_imports(imports: DataFrame, entries: DataFrame, aliases: list[tuple[str, list[str]]] = ()) -> DataFrame:
-    """imports with resolved_path (null if none) and is_package; entries are all files (repo_id, path) under the root."""
-    raw, source = F.col("raw_import"), F.col("source_file")
+def resolve_imports(imports: DataFrame, entries: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """imports with resolved_path (null if none) and is_package; entries are all files (repo_id, path) under the root, aliases rows of aliases.aliases."""
+    raw, source = F.trim("raw_import"), F.col("source_file")
     key = ["repo_id", "source_file", "raw_import"]
     distinct = imports.select(*key).distinct()
-    every = distinct.select(*key, F.posexplode(F.flatten(F.transform(candidate_paths(raw, source, list(aliases)), tried))).alias("rank", "path"))
+    if aliases is None:
+        every, aliased = distinct, F.array().cast("array<string>")
+    else:
+        every, aliased = distinct.join(by_repository(aliases), "repo_id", "left"), stands_for(raw, F.col("aliases"))
+    every = every.select(*key, F.posexplode(F.flatten(F.transform(candidate_paths(raw, source, aliased), tried))).alias("rank", "path"))
     met = every.join(entries.select("repo_id", "path").distinct(), ["repo_id", "path"]).groupBy(*key).agg(F.min_by("path", "rank").alias("resolved_path"))
     tops = entries.where("path like '%/%'").select("repo_id", F.substring_index("path", "/", 1).alias("top")).distinct().where("top <> 'vendor'").withColumn("is_top", F.lit(True))
     d = distinct.withColumn("top", F.substring_index(F.regexp_replace(F.replace(raw, F.lit("\\"), F.lit("/")), "^/+", ""), "/", 1))
     d = d.join(tops, ["repo_id", "top"], "left").join(met, key, "left")
     php = _is_php(source)
-    local = raw.startswith(".") | raw.startswith("/") | (php & raw.startswith("@")) | (php & raw.contains("/") & raw.endswith(".php")) | (php & raw.rlike("^[A-Za-z0-9_]+$")) | (raw.contains("\\") & F.coalesce("is_top", F.lit(False)))
+    local = raw.startswith(".") | raw.startswith("/") | (php & raw.startswith("@")) | (php & raw.contains("/") & F.lower(raw).endswith(".php")) | (php & raw.rlike("^[A-Za-z0-9_]+$")) | (raw.contains("\\") & F.coalesce("is_top", F.lit(False)))
     d = d.select(*key, "resolved_path", (F.col("resolved_path").isNull() & ~local).alias("is_package"))
     return imports.drop("resolved_path", "is_package").join(d, key)

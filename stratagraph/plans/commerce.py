@@ -30,11 +30,11 @@ edges AS (SELECT regexp_replace(source_file, '/[^/]*$', '') AS src, regexp_repla
 pkg_edges AS (SELECT regexp_replace(source_file, '/[^/]*$', '') AS src, pkg, count(DISTINCT source_file) AS n_files FROM canon WHERE pkg <> '' GROUP BY 1, 2),
 activity AS (SELECT subtree, sum(n)::BIGINT AS activity FROM (SELECT regexp_replace(source_file, '/[^/]*$', '') AS subtree, 1 AS n FROM loc UNION ALL SELECT src, n_files FROM pkg_edges) GROUP BY 1)
 """
-F1 = "SELECT 'CM-001' AS rule_id, 'no_import' AS rule_kind, 'error' AS severity, 'import violates policy' AS message, source_file AS file_path, line, 1 AS \"column\", raw_import FROM loc WHERE regexp_matches(source_file, '^ASIA/') AND regexp_matches(resolved_path, '^EUROPE/(.*/)?suppliers/') AND NOT regexp_matches(source_file, '/MACHINERY/') AND NOT regexp_matches(resolved_path, '/MACHINERY/')"
-F2 = "SELECT 'CM-002', 'no_package', 'warning', 'package import violates policy', source_file, line, 1, raw_import FROM canon WHERE regexp_matches(source_file, '^AMERICA/') AND (regexp_matches(raw_import, '^@Brand1/[^/]*$') OR regexp_matches(pkg, '^@Brand1/[^/]*$') OR raw_import = '@Brand2/PROMO' OR pkg = '@Brand2/PROMO')"
-F3 = "SELECT 'CM-003', 'file_pattern', 'warning', 'file name violates policy', path, 1, 1, '' FROM files WHERE regexp_matches(path, '^AFRICA/') AND NOT regexp_matches(path, '/cust[0-9]*[02468][.]customer$')"
-F4 = "SELECT 'CM-004', 'pattern', 'error', 'import violates policy', source_file, line, 1, raw_import FROM loc WHERE regexp_matches(source_file, '^MIDDLE_EAST/') AND regexp_matches(resolved_path, '^AFRICA/NATION_[^/]*/suppliers/')"
-F5 = "SELECT 'CM-005', 'pattern', 'warning', 'package import violates policy', source_file, line, 1, raw_import FROM canon WHERE regexp_matches(source_file, '^EUROPE/(.*/)?BUILDING/') AND (raw_import LIKE '@Brand25/%' OR pkg LIKE '@Brand25/%')"
+F1 = "SELECT 'CM-001' AS rule_id, 'no_import' AS rule_kind, 'error' AS severity, source_file || ' imports ' || resolved_path AS message, source_file AS file_path, line, 1 AS \"column\", raw_import FROM loc WHERE regexp_matches(source_file, '^ASIA/') AND regexp_matches(resolved_path, '^EUROPE/(.*/)?suppliers/') AND NOT regexp_matches(source_file, '/MACHINERY/') AND NOT regexp_matches(resolved_path, '/MACHINERY/')"
+F2 = "SELECT 'CM-002', 'no_package', 'warning', source_file || ' imports package ' || raw_import, source_file, line, 1, raw_import FROM canon WHERE regexp_matches(source_file, '^AMERICA/') AND (regexp_matches(raw_import, '^@Brand1/[^/]*$') OR regexp_matches(pkg, '^@Brand1/[^/]*$') OR raw_import = '@Brand2/PROMO' OR pkg = '@Brand2/PROMO')"
+F3 = "SELECT 'CM-003', 'file_pattern', 'warning', path || ' does not match required file pattern', path, 1, 1, '' FROM files WHERE regexp_matches(path, '^AFRICA/') AND NOT regexp_matches(path, '/cust[0-9]*[02468][.]customer$')"
+F4 = "SELECT 'CM-004', 'pattern', 'error', source_file || ' imports ' || resolved_path, source_file, line, 1, raw_import FROM loc WHERE regexp_matches(source_file, '^MIDDLE_EAST/') AND regexp_matches(resolved_path, '^AFRICA/NATION_[^/]*/suppliers/')"
+F5 = "SELECT 'CM-005', 'pattern', 'warning', source_file || ' imports package ' || raw_import, source_file, line, 1, raw_import FROM canon WHERE regexp_matches(source_file, '^EUROPE/(.*/)?BUILDING/') AND (raw_import LIKE '@Brand25/%' OR pkg LIKE '@Brand25/%')"
 COLUMNS = ("rule_id", "rule_kind", "severity", "message", "file_path", "line", "column", "raw_import", "fingerprint", "details")
 PRINT = "sha1(rule_id || '|' || file_path || '|' || line || ':' || \"column\" || '|' || raw_import || '|')"
 
@@ -52,6 +52,14 @@ def _findings(spark, sf_dir, rules):
     return policy.evaluate(rules, t.commerce_files(spark, sf_dir), t.commerce_imports(spark, sf_dir)).select(*COLUMNS)
 
 
+def _summary(spark, sf_dir):
+    files, imports = t.commerce_files(spark, sf_dir), t.commerce_imports(spark, sf_dir)
+    return policy.summary(policy.evaluate(RULES, files, imports), files, imports)
+
+
+SUMMARY_SQL = ", summary AS (SELECT 'commerce' AS repo_id, (SELECT count(*) FROM files) AS files_scanned, (SELECT count(*) FROM loc) + (SELECT count(*) FROM canon) AS imports_scanned, count(*) AS findings_total, count(*) FILTER (severity = 'error') AS findings_error, count(*) FILTER (severity = 'warning') AS findings_warning, 0::BIGINT AS parse_errors, 0::BIGINT AS files_skipped FROM found) "
+
+
 def _rule(k: int):
     return lambda spark, sf_dir: _findings(spark, sf_dir, [RULES[k]])
 
@@ -238,7 +246,7 @@ QUERIES = {
     "dependency_constraint_packages": _rule(4),
     "findings_all_rules": lambda s, d: _findings(s, d, RULES),
     "findings_top_n": lambda s, d: policy.ordered(_findings(s, d, RULES), 100),
-    "findings_summary": lambda s, d: policy.summary(_findings(s, d, RULES)),
+    "findings_summary": _summary,
     "package_canonical": lambda s, d: t.commerce_packages(s, d).select("raw_import", package_id("raw_import").alias("pkg")).distinct(),
     "finding_fingerprint": lambda s, d: t.commerce_local(s, d).select("source_file", "raw_import", fingerprint(F.lit("CM-009"), F.col("source_file"), F.col("line"), F.col("column"), F.col("raw_import"), F.lit(None)).alias("fingerprint")),
     "changed_files": lambda s, d: policy.changed_only(t.commerce_files(s, d), t.commerce_changed(s, d)).select("path"),
@@ -251,7 +259,7 @@ QUERIES = {
     "mine_ranked_cap": lambda s, d: mining.ranked_cap(_candidates("no_package")(s, d), MOST).select(*CAND),
     "catalog_score": _catalog,
     "suffix_mode": lambda s, d: mining.dominant_suffix(t.document_files(s, d)).select("subtree", "suffix", "n"),
-    "mine_file_pattern": lambda s, d: mining.file_patterns(t.document_files(s, d), 5).select("scope", "target", "support", "violations", "prevalence", "confidence"),
+    "mine_file_pattern": lambda s, d: mining.file_patterns(t.document_files(s, d), 5).select("scope", "target", "support", "violations", "prevalence", "confidence", "evidence"),
     "cycle_components": _event_cycles,
     "no_cycle_chains": lambda s, d: graph.cycles(t.event_edges(s, d, 2)).select("component", "chain"),
     "normalised_graph": lambda s, d: graph.normalised_graph(graph.edges(t.commerce_imports(s, d)), _upper).select("src", "dst", "n_files"),
@@ -278,7 +286,7 @@ SQL = {
     "dependency_constraint_packages": _found([F5]) + "SELECT * FROM found",
     "findings_all_rules": _found([F1, F2, F3, F4, F5]) + "SELECT * FROM found",
     "findings_top_n": _found([F1, F2, F3, F4, F5]) + 'SELECT * FROM found ORDER BY severity, rule_id, file_path, line, "column", fingerprint LIMIT 100',
-    "findings_summary": _found([F1, F2, F3, F4, F5]) + "SELECT count(*) AS findings, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(DISTINCT file_path) AS files, count(DISTINCT rule_id) AS rules FROM found",
+    "findings_summary": _found([F1, F2, F3, F4, F5]) + SUMMARY_SQL + "SELECT * FROM summary",
     "package_canonical": BASE + "SELECT DISTINCT raw_import, pkg FROM canon",
     "finding_fingerprint": BASE + "SELECT source_file, raw_import, sha1('CM-009|' || source_file || '|' || line || ':1|' || raw_import || '|') AS fingerprint FROM loc",
     "changed_files": BASE + "SELECT path FROM cust WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01')",
@@ -290,12 +298,12 @@ SQL = {
     "mine_ranked_cap": CAP_SQL,
     "catalog_score": CATALOG_SQL,
     "suffix_mode": DOC_SQL + "SELECT subtree, suffix, n FROM best WHERE k = 1",
-    "mine_file_pattern": DOC_SQL + "SELECT subtree || '/**' AS scope, '^.*' || replace(suffix, '.', '\\.') || '$' AS target, total AS support, total - n AS violations, (total - n) / total AS prevalence, 'HIGH' AS confidence FROM best WHERE k = 1 AND total >= 5 AND (total - n) / total <= 0.20",
+    "mine_file_pattern": DOC_SQL + "SELECT subtree || '/**' AS scope, '^.*' || replace(suffix, '.', '\\.') || '$' AS target, total AS support, total - n AS violations, (total - n) / total AS prevalence, 'HIGH' AS confidence, n || '/' || total || ' files in ' || subtree || ' match suffix ' || suffix AS evidence FROM best WHERE k = 1 AND total >= 5 AND (total - n) / total <= 0.20",
     "cycle_components": EVENT_SQL + "SELECT a.u AS node, min(a.v) AS component FROM reach a JOIN reach b ON a.u = b.v AND a.v = b.u GROUP BY 1",
     "normalised_graph": BASE + "SELECT regexp_replace(src, '/[A-Z]+$', '/[segment]') AS src, regexp_replace(dst, '/[A-Z]+$', '/[segment]') AS dst, sum(n_files)::BIGINT AS n_files FROM edges GROUP BY 1, 2 HAVING src <> dst",
     "resolve_imports": PAGE_SQL,
     "constructions": CONSTRUCTION_SQL,
     "extract_imports": EXTRACT_SQL,
     "extract_constructions": "SELECT 'orders' AS repo_id, 'orders/' || o_orderkey || '.ts' AS file, 'Cust' AS class_name, 5 AS line, 11 AS \"column\", true AS is_identifier FROM orders",
-    "findings_text": _found([F1, F2, F3, F4, F5]) + "SELECT rule_id || ' (' || severity || ')' AS heading, file_path || ':' || line || ':' || \"column\" || ' ' || message || CASE WHEN raw_import <> '' THEN ' (' || raw_import || ')' ELSE '' END AS text FROM found",
+    "findings_text": _found([F1, F2, F3, F4, F5]) + "SELECT rule_id || ' (' || severity || ')' AS heading, '  - ' || file_path || ':' || line || ':' || \"column\" || ' ' || message || CASE WHEN raw_import <> '' THEN ' (import: ' || raw_import || ')' ELSE '' END AS text FROM found",
 }

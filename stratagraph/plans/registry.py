@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratagraph.plans import commerce
+from stratagraph.plans import commerce, reports
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(commerce.QUERIES)
-SQL: dict[str, str] = dict(commerce.SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = commerce.QUERIES | reports.QUERIES
+SQL: dict[str, str] = commerce.SQL | reports.SQL

@@ -111,3 +111,82 @@ def place_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = F.replace(F.col("r_name"), F.lit(" "), F.lit("_"))
     named = table(spark, sf_dir, "region").where("r_name like 'A%'").agg(F.array_sort(F.collect_list(F.concat(region, F.lit("/*")))).alias("workspaces"))
     return held.unionByName(named.select(F.lit("commerce").alias("repo_id"), F.lit("package.json").alias("path"), F.to_json(F.struct("workspaces")).alias("text")))
+
+
+def nation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository for each nation with a script for each supplier, every third one in a folder of its own."""
+    k = F.col("s_suppkey").cast("string")
+    path = F.when(F.col("s_suppkey") % 3 != 0, F.concat(F.lit("src/s/supp"), k, F.lit(".ts"))).otherwise(F.concat(F.lit("src/alt/supp"), k, F.lit("/index.ts")))
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("repo_id"), path.alias("path"))
+
+
+def nation_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scripts of parts import the suppliers that a line item names by an alias, PHP files of odd nations by a namespace, and a package."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    used = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_partkey") % 50).alias("p")).distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    k, odd = F.col("s_suppkey").cast("string"), F.col("s_nationkey") % 2 == 1
+    script, php = (F.concat(F.lit("app/p"), "p", F.lit(e)) for e in (".ts", ".php"))
+    one = lambda source, raw: F.struct(source.alias("source_file"), raw.alias("raw_import"))
+    every = F.array(one(script, F.concat(F.lit("@s/supp"), k)), F.when(odd, one(php, F.concat(F.lit("App\\Sup\\supp"), k))), one(script, F.concat(F.lit("pkg"), F.col("s_suppkey") % 7, F.lit("/x"))))
+    return used.select(F.concat(F.lit("n"), "s_nationkey").alias("repo_id"), F.inline(F.array_compact(every)))
+
+
+def nation_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even nations keep their scripts below the base of a configuration with comments; odd ones have a namespace too."""
+    n = table(spark, sf_dir, "supplier").select("s_nationkey").distinct()
+    even = '// base\n{ "compilerOptions": { "baseUrl": "src", /* "paths": {} */ "paths": { "@s/*": ["s/*", "alt/*",], "@s": ["none//x"], }, }, }'
+    odd = '{"compilerOptions": {"paths": {"@s/*": ["./src/alt/*", "src/s"]}}}'
+    composer = '{"autoload": {"psr-4": {"App\\\\Sup\\\\": ["lib/", "src/s/"], "": "x/"}}}'
+    is_odd = F.col("s_nationkey") % 2 == 1
+    one = lambda path, text: F.struct(F.lit(path).alias("path"), text.alias("text"))
+    rows = F.array(one("tsconfig.json", F.when(is_odd, odd).otherwise(even)), one("jsconfig.json", F.lit("{}")), F.when(is_odd, one("composer.json", F.lit(composer))))
+    return n.select(F.concat(F.lit("n"), "s_nationkey").alias("repo_id"), F.inline(F.array_compact(rows)))
+
+
+def form_imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Imports of every form a source may write, by the number of the supplier that is bought from, and the entries they may meet."""
+    k = F.regexp_extract("resolved_path", "supp([0-9]+)", 1).cast("long")
+    local = commerce_local(spark, sf_dir).select("repo_id", "source_file", F.col("resolved_path").alias("path"), k.alias("k"))
+    php, script = F.concat("source_file", F.lit(".php")), F.concat("source_file", F.lit(".ts"))
+    number = F.col("k").cast("string")
+    one = lambda source, raw: F.struct(source.alias("source_file"), raw.alias("raw_import"))
+    by_rest = (
+        F.when(F.col("k") % 4 == 0, one(F.col("source_file"), F.concat(F.lit("/"), "path"))).when(F.col("k") % 4 == 1, one(F.col("source_file"), F.concat(F.lit("../../../"), "path", F.lit(".ts"))))
+        .when(F.col("k") % 4 == 2, one(php, F.concat(F.lit("@alias/"), "path"))).otherwise(one(php, F.concat(F.lit("lib/"), number, F.lit(".PHP"))))
+    )
+    rest = [one(php, F.concat(F.lit("Bare_"), number)), one(script, F.concat(F.lit("Bare_"), number)), one(php, F.concat(F.lit("lib\\Gone"), number)), one(php, F.concat(F.lit("Other\\Gone"), number))]
+    imports = local.select("repo_id", F.inline(F.array(by_rest, *rest))).distinct()
+    suppliers = _suppliers(spark, sf_dir).select(F.lit("commerce").alias("repo_id"), F.concat("path", F.lit(".ts")).alias("path"))
+    held = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 8 == 3).select(F.lit("commerce").alias("repo_id"), F.concat(F.lit("lib/"), "s_suppkey", F.lit(".PHP")).alias("path"))
+    top = table(spark, sf_dir, "region").limit(1).select(F.lit("commerce").alias("repo_id"), F.lit("lib/readme.md").alias("path"))
+    return imports, suppliers.unionByName(held).unionByName(top)
+
+
+def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository for ten customers each; a customer's number says which files it has."""
+    k = F.col("c_custkey")
+    name = lambda n, text: F.when(k % n == 0, F.concat(F.lit("c"), k, F.lit(text)))
+    every = F.array(F.concat(F.lit("c"), k, F.lit("/readme.md")), name(7, "/tsconfig.json"), name(3, "/x.mjs"), name(11, "/composer.json"), name(13, "/x.phtml"))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.floor(k / 10)).alias("repo_id"), F.explode(F.array_compact(every)).alias("path"))
+
+
+def _ring_place() -> dict[str, Column]:
+    k = F.col("c_custkey")
+    return {"repo_id": F.concat(F.lit("m"), k % 3), "g": F.floor(k / 12).cast("string"), "i": F.floor(k % 12 / 3)}
+
+
+def ring_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files of three repositories, four directories to a ring."""
+    p = _ring_place()
+    return table(spark, sf_dir, "customer").select(p["repo_id"].alias("repo_id"), F.concat(F.lit("ring"), p["g"], F.lit("/n"), p["i"], F.lit("/c"), "c_custkey", F.lit(".ts")).alias("path"))
+
+
+def ring_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each directory of a ring imports the next, the last the first, and the first also the ring before; a ring that lacks a directory is open."""
+    p = _ring_place()
+    at = lambda g, i: F.concat(F.lit("ring"), g, F.lit("/n"), i, F.lit("/x.ts"))
+    one = lambda path: F.struct(path.alias("resolved_path"), F.concat(F.lit("../"), path).alias("raw_import"))
+    back = F.when((p["i"] == 0) & (F.col("c_custkey") >= 12), one(at((F.floor(F.col("c_custkey") / 12) - 1).cast("string"), F.lit(0))))
+    every = F.array_compact(F.array(one(at(p["g"], (p["i"] + 1) % 4)), back))
+    d = table(spark, sf_dir, "customer").select(p["repo_id"].alias("repo_id"), at(p["g"], p["i"]).alias("source_file"), F.inline(every))
+    return d.select("*", F.lit(False).alias("is_package"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("import").alias("kind"))
