@@ -2,60 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from stratagraph.sources.written import cut, release, scratch, shared_dir
+
+__all__ = ["cut", "release", "scratch", "shared_dir", "table", "text_bytes"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; a temporary one only where none is set and all executors are in this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        found = spark.sparkContext.getCheckpointDir()
-    if found is None:
-        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="stratagraph-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # the shuffle files of this write go when it ends
-    try:
-        df.write.option("compression", "snappy").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def release(*written: DataFrame) -> None:
-    """Delete the folders of results of cut that nothing reads any more."""
-    for df in written:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def text_bytes(column: str = "text"):
     """The UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
