@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratagraph.operators import aliases, catalog, constructions, graph, languages, mining, policy, report, resolve
+from stratagraph.operators import aliases, catalog, constructions, extract, graph, languages, mining, policy, report, resolve
 from stratagraph.operators.policy import Rule
 from stratagraph.plans import commerce as c
 from stratagraph.sources import tabular as t
@@ -149,7 +149,21 @@ def _workspace_candidates(spark, sf_dir):
     return mining.dedupe_workspaces(mined.unionByName(other), 10**6).select(*c.CAND)
 
 
+def _source_facts(spark, sf_dir):
+    return extract.facts(t.customer_sources(spark, sf_dir))
+
+
+SOURCES = "WITH k AS (SELECT 'm' || c_custkey % 4 AS repo_id, c_custkey AS k, 'c' || c_custkey || CASE WHEN c_custkey % 3 = 2 THEN '.php' ELSE '.tsx' END AS file FROM customer) "
+
+
 QUERIES = {
+    "extract_script_imports": lambda s, d: extract.imports(_source_facts(s, d)).where("source_file like '%.tsx'").select("repo_id", "source_file", "raw_import", "line", "column", "kind"),
+    "extract_php_imports": lambda s, d: extract.imports(_source_facts(s, d)).where("source_file like '%.php'").select("repo_id", "source_file", "raw_import", "line", "kind"),
+    "extract_parse_errors": lambda s, d: extract.parse_errors(_source_facts(s, d)).select("repo_id", "path"),
+    "extract_classes": lambda s, d: extract.classes(_source_facts(s, d)).select("repo_id", "file", "name"),
+    "extract_exports": lambda s, d: extract.exports(_source_facts(s, d)).select("repo_id", "file", "export_name", "local_class"),
+    "extract_bindings": lambda s, d: extract.bindings(_source_facts(s, d)).select("repo_id", "file", "kind", "local", "imported", "module"),
+    "extract_news": lambda s, d: extract.constructions(_source_facts(s, d)).select("repo_id", "file", "class_name", "line", "column", "is_identifier"),
     "findings_json": lambda s, d: report.json_findings(_all_findings(s, d)).select("fingerprint", "json"),
     "sarif_rules": lambda s, d: report.sarif_rules(_all_findings(s, d)).select("rule_id", "json"),
     "sarif_results": lambda s, d: report.sarif_results(_all_findings(s, d)).select("fingerprint", "json"),
@@ -172,6 +186,13 @@ QUERIES = {
     "cycle_rings": lambda s, d: graph.components(graph.edges(t.ring_imports(s, d))),
 }
 SQL = {
+    "extract_script_imports": SOURCES + """SELECT repo_id, file AS source_file, './m' || k AS raw_import, 1 AS line, 1 AS "column", 'import' AS kind FROM k WHERE k % 3 = 0 UNION ALL SELECT repo_id, file, './area' || k % 7, 1, 1, 'export_from' FROM k WHERE k % 3 = 1 UNION ALL SELECT repo_id, file, './dyn' || k, 2, 29, 'dynamic_import' FROM k WHERE k % 3 = 1""",
+    "extract_php_imports": SOURCES + "SELECT repo_id, file AS source_file, unnest(['A' || k || '\\B', 'C\\D', 'F\\G', 'F\\H\\I', 'l' || k || '.php']) AS raw_import, unnest([3, 3, 4, 4, 6]) AS line, unnest(['php_use', 'php_use', 'php_use', 'php_use', 'php_include']) AS kind FROM k WHERE k % 3 = 2 AND k % 5 <> 0",
+    "extract_parse_errors": SOURCES + "SELECT repo_id, file AS path FROM k WHERE k % 15 = 5",
+    "extract_classes": SOURCES + "SELECT repo_id, file, unnest(['X' || k, 'Y']) AS name FROM k WHERE k % 3 = 0",
+    "extract_exports": SOURCES + "SELECT repo_id, file, unnest(['default', 'Yy']) AS export_name, unnest(['X' || k, 'Y']) AS local_class FROM k WHERE k % 3 = 0",
+    "extract_bindings": SOURCES + "SELECT repo_id, file, unnest(['default', 'named']) AS kind, unnest(['D', 'B']) AS local, unnest(['default', 'A']) AS imported, './m' || k AS module FROM k WHERE k % 3 = 0",
+    "extract_news": SOURCES + "SELECT repo_id, file, unnest(['Y', 'B']) AS class_name, 5 AS line, unnest([1, 10]) AS \"column\", true AS is_identifier FROM k WHERE k % 3 = 0",
     "findings_json": ALL + """SELECT fingerprint, json_merge_patch(json_object('rule_id', rule_id, 'rule_kind', rule_kind, 'severity', severity, 'message', message, 'file_path', file_path, 'line', line, 'column', "column"), CASE WHEN raw_import <> '' THEN json_object('raw_import', raw_import) ELSE json_object() END, json_object('fingerprint', fingerprint))::VARCHAR AS json FROM found""",
     "sarif_rules": ALL + """SELECT rule_id, json_object('id', rule_id, 'shortDescription', json_object('text', any_value(rule_kind)), 'help', json_object('markdown', arg_min(message, (severity, file_path, line, "column", fingerprint))))::VARCHAR AS json FROM found GROUP BY 1""",
     "sarif_results": ALL + """SELECT fingerprint, json_object('ruleId', rule_id, 'level', severity, 'message', json_object('text', message), 'locations', json_array(json_object('physicalLocation', json_object('artifactLocation', json_object('uri', file_path), 'region', json_object('startLine', line, 'startColumn', "column")))), 'partialFingerprints', json_object('primaryLocationLineHash', fingerprint))::VARCHAR AS json FROM found""",

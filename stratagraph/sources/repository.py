@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,16 @@ ENDINGS = {"javascript": r"\.(?:ts|tsx|js|jsx|mjs|cjs)$", "php": r"\.(?:php|phtm
 
 
 def entries(spark: SparkSession, root: str, repo_id: str = "") -> DataFrame:
-    """(repo_id, path, content) of every file under root that holds a byte (Spark's reader passes over empty ones), path relative to root; read by the executors."""
+    """(repo_id, path, content) of every file under root, path relative to root; read by the executors. Spark's reader lists empty files but makes no rows of them, so their names are taken from its listing."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/") + "/"
-    full = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    listed = spark.createDataFrame([(unquote(x),) for x in d.inputFiles()], "path string")
+    bare = lambda c: F.regexp_replace(c, "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    d = d.select(bare("path").alias("path"), "content")
+    names = d.select("path")
+    full = F.col("path")
+    d = d.unionByName(listed.select(bare("path").alias("path")).join(names, "path", "left_anti").withColumn("content", F.lit(b"")))
     return d.select(F.lit(repo_id).alias("repo_id"), F.substring(full, len(base) + 1, F.length(full)).alias("path"), "content")
 
 

@@ -190,3 +190,17 @@ def ring_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = F.array_compact(F.array(one(at(p["g"], (p["i"] + 1) % 4)), back))
     d = table(spark, sf_dir, "customer").select(p["repo_id"].alias("repo_id"), at(p["g"], p["i"]).alias("source_file"), F.inline(every))
     return d.select("*", F.lit(False).alias("is_package"), F.lit(1).alias("line"), F.lit(1).alias("column"), F.lit("import").alias("kind"))
+
+
+def customer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source text for each customer: classes and bindings, re-exports and computed imports, or PHP, of which every fifth is broken."""
+    k = F.col("c_custkey")
+    n = k.cast("string")
+    text = (
+        F.when(k % 3 == 0, F.concat(F.lit("import D, {A as B} from './m"), n, F.lit("';\nexport default class X"), n, F.lit(" {}\nclass Y {} // class No\nexport { Y as Yy };\nnew Y(); new B();\n")))
+        .when(k % 3 == 1, F.concat(F.lit("export * from './area"), k % 7, F.lit("';\n/* import 'no' */ const f = import('./dyn"), n, F.lit("');\nconst s = \"require('no')\";\n")))
+        .when(k % 5 == 0, F.concat(F.lit("<?php use A"), n, F.lit("; function (")))
+        .otherwise(F.concat(F.lit("<p>use No\\One;</p>\n<?php\nuse A"), n, F.lit("\\B, C\\D as E;\nuse F\\{G, H\\I as J};\n# use No\\Two;\nrequire 'l"), n, F.lit(".php';\n")))
+    )
+    end = F.when(k % 3 == 2, ".php").otherwise(".tsx")
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), k % 4).alias("repo_id"), F.concat(F.lit("c"), n, end).alias("path"), text.alias("text"))

@@ -54,8 +54,8 @@ def test_reports(spark):
     assert "details" not in json.loads(report.json_findings(f).first().json)
     region = json.loads(report.sarif_results(f).first().json)["locations"][0]["physicalLocation"]["region"]
     assert region == {"startLine": 1, "startColumn": 2}
-    assert json.loads(report.sarif_rules(f).first().json)["help"] == {"text": "bad"}
-    assert report.text_findings(f).first().text == "a.ts:0:2 bad (./b)"
+    assert json.loads(report.sarif_rules(f).first().json)["help"] == {"markdown": "bad"}
+    assert report.text_findings(f).first().text == "  - a.ts:0:2 bad (import: ./b)"
 
 
 def test_workspaces_and_catalog(spark):

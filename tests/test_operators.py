@@ -3,9 +3,10 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions.globs import glob_regex, matches
 from stratagraph.functions.paths import directory, normalised, package_id, suffix
-from stratagraph.operators import constructions, graph, mining, policy, resolve
+from stratagraph.operators import aliases, constructions, graph, languages, mining, policy, report, resolve
 from stratagraph.operators.policy import Rule
 
+ENTRY = "repo_id string, path string, text string"
 IMPORTS = "repo_id string, source_file string, raw_import string, resolved_path string, is_package boolean, line int, column int, kind string"
 
 
@@ -75,13 +76,13 @@ def test_cycles(spark):
     found = policy.evaluate([Rule("N", "no_cycle", "error", ["**"])], files(spark, ["a/x.ts"]), i).collect()
     assert [(r.file_path, r.details) for r in found] == [("a", "a -> b -> c -> a")]
     rule = mining.cycle_rules(graph.nodes(files(spark, ["a/x.ts", "b/x.ts", "c/x.ts"])), graph.edges(i), 3).first()
-    assert (rule.support, rule.violations, rule.evidence) == (3, 3, "a <-> b <-> c")
+    assert (rule.support, rule.violations, rule.evidence) == (3, 3, "cycle component (3 subtrees): a <-> b <-> c")
 
 
 def test_resolution(spark):
     rows = [("src/a.ts", "./b", None, None), ("src/a.ts", "./c", None, None), ("src/a.ts", "./b.js", None, None), ("src/a.ts", "@/infra/auth", None, None), ("src/a.ts", "react", None, None), ("src/a.ts", "/src/b", None, None), ("x/a.php", "App\\Infra\\Db", None, None), ("x/a.php", "Foo", None, None), ("src/a.ts", "./user.service", None, None)]
     entries = files(spark, ["src/a.ts", "src/b.ts", "src/c/index.ts", "src/infra/auth.ts", "app/Infra/Db.php", "src/user.service.ts"])
-    got = {(r.raw_import): (r.resolved_path, r.is_package) for r in resolve.resolve_imports(imports(spark, rows), entries, [("@/*", ["src/*"]), ("App\\*", ["app/*"])]).collect()}
+    got = {(r.raw_import): (r.resolved_path, r.is_package) for r in resolve.resolve_imports(imports(spark, rows), entries, aliases.aliases(spark.createDataFrame([], ENTRY), spark.createDataFrame([("r", "@/*", "src/*"), ("r", "App\\*", "app/*")], "repo_id string, alias string, target string"))).collect()}
     assert got == {"./b": ("src/b.ts", False), "./c": ("src/c/index.ts", False), "./b.js": (None, False), "@/infra/auth": ("src/infra/auth.ts", False), "react": (None, True), "/src/b": ("src/b.ts", False), "App\\Infra\\Db": ("app/Infra/Db.php", False), "Foo": (None, False), "./user.service": ("src/user.service.ts", False)}
 
 
@@ -128,7 +129,7 @@ def test_registered_queries_match_sql(spark):
     con = duckdb.connect()
     for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{d}/{name}.parquet'")
-    for name in ("subtree_edges", "findings_all_rules", "mine_file_pattern", "cycle_components", "resolve_imports", "extract_imports", "extract_constructions", "findings_text"):
+    for name in ("subtree_edges", "findings_all_rules", "mine_file_pattern", "cycle_components", "resolve_imports", "extract_imports", "extract_constructions", "findings_text", "resolve_aliases", "resolve_forms", "languages", "rule_no_cycle", "construction_boundary", "sarif_results", "extract_php_imports"):
         a, b = registry.QUERIES[name](spark, d).toPandas(), con.execute(registry.SQL[name]).df()
         cols = sorted(a.columns)
         assert cols == sorted(b.columns)
@@ -140,3 +141,116 @@ def test_normalised_graph_sums(spark):
     e = spark.createDataFrame([("r", "a/[x]", "b", 2), ("r", "a/[y]", "b", 3), ("r", "a/[x]", "a/[y]", 1)], "repo_id string, src string, dst string, n_files long")
     got = graph.normalised_graph(e, lambda c: F.regexp_replace(c, r"\[[^/]*\]", "[param]")).collect()
     assert [tuple(r) for r in got] == [("r", "a/[param]", "b", 5)]
+
+
+@pytest.mark.parametrize(("pattern", "expected"), [("^a$", "^a\\z"), ("a\\$b$", "a\\$b\\z"), ("[$]$", "[$]\\z"), ("(?P<n>x)", "(?<n>x)"), ("[]$]$", "[\\]$]\\z"), ("\\Q$\\E$", "\\Q$\\E\\z")])
+def test_regex_dialect(pattern, expected):
+    assert policy.regex_dialect(pattern) == expected
+
+
+@pytest.mark.parametrize("pattern", ["(?=a)", "(?<!a)b", "a++", "(a)\\1"])
+def test_patterns_beyond_the_dialect(pattern):
+    with pytest.raises(ValueError):
+        policy.regex_dialect(pattern)
+
+
+def test_messages_and_text(spark):
+    f = files(spark, ["domain/User.ts"])
+    i = imports(spark, [("domain/user.ts", "../infra/log", "infra/log.ts", False), ("domain/user.ts", "axios/x", None, True), ("infra/a.ts", "", "domain/b.ts", False)])
+    rules = [Rule("A", "no_import", "error", ["domain/**"], ["infra/**"]), Rule("B", "no_package", "warning", ["domain/**"], ["axios"]), Rule("C", "file_pattern", "warning", ["domain/**"], ["^[a-z]+[.]ts$"]), Rule("D", "no_cycle", "error", ["**"]), Rule("E", "no_package", "warning", ["domain/**"], ["axios"], message="own")]
+    found = policy.evaluate(rules, f, i)
+    assert {r.rule_id: r.message for r in found.collect()} == {"A": "domain/user.ts imports infra/log.ts", "B": "domain/user.ts imports package axios/x", "C": "domain/User.ts does not match required file pattern", "D": "dependency cycle detected: domain -> infra -> domain", "E": "own"}
+    text = {r.heading: r.text for r in report.text_findings(found).collect()}
+    assert text["A (error)"] == "  - domain/user.ts:1:1 domain/user.ts imports infra/log.ts (import: ../infra/log)"
+    assert text["D (error)"] == "  - domain:1:1 dependency cycle detected: domain -> infra -> domain [domain -> infra -> domain]"
+    s = policy.summary(found, f, i)
+    assert tuple(s.first()) == ("r", 1, 3, 5, 2, 3, 0, 0)
+    assert report.text_summary(s).first().text == "Summary: files=1 imports=3 findings=5 (error=2 warning=3) parse_errors=0 files_skipped=0"
+
+
+def test_components_equal_brute_force(spark):
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for repo in range(6):
+        n = 14
+        rows += [(f"r{repo}", f"n{r.randrange(n):02d}", f"n{r.randrange(n):02d}", 1) for _ in range(16 + 2 * repo)]
+    rows += [("path", f"p{k:02d}", f"p{k + 1:02d}", 1) for k in range(6)] + [("self", "a", "a", 1)]
+    want = set()
+    for repo in {x[0] for x in rows}:
+        edges = {(a, b) for q, a, b, _ in rows if q == repo and a != b}
+        nodes = {x for e in edges for x in e}
+        reach = {a: {a} for a in nodes}
+        for _ in nodes:
+            for a, b in edges:
+                for x in nodes:
+                    if a in reach[x]:
+                        reach[x].add(b)
+        for a in nodes:
+            ring = {b for b in nodes if b in reach[a] and a in reach[b]}
+            if len(ring) > 1:
+                want.add((repo, a, min(ring)))
+    e = spark.createDataFrame(rows, "repo_id string, src string, dst string, n_files long")
+    assert {tuple(x) for x in graph.components(e).collect()} == want and graph.components(e.limit(0)).count() == 0
+
+
+def test_open_pairs_are_those_not_dropped(spark):
+    import random
+
+    r = random.Random(5)
+    f = files(spark, [f"d{k % 9}/f{k}.ts" for k in range(60)] + [f"test/f{k}.ts" for k in range(6)])
+    rows = [(f"d{k % 9}/f{k}.ts", f"d{t}/x", f"d{t}/f{t}.ts", False) for k in range(60) for t in {r.randrange(6) for _ in range(2)}]
+    rows += [(f"d{k % 9}/f{k}.ts", f"pkg{r.randrange(4)}/y", None, True) for k in range(60)] + [("d1/f1.ts", "Odd", None, True)] * 3
+    i = imports(spark, rows)
+    nodes, edges, packages = graph.nodes(f), graph.edges(i), graph.package_edges(i)
+    activity = graph.source_activity(graph.file_edges(i), packages)
+    for kind, e, target, targets in (("no_import", edges, "dst", nodes.select("repo_id", F.col("subtree").alias("target"))), ("no_package", packages, "pkg", packages.select("repo_id", F.col("pkg").alias("target")).distinct())):
+        want = mining.pairs(kind, nodes, e, target, targets, activity, 5, 0.3).where("drop_reason is null").collect()
+        got = mining.open_pairs(kind, nodes, e, target, activity, 5, 0.3).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and got
+    every = mining.propose(f, i, 5, 0.3).collect()
+    assert {x.kind for x in every} >= {"no_import", "file_pattern", "no_cycle"} and len(set(every)) == len(every)
+
+
+def test_aliases_of_manifests(spark):
+    tsconfig = """{
+      // base
+      "extends": "./x//y", /* "paths": {} */
+      "compilerOptions": { "baseUrl": "./src", "paths": { "@/*": ["app/*", "lib/*",], "one": ["app/one.ts"], }, },
+    }"""
+    composer = '{"autoload": {"psr-4": {"App\\\\": "lib/", "Top\\\\": "./"}}, "autoload-dev": {"psr-4": {"App\\\\Tests\\\\": ["t/", "u"]}}}'
+    entries = spark.createDataFrame([("a", "tsconfig.json", tsconfig), ("a", "jsconfig.json", "{}"), ("b", "composer.json", composer), ("c", "tsconfig.json", "no json"), ("d", "jsconfig.json", '{"compilerOptions": {"paths": {"x": ["y"]}}}'), ("e", "tsconfig.json", None)], ENTRY)
+    got = sorted((r.repo_id, r.alias, r.target) for r in aliases.aliases(entries).collect())
+    assert got == [("a", "@/*", "src/app/*"), ("a", "@/*", "src/lib/*"), ("a", "one", "src/app/one.ts"), ("b", "App/*", "lib/*"), ("b", "App/Tests/*", "t/*"), ("b", "App/Tests/*", "u/*"), ("b", "Top/*", "*"), ("d", "x", "y")]
+    held = [("a", "src/lib/q.ts", None), ("a", "src/app/one.ts", None), ("b", "u/T.php", None), ("b", "lib/K.php", None), ("b", "src/lib/q.ts", None)]
+    rows = [("a", "m.ts", "@/q"), ("a", "m.ts", "one"), ("a", "m.ts", "one/two"), ("b", "m.php", "App\\Tests\\T"), ("b", "m.php", "App\\K"), ("b", "m.ts", "@/q")]
+    i = spark.createDataFrame(rows, "repo_id string, source_file string, raw_import string")
+    found = {(r.repo_id, r.raw_import): (r.resolved_path, r.is_package) for r in resolve.resolve_imports(i, spark.createDataFrame(held, ENTRY), aliases.aliases(entries)).collect()}
+    assert found == {("a", "@/q"): ("src/lib/q.ts", False), ("a", "one"): ("src/app/one.ts", False), ("a", "one/two"): (None, True), ("b", "App\\Tests\\T"): ("u/T.php", False), ("b", "App\\K"): ("lib/K.php", False), ("b", "@/q"): (None, True)}
+
+
+def test_languages(spark):
+    f = spark.createDataFrame([("a", "x/tsconfig.json"), ("a", "b.php"), ("b", "x.php"), ("c", "readme.md"), ("c", None)], "repo_id string, path string")
+    got = {r.repo_id: (r.language, r.reason) for r in languages.languages(f).collect()}
+    assert got == {"a": ("javascript", "auto_ambiguous_first_selected"), "b": ("php", "auto_detected"), "c": ("javascript", "auto_none_fallback_default")}
+    assert {r.reason for r in languages.languages(f, "PHP ").collect()} == {"explicit"} and languages.languages(f, "go").first().language is None
+
+
+def test_construction_boundary(spark):
+    from stratagraph.operators import catalog
+
+    f = files(spark, ["src/feature/controller.ts", "src/services/user.ts", "src/di/c.ts", "src/main/m.ts"])
+    made = spark.createDataFrame([("r", "src/feature/controller.ts", "UserService", 4, True, True, None), ("r", "src/di/c.ts", "UserService", 2, True, True, None)], "repo_id string, file string, class_name string, line int, is_resolved boolean, is_service boolean, unresolved_reason string")
+    m = catalog.construction_matches(made, f).first()
+    assert (round(m.score, 4), m.confidence, m.proposed_rule_id) == (0.77, "MEDIUM", "AG-CAT-SERVICES-VIA-COMPOSITION-ROOT-e8d6300f")
+    assert m.evidence == "1/1 eligible files instantiate service classes (1 events, resolved=1 unresolved=0); examples: src/feature/controller.ts:4:new UserService"
+
+
+def test_mined_rules(spark):
+    schema = "repo_id string, kind string, scope string, target string, severity string, support long, violations long, prevalence double, confidence string, evidence string"
+    c = spark.createDataFrame([("r", "no_cycle", "a/**", None, "error", 3, 3, 1.0, "HIGH", 'x "y"'), ("r", "file_pattern", "b/**", "^.*\\.ts$", "warning", 3, 0, 0.0, "HIGH", "e")], schema)
+    got = {r.id: r.yaml for r in report.mined_rules(c, " ERROR").collect()}
+    assert got["MINED-001"] == '  - id: MINED-001\n    kind: file_pattern\n    severity: warning\n    scope:\n      - "b/**"\n    target:\n      - "^.*\\\\.ts$"\n    message: "e"'
+    assert got["MINED-002"] == '  - id: MINED-002\n    kind: no_cycle\n    severity: error\n    scope:\n      - "a/**"\n    message: "x \\"y\\""'
+    assert report.json_candidates(c).where("kind = 'no_cycle'").first().json.startswith('{"kind":"no_cycle","scope":["a/**"],"severity"')

@@ -17,9 +17,9 @@ def test_entries_are_relative_and_whole(spark, tmp_path):
     (tmp_path / "src/a b").mkdir(parents=True)
     (tmp_path / "src/a b/x.ts").write_text("import 'y'")
     (tmp_path / "root.php").write_text("<?php")
-    (tmp_path / "empty.ts").write_text("")  # Spark's reader passes over empty files
+    (tmp_path / "empty.ts").write_text("")
     got = {r.path: bytes(r.content) for r in entries(spark, str(tmp_path), "r").collect()}
-    assert got == {"src/a b/x.ts": b"import 'y'", "root.php": b"<?php"}
+    assert got == {"src/a b/x.ts": b"import 'y'", "root.php": b"<?php", "empty.ts": b""}
 
 
 def test_discovered_prunes_directories(spark):
