@@ -9,6 +9,7 @@ from stratagraph.operators import catalog, constructions, extract, graph, mining
 from stratagraph.operators.policy import Rule
 from stratagraph.sources import repository
 from stratagraph.sources import tabular as t
+from stratagraph.sources.written import cut
 
 RULES = [
     Rule("CM-001", "no_import", "error", ["ASIA/**"], ["EUROPE/**/suppliers/**"], ["**/MACHINERY/**"]),
@@ -65,7 +66,8 @@ def _rule(k: int):
 
 
 def _graph(spark, sf_dir):
-    files, imports = t.commerce_files(spark, sf_dir), t.commerce_imports(spark, sf_dir)
+    """Nodes, edges, package edges and file edges; the imports are built once and written."""
+    files, imports = t.commerce_files(spark, sf_dir), cut(t.commerce_imports(spark, sf_dir), "imports")
     return graph.nodes(files), graph.edges(imports), graph.package_edges(imports), graph.file_edges(imports)
 
 
@@ -84,6 +86,7 @@ def _pairs(kind: str):
         activity = graph.source_activity(local, packages)
         if kind == "no_import":
             return mining.pairs(kind, nodes, edges, "dst", nodes.select("repo_id", F.col("subtree").alias("target")), activity, SUPPORT, PREVALENCE)
+        packages = cut(packages, "package-edges")
         return mining.pairs(kind, nodes, packages, "pkg", packages.select("repo_id", F.col("pkg").alias("target")).distinct(), activity, SUPPORT, PREVALENCE)
 
     return made
@@ -108,8 +111,20 @@ CAND = ["kind", "scope", "target", "severity", "support", "violations", "prevale
 CAND_SQL = f"""cand AS (SELECT kind, scope || '/**' AS scope, CASE WHEN kind = 'no_import' THEN target || '/**' ELSE target END AS target, 'warning' AS severity, support, violations, prevalence, {CONF} AS confidence, violations || '/' || support || ' files in ' || scope || ' import ' || target AS evidence FROM pairs WHERE drop_reason IS NULL)"""
 
 
+def _open(kind: str):
+    """The pairs that are not dropped, each side filtered before they are paired."""
+
+    def made(spark, sf_dir):
+        nodes, edges, packages, local = _graph(spark, sf_dir)
+        activity = graph.source_activity(local, packages)
+        e, target = (edges, "dst") if kind == "no_import" else (packages, "pkg")
+        return mining.open_pairs(kind, nodes, cut(e, "edges"), target, activity, SUPPORT, PREVALENCE)
+
+    return made
+
+
 def _candidates(kind: str):
-    return lambda spark, sf_dir: mining.candidates(_pairs(kind)(spark, sf_dir))
+    return lambda spark, sf_dir: mining.candidates(_open(kind)(spark, sf_dir))
 
 
 def _greedy(spark, sf_dir):

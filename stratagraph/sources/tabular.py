@@ -56,7 +56,15 @@ def commerce_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commerce_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return commerce_local(spark, sf_dir).unionByName(commerce_packages(spark, sf_dir))
+    """Files and packages that customers import, from one scan of what they have bought."""
+    bought = _bought(spark, sf_dir).select("o_custkey", F.inline(F.array(*(F.struct(F.lit(k).alias("of"), F.col(c).cast("long").alias("key")) for k, c in enumerate(("l_suppkey", "l_partkey")))))).distinct()
+    part = F.concat(F.lit("@"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("/"), "p_type", F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")))
+    parts = table(spark, sf_dir, "part").select(F.lit(1).alias("of"), F.col("p_partkey").cast("long").alias("key"), part.alias("raw_import"), F.lit(None).cast("string").alias("resolved_path"), F.lit(True).alias("is_package"))
+    parts = parts.withColumn("line", (F.length("raw_import") % 50 + 1).cast("int"))
+    files = _suppliers(spark, sf_dir).select(F.lit(0).alias("of"), F.col("s_suppkey").cast("long").alias("key"), F.concat(F.lit("./supp"), "s_suppkey").alias("raw_import"), F.col("path").alias("resolved_path"), F.lit(False).alias("is_package"), (F.col("s_suppkey") % 97 + 1).cast("int").alias("line"))
+    held = bought.join(files.unionByName(parts), ["of", "key"]).join(_customers(spark, sf_dir).withColumnRenamed("path", "source_file"), F.col("o_custkey") == F.col("c_custkey"))
+    # Parts of one name are one package.
+    return held.select(F.lit("commerce").alias("repo_id"), "source_file", "raw_import", "resolved_path", "is_package", "line", F.lit(1).alias("column"), F.lit("import").alias("kind")).distinct()
 
 
 def commerce_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
