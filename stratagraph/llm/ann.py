@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import cut, table
+from stratagraph.llm.common import cut, release, table
 
 TABLES, HASHES, PROBES, WIDTH = 12, 10, 300, 1.8
 SAMPLE, UNIT, QUERY_BLOCK, CHUNK = 2048, 8192, 512, 256
@@ -233,9 +233,9 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
     found = cut(search(queries, True), "found")
     full = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     few = cut(queries.join(full, queries.vec_id == full.query_id, "left_anti"), "few")
-    if few.isEmpty():
-        return found
-    return found.join(full, "query_id", "left_semi").unionByName(search(few, False))
+    again = cut(search(few, False), "again") if not few.isEmpty() else None
+    release(classes, queries, indexed, sizes, stored, few)
+    return found if again is None else found.join(full, "query_id", "left_semi").unionByName(again)
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

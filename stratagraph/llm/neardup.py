@@ -233,8 +233,8 @@ def block_links(x: list[dict], y: list[dict], bounds: list[tuple[int, int]], wor
     return [(x[a]["doc_id"], y[b]["doc_id"]) for a, b in zip(i[good], j[good], strict=True)]
 
 
-def linked_components(groups: DataFrame, texts: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> DataFrame:
-    """Stars (u, v) of the labels that a link joins. groups: (main, node, label); in each, nodes of other labels than main are compared with all of it, block against block."""
+def linked_components(groups: DataFrame, texts: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> tuple[DataFrame, list[DataFrame]]:
+    """Stars (u, v) of the labels that a link joins, and the written tables they are read from. groups: (main, node, label); in each, nodes of other labels than main are compared with all of it, block against block."""
     bounds = least_matches(percent / 100, miss)
     sizes = cut(groups.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks")), "group-sizes")
     carried = groups.join(sizes.hint("merge"), "main").join(texts.hint("merge"), "node")
@@ -251,7 +251,7 @@ def linked_components(groups: DataFrame, texts: DataFrame, words: int, percent:
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
-    return joined.mapInArrow(lambda batches: in_stars(run(batches)), STARS)
+    return joined.mapInArrow(lambda batches: in_stars(run(batches)), STARS), [sizes, grouped]
 
 
 STARS = "u long, v long"
@@ -337,10 +337,12 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, percent: int = 80, miss
     count = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     main = cut(count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "main"), "mains")
     groups = cut(of.join(main.hint("merge"), "bucket").select("main", "node", "label").distinct(), "groups")
-    over = components(linked_components(groups, texts, words, percent, miss))
+    links, read = linked_components(groups, texts, words, percent, miss)
+    over = components(links)
     root = nodes.join(named, "node", "left").select("node", "key2", "rep", F.coalesce("label", "node").alias("v"))
     root = cut(root.join(over.select(F.col("u").alias("v"), F.col("v").alias("w")).hint("merge"), "v", "left").select("node", "key2", "rep", F.coalesce("w", "v").alias("root")), "roots")
     heads = cut(root.groupBy("root").agg(F.min("rep").alias("head")), "heads")
+    release(classes, shared, buckets, texts, label, of, main, groups, over, *read)
     final = root.join(heads.hint("merge"), "root").select(F.col("node").alias("key1"), "key2", "head")
     out = s.join(final.hint("merge"), ["key1", "key2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
