@@ -1,8 +1,11 @@
 """A corpus pipeline: quality, boilerplate lines, near duplicates, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with
-the columns of documents; the last returns the packed pieces. Null ids and
-texts, empty tables and extra columns pass through as the operators define.
+the columns of documents; the last returns the packed pieces. Null texts stay null
+until they are packed, as empty documents; rows with a null doc_id are scored,
+cleaned and redacted like others, are never near duplicates, and are packed as
+documents of their own. Empty tables give empty ones; extra columns stay until
+the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm import boilerplate, neardup, packing, pii, quality
-from stratagraph.llm.common import cut, table
+from stratagraph.llm.common import cut, release, table
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = cut(docs, f"pipeline-{name}")
-    return docs
+    docs, past = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*past)
+        past = [docs]
+    return STAGES[-1][1](spark, docs, sf_dir)
