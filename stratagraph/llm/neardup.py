@@ -6,8 +6,9 @@
 2. Bands of the signature give buckets. With 40 bands of 5 a pair at similarity
    0.8 shares no bucket with probability 1.2e-7. Nodes of buckets with several
    nodes are open: their texts are fetched once.
-3. Candidates of a bucket are compared with its smallest member first, and
-   verified links are joined to components. Where a bucket then still holds
+3. Candidates of a bucket are compared with one member first, its hub, and
+   verified links are joined to components. Hubs are the first by one of a few
+   orders, so members of a large group meet several hubs. Where a bucket then still holds
    several components, the members outside its most frequent one are compared
    with the open members of all buckets of that component, block against block,
    so that no pair becomes a row and no candidate is left out.
@@ -45,6 +46,7 @@ from stratagraph.llm.common import cut, release, table, text_bytes
 from stratagraph.llm.sentencepiece_codec import blocks
 
 BANDS, ROWS, BATCH = 40, 5, 40
+ORDERS = 4  # orders by which buckets choose their hub
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -326,10 +328,11 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, percent: int = 80, miss
     classes = cut(linked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
     nodes = classes.select(F.col("key1").alias("node"), "key2", "rep", "sig")
     member = classes.select(F.explode("bands").alias("bucket"), F.col("key1").alias("node"))
-    shared = cut(member.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("bucket", "hub"), "shared")
+    hub = F.min_by("node", F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))))
+    shared = cut(member.groupBy("bucket").agg(hub.alias("hub"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "hub"), "shared")
     buckets = cut(member.join(shared.hint("merge"), "bucket"), "buckets")
     texts = cut(open_nodes(docs, nodes.join(buckets.select("node").distinct().hint("merge"), "node")), "open")
-    pairs = buckets.where("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = buckets.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     label = components(confirmed(bayes_pruned(pairs, texts, percent / 100, miss), texts, words, percent))
     # Members of a bucket outside its most frequent component.
     named = label.select(F.col("u").alias("node"), F.col("v").alias("label")).hint("merge")
