@@ -160,6 +160,24 @@ def word_sets(texts, words):
     return out
 
 
+def smallest_linked(sets, ids):
+    """The smallest id that each set's links reach, by comparing all pairs."""
+    label = list(range(len(sets)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                label[b if ids[a] < ids[b] else a] = min(a, b, key=lambda k: ids[k])
+    return [ids[find(i)] for i in range(len(sets))]
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, odd, empty, words):
     r = random.Random(words)
@@ -366,6 +384,50 @@ def test_quality_learns_and_takes_odd_rows(spark, odd, empty):
     assert quality.scored(odd, none).where("score < 0.99").count() == 0
 
 
+def plain_features(text, n_chars):
+    """Word buckets and statistic bins of one text, character class by character class."""
+    import xxhash
+
+    def share(x):
+        if x <= 0:
+            return 0
+        return min(10 + int((x - 0.25) * 7), 15) if x >= 0.25 else min(max(int(np.floor(np.log2(max(x, 1e-9)))) + 11, 1), 9)
+
+    size = lambda x: min(max(int(np.log2(max(x, 0) + 1)), 0), 15)
+    raw = text.encode()
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+    words = [w for w in re.split(rb"[ \t\n\r\v\f]+", lower) if w]
+    n = lambda rx: len(re.findall(rx, raw))
+    lines = raw.split(b"\n")
+    letters = max(n(rb"[A-Z]") + n(rb"[a-z\x80-\xff]"), 1)
+    chars, count = max(len(raw), 1), max(len(words), 1)
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    stats = [share(n(rb"[A-Z]") / letters), share(n(rb"[!?]") / count), share(n(rb"[|]") / count), share(n(rb"[#$%&*@^~<>{}\[\]\\_=+]") / count), share(n(rb"[0-9]") / chars), share(len(set(words)) / count), share(again / count)]
+    stats += [min(int(chars / count), 15), size(len(words)), share((len(lines) - len(set(lines))) / len(lines)), size(chars / len(lines)), size(n_chars)]
+    return sorted({xxhash.xxh3_64_intdigest(w) % quality.BUCKETS for w in words}), [quality.BUCKETS + 16 * k + b for k, b in enumerate(stats)]
+
+
+def test_scores_equal_all_pairs(spark, odd):
+    """Scores of whole texts against plain features and the sum over every pair of them."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    m = quality.trained(docs, spark.read.parquet(f"{d}/labels.parquet"), bound=400)
+    docs = docs.select("doc_id", "text", "n_chars").unionByName(odd.select("doc_id", "text", "n_chars"))
+    got = Counter((x.doc_id, x.held_out, round(x.score, 7), x.predicted) for x in quality.scored(docs, m).collect())
+    want = Counter()
+    for r in docs.collect():
+        text = r.text or ""
+        words, bins = plain_features(text, r.n_chars if r.n_chars is not None else len(text))
+        x = np.r_[np.full(len(words), 1 / np.sqrt(max(len(words), 1))), np.ones(len(bins))]
+        at = np.array(words + bins)
+        q = m.v[at] * x[:, None]
+        pair = q @ q.T
+        score = quality.sigmoid(m.w0 + m.w[at] @ x + (pair.sum() - np.trace(pair)) / 2)
+        held = r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0
+        want[(r.doc_id, held, round(float(score), 7), int(score >= 0.3))] += 1
+    assert got == want
+
+
 def test_pairs_identity():
     r = np.random.default_rng(1)
     m = quality.Machine(0.1, r.normal(size=quality.SIZE), r.normal(size=(quality.SIZE, 4)))
@@ -511,6 +573,56 @@ def test_pipeline_stages_keep_columns(spark, odd, empty):
         out.count()
 
 
+def test_pipeline_equals_plain_version(spark):
+    """All stages over documents, each done again by plain means."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = defaultdict(list)
+    for x in corpus_pipeline.run(spark, d).collect():
+        got[x.doc_id].append(x)
+    m = quality.trained(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    kept = []
+    for r in docs.collect():
+        words, bins = plain_features(r.text or "", r.n_chars if r.n_chars is not None else len(r.text or ""))
+        index, value, first = quality.rows_of([np.array(words, np.int64)], np.array([bins]))
+        if quality.sigmoid(m.raw(index, value, first)[0])[0] >= 0.3:
+            kept.append((r.doc_id, r.text, r.source))
+    pages = defaultdict(set)
+    for _, text, source in kept:
+        if text is not None:
+            pages[source].add(text)
+    on = Counter((source, line) for source, texts in pages.items() for text in texts for line in set(text.split("\n")) if line.strip(" "))
+    drop = {k for k, n in on.items() if n >= boilerplate.MIN_PAGES and n > boilerplate.RATIO * len(pages[k[0]])}
+    kept = [(i, None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in drop)) for i, t, s in kept]
+    label = smallest_linked(word_sets([t for _, t in kept], 5), [i for i, _ in kept])
+    kept = [(i, t) for (i, t), least in zip(kept, label, strict=True) if i == least]
+    clean = spark.createDataFrame(kept, "doc_id long, text string")
+    active = any(t.threshold < float("inf") for t in pii.fitted(clean).values())
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert set(got) == {i for i, _ in kept} and not active  # too few base matches for trees in so small a table
+    for i, text in kept:
+        spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in plain_spans(text).split(",") if x))
+        out, at = "", 0
+        for a, b, kind in spans:
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        ids = [*lib.encode(out + (text or "")[at:], add_special_tokens=False).ids, 2]
+        pieces = sorted(got[i], key=lambda x: x.start)
+        assert [x.start for x in pieces] == [sum(y.length for y in pieces[:k]) for k in range(len(pieces))]
+        assert all(x.ids_crc32 == zlib.crc32(np.array(ids[x.start : x.start + x.length], "<u4").tobytes()) and x.doc_tokens == len(ids) for x in pieces) and sum(x.length for x in pieces) == len(ids)
+
+
+def test_archives_of_an_empty_table(spark):
+    path = scratch(spark, "warc")
+    warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string, payload int, sha1 string"), path)
+    assert warc.page_digests(warc.read_archives(spark, path)).count() == 0
+
+
 def test_sql_of_queries(spark):
     d = "/root/testdata/sf0.001"
     pages = duckdb.sql(f"SELECT * FROM '{d}/pages.parquet'")  # noqa: F841
