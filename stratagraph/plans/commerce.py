@@ -247,7 +247,7 @@ SELECT catalog_id, 'imports' AS relation, scope, target, support, violations, pr
 QUERIES = {
     "catalog_matches": _boundary_matches,
     "discovered_files": lambda s, d: repository.discovered(t.commerce_files(s, d), ["EUROPE/**", "ASIA/**"], ["**/MACHINERY", "ASIA/*/suppliers/**"]).select("repo_id", "path"),
-    "workspace_roots": lambda s, d: workspaces.workspace_roots(t.place_manifests(s, d)),
+    "workspace_roots": lambda s, d: workspaces.workspace_roots(t.customer_manifests(s, d)),
     "nodes_by_subtree": lambda s, d: graph.nodes(t.commerce_files(s, d)),
     "subtree_edges": lambda s, d: graph.edges(t.commerce_imports(s, d)),
     "package_edges": lambda s, d: graph.package_edges(t.commerce_imports(s, d)),
@@ -287,7 +287,7 @@ QUERIES = {
 SQL = {
     "catalog_matches": BOUNDARY_SQL,
     "discovered_files": BASE + "SELECT repo_id, path FROM files WHERE (path LIKE 'EUROPE/%' OR path LIKE 'ASIA/%') AND path NOT LIKE '%/MACHINERY/%' AND NOT regexp_matches(path, '^ASIA/[^/]*/suppliers/')",
-    "workspace_roots": BASE + "SELECT 'commerce' AS repo_id, place AS workspace FROM place WHERE place LIKE 'A%'",
+    "workspace_roots": "WITH k AS (SELECT 'm' || c_custkey % 5 AS repo_id, c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'packages/c' WHEN 1 THEN 'apps/x/c' END || c_custkey AS workspace FROM customer WHERE c_custkey % 3 < 2) SELECT repo_id, workspace FROM k WHERE (repo_id IN ('m0', 'm2', 'm3') AND k % 3 = 0) OR (repo_id IN ('m1', 'm2') AND k % 3 = 1)",
     "nodes_by_subtree": BASE + "SELECT 'commerce' AS repo_id, * FROM nodes",
     "subtree_edges": BASE + "SELECT 'commerce' AS repo_id, * FROM edges",
     "package_edges": BASE + "SELECT 'commerce' AS repo_id, * FROM pkg_edges",

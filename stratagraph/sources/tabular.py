@@ -113,12 +113,15 @@ def order_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.lit("orders").alias("repo_id"), F.concat(F.lit("orders/"), k, F.lit(".ts")).alias("path"), lines.alias("text"))
 
 
-def place_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every nation's directory with a manifest, and a root manifest whose workspaces are the nations of regions with an A."""
-    held = _places(spark, sf_dir).select(F.lit("commerce").alias("repo_id"), F.concat("place", F.lit("/package.json")).alias("path"), F.lit("{}").alias("text"))
-    region = F.replace(F.col("r_name"), F.lit(" "), F.lit("_"))
-    named = table(spark, sf_dir, "region").where("r_name like 'A%'").agg(F.array_sort(F.collect_list(F.concat(region, F.lit("/*")))).alias("workspaces"))
-    return held.unionByName(named.select(F.lit("commerce").alias("repo_id"), F.lit("package.json").alias("path"), F.to_json(F.struct("workspaces")).alias("text")))
+def customer_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of each customer in five repositories, which name their workspaces in different ways, the last not at all."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(k, F.concat(F.lit("m"), k % 5).alias("repo_id"))
+    at = F.when(k % 3 == 0, "packages/c").when(k % 3 == 1, "apps/x/c").otherwise("packages/node_modules/c")
+    held = c.select("repo_id", F.concat(at, k, F.lit("/package.json")).alias("path"), F.lit("{}").alias("text"))
+    roots = [("m0", "package.json", '{"workspaces": ["packages/*"]}'), ("m1", "package.json", '{"workspaces": {"packages": ["./apps/**"]}}'), ("m2", "pnpm-workspace.yaml", "packages:\n  - 'packages/*'\n  - \"apps/*/*\"\n"), ("m3", "turbo.json", "{}")]
+    named = c.select("repo_id").distinct().join(spark.createDataFrame(roots, "repo_id string, path string, text string"), "repo_id")
+    return held.unionByName(named)
 
 
 def nation_entries(spark: SparkSession, sf_dir: str) -> DataFrame:

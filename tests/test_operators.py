@@ -245,6 +245,11 @@ def test_construction_boundary(spark):
     m = catalog.construction_matches(made, f).first()
     assert (round(m.score, 4), m.confidence, m.proposed_rule_id) == (0.77, "MEDIUM", "AG-CAT-SERVICES-VIA-COMPOSITION-ROOT-e8d6300f")
     assert m.evidence == "1/1 eligible files instantiate service classes (1 events, resolved=1 unresolved=0); examples: src/feature/controller.ts:4:new UserService"
+    f = files(spark, [f"src/feature/f{k}.ts" for k in range(10)] + ["src/services/user.ts"])
+    rows = [("r", "src/feature/f0.ts", "UserService", 4, True, True, None)] + [("r", f"src/feature/f{k}.ts", "Plain", 1, True, False, None) for k in (1, 2)] + [("r", f"src/feature/f{k}.ts", "Date", 1, False, False, "symbol_not_resolved") for k in (3, 4, 5, 6)]
+    m = catalog.construction_matches(spark.createDataFrame(rows, made.schema), f, show_low=True).first()
+    assert (round(m.score, 2), m.confidence, m.violating_files, m.eligible_files, m.scoped_files) == (0.49, "LOW", 1, 7, 11)
+    assert catalog.construction_matches(spark.createDataFrame(rows, made.schema), f).count() == 0
 
 
 def test_mined_rules(spark):
