@@ -34,7 +34,7 @@ def normalised(path: Column | str) -> Column:
 def cleaned(path: Column | str) -> Column:
     """normalised, but computed only for paths that need it."""
     p = _col(path)
-    return F.when(p.rlike(r"^$|\\\\|//|/$|(?:^|/)[.]{1,2}(?:/|$)"), normalised(p)).otherwise(p)
+    return F.when(p.rlike(r"^$|\\|//|/$|(?:^|/)[.]{1,2}(?:/|$)"), normalised(p)).otherwise(p)
 
 
 def directory(path: Column | str) -> Column:

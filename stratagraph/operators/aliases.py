@@ -21,7 +21,7 @@ MANIFEST = "autoload struct<`psr-4`: map<string, string>>, `autoload-dev` struct
 
 def plain_json(text: Column) -> Column:
     """JSON from JSON with comments, commas before closing brackets and a byte-order mark; strings stay as they are."""
-    t = F.regexp_replace(text, "^﻿", "")
+    t = F.regexp_replace(text, "^\ufeff", "")
     t = F.regexp_replace(t, STRING + r"|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)", "$1")
     return F.regexp_replace(t, STRING + r"|,(?=[ \n\r\t]*[}\]])", "$1")
 

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratagraph.functions.globs import glob_regex, matches
-from stratagraph.functions.paths import directory, normalised, package_id, suffix
+from stratagraph.functions.paths import cleaned, directory, normalised, package_id, suffix
 from stratagraph.operators import aliases, constructions, graph, languages, mining, policy, report, resolve
 from stratagraph.operators.policy import Rule
 
@@ -46,6 +46,8 @@ def test_path_columns(spark):
     got = spark.createDataFrame(rows, "p string").select(normalised("p"), directory(normalised("p")), suffix("p")).collect()
     assert [r[0] for r in got] == ["a/c.d.ts", "a/b", "../x", "/x", ".", "a/b"]
     assert got[0][1] == "a" and got[0][2] == ".d.ts"
+    every = [*rows, ("a/b.ts",), ("@s/p",), ("./x",), ("a/./b",), ("a/.b/c",), ("x/..",), ("..",)]
+    assert spark.createDataFrame(every, "p string").where(cleaned("p") != normalised("p")).count() == 0
 
 
 @pytest.mark.parametrize(("raw", "expected"), [("react", "react"), ("react/jsx", "react"), ("@a/b/c", "@a/b"), ("@a", "@a"), ("node:fs", "node:fs"), ("./x", ""), ("/x", ""), (" lodash?x ", "lodash"), ("a\\b", "a"), ("", "")])
