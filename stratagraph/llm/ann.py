@@ -142,9 +142,13 @@ def nearest_scale(x: np.ndarray, rank: int = 1, asked: int = 256) -> float:
     return float(np.median(least)) if len(least) else 1.0
 
 
+def _stored(df: DataFrame) -> str:
+    """The type vectors are dealt in: single precision where they are given so; distances are in double precision."""
+    return "array<float>" if df.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def _valid(df: DataFrame) -> DataFrame:
-    v = F.col("embedding")
-    d = df.select(F.col("vec_id").cast("long"), v.cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    d = df.select(F.col("vec_id").cast("long"), F.col("embedding").cast(_stored(df)).alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return d.where(finite & F.exists("v", lambda x: x != 0))
 
@@ -162,7 +166,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
     if not len(sample):
         return empty
     dim = int(sample.v.map(len).mode()[0])
-    x = np.stack([v for v in sample.v if len(v) == dim])
+    x = np.stack([v for v in sample.v if len(v) == dim]).astype(np.float64)
+    kind = _stored(vectors)
 
     valid = valid.where(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
     key = valid.withColumn("h", F.xxhash64("v"))
@@ -181,7 +186,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
             lists = [pa.ListArray.from_arrays(first, pa.array(x.ravel())) for x in (unit_of(b, units), b)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["head", "v", "units", "buckets"])
 
-    indexed = cut(heads.select("head", "v").mapInArrow(index, "head long, v array<double>, units array<int>, buckets array<long>"), "index")
+    indexed = cut(heads.select("head", "v").mapInArrow(index, f"head long, v {kind}, units array<int>, buckets array<long>"), "index")
     sizes = indexed.select(F.posexplode("units").alias("t", "unit")).groupBy("t", "unit").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("parts"))
     sizes = cut(sizes, "units")
     placed = indexed.select("head", "v", F.posexplode(F.arrays_zip("units", "buckets")).alias("t", "at")).select("head", "v", "t", F.col("at.units").alias("unit"), F.col("at.buckets").alias("bucket"))
@@ -208,7 +213,7 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10) -> Dat
 
     def search(asked: DataFrame, hashed: bool) -> DataFrame:
         n = max(1, -(-asked.count() // QUERY_BLOCK))
-        rows = asked.select("vec_id", "v").mapInArrow(ask(hashed), "t int, unit int, vec_id long, v array<double>, probes array<long>")
+        rows = asked.select("vec_id", "v").mapInArrow(ask(hashed), f"t int, unit int, vec_id long, v {kind}, probes array<long>")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("t", "unit", "block").agg(F.collect_list(F.struct("vec_id", "v", "probes")).alias("asked"))
         met = rows.join(stored.hint("merge"), ["t", "unit"]).select("stored", "asked")
 
