@@ -239,17 +239,19 @@ def without_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
         unpack = _unpacker()
         for batch in batches:
             rows = []
-            for doc, packed, of in zip(*(batch.column(n) for n in ("doc", "packed", "spans")), strict=True):
+            of = batch.column(2)
+            flat, ends = of.flatten(), np.cumsum(of.value_lengths().fill_null(0).to_numpy()).tolist()
+            start, end = flat.field("start").to_numpy(), flat.field("end").to_numpy()
+            for doc, packed, low, high in zip(batch.column(0).to_pylist(), batch.column(1), [0, *ends], ends, strict=False):
                 raw = unpack(packed.as_py())
-                keep, n, end, last = [], 0, 0, -1
-                for s in sorted((x["start"], x["end"]) for x in (of.as_py() or ())):
-                    if s[0] > last:
-                        n += 1
-                        keep.append(raw[end : s[0]])
-                    end = last = max(last, s[1])
-                keep.append(raw[end:])
-                kept = b"".join(keep)
-                row = (None if doc.as_py() == NO_ID else doc.as_py(), len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest())
+                kept, n = raw, 0
+                if high > low:
+                    order = np.argsort(start[low:high])
+                    s, reach = start[low:high][order], np.maximum.accumulate(end[low:high][order])
+                    new = np.flatnonzero(np.r_[True, s[1:] > reach[:-1]])
+                    begin, stop = s[new].tolist(), reach[np.r_[new[1:] - 1, -1]].tolist()
+                    kept, n = b"".join([raw[i:j] for i, j in zip([0, *stop], [*begin, len(raw)], strict=True)]), len(new)
+                row = (None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest())
                 rows.append(row + (kept,) * with_text)
             if rows:
                 types = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_text
