@@ -139,7 +139,7 @@ def nation_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     script, php = (F.concat(F.lit("app/p"), "p", F.lit(e)) for e in (".ts", ".php"))
     one = lambda source, raw: F.struct(source.alias("source_file"), raw.alias("raw_import"))
     every = F.array(one(script, F.concat(F.lit("@s/supp"), k)), F.when(odd, one(php, F.concat(F.lit("App\\Sup\\supp"), k))), one(script, F.concat(F.lit("pkg"), F.col("s_suppkey") % 7, F.lit("/x"))))
-    return used.select(F.concat(F.lit("n"), "s_nationkey").alias("repo_id"), F.inline(F.array_compact(every)))
+    return used.select(F.concat(F.lit("n"), "s_nationkey").alias("repo_id"), F.inline(F.array_compact(every))).distinct()
 
 
 def nation_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
