@@ -40,6 +40,7 @@ own rows. Other columns stay as they are, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +53,7 @@ KINDS = ("email", "ip", "card", "phone")
 PATTERN = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9]++(?:[ -][0-9]++)*+",
+    "card": r"[0-9](?:[ -]?+[0-9]){12,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 MAY = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?+[0-9]){12}", "phone": r"\+[0-9]"}
@@ -62,6 +63,8 @@ PHONE_LIKE = r"(?:\+[0-9]{1,3}[ .-]?+)?+\(?+[0-9]{2,4}\)?+[ .-][0-9]{3}[ .-][0-9
 CARD_LIKE = r"(?<![0-9])[0-9]{4}(?:[ -]?+[0-9]{4}){3}(?![0-9])"
 PREFIX = r"^\+(?:[0-9]{1,3}[ .-]+)?"
 SPAN = "array<struct<start:int,end:int,value:string>>"
+PAGE = 1024
+DIGITS = 3  # of a score after the point, so that there are few different ones
 FEATURES = ("digits", "groups", "first", "last", "separator", "open", "luhn", "octets", "labels", "ending", "before", "after", "word", "spelled")
 #: Features that tell base spans of a kind from other writings of it.
 OWN = {"email": ("spelled", "separator"), "ip": ("separator",), "card": ("separator",), "phone": ()}
@@ -90,46 +93,95 @@ def holds(kind: str, value: Column) -> Column:
     return {"email": F.lit(True), "ip": octets(value), "card": n.between(13, 19) & luhn(value), "phone": n.between(9, 15)}[kind]
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Spans of all matches: the text between matches gives their places."""
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def scanned(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str, size: int = 256) -> Column:
+    """A fold over items: step(state, item) is the new state and an array of new elements of type kind; gives (state, out).
+
+    An array that grows is copied at every append, so elements are first appended in
+    parts of size items, and the parts are joined at the end.
+    """
+    parts = bound(items, lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.size(x) - 1) / size).cast("int")), lambda i: F.slice(x, i * size + 1, size)))
+    none = F.array().cast(f"array<{kind}>").alias("out")
+
+    def over(acc: Column, part: Column) -> Column:
+        def one(a: Column, x: Column) -> Column:
+            after, new = step(a["state"], x)
+            return F.struct(after.alias("state"), F.concat(a["out"], new).alias("out"))
+
+        return F.aggregate(part, F.struct(acc["state"].alias("state"), none), one, lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.aggregate(parts, start, over, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
+
+
+def located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Spans of the wanted matches: the text between matches gives their places."""
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gap = F.split(text, pattern, -1)
-    pairs = F.zip_with(match, F.slice(gap, 1, F.size(match)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    pairs = bound(match, lambda found: F.zip_with(found, F.slice(gap, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"))))
 
-    def step(acc, p):
-        begin = acc["at"] + p["g"]
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        begin = at + p["g"]
         end = begin + F.char_length(p["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("value")))).alias("out"))
+        span = F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("value")))
+        return end, span if wanted is None else F.when(wanted(p["m"]), span).otherwise(F.array().cast(SPAN))
 
-    return F.aggregate(pairs, start, step)["out"]
+    return scanned(pairs, F.lit(0), step, SPAN[6:-1])["out"]
 
 
 def base_spans(text: Column, kind: str) -> Column:
-    found = F.filter(located(text, PATTERN[kind]), lambda s: holds(kind, s["value"]))
-    return F.when(text.rlike(MAY[kind]), found).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(MAY[kind]), located(text, PATTERN[kind], lambda m: holds(kind, m))).otherwise(F.array().cast(SPAN))
 
 
 def proposals(text: Column) -> Column:
-    """Candidate spans of all generators, each once."""
+    """Candidate spans of all generators; what several propose comes several times."""
     empty = F.array().cast(SPAN)
     runs = F.when(text.rlike("[0-9]"), F.concat(*(located(text, p) for p in (DIGIT_RUN, PHONE_LIKE, CARD_LIKE)))).otherwise(empty)
     spelled = F.when(text.rlike(r"@|\(at\)|\[at\]"), located(text, SPELLED)).otherwise(empty)
-    return F.array_distinct(F.concat(runs, spelled))
+    return F.concat(runs, spelled)
 
 
-def overlaps(s: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+def free(proposed: Column, base: Column) -> Column:
+    """The proposed spans, each once, that overlap none of base: the furthest end of base spans that start before a span's end is not past its start."""
+    points = lambda spans, key, late: F.transform(spans, lambda s: F.struct(s[key].alias("key"), F.lit(late).alias("late"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    items = F.sort_array(F.concat(points(base, "start", 1), points(proposed, "end", 0)))
+    start = F.struct(F.lit(0).alias("reach"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
 
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        of_base = x["late"] == 1
+        after = F.struct(F.when(of_base, F.greatest(state["reach"], x["end"])).otherwise(state["reach"]).alias("reach"), F.when(of_base, state["start"]).otherwise(x["start"]).alias("start"), F.when(of_base, state["end"]).otherwise(x["end"]).alias("end"))
+        new = ~of_base & (state["reach"] <= x["start"]) & ((state["start"] != x["start"]) | (state["end"] != x["end"]))
+        return after, F.when(new, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))).otherwise(F.array().cast(SPAN))
 
-def feature_columns(text: Column, s: Column) -> dict[str, Column]:
-    """Features of a span (start, end, value), its value without a country prefix."""
+    return F.when(F.size(items) > 0, scanned(items, start, step, SPAN[6:-1])["out"]).otherwise(F.array().cast(SPAN))
+
+
+def in_pages(text: Column) -> Column:
+    """The text in pages of PAGE code points, so that a place is found without counting from the text's start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def excerpt(pages: Column, at: Column, n: Column) -> Column:
+    """n code points from place at; empty where they lie outside."""
+    first, last = F.floor(at / PAGE).cast("int"), F.floor((at + n - 1) / PAGE).cast("int")
+    page = lambda i: F.coalesce(F.get(pages, i), F.lit(""))
+    whole = F.array_join(F.slice(pages, first + 2, F.greatest(F.lit(0), last - first - 1)), "")
+    head = F.substring(page(first), at - first * PAGE + 1, n)
+    return F.when(n <= 0, "").when(last == first, head).otherwise(F.concat(head, whole, F.substring(page(last), F.lit(1), at + n - last * PAGE)))
+
+
+def feature_columns(pages: Column, s: Column) -> dict[str, Column]:
+    """Features of a span (start, end, value) of a text in pages, its value without a country prefix."""
     v = F.regexp_replace(s["value"], PREFIX, "")
     domain = F.regexp_extract(v, r"(?:@|\(at\)|\[at\])(.*)$", 1)
     group = F.filter(F.split(v, "[^0-9]+"), lambda g: g != "")
     size = lambda i: F.least(F.lit(7), F.coalesce(F.length(F.try_element_at(group, F.lit(i))), F.lit(0)))
     kind = lambda c: F.when(c == "", 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\s"), 3).when(c.rlike("[,.;:!?)]"), 4).otherwise(5)
-    past = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - 23), F.least(F.lit(24), s["start"])))
+    past = F.lower(excerpt(pages, F.greatest(F.lit(0), s["start"] - 24), F.least(F.lit(24), s["start"])))
     return {
         "digits": F.least(F.lit(20), F.length(digits(v))),
         "groups": F.least(F.lit(7), F.size(group)),
@@ -141,8 +193,8 @@ def feature_columns(text: Column, s: Column) -> dict[str, Column]:
         "octets": ((F.size(group) == 4) & F.forall(group, lambda g: octets(g))).cast("int"),
         "labels": F.when(domain == "", 0).otherwise(F.least(F.lit(5), F.size(F.split(domain, r"\.|\(dot\)|\[dot\]")))),
         "ending": F.when(domain == "", 0).otherwise(F.least(F.lit(7), F.length(F.regexp_extract(domain, "([A-Za-z]*)$", 1)))),
-        "before": kind(F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")),
-        "after": kind(F.substring(text, s["end"] + 1, F.lit(1))),
+        "before": kind(F.when(s["start"] > 0, excerpt(pages, s["start"] - 1, F.lit(1))).otherwise("")),
+        "after": kind(excerpt(pages, s["end"], F.lit(1))),
         "word": F.when(past.rlike("order|invoice|ticket|item|part|serial|account|token|version"), 5).when(past.rlike("phone|tel|call|fax|mobil"), 1).when(past.rlike("card|visa|credit|iban"), 2).when(past.rlike("host|addr|server"), 3).when(past.rlike("mail|contact|write"), 4).otherwise(0),
         "spelled": F.when(v.contains("@"), 1).when(v.rlike(r"\((?:at|dot)\)|\[(?:at|dot)\]"), 2).otherwise(0),
     }
@@ -233,11 +285,9 @@ def candidate_cells(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", t.alias("t")).where(F.col("t").rlike(r"[0-9@]|\(at\)|\[at\]"))
     d = d.select("t", *(base_spans(F.col("t"), k).alias(k) for k in KINDS))
-    named = lambda kind: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(kind).alias("kind"))
-    free = F.filter(proposals(F.col("t")), lambda s: ~overlaps(s, F.concat(*KINDS)))
-    every = F.concat(F.transform(free, named("")), *(F.transform(k, named(k)) for k in KINDS))
-    made = d.select("t", F.explode(every).alias("s"))
-    made = made.select(*(c.cast("int").alias(n) for n, c in feature_columns(F.col("t"), F.col("s")).items()), F.col("s.kind").alias("kind"))
+    d = d.select(*KINDS, free(proposals(F.col("t")), F.concat(*KINDS)).alias("free"), in_pages(F.col("t")).alias("pages"))
+    described = lambda kind: lambda s: F.struct(*(c.cast("int").alias(n) for n, c in feature_columns(F.col("pages"), s).items()), F.lit(kind).alias("kind"))
+    made = d.select(F.inline(F.concat(F.transform("free", described("")), *(F.transform(k, described(k)) for k in KINDS))))
     return made.groupBy(*FEATURES, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -267,7 +317,7 @@ def fitted(docs: DataFrame, bound: int = 20000, cells: int = 20000, precision: f
     scores: dict[str, list[tuple[float, float, float]]] = {k: [] for k in trees}
     if trees:
         f = {n: F.col(n) for n in FEATURES}
-        scored = [F.struct(F.lit(k).alias("of"), F.round(_score(t, f), 6).alias("score"), F.when(F.col("kind") == k, F.col("n")).otherwise(0).alias("pos"), F.col("n").alias("n")) for k, t in trees.items()]
+        scored = [F.struct(F.lit(k).alias("of"), F.round(_score(t, f), DIGITS).alias("score"), F.when(F.col("kind") == k, F.col("n")).otherwise(0).alias("pos"), F.col("n").alias("n")) for k, t in trees.items()]
         counts = candidate_cells(docs.where(_held())).select(F.inline(F.array(*scored))).groupBy("of", "score").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
         for r in counts.collect():
             scores[r["of"]].append((r["score"], r["pos"], r["n"]))
@@ -289,19 +339,25 @@ def _score(trees: list, f: dict[str, Column]) -> Column:
 
 def _margin(trees: Trees, x: Column) -> Column:
     """The sum of the trees above the threshold, by the sum that the threshold was calibrated on."""
-    return F.round(_score(trees.trees, {n: x[n] for n in FEATURES}), 6) - F.lit(float(trees.threshold))
+    return F.round(_score(trees.trees, {n: x[n] for n in FEATURES}), DIGITS) - F.lit(float(trees.threshold))
+
+
+PASSED = "struct<start:int,end:int,value:string,kind:string,m:double,beaten:boolean>"
 
 
-def _beaten(passing: Column):
-    """Whether a span that passes overlaps another one that passes by more, or by as much and is longer, or as long and earlier."""
+def unbeaten(passing: Column) -> Column:
+    """The spans that pass and overlap no other one that passes by more, or by as much and is longer, or as long and earlier. Spans are met by start and stay in the state until none that comes can overlap them, a few of each generator."""
     size = lambda s: s["end"] - s["start"]
+    more = lambda y, x: (y["m"] > x["m"]) | ((y["m"] == x["m"]) & ((size(y) > size(x)) | ((size(y) == size(x)) & (y["start"] < x["start"]))))
+    marked = lambda y, beaten: F.struct(*(y[c].alias(c) for c in ("start", "end", "value", "kind", "m")), beaten.alias("beaten"))
 
-    def beaten(x: Column) -> Column:
-        over = lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"])
-        more = lambda y: (y["m"] > x["m"]) | ((y["m"] == x["m"]) & ((size(y) > size(x)) | ((size(y) == size(x)) & (y["start"] < x["start"]))))
-        return F.exists(passing, lambda y: over(y) & more(y))
+    def step(live: Column, x: Column) -> tuple[Column, Column]:
+        near = F.filter(live, lambda y: y["end"] > x["start"])
+        after = F.concat(F.transform(near, lambda y: marked(y, y["beaten"] | more(x, y))), F.array(marked(x, F.exists(near, lambda y: more(y, x)))))
+        return after, F.filter(live, lambda y: (y["end"] <= x["start"]) & ~y["beaten"])
 
-    return beaten
+    found = scanned(F.sort_array(passing), F.array().cast(f"array<{PASSED}>"), step, PASSED)
+    return bound(found, lambda r: F.concat(r["out"], F.filter(r["state"], lambda y: ~y["beaten"])))
 
 
 def _named(kind: str):
@@ -319,16 +375,15 @@ def with_spans(docs: DataFrame, trees: dict[str, Trees]) -> DataFrame:
     d = d.select("doc", "t", *(base_spans(t, k).alias(k) for k in KINDS))
     active = [k for k in KINDS if trees[k].trees and trees[k].threshold < math.inf]
     if active:
-        free = F.filter(proposals(t), lambda s: ~overlaps(s, F.concat(*KINDS)))
-        d = d.select("doc", "t", *KINDS, free.alias("free"))
-        described = F.transform("free", lambda s: F.struct(s.alias("s"), *(c.cast("int").alias(n) for n, c in feature_columns(t, s).items())))
+        d = d.select("doc", *KINDS, free(proposals(t), F.concat(*KINDS)).alias("free"), F.when(t.rlike(r"[0-9@]|\(at\)|\[at\]"), in_pages(t)).alias("pages"))
+        described = F.transform("free", lambda s: F.struct(s.alias("s"), *(c.cast("int").alias(n) for n, c in feature_columns(F.col("pages"), s).items())))
         margins = F.transform(described, lambda x: F.struct(x["s"].alias("s"), F.greatest(*(F.struct(_margin(trees[k], x).alias("m"), F.lit(k).alias("kind")) for k in active), F.struct(F.lit(-1.0).alias("m"), F.lit("").alias("kind"))).alias("best")))
         passing = F.filter(margins, lambda x: x["best"]["m"] >= 0)
         flat = F.transform(passing, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value"), x["best"]["kind"].alias("kind"), x["best"]["m"].alias("m")))
         d = d.select("doc", *KINDS, F.when(F.size("free") > 0, flat).alias("passing"))
-        d = d.select("doc", *KINDS, F.filter("passing", lambda x: ~_beaten(F.col("passing"))(x)).alias("new"))
+        d = d.select("doc", *KINDS, F.when(F.size("passing") > 0, unbeaten(F.col("passing"))).alias("new"))
         of = lambda k: F.transform(F.filter("new", lambda x: x["kind"] == k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-        every = {k: F.when(F.coalesce(F.size("new"), F.lit(0)) > 0, F.array_sort(F.concat(k, of(k)))).otherwise(F.col(k)) if k in active else F.col(k) for k in KINDS}
+        every = {k: F.when(F.coalesce(F.size("new"), F.lit(0)) > 0, F.sort_array(F.concat(k, of(k)))).otherwise(F.col(k)) if k in active else F.col(k) for k in KINDS}
     else:
         every = {k: F.col(k) for k in KINDS}
     taken = [f"_{a}_{k}" for a in ("base", "all") for k in KINDS]
@@ -343,17 +398,16 @@ def shown(prefix: str) -> Column:
 def redacted(docs: DataFrame, trees: dict[str, Trees]) -> DataFrame:
     """docs with every span of text replaced by its kind in brackets; of overlapping spans the union goes, under the first's kind."""
     d = with_spans(docs.select(F.struct("*").alias("doc"), "text"), trees)
-    spans = F.array_sort(F.concat(*(F.transform(f"_all_{k}", _typed(k)) for k in KINDS)))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    spans = F.sort_array(F.concat(*(F.transform(f"_all_{k}", _typed(k)) for k in KINDS)))
     text = F.col("text").cast("string")
 
-    def step(acc, s):
-        gap = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.when(s["start"] >= acc["at"], gap).otherwise("")).alias("out"))
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        gap = F.concat(excerpt(F.col("_pages"), at, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.greatest(at, s["end"]), F.when(s["start"] >= at, F.array(gap)).otherwise(F.array().cast("array<string>"))
 
-    d = d.withColumn("_spans", spans)
-    folded = F.aggregate("_spans", start, step)
-    new = F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.char_length(text)))
+    d = d.withColumn("_spans", spans).withColumn("_pages", F.when(F.size("_spans") > 0, in_pages(text)))
+    cut_ = scanned(F.col("_spans"), F.lit(0), step, "string")
+    new = bound(cut_, lambda r: F.concat(F.array_join(r["out"], ""), excerpt(F.col("_pages"), r["state"], F.char_length(text) - r["state"])))
     new = F.when(F.size("_spans") > 0, new).otherwise(text)
     return d.select(*(new.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns))
 
