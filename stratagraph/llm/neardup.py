@@ -9,9 +9,11 @@
 3. Candidates of a bucket are compared with one member first, its hub, and
    verified links are joined to components. Hubs are the first by one of a few
    orders, so members of a large group meet several hubs. Where a bucket then still holds
-   several components, the members outside its most frequent one are compared
-   with the open members of all buckets of that component, block against block,
-   so that no pair becomes a row and no candidate is left out.
+   several components, its members outside the most frequent one are compared
+   with all of it, share against share, by signatures alone; a pair is compared
+   in the first band whose bucket it shares, so once. What survives is kept as lists
+   by the shares of texts that hold the two, and verified where these texts meet:
+   no pair becomes a row, and no candidate is left out.
 4. Verification reads signatures batch by batch and drops a pair as soon as the
    posterior probability (uniform prior) that its similarity reaches the
    threshold is below `miss`. Survivors are confirmed on their full sets.
@@ -159,7 +161,7 @@ def bayes_pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: floa
 
 
 def open_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, sig and packed, the compressed text, of nodes (node, rep, sig). Texts are compressed before they are dealt, once for each doc_id and text."""
+    """node, sig, bands and packed, the compressed text, of nodes (node, rep, sig, bands). Texts are compressed before they are dealt, once for each doc_id and text."""
     import zstandard
 
     def compress(batches):
@@ -169,7 +171,7 @@ def open_nodes(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(), text_bytes().alias("raw")).where("doc_id is not null").mapInArrow(compress, "doc_id long, text_key long, packed binary")
     packed = packed.groupBy("doc_id", "text_key").agg(F.first("packed").alias("packed"))
-    return nodes.select("node", "sig", "rep.doc_id", "rep.text_key").hint("merge").join(packed, ["doc_id", "text_key"]).select("node", "sig", "packed")
+    return nodes.select("node", "sig", "bands", "rep.doc_id", "rep.text_key").hint("merge").join(packed, ["doc_id", "text_key"]).select("node", "sig", "bands", "packed")
 
 
 def _sets(packed: list[bytes], words: int) -> list[np.ndarray]:
@@ -200,60 +202,136 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(lambda batches: in_stars(run(batches)), STARS)
 
 
-def block_links(x: list[dict], y: list[dict], bounds: list[tuple[int, int]], words: int, percent: int) -> list[tuple[int, int]]:
-    """Links between two lists of documents (doc_id, sig, packed): signature batches first, then full sets."""
-    sx, sy = (np.frombuffer(b"".join(d["sig"] for d in z), np.uint8).reshape(len(z), -1) for z in (x, y))
-    i, j = np.indices((len(x), len(y))).reshape(2, -1)
-    differ = np.array([d["doc_id"] for d in x])[i] != np.array([d["doc_id"] for d in y])[j]
-    i, j = i[differ], j[differ]
-    matches = np.zeros(len(i), np.int64)
-    for size, least in bounds:
-        matches += (sx[i, size - BATCH : size] == sy[j, size - BATCH : size]).sum(axis=1)
-        keep = matches >= least
-        i, j, matches = i[keep], j[keep], matches[keep]
-    if not len(i):
-        return []
-    ux, at_x = np.unique(i, return_inverse=True)
-    uy, at_y = np.unique(j, return_inverse=True)
-    of_x, of_y = _sets([x[k]["packed"] for k in ux], words), _sets([y[k]["packed"] for k in uy], words)
-    if len(i) * 8 < len(ux) * len(uy):
-        good = np.array([similar(of_x[a], of_y[b], percent) for a, b in zip(at_x, at_y, strict=True)], bool)
-    else:  # many survivors: shared shingles of all pairs at once, as a product of incidence matrices over a part of the shingles at a time
-        every = np.unique(np.concatenate(of_x))
-        both = np.zeros((len(ux), len(uy)), np.int64)
-        for k in range(0, len(every), 4096):
-            part = every[k : k + 4096]
-            m = [np.zeros((len(z), len(part)), np.float32) for z in (of_x, of_y)]
-            for rows, sets in zip(m, (of_x, of_y), strict=True):
-                for r, s in zip(rows, sets, strict=True):
-                    s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
-                    at = np.searchsorted(part, s)
-                    r[at[part[at] == s]] = 1
-            both += (m[0] @ m[1].T).astype(np.int64)
-        union = np.array([len(s) for s in of_x])[:, None] + np.array([len(s) for s in of_y]) - both
-        good = ((both > 0) & (100 * both >= percent * union))[at_x, at_y]
-    return [(x[a]["doc_id"], y[b]["doc_id"]) for a, b in zip(i[good], j[good], strict=True)]
-
-
-def linked_components(groups: DataFrame, texts: DataFrame, words: int, percent: int, miss: float, size: int = 192) -> tuple[DataFrame, list[DataFrame]]:
-    """Stars (u, v) of the labels that a link joins, and the written tables they are read from. groups: (main, node, label); in each, nodes of other labels than main are compared with all of it, block against block."""
+SHARE, TEXTS = 768, 512  # nodes in a share of a bucket, and in a share of the texts
+
+
+class Members:
+    """Nodes of a bucket as arrays, from an Arrow list of structs; earlier holds their buckets of the bands before this one."""
+
+    def __init__(self, rows: pa.StructArray):
+        get = lambda c: rows.field(c).to_numpy(zero_copy_only=False)
+        self.node, self.label, self.out = get("node"), get("label"), get("out")
+        self.sig = np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint8).reshape(len(rows), -1)
+        self.earlier = rows.field("earlier").flatten().to_numpy().reshape(len(rows), -1)
+
+
+def first_met(x: Members, y: Members) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that are compared in this bucket: their labels differ and they share no bucket of an earlier band; of two outside members once."""
+    found: list[list[np.ndarray]] = [[], []]
+    for r in range(0, len(x.node), 256):
+        rows = slice(r, r + 256)
+        new = (x.label[rows, None] != y.label) & (~y.out | (x.node[rows, None] < y.node))
+        for k in range(x.earlier.shape[1]):
+            new &= x.earlier[rows, k, None] != y.earlier[:, k]
+        i, j = np.nonzero(new)
+        found[0].append(i + r)
+        found[1].append(j)
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
+def survivors(x: Members, y: Members, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that are first met here and survive all signature batches."""
+    out: list[list[np.ndarray]] = [[], []]
+    every = first_met(x, y)
+    for at in range(0, len(every[0]), 1 << 16):
+        i, j = (e[at : at + (1 << 16)] for e in every)
+        matches = np.zeros(len(i), np.int64)
+        for size, least in bounds:
+            matches += (x.sig[i, size - BATCH : size] == y.sig[j, size - BATCH : size]).sum(axis=1)
+            keep = matches >= least
+            i, j, matches = i[keep], j[keep], matches[keep]
+        out[0].append(i)
+        out[1].append(j)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out[0]]), np.concatenate([none, *out[1]])
+
+
+def similar_pairs(of_x: list[np.ndarray], of_y: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (i, j) of sets have 100 * intersection >= percent * union."""
+    if len(i) * 8 < len(of_x) * len(of_y):
+        return np.array([similar(of_x[a], of_y[b], percent) for a, b in zip(i, j, strict=True)], bool)
+    every = np.unique(np.concatenate([*of_x, *of_y]))  # many pairs: shared shingles of all at once, as a product of incidence matrices over a part of the shingles at a time
+    both = np.zeros((len(of_x), len(of_y)), np.int64)
+    for k in range(0, len(every), 4096):
+        part = every[k : k + 4096]
+        m = [np.zeros((len(z), len(part)), np.float32) for z in (of_x, of_y)]
+        for rows, sets in zip(m, (of_x, of_y), strict=True):
+            for r, s in zip(rows, sets, strict=True):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], side="right")]
+                r[np.searchsorted(part, s)] = 1
+        both += (m[0] @ m[1].T).astype(np.int64)
+    union = np.array([len(s) for s in of_x])[:, None] + np.array([len(s) for s in of_y]) - both
+    return ((both > 0) & (100 * both >= percent * union))[i, j]
+
+
+def verified(nodes: np.ndarray, packed: list[bytes], a: np.ndarray, b: np.ndarray, words: int, percent: int, size: int = 128) -> np.ndarray:
+    """Which of the pairs of nodes (a, b) are similar by their texts; sets of size nodes at a time on either side."""
+    order = np.argsort(nodes)
+    at = [order[np.searchsorted(nodes[order], z)] for z in (a, b)]
+    tile = (at[0] // size) * (len(nodes) // size + 1) + at[1] // size
+    good = np.zeros(len(a), bool)
+    by = np.argsort(tile, kind="stable")
+    for pairs in np.split(by, np.flatnonzero(np.diff(tile[by])) + 1):
+        if len(pairs):
+            (ux, i), (uy, j) = (np.unique(z[pairs], return_inverse=True) for z in at)
+            good[pairs] = similar_pairs(_sets([packed[k] for k in ux], words), _sets([packed[k] for k in uy], words), i, j, percent)
+    return good
+
+
+FOUND = "share_a int, share_b int, a array<long>, b array<long>, label_a array<long>, label_b array<long>"
+
+
+def linked_components(members: DataFrame, texts: DataFrame, words: int, percent: int, miss: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Stars (u, v) of the labels that a link joins, and the written tables they are read from.
+
+    members: (bucket, main, total, node, label), total the bucket's members; in each bucket those of other labels than main
+    are compared with all, by signatures alone, and a pair only in the first bucket that it shares.
+    What survives goes to the shares of texts that hold the two nodes, as lists, where each text comes once.
+    """
     bounds = least_matches(percent / 100, miss)
-    sizes = cut(groups.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n_blocks")), "group-sizes")
-    carried = groups.join(sizes.hint("merge"), "main").join(texts.hint("merge"), "node")
+    shares = max(1, -(-texts.count() // TEXTS))
+    carried = members.join(texts.select("node", "sig", "bands").hint("merge"), "node").withColumn("n_blocks", F.ceil(F.col("total") / SHARE).cast("int"))
     carried = carried.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int"))
-    doc = F.struct(F.col("label").alias("doc_id"), "sig", "packed")
-    grouped = cut(carried.groupBy("main", "block", "n_blocks").agg(F.collect_list(doc).alias("y"), F.collect_list(F.when(F.col("label") != F.col("main"), doc)).alias("x")), "blocks")
-    x = grouped.where(F.size("x") > 0).select("main", "x", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
-    joined = x.join(grouped.select("main", "block", "y").hint("merge"), ["main", "block"]).select("x", "y")
-
-    def run(batches):
+    member = F.struct("node", "label", (F.col("label") != F.col("main")).alias("out"), "sig", F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1).alias("earlier"))
+    blocks_ = cut(carried.groupBy("bucket", "block", "n_blocks").agg(F.collect_list(member).alias("y")), "blocks")
+    grouped = blocks_.withColumn("x", F.filter("y", lambda d: d["out"]))
+    one = grouped.where("n_blocks = 1").select("x", "y")
+    x = grouped.where("n_blocks > 1 and size(x) > 0").select("bucket", "x", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    many = x.join(grouped.where("n_blocks > 1").select("bucket", "block", "y").hint("merge"), ["bucket", "block"]).select("x", "y")
+    share = lambda n: ((n.astype(np.uint64) * ODD[0] >> np.uint64(32)) % np.uint64(shares)).astype(np.int32)
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (Members(batch.column(c).slice(k, 1).flatten()) for c in (0, 1))
+                i, j = survivors(x, y, bounds)
+                if not len(i):
+                    continue
+                a, b, la, lb = x.node[i], y.node[j], x.label[i], y.label[j]
+                swap = (share(a) > share(b)) | ((share(a) == share(b)) & (a > b))
+                a, b, la, lb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, lb, la), np.where(swap, la, lb)
+                sa, sb = share(a), share(b)
+                order = np.lexsort((sb, sa))
+                new = np.flatnonzero(np.r_[True, (np.diff(sa[order]) != 0) | (np.diff(sb[order]) != 0)])
+                ends = pa.array(np.r_[new, len(order)].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(sa[order[new]]), pa.array(sb[order[new]]), *(pa.ListArray.from_arrays(ends, pa.array(z[order])) for z in (a, b, la, lb))], [c.split()[0] for c in FOUND.split(", ")])
+
+    found = one.where(F.size("x") > 0).unionByName(many).mapInArrow(compare, FOUND)
+    lists = found.groupBy("share_a", "share_b").agg(F.collect_list(F.struct("a", "b", "label_a", "label_b")).alias("of"))
+    lists = cut(lists.select("share_a", "share_b", *(F.flatten(F.col(f"of.{c}")).alias(c) for c in ("a", "b", "label_a", "label_b"))), "survivors")
+    needed = lists.select("share_a", "share_b", F.explode(F.array_distinct(F.concat("a", "b"))).alias("node"))
+    with_texts = needed.join(texts.select("node", "packed").hint("merge"), "node").groupBy("share_a", "share_b").agg(F.collect_list(F.struct("node", "packed")).alias("texts"))
+    met = lists.join(with_texts.hint("merge"), ["share_a", "share_b"]).select("texts", "a", "b", "label_a", "label_b")
+
+    def verify(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                links = set(block_links(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), bounds, words, percent))
-                if links:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
+                texts_ = batch.column(0).slice(k, 1).flatten()
+                a, b, la, lb = (batch.column(c).slice(k, 1).flatten().to_numpy() for c in range(1, 5))
+                good = verified(texts_.field("node").to_numpy(), texts_.field("packed").to_pylist(), a, b, words, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(la[good]), pa.array(lb[good])], ["a", "b"])
 
-    return joined.mapInArrow(lambda batches: in_stars(run(batches)), STARS), [sizes, grouped]
+    return met.mapInArrow(lambda batches: in_stars(verify(batches)), STARS), [blocks_, lists]
 
 
 STARS = "u long, v long"
@@ -326,7 +404,7 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, percent: int = 80, miss
     s = cut(sketches(docs, words), "sketches")
     linked = s.where("doc_id is not null and n_shingles > 0")
     classes = cut(linked.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "classes")
-    nodes = classes.select(F.col("key1").alias("node"), "key2", "rep", "sig")
+    nodes = classes.select(F.col("key1").alias("node"), "key2", "rep", "sig", "bands")
     member = classes.select(F.explode("bands").alias("bucket"), F.col("key1").alias("node"))
     hub = F.min_by("node", F.xxhash64("node", F.pmod("bucket", F.lit(ORDERS))))
     shared = cut(member.groupBy("bucket").agg(hub.alias("hub"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("bucket", "hub"), "shared")
@@ -338,14 +416,13 @@ def near_duplicate_rows(docs: DataFrame, words: int = 5, percent: int = 80, miss
     named = label.select(F.col("u").alias("node"), F.col("v").alias("label")).hint("merge")
     of = cut(buckets.join(named, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled")
     count = of.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    main = cut(count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k")).where("k > 1").select("bucket", "main"), "mains")
-    groups = cut(of.join(main.hint("merge"), "bucket").select("main", "node", "label").distinct(), "groups")
-    links, read = linked_components(groups, texts, words, percent, miss)
+    main = cut(count.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("k"), F.sum("n").alias("total")).where("k > 1").select("bucket", "main", "total"), "mains")
+    links, read = linked_components(of.join(main.hint("merge"), "bucket"), texts, words, percent, miss)
     over = components(links)
     root = nodes.join(named, "node", "left").select("node", "key2", "rep", F.coalesce("label", "node").alias("v"))
     root = cut(root.join(over.select(F.col("u").alias("v"), F.col("v").alias("w")).hint("merge"), "v", "left").select("node", "key2", "rep", F.coalesce("w", "v").alias("root")), "roots")
     heads = cut(root.groupBy("root").agg(F.min("rep").alias("head")), "heads")
-    release(classes, shared, buckets, texts, label, of, main, groups, over, *read)
+    release(classes, shared, buckets, texts, label, of, main, over, *read)
     final = root.join(heads.hint("merge"), "root").select(F.col("node").alias("key1"), "key2", "head")
     out = s.join(final.hint("merge"), ["key1", "key2"], "left")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from stratagraph.llm import ann, boilerplate, mpegts, neardup, packing, pii, quality, repeats, sentencepiece_codec, warc
 from stratagraph.llm.common import scratch
@@ -208,21 +210,78 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty, words):
         assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_blocks_agree_with_pairs():
+def template_pages(n, shared=300, own=60):
+    """Pages of one template: all share a part, at a similarity below the threshold."""
+    r = random.Random(5)
+    head = [f"s{k}" for k in range(shared)]
+    return [" ".join([*head, *(f"p{d}w{r.randrange(10**6)}" for _ in range(own))]) for d in range(n)]
+
+
+def sketched(texts, words):
+    """(set, signature, buckets) of each text, in this process."""
+    import xxhash
+
+    out = []
+    for s in neardup.shingle_sets([t.encode() for t in texts], words):
+        sig = neardup.signature(s)
+        out.append((s, (sig & 255).astype(np.uint8).tobytes(), [xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) - (1 << 63) for k, row in enumerate(sig.reshape(neardup.BANDS, neardup.ROWS))]))
+    return out
+
+
+def members(nodes, sketches, band, main=None):
+    import pyarrow as pa
+
+    return neardup.Members(pa.array([{"node": n, "label": n, "out": n != main, "sig": sketches[n][1], "earlier": sketches[n][2][:band]} for n in nodes], pa.struct([("node", pa.int64()), ("label", pa.int64()), ("out", pa.bool_()), ("sig", pa.binary()), ("earlier", pa.list_(pa.int64()))])))
+
+
+def test_candidates_of_a_template_are_compared_once():
+    sketches = sketched(template_pages(150), 2)
+    buckets = defaultdict(list)
+    for n, (_, _, bands) in enumerate(sketches):
+        for k, bucket in enumerate(bands):
+            buckets[k, bucket].append(n)
+    candidates, met = set(), []
+    for (k, _), nodes in buckets.items():
+        if len(nodes) > 1:
+            candidates |= {(a, b) for a in nodes for b in nodes if a < b}
+            y = members(nodes, sketches, k, max(nodes))
+            i, j = neardup.first_met(members([n for n in nodes if n != max(nodes)], sketches, k, max(nodes)), y)
+            x = [n for n in nodes if n != max(nodes)]
+            met += [tuple(sorted((x[a], nodes[b]))) for a, b in zip(i, j, strict=True)]
+    assert len(met) == len(set(met)) and set(met) == candidates and len(candidates) > 8000
+
+
+def test_verified_agrees_with_pairs():
     import zstandard
 
     r = random.Random(2)
     base = [r.choice("abcdefghijk") * 2 for _ in range(120)]
-    docs = []
-    for k in range(40):
+    texts = []
+    for _ in range(40):
         t = list(base)
         for _ in range(r.randrange(0, 9)):
             t[r.randrange(120)] = f"z{r.randrange(50)}"
-        raw = " ".join(t).encode()
-        s = neardup.shingle_sets([raw], 2)[0]
-        docs.append({"doc_id": k, "sig": (neardup.signature(s) >> 24).astype(np.uint8).tobytes(), "packed": zstandard.ZstdCompressor().compress(raw), "set": s})
-    want = sorted((a["doc_id"], b["doc_id"]) for a in docs[:20] for b in docs if a is not b and neardup.similar(a["set"], b["set"], 80))
-    assert sorted(neardup.block_links(docs[:20], docs, neardup.least_matches(0.8, 1e-7), 2, 80)) == want and want
+        texts.append(" ".join(t))
+    sets = [x[0] for x in sketched(texts, 2)]
+    z = zstandard.ZstdCompressor()
+    nodes, packed = np.arange(40)[::-1] * 7, [z.compress(t.encode()) for t in texts][::-1]
+    a, b = np.triu_indices(40, 1)
+    want = [neardup.similar(sets[x], sets[y], 80) for x, y in zip(a, b, strict=True)]
+    for size, part in ((128, 1), (16, 1), (128, 40)):
+        assert neardup.verified(nodes, packed, a[::part] * 7, b[::part] * 7, 2, 80, size).tolist() == want[::part]
+    assert any(want) and not all(want)
+
+
+@pytest.mark.parametrize("share", [768, 16])
+def test_templates_and_their_near_copies(spark, monkeypatch, share):
+    """Links among pages of a template are those of brute force, whatever the shares."""
+    monkeypatch.setattr(neardup, "SHARE", share)
+    monkeypatch.setattr(neardup, "TEXTS", share)
+    texts = template_pages(60, 80, 22)
+    texts += [t + " end" for t in texts[:20]] + ["begin " + t for t in texts[10:30]]
+    want = smallest_linked(word_sets(texts, 2), range(len(texts)))
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(table(spark, texts), 2).collect()}
+    assert got == dict(enumerate(want)) and len(set(want)) < 70
 
 
 def test_unrelated_long_texts_are_pruned_at_once(spark):
@@ -350,6 +409,48 @@ def test_spans_of_clashing_columns(spark):
     assert pii.redacted(docs, trees).columns == docs.columns
 
 
+def test_personal_data_is_linear_in_a_text(spark):
+    """Two hundred thousand numbers, many of them phones, cards and candidates, in one text."""
+    r = random.Random(9)
+    part = [f"{r.randrange(10**6)}" if k % 10 else r.choice(["+1 (605) 555-9305", "4111 1111 1111 1111", "605-555-9305", "a@b.co", "10.0.0.1", "é"]) for k in range(200000)]
+    text = ",x".join(part)
+    docs = table(spark, [text, "call 605-555-1234 now"])
+    off = {k: pii.Trees([], float("inf")) for k in pii.KINDS}
+    began = time.time()
+    got = pii.with_spans(docs, off).where("doc_id = 0").select(pii.shown("_base_").alias("s")).first().s
+    assert got == plain_spans(text)
+    on = {k: pii.Trees([(0, 9, -1.0, 1.0)] if k == "phone" else [], 0.0 if k == "phone" else float("inf")) for k in pii.KINDS}
+    rows = pii.with_spans(docs, on).select("doc_id", F.expr("size(_all_phone) - size(_base_phone)").alias("n")).collect()
+    assert {x.doc_id: x.n for x in rows}[0] > 3000
+    clean = pii.redacted(docs, on).where("doc_id = 0").first().text
+    assert "555-9305" not in clean and clean.count("[PHONE]") > 6000 and clean.count("[IP]") == text.count("10.0.0.1")
+    assert time.time() - began < 120
+
+
+def test_spans_of_overlapping_candidates(spark):
+    """Of spans that pass and overlap, those stay that no other one beats; of proposed ones those that touch no base span."""
+    r = random.Random(11)
+    kind = "array<struct<start:int,end:int,value:string,kind:string,m:double>>"
+    sets = [[(s := r.randrange(60), s + r.randrange(1, 12), f"v{k}", "phone", float(r.randrange(4))) for k in range(r.randrange(0, 14))] for _ in range(80)]
+    sets = [list({x[:2]: x for x in one}.values()) for one in sets]
+    base = [[(s := r.randrange(60), s + r.randrange(1, 6), "b") for _ in range(r.randrange(0, 5))] for _ in sets]
+    df = spark.createDataFrame(list(zip(sets, base, strict=True)), f"p {kind}, b {pii.SPAN}")
+    plain = F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+    over = lambda x, y: y[0] < x[1] and y[1] > x[0]
+    more = lambda y, x: (y[4], y[1] - y[0], -y[0]) > (x[4], x[1] - x[0], -x[0])
+    for row, one, of in zip(df.select(pii.unbeaten(F.col("p")).alias("u"), pii.free(F.concat(plain, plain), F.col("b")).alias("f")).collect(), sets, base, strict=True):
+        assert sorted((x.start, x.end) for x in row.u) == sorted(x[:2] for x in one if not any(over(x, y) and more(y, x) for y in one if y is not x))
+        assert sorted((x.start, x.end) for x in row.f) == sorted(x[:2] for x in one if not any(over(x, y) for y in of))
+
+
+def test_excerpts_cross_pages(spark, monkeypatch):
+    monkeypatch.setattr(pii, "PAGE", 4)
+    text = "ab😀defghé\nk日m"
+    df = spark.createDataFrame([(text, a, n) for a in range(len(text) + 2) for n in range(len(text) + 2)], "t string, a int, n int")
+    for x in df.select("a", "n", pii.excerpt(pii.in_pages(F.col("t")), F.col("a"), F.col("n")).alias("e")).collect():
+        assert x.e == text[x.a : x.a + x.n]
+
+
 def test_octets_of_zeros(spark):
     texts = ["at 10.0.0.1 end", "0.0.0.0", "1.000.2.3", "00.1.2.3", "192.168.0.1, 127.0.0.1", "0.0.0.256 1.0.0.0001 0000.0.0.0255"]
     off = {k: pii.Trees([], float("inf")) for k in pii.KINDS}
