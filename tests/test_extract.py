@@ -65,3 +65,38 @@ def test_workspaces_and_catalog(spark):
     m = spark.createDataFrame([("r", "CAT-X_y", "s", "t", 0.9, "HIGH"), ("r", "CAT-Z", "s", "t", 0.7, "MEDIUM")], "repo_id string, pattern_id string, scope string, target string, score double, confidence string")
     got = report.catalog_rules(m).collect()
     assert len(got) == 1 and got[0].rule_id.startswith("AG-CAT-X-Y-") and report.adopted(m, "medium").count() == 2
+
+
+def test_forms_hold_what_they_state():
+    from stratagraph.plans.source_forms import FORMS, LONG, SCRIPTS
+
+    for i, (text, want) in enumerate(FORMS):
+        got = [(*x[2:7], x[8]) for x in extract.file_facts("r", "a.tsx" if i < len(SCRIPTS) else "a.PHP", text.replace("TAB", LONG).replace("~", "7"))]
+        assert sorted(map(str, got)) == sorted(str(tuple(v.replace("~", "7") if isinstance(v, str) else v for v in row)) for row in want), text
+
+
+def test_php_that_parses():
+    good = [
+        "<?php #[Attr(1)] final class A extends B implements C, D { use T; const int X = 1; private ?Foo $x = null; public function &m(A|B $a, string &$b = 'x'): static { return new class($a) extends Z {}; } }",
+        "<?php $o->{$name}->class; Foo::class; A::$b; $$c = (int) $d; @f(); $i++; ++$j; !$k; f(a: 1, b: 2); $x = $a ?: 3; strlen(...); $x = &$y; static $z = 1; list($a, $b) = $c; goto end; end: echo 1;",
+        "<?php enum S: string { case A = 'a'; } declare(strict_types=1); namespace A\\B { function f(): void {} } switch ($x): case 1: break; default: endswitch;",
+        "<?php try { f(); } catch (A | B $e) { } finally { } abstract class Q { abstract protected function f(); } interface I extends J {} trait T { public $x; }",
+        "no php { ( '",
+        "<?php if ($a) return; else if ($b) echo 1; else { } $f = fn(int ...$x): ?int => $x[0] ?? -1; for ($i = 0; $i < 3; $i++, $j--): endfor; print $a; exit; return ['a' => 1] + $b;",
+    ]
+    bad = ["<?php class { }", "<?php endif;", "<?php use ;", "<?php foreach ($a as) { }", "<?php } ", "<?php $a = 1", "<?php new ;", "<?php $a foo;", "<?php 'open", "<?php f(* 2);", "<?php /* open"]
+    for text, broken in [(t, False) for t in good] + [(t, True) for t in bad]:
+        assert ("parse_error" in [x[0] for x in extract.php_facts(text)]) is broken, text
+
+
+def test_odd_ends_and_long_files():
+    """Unclosed modes end with the text, and a long file of many facts takes time in proportion."""
+    import time
+
+    for text in ["`${", "`\\", "<a", "<a>{", "<a b={`", "'", "/*", "a\\", "<A b='", "x = </", "new", "class", "export {", "import {a", "import type", "new ("]:
+        list(extract.js_facts(text))
+    for text in ["<?php \"{$a", "<?php `\\", "<?php <<<A\n", "<?php use A\\{", "<?php include", "<?", "<?php \\"]:
+        list(extract.php_facts(text))
+    began = time.time()
+    assert sum(1 for _ in extract.file_facts("r", "a.tsx", "const a = <p>it's {new A()}</p>;\n" * 40000)) == 40000
+    assert time.time() - began < 30
