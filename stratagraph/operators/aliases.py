@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import directory, normalised
 
-STRING = r'("(?:[^"\\]|\\.)*")'
+STRING = r'("(?:[^"\\]++|\\.)*+")'
 TSCONFIG = "compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>"
 MANIFEST = "autoload struct<`psr-4`: map<string, string>>, `autoload-dev` struct<`psr-4`: map<string, string>>"
 
@@ -22,8 +22,8 @@ MANIFEST = "autoload struct<`psr-4`: map<string, string>>, `autoload-dev` struct
 def plain_json(text: Column) -> Column:
     """JSON from JSON with comments, commas before closing brackets and a byte-order mark; strings stay as they are."""
     t = F.regexp_replace(text, "^\ufeff", "")
-    t = F.regexp_replace(t, STRING + r"|//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)", "$1")
-    return F.regexp_replace(t, STRING + r"|,(?=[ \n\r\t]*[}\]])", "$1")
+    t = F.regexp_replace(t, STRING + r"|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+(?:\*/|\z)", "$1")
+    return F.regexp_replace(t, STRING + r"|,(?=[ \n\r\t]*+[}\]])", "$1")
 
 
 def joined(base: Column, path: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratagraph.functions.globs import matches_any
@@ -36,6 +36,13 @@ def resolve_constructions(files: DataFrame, news: DataFrame, bindings: DataFrame
     return n.select(*news.columns, "resolved_file", "resolved_class", "is_resolved", F.coalesce(service, F.lit(False)).alias("is_service"), "unresolved_reason")
 
 
+def least_three(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """(repo_id, name): the three smallest different values of a repository; no task passes on more than three."""
+    first = F.row_number().over(Window.partitionBy("repo_id").orderBy(value))
+    d = rows.select("repo_id", value).where(F.col(value).isNotNull()).distinct().withColumn("_n", first).where("_n <= 3")
+    return d.groupBy("repo_id").agg(F.array_sort(F.collect_list(value)).alias(name))
+
+
 def construction_match(constructions: DataFrame, files: DataFrame, scope: list[str], allowed: list[str], min_support: int = 20) -> DataFrame:
     """One row a repository: how often services are constructed outside the allowed roots, and the score of a rule against it."""
     inside = matches_any(F.col("file"), scope) & ~matches_any(F.col("file"), allowed)
@@ -43,8 +50,10 @@ def construction_match(constructions: DataFrame, files: DataFrame, scope: list[s
     place = F.concat("file", F.lit(":"), "line")
     c = constructions.where(inside).groupBy("repo_id").agg(
         F.countDistinct("file").alias("eligible_files"), F.countDistinct(F.when(bad, F.col("file"))).alias("violating_files"), F.count_if(bad).alias("events"), F.count_if("is_resolved").alias("resolved_count"), F.count_if(~F.col("is_resolved")).alias("unresolved_count"),
-        F.slice(F.array_sort(F.collect_set(F.when(bad, place))), 1, 3).alias("sample_locations"), F.slice(F.array_sort(F.collect_set(F.when(bad, F.concat(place, F.lit(":new "), "class_name")))), 1, 3).alias("resolved_examples"),
-    )
+    )
+    found = constructions.where(inside & bad).select("repo_id", place.alias("place"), F.concat(place, F.lit(":new "), "class_name").alias("example"))
+    for name, value in (("sample_locations", "place"), ("resolved_examples", "example")):
+        c = c.join(least_three(found, value, name), "repo_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     scoped = files.where(matches_any(F.col("path"), scope)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("scoped_files"))
     d = scoped.join(c, "repo_id", "left").fillna(0)
     prevalence = F.when(F.col("eligible_files") > 0, F.col("violating_files") / F.col("eligible_files")).otherwise(0.0)

@@ -1,14 +1,16 @@
 """Candidate rules from observed structure: supports, prevalences, gates, caps and aggregation.
 
-Sources and targets of a repository are paired by an equi-join on repo_id, as
-absence of an import is evidence too. `pairs` gives every pair with its reason;
-`open_pairs`, which mining itself uses, filters both sides before pairing them.
+Absence of an import is evidence too, so any scope and target of a repository may
+make a candidate. `pairs` lists every pair with its reason, by an equi-join on repo_id,
+and `open_pairs` those that are not dropped. Mining itself makes no such rows: `sides`
+gates scopes, targets and edges apart, `greedy_accepted` takes pairs from them up to the caps,
+and `drop_counts` counts what is dropped from sums and products.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -38,17 +40,32 @@ def pairs(kind: str, nodes: DataFrame, edges: DataFrame, target: str, targets: D
     p = p.join(usage, ["repo_id", "target"], "left").join(counts, ["repo_id", "scope", "target"], "left").join(activity.withColumnRenamed("subtree", "scope"), ["repo_id", "scope"], "left").join(active, "repo_id")
     p = p.fillna(0, ["usage", "spread", "violations", "activity"]).withColumn("prevalence", F.col("violations") / F.col("support"))
     zero = F.col("violations") == 0
-    max_spread = F.when(F.col("sources") <= 4, F.col("sources")).otherwise(F.greatest(F.lit(3), F.floor(F.col("sources") / 4)))
     least = limits(min_support)["imports" if kind == "no_import" else "packages"]
     reason = F.when(F.col("usage") == 0, "target_never_observed")
     if kind == "no_package":
         reason = reason.when(zero & ~ecosystem_package(F.col("target")), "zero_non_ecosystem_target")
-    reason = reason.when(zero & (F.col("usage") < least), "zero_low_global_usage").when(zero & (F.col("activity") == 0), "zero_inactive_source").when(zero & low_signal(F.col("scope")), "zero_low_signal_scope").when(zero & (F.col("spread") > max_spread), "zero_target_over_spread").when(~zero & (F.col("prevalence") > max_prevalence), "prevalence_over_limit")
+    reason = reason.when(zero & (F.col("usage") < least), "zero_low_global_usage").when(zero & (F.col("activity") == 0), "zero_inactive_source").when(zero & low_signal(F.col("scope")), "zero_low_signal_scope").when(zero & (F.col("spread") > most_spread(F.col("sources"))), "zero_target_over_spread").when(~zero & (F.col("prevalence") > max_prevalence), "prevalence_over_limit")
     return p.select("repo_id", F.lit(kind).alias("kind"), "scope", "target", "support", "violations", "prevalence", "usage", "spread", reason.alias("drop_reason"))
 
 
-def open_pairs(kind: str, nodes: DataFrame, edges: DataFrame, target: str, activity: DataFrame, min_support: int = 20, max_prevalence: float = 0.02) -> DataFrame:
-    """The pairs that `pairs` does not drop, without the others: violating ones come from the edges, and for the rest each side is filtered before they are paired."""
+@dataclass
+class Sides:
+    """What the open pairs of a kind are made of: violating pairs, and scopes and targets of which each pair without an edge is open."""
+
+    kind: str
+    bad: DataFrame  # repo_id, scope, target, support, violations, usage, spread
+    scopes: DataFrame  # repo_id, scope, support
+    targets: DataFrame  # repo_id, target, usage, spread
+    edges: DataFrame  # repo_id, scope, target of all edges
+
+    def rows(self, zero: DataFrame) -> DataFrame:
+        """The violating pairs and the given ones without violations (repo_id, scope, target, support, usage, spread)."""
+        columns = ["repo_id", F.lit(self.kind).alias("kind"), "scope", "target", "support", "violations", (F.col("violations") / F.col("support")).alias("prevalence"), "usage", "spread", F.lit(None).cast("string").alias("drop_reason")]
+        return self.bad.select(*columns).unionByName(zero.withColumn("violations", F.lit(0).cast("long")).select(*columns))
+
+
+def sides(kind: str, nodes: DataFrame, edges: DataFrame, target: str, activity: DataFrame, min_support: int = 20, max_prevalence: float = 0.02) -> Sides:
+    """Gates on violating pairs, and on scopes and targets of the others by themselves, so that nothing is paired to be dropped."""
     sources = nodes.where(F.col("n_files") >= min_support).select("repo_id", F.col("subtree").alias("scope"), F.col("n_files").alias("support"))
     usage = graph.target_usage(edges, target)
     counts = edges.select("repo_id", F.col("src").alias("scope"), F.col(target).alias("target"), F.col("n_files").alias("violations"))
@@ -57,51 +74,141 @@ def open_pairs(kind: str, nodes: DataFrame, edges: DataFrame, target: str, activ
         usage = usage.join(nodes.select("repo_id", F.col("subtree").alias("target")), ["repo_id", "target"], "left_semi")
     bad = counts.join(sources, ["repo_id", "scope"]).where(F.col("violations") / F.col("support") <= max_prevalence).join(usage, ["repo_id", "target"])
     active = sources.groupBy("repo_id").agg(F.count(F.lit(1)).alias("sources"))
-    spread = F.when(F.col("sources") <= 4, F.col("sources")).otherwise(F.greatest(F.lit(3), F.floor(F.col("sources") / 4)))
-    good = usage.where(F.col("usage") >= limits(min_support)["imports" if kind == "no_import" else "packages"]).join(active, "repo_id").where(F.col("spread") <= spread)
+    good = usage.where(F.col("usage") >= limits(min_support)["imports" if kind == "no_import" else "packages"]).join(active, "repo_id").where(F.col("spread") <= most_spread(F.col("sources"))).drop("sources")
     if kind == "no_package":
         good = good.where(ecosystem_package(F.col("target")))
     busy = sources.join(activity.where("activity > 0").select("repo_id", F.col("subtree").alias("scope")), ["repo_id", "scope"], "left_semi").where(~low_signal(F.col("scope")))
-    zero = busy.join(good.drop("sources"), "repo_id").join(counts.select("repo_id", "scope", "target"), ["repo_id", "scope", "target"], "left_anti")
+    return Sides(kind, bad, busy, good, counts.select("repo_id", "scope", "target"))
+
+
+def most_spread(sources: Column) -> Column:
+    """The most scopes a target may have, by the number of scopes in its repository."""
+    return F.when(sources <= 4, sources).otherwise(F.greatest(F.lit(3), F.floor(sources / 4)))
+
+
+def open_pairs(kind: str, nodes: DataFrame, edges: DataFrame, target: str, activity: DataFrame, min_support: int = 20, max_prevalence: float = 0.02) -> DataFrame:
+    """The pairs that `pairs` does not drop, all of them as rows."""
+    s = sides(kind, nodes, edges, target, activity, min_support, max_prevalence)
+    zero = s.scopes.join(s.targets, "repo_id").join(s.edges, ["repo_id", "scope", "target"], "left_anti")
+    return s.rows(zero.where("scope <> target") if kind == "no_import" else zero)
+
+
+def drop_counts(kind: str, nodes: DataFrame, edges: DataFrame, target: str, targets: DataFrame, activity: DataFrame, min_support: int = 20, max_prevalence: float = 0.02) -> DataFrame:
+    """(repo_id, kind, reason, n): how many pairs `pairs` drops for each reason, without pairs.
+
+    A pair without violations is dropped by a property of its target, of its scope, or
+    of its target again, in this order. So scopes and targets are counted by these
+    properties, the counts multiplied, and corrected by the pairs that have edges and, of
+    directories, by those of a scope with itself.
+    """
+    sources = nodes.where(F.col("n_files") >= min_support).select("repo_id", F.col("subtree").alias("scope"), F.col("n_files").alias("support"))
+    active = sources.groupBy("repo_id").agg(F.count(F.lit(1)).alias("sources"))
+    least = limits(min_support)["imports" if kind == "no_import" else "packages"]
+    t = targets.select("repo_id", "target").join(graph.target_usage(edges, target), ["repo_id", "target"], "left").fillna(0, ["usage", "spread"]).join(active, "repo_id")
+    first = F.when(F.col("usage") == 0, "target_never_observed")
+    if kind == "no_package":
+        first = first.when(~ecosystem_package(F.col("target")), "zero_non_ecosystem_target")
+    first = first.when(F.col("usage") < least, "zero_low_global_usage")
+    t = t.select("repo_id", "target", first.alias("first"), F.when(F.col("spread") > most_spread(F.col("sources")), "zero_target_over_spread").alias("last"))
+    s = sources.join(activity.withColumnRenamed("subtree", "scope"), ["repo_id", "scope"], "left").fillna(0, ["activity"])
+    s = s.select("repo_id", "scope", "support", F.when(F.col("activity") == 0, "zero_inactive_source").when(low_signal(F.col("scope")), "zero_low_signal_scope").alias("second"))
+    reason = F.coalesce("first", "second", "last").alias("reason")
+    by_target = t.groupBy("repo_id", "first", "last").agg(F.count(F.lit(1)).alias("targets"))
+    by_scope = s.groupBy("repo_id", "second").agg(F.count(F.lit(1)).alias("scopes"))
+    parts = [by_target.join(by_scope, "repo_id").select("repo_id", reason, (F.col("targets") * F.col("scopes")).alias("n"))]
+    met = edges.select("repo_id", F.col("src").alias("scope"), F.col(target).alias("target"), F.col("n_files").alias("violations")).join(s, ["repo_id", "scope"]).join(t, ["repo_id", "target"])
+    over = F.when(F.col("violations") / F.col("support") > max_prevalence, "prevalence_over_limit")
+    parts.append(met.select("repo_id", F.inline(F.array(F.struct(reason, F.lit(-1).cast("long").alias("n")), F.struct(over.alias("reason"), F.lit(1).cast("long").alias("n"))))))
     if kind == "no_import":
-        zero = zero.where("scope <> target")
-    zero = zero.withColumn("violations", F.lit(0).cast("long"))
-    columns = ["repo_id", F.lit(kind).alias("kind"), "scope", "target", "support", "violations", (F.col("violations") / F.col("support")).alias("prevalence"), "usage", "spread", F.lit(None).cast("string").alias("drop_reason")]
-    return bad.select(*columns).unionByName(zero.select(*columns))
+        parts.append(s.join(t.withColumnRenamed("target", "scope"), ["repo_id", "scope"]).select("repo_id", reason, F.lit(-1).cast("long").alias("n")))
+    every = reduce(DataFrame.unionByName, parts).where("reason is not null").groupBy("repo_id", "reason").agg(F.sum("n").alias("n"))
+    return every.where("n > 0").select("repo_id", F.lit(kind).alias("kind"), "reason", "n")
+
+
+ACCEPTED = "repo_id string, scope string, target string"
 
 
-CAPPED = "repo_id string, scope string, target string, cap_reason string"
+class Openings:
+    """The targets of one repository in order, each until its cap is used up; a full one points to what follows it."""
 
+    def __init__(self, names: list[str], cap: int):
+        self.names, self.left, self.after = names, [cap] * len(names), list(range(len(names) + 1))
 
-def greedy_caps(gated: DataFrame, min_support: int = 20) -> DataFrame:
-    """Pairs without violations are accepted in order of scope and target while both their counts are under the caps.
+    def next(self, k: int) -> int:
+        """The first open place from k on."""
+        at = k
+        while self.after[at] != at:
+            at = self.after[at]
+        while self.after[k] != at:
+            self.after[k], k = at, self.after[k]
+        return at
 
-    Each acceptance depends on the earlier ones in both dimensions, so the pairs of
-    a repository stay in one partition, in order; they pass through it as a stream
-    that keeps the counts of its targets only. The pairs are gated first.
+    def take(self, most: int, blocked: set[str]) -> list[str]:
+        """The first open targets that are not blocked, at most so many; each loses a place."""
+        out: list[str] = []
+        k = self.next(0)
+        while len(out) < most and k < len(self.names):
+            if self.names[k] not in blocked:
+                out.append(self.names[k])
+                self.left[k] -= 1
+                if not self.left[k]:
+                    self.after[k] = k + 1
+            k = self.next(k + 1)
+        return out
+
+
+def greedy_accepted(s: Sides, min_support: int = 20) -> DataFrame:
+    """(repo_id, scope, target) of the pairs without an edge that are accepted in order of scope and target while both counts are under their caps; a directory is not paired with itself.
+
+    Each acceptance depends on the earlier ones in both dimensions, so a repository is one stream, but of its scopes, targets
+    and edges and not of its pairs: full targets are skipped by pointers, and a scope ends at its cap. The task holds a
+    repository's targets and one scope's edges.
     """
     cap = limits(min_support)
-    zero = gated.where("drop_reason is null and violations = 0").select("repo_id", "scope", "target")
+    at = lambda df, part, scope, target: df.select("repo_id", F.lit(part).alias("part"), scope.alias("scope"), target.alias("target"))
+    none = F.lit(None).cast("string")
+    edges = s.edges.join(s.scopes.select("repo_id", "scope"), ["repo_id", "scope"], "left_semi")
+    rows = at(s.targets, 0, none, F.col("target")).unionByName(at(s.scopes, 1, F.col("scope"), none)).unionByName(at(edges, 1, F.col("scope"), F.col("target")))
+    itself = s.kind == "no_import"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repo = scope = None
-        used, by_target = 0, Counter()
+        repo, names, open_, scope, blocked, out = None, [], None, None, set(), []
+
+        def close() -> None:
+            nonlocal open_
+            if scope is not None:
+                open_ = open_ or Openings(names, cap["per_target"])
+                out.extend((repo, scope, t) for t in open_.take(cap["per_scope"], blocked))
+
         for batch in batches:
-            reasons = []
-            for r, s, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, part, name, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if r != repo or name != scope:
+                    close()
+                    scope, blocked = name, {name} if itself else set()
                 if r != repo:
-                    repo, scope, by_target = r, None, Counter()
-                if s != scope:
-                    scope, used = s, 0
-                full = used >= cap["per_scope"], by_target[t] >= cap["per_target"]
-                reasons.append("zero_source_cap" if full[0] else "zero_target_cap" if full[1] else None)
-                if not any(full):
-                    used += 1
-                    by_target[t] += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reasons, pa.string())], ["repo_id", "scope", "target", "cap_reason"])
-
-    capped = zero.repartition("repo_id").sortWithinPartitions("repo_id", "scope", "target").mapInArrow(fold, CAPPED)
-    return gated.join(capped, ["repo_id", "scope", "target"], "left").withColumn("drop_reason", F.coalesce("drop_reason", "cap_reason")).drop("cap_reason")
+                    repo, names, open_ = r, [], None
+                if part == 0:
+                    names.append(t)
+                elif t is not None:
+                    blocked.add(t)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["repo_id", "scope", "target"])
+                out.clear()
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out, strict=True)], ["repo_id", "scope", "target"])
+
+    return rows.repartition("repo_id").sortWithinPartitions("repo_id", "part", "scope", "target").mapInArrow(fold, ACCEPTED)
+
+
+def greedy_caps(gated: DataFrame, accepted: DataFrame, min_support: int = 20) -> DataFrame:
+    """gated with the pairs that caps drop: a pair after the last one that its scope may have is dropped by the scope's cap, another one that is not accepted by the target's."""
+    cap = limits(min_support)["per_scope"]
+    last = accepted.groupBy("repo_id", "scope").agg(F.count(F.lit(1)).alias("_n"), F.max("target").alias("_last")).where(F.col("_n") >= cap).drop("_n")
+    g = gated.join(accepted.withColumn("_taken", F.lit(True)), ["repo_id", "scope", "target"], "left").join(last, ["repo_id", "scope"], "left")
+    out = F.col("drop_reason").isNull() & (F.col("violations") == 0) & F.col("_taken").isNull()
+    reason = F.when(out & (F.col("target") > F.col("_last")), "zero_source_cap").when(out, "zero_target_cap")
+    return g.withColumn("drop_reason", F.coalesce("drop_reason", reason)).select(*gated.columns)
 
 
 def propose(files: DataFrame, imports: DataFrame, min_support: int = 20, max_prevalence: float = 0.02, most: int = 200) -> DataFrame:
@@ -116,8 +223,10 @@ def propose(files: DataFrame, imports: DataFrame, min_support: int = 20, max_pre
     activity = cut(graph.source_activity(graph.file_edges(facts), packages), "activity")
     parts = []
     for kind, e, target in (("no_import", edges, "dst"), ("no_package", packages, "pkg")):
-        kept = greedy_caps(cut(open_pairs(kind, nodes, e, target, activity, min_support, max_prevalence), "pairs"), min_support)
-        parts.append(ranked_cap(sibling_scopes(candidates(kept)), most))
+        s = sides(kind, nodes, e, target, activity, min_support, max_prevalence)
+        s.scopes, s.targets = cut(s.scopes, "scopes"), cut(s.targets, "targets")
+        zero = greedy_accepted(s, min_support).join(s.scopes, ["repo_id", "scope"]).join(s.targets, ["repo_id", "target"])
+        parts.append(ranked_cap(sibling_scopes(candidates(s.rows(zero))), most))
     parts.append(ranked_cap(file_patterns(files, min_support), most))
     parts.append(ranked_cap(cycle_rules(nodes, edges, min_support).withColumn("target", F.lit(None).cast("string")), most))
     columns = ["repo_id", "kind", "scope", "target", "severity", "support", "violations", "prevalence", "confidence", "evidence"]
@@ -157,13 +266,13 @@ def better() -> list[Column]:
 
 def ranked_cap(c: DataFrame, most: int = 200) -> DataFrame:
     """At most `most` candidates of a kind: violating ones first, then a bounded share of the others."""
-    kind = Window.partitionBy("repo_id", "kind")
-    bad = F.col("violations") > 0
-    c = c.withColumn("_all", F.count(F.lit(1)).over(kind)).withColumn("_bad", F.sum(bad.cast("int")).over(kind))
-    c = c.withColumn("_rank", F.row_number().over(Window.partitionBy("repo_id", "kind", bad).orderBy(*better())))
+    c, bad = cut(c, "candidates"), F.col("violations") > 0
+    count = c.groupBy("repo_id", "kind").agg(F.count(F.lit(1)).alias("_all"), F.count_if(bad).alias("_bad"))
+    rank = F.row_number().over(Window.partitionBy("repo_id", "kind", bad).orderBy(*better()))
+    first = c.withColumn("_rank", rank).where(F.col("_rank") <= most)  # a bounded number in each task, before they meet
     half, third = most // 2 if most // 2 >= 20 else most, most // 3 if most // 3 >= 20 else most
     quota = F.greatest(F.lit(0), F.least(F.when(F.col("_bad") == 0, min(half, third)).otherwise(half), most - F.col("_bad")))
-    return c.where((F.col("_all") <= most) | F.when(bad, F.col("_rank") <= most).otherwise(F.col("_rank") <= quota)).drop("_all", "_bad", "_rank")
+    return first.join(count, ["repo_id", "kind"]).where((F.col("_all") <= most) | bad | (F.col("_rank") <= quota)).select(*c.columns)
 
 
 def suffix_counts(files: DataFrame) -> DataFrame:

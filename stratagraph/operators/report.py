@@ -73,10 +73,17 @@ def _line(name: str, c: Column) -> Column:
     return F.concat(F.lit(name), c)
 
 
+# Fixed: characters that have an escape of their own, and the others that are escaped by number.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\t": "\\t", "\r": "\\r", "\a": "\\a", "\b": "\\b", "\f": "\\f", "\v": "\\v"} | {chr(n): f"\\x{n:02x}" for n in [*range(7), *range(14, 32), 127]}
+
+
 def quoted(c: Column) -> Column:
-    """A string in double quotes, with backslashes, quotes and line feeds escaped."""
-    c = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t")), F.lit('"'))
+    """A string in double quotes, with backslashes, quotes and control characters escaped."""
+    plain = c.rlike("^[^\\x00-\\x1f\\x7f\"\\\\]*+$")
+    every = c
+    for raw, escaped in ESCAPES.items():
+        every = F.replace(every, F.lit(raw), F.lit(escaped))
+    return F.concat(F.lit('"'), F.when(plain, c).otherwise(every), F.lit('"'))
 
 
 def json_candidates(candidates: DataFrame) -> DataFrame:

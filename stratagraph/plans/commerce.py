@@ -128,7 +128,20 @@ def _candidates(kind: str):
 
 
 def _greedy(spark, sf_dir):
-    return mining.greedy_caps(_pairs("no_package")(spark, sf_dir), SUPPORT).select("kind", "scope", "target", "support", "violations", "drop_reason")
+    """All pairs with their reasons, those of the caps too."""
+    nodes, edges, packages, local = _graph(spark, sf_dir)
+    packages = cut(packages, "package-edges")
+    activity = cut(graph.source_activity(local, packages), "activity")
+    s = mining.sides("no_package", nodes, packages, "pkg", activity, SUPPORT, PREVALENCE)
+    accepted = cut(mining.greedy_accepted(s, SUPPORT), "accepted")
+    every = mining.pairs("no_package", nodes, packages, "pkg", packages.select("repo_id", F.col("pkg").alias("target")).distinct(), activity, SUPPORT, PREVALENCE)
+    return mining.greedy_caps(every, accepted, SUPPORT).select("kind", "scope", "target", "support", "violations", "drop_reason")
+
+
+def _drop_counts(spark, sf_dir):
+    nodes, edges, packages, local = _graph(spark, sf_dir)
+    activity = graph.source_activity(local, packages)
+    return mining.drop_counts("no_import", nodes, cut(edges, "edges"), "dst", nodes.select("repo_id", F.col("subtree").alias("target")), activity, SUPPORT, PREVALENCE).select("kind", "reason", "n")
 
 
 def _siblings(spark, sf_dir):
@@ -269,7 +282,7 @@ QUERIES = {
     "mine_no_package": _bare("no_package"),
     "mine_candidates": lambda s, d: _candidates("no_import")(s, d).select(*CAND),
     "mine_greedy_cap": _greedy,
-    "drop_stats": lambda s, d: mining.drop_stats(_pairs("no_import")(s, d)).select("kind", "reason", "n"),
+    "drop_stats": _drop_counts,
     "mine_sibling_aggregate": _siblings,
     "mine_ranked_cap": lambda s, d: mining.ranked_cap(_candidates("no_package")(s, d), MOST).select(*CAND),
     "catalog_score": _catalog,

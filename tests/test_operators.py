@@ -101,11 +101,103 @@ def test_constructions(spark):
     assert (m.eligible_files, m.violating_files, m.resolved_count, m.unresolved_count, m.sample_locations) == (1, 1, 2, 4, ["a.ts:1"])
 
 
-def test_greedy_caps_follow_order(spark):
-    rows = [("r", "no_import", s, t, 20, 0, 0.0, 9, 1, None) for s in ("a", "b") for t in ("p", "q", "s", "t", "u")]
-    gated = spark.createDataFrame(rows, "repo_id string, kind string, scope string, target string, support long, violations long, prevalence double, usage long, spread long, drop_reason string")
-    kept = mining.greedy_caps(gated, 5).where("drop_reason is null")
-    assert sorted((r.scope, r.target) for r in kept.collect()) == [(s, t) for s in ("a", "b") for t in ("p", "q", "s")]
+def random_repositories(spark, count=3, seed=5):
+    """Files and imports of repositories with directories that import one another and packages, some of them of odd names."""
+    import random
+
+    r = random.Random(seed)
+    file_rows, rows = [], []
+    for repo in (f"r{k}" for k in range(count)):
+        paths = [f"top{k % 2}/d{k % 11}/f{k}.ts" for k in range(90)] + [f"test/f{k}.ts" for k in range(6)] + [f"lone/f{k}.ts" for k in range(7)]
+        file_rows += [(repo, p) for p in paths]
+        for p in paths[:96]:
+            for t in {r.choice(paths[:70]) for _ in range(r.randrange(3))}:
+                rows.append((repo, p, "./x", t, False, 1, 1, "import"))
+            rows += [(repo, p, r.choice([f"pkg{r.randrange(12)}/y", "@a/b/c", "Odd", "node:fs"]), None, True, 1, 1, "import") for _ in range(r.randrange(3))]
+    f = spark.createDataFrame(file_rows, "repo_id string, path string")
+    return f, spark.createDataFrame(rows, "repo_id string, source_file string, raw_import string, resolved_path string, is_package boolean, line int, column int, kind string")
+
+
+def mining_inputs(f, i):
+    nodes, edges, packages = graph.nodes(f), graph.edges(i), graph.package_edges(i)
+    activity = graph.source_activity(graph.file_edges(i), packages)
+    return nodes, activity, (("no_import", edges, "dst", nodes.select("repo_id", F.col("subtree").alias("target"))), ("no_package", packages, "pkg", packages.select("repo_id", F.col("pkg").alias("target")).distinct()))
+
+
+def sequential(pairs, support):
+    """The pairs that are kept, and those that caps drop with their reason, one after the other in order of scope and target."""
+    from collections import Counter
+
+    cap, kept, dropped = mining.limits(support), [], {}
+    by_scope, by_target = Counter(), Counter()
+    for x in sorted(pairs, key=lambda x: (x.repo_id, x.scope, x.target)):
+        if x.violations:
+            kept.append(x)
+        elif by_scope[x.repo_id, x.scope] >= cap["per_scope"]:
+            dropped[x.repo_id, x.scope, x.target] = "zero_source_cap"
+        elif by_target[x.repo_id, x.target] >= cap["per_target"]:
+            dropped[x.repo_id, x.scope, x.target] = "zero_target_cap"
+        else:
+            by_scope[x.repo_id, x.scope] += 1
+            by_target[x.repo_id, x.target] += 1
+            kept.append(x)
+    return kept, dropped
+
+
+@pytest.mark.parametrize("support", [3, 6])
+def test_greedy_caps_and_counters_equal_plain_ones(spark, support, monkeypatch):
+    monkeypatch.setattr(mining, "limits", lambda n: {"imports": 1, "packages": 1, "per_scope": 3, "per_target": 2})
+    f, i = random_repositories(spark)
+    nodes, activity, kinds = mining_inputs(f, i)
+    for kind, e, target, targets in kinds:
+        every = mining.pairs(kind, nodes, e, target, targets, activity, support, 0.3)
+        kept, dropped = sequential(every.where("drop_reason is null").collect(), support)
+        accepted = mining.greedy_accepted(mining.sides(kind, nodes, e, target, activity, support, 0.3), support)
+        assert sorted(map(tuple, accepted.collect())) == sorted((x.repo_id, x.scope, x.target) for x in kept if not x.violations)
+        capped = mining.greedy_caps(every, accepted, support).where("drop_reason like '%_cap'")
+        assert {(x.repo_id, x.scope, x.target): x.drop_reason for x in capped.collect()} == dropped
+        counts = mining.drop_counts(kind, nodes, e, target, targets, activity, support, 0.3).collect()
+        assert sorted(map(tuple, counts)) == sorted(map(tuple, mining.drop_stats(every).collect()))
+        assert support == 6 or len({x.reason for x in counts}) >= 3 and set(dropped.values()) == {"zero_source_cap", "zero_target_cap"}
+
+
+def plain_candidates(kind, kept):
+    """Candidates of kept pairs, siblings joined, as dictionaries."""
+    sure = lambda p, n: "HIGH" if p <= 0.01 and n >= 50 else "MEDIUM" if p <= 0.02 and n >= 20 else "LOW"
+    made = lambda x, scope, target, support, bad, evidence: {"repo_id": x.repo_id, "kind": kind, "scope": scope + "/**", "target": target + "/**" * (kind == "no_import"), "severity": "warning", "support": support, "violations": bad, "prevalence": bad / support, "confidence": sure(bad / support, support), "evidence": evidence}
+    out, siblings = [], {}
+    for x in kept:
+        parent = x.scope.rpartition("/")[0]
+        if x.violations or not parent:
+            out.append(made(x, x.scope, x.target, x.support, x.violations, f"{x.violations}/{x.support} files in {x.scope} import {x.target}"))
+        else:
+            siblings.setdefault((x.repo_id, parent, x.target), []).append(x)
+    for (_, parent, target), group in siblings.items():
+        n, x = sum(x.support for x in group), group[0]
+        shown = target + "/**" * (kind == "no_import")
+        out.append(made(x, parent, target, n, 0, f"0/{n} files across {len(group)} sibling scopes under {parent} import {shown}") if len(group) > 1 else made(x, x.scope, target, n, 0, f"0/{n} files in {x.scope} import {target}"))
+    return out
+
+
+@pytest.mark.parametrize("most", [200, 12])
+def test_propose_equals_a_plain_reading(spark, most):
+    f, i = random_repositories(spark, 2, 8)
+    nodes, activity, kinds = mining_inputs(f, i)
+    want = []
+    for kind, e, target, targets in kinds:
+        kept, _ = sequential(mining.pairs(kind, nodes, e, target, targets, activity, 5, 0.3).where("drop_reason is null").collect(), 5)
+        for repo in ("r0", "r1"):
+            order = lambda c: (-{"HIGH": 3, "MEDIUM": 2, "LOW": 1}[c["confidence"]], -c["support"], c["prevalence"], c["violations"], c["scope"], c["target"])
+            c = sorted((x for x in plain_candidates(kind, kept) if x["repo_id"] == repo), key=order)
+            if len(c) > most:
+                bad, rest = [x for x in c if x["violations"]][:most], [x for x in c if not x["violations"]]
+                n_bad = sum(x["violations"] > 0 for x in c)
+                share = lambda part: most // part if most // part >= 20 else most
+                c = bad + rest[: max(0, min(min(share(2), share(3)) if not n_bad else share(2), most - n_bad))]
+            want += c
+    got = [x.asDict() for x in mining.propose(f, i, 5, 0.3, most).where("kind in ('no_import', 'no_package')").collect()]
+    key = lambda x: sorted((k, str(v)) for k, v in x.items())
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len(want) > 20
 
 
 def test_sibling_scopes_and_cap(spark):
@@ -232,6 +324,21 @@ def test_aliases_of_manifests(spark):
     assert found == {("a", "@/q"): ("src/lib/q.ts", False), ("a", "one"): ("src/app/one.ts", False), ("a", "one/two"): (None, True), ("b", "App\\Tests\\T"): ("u/T.php", False), ("b", "App\\K"): ("lib/K.php", False), ("b", "@/q"): (None, True)}
 
 
+def test_plain_json_keeps_strings_and_takes_long_ones(spark):
+    """Comments and commas go, strings stay; strings and comments of a megabyte do not exhaust the stack."""
+    cases = [('{"a": 1} // comment', '{"a": 1} '), ('{"a": /* block */ 1}', '{"a":  1}'), ('{"url": "http://example.com/api//v1"}', None), ('{"a": "hello /* world */"}', None), ('{"a": "\\"//not a comment\\""}', None), ('{"a": [1, 2,], }', '{"a": [1, 2] }'), ('{"a": ",]"}', None), ('{"a": "open', None)]
+    long = "x\\n" * 400000
+    cases += [(f'{{"a": "{long}", /* {long} */ "b": 1,}} // {long}', f'{{"a": "{long}",  "b": 1}} ')]
+    df = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(cases)], "k int, t string")
+    got = {r.k: r.j for r in df.select("k", aliases.plain_json(F.col("t")).alias("j")).collect()}
+    assert got == {k: b if b is not None else a for k, (a, b) in enumerate(cases)}
+
+
+def test_quoted_escapes_control_characters(spark):
+    df = spark.createDataFrame([("plain é",), ('a"b\\c\n\t\r\x00\x1f\x7f\v',)], "t string")
+    assert [r.q for r in df.select(report.quoted(F.col("t")).alias("q")).collect()] == ['"plain é"', '"a\\"b\\\\c\\n\\t\\r\\x00\\x1f\\x7f\\v"']
+
+
 def test_languages(spark):
     f = spark.createDataFrame([("a", "x/tsconfig.json"), ("a", "b.php"), ("b", "x.php"), ("c", "readme.md"), ("c", None)], "repo_id string, path string")
     got = {r.repo_id: (r.language, r.reason) for r in languages.languages(f).collect()}
