@@ -62,7 +62,7 @@ CONSTRUCTIONS = (
 
 def rule_name(pattern_id: Column, *lists: Column) -> Column:
     """The id of the rule that a pattern proposes: the pattern's name and a hash of its lists."""
-    plain = F.regexp_replace(F.regexp_replace(F.replace(F.upper(pattern_id), F.lit("_"), F.lit("-")), "^CAT-", ""), "[^A-Z0-9-]", "")
+    plain = F.regexp_replace(F.replace(F.replace(F.upper(pattern_id), F.lit("CAT-"), F.lit("")), F.lit("_"), F.lit("-")), "[^A-Z0-9-]", "")
     return F.concat(F.lit("AG-CAT-"), plain, F.lit("-"), F.substring(F.sha1(F.concat_ws("|", *lists)), 1, 8))
 
 
@@ -74,18 +74,41 @@ def construction_matches(constructions_: DataFrame, files: DataFrame, pattern: C
     lists = [F.lit(",".join(x)) for x in (pattern.scope, pattern.services, pattern.allowed)]
     m = m.select(
         "repo_id", F.lit(pattern.id).alias("catalog_id"), F.lit(pattern.name).alias("name"), F.lit(pattern.category).alias("category"), "score", "confidence", F.concat(text, F.when(shown != "", F.concat(F.lit("; examples: "), shown)).otherwise("")).alias("evidence"),
-        "scoped_files", "eligible_files", "violating_files", F.col("eligible_files").alias("support"), "prevalence", "resolved_count", "unresolved_count", "sample_locations", "resolved_examples",
+        "scoped_files", "eligible_files", "violating_files", F.col("eligible_files").alias("support"), "prevalence", "structural_fit", "prevalence_support", "naming_fit", "resolved_count", "unresolved_count", "sample_locations", "resolved_examples", "unresolved_reasons",
         rule_name(F.lit(pattern.id), *lists).alias("proposed_rule_id"), F.lit(pattern.severity).alias("rule_severity"), F.lit(f"[derived_from_catalog={pattern.id}] {pattern.description}").alias("message"),
     )
     return m if show_low else m.where("confidence <> 'LOW'")
 
 
+SHARED = ["repo_id", "catalog_id", "name", "category", "score", "confidence", "evidence", "scoped_files", "eligible_files", "violating_files", "support", "prevalence", "structural_fit", "prevalence_support", "naming_fit"]
+SHARED += ["resolved_count", "unresolved_count", "sample_locations", "resolved_examples", "unresolved_reasons", "proposed_rule_id", "rule_severity", "message", "rule"]
+
+
+def _rule(template: str, scope: Column, target: Column, except_: Column, params: Column) -> Column:
+    """The proposed rule in full; params are in order of name."""
+    return F.struct(F.col("proposed_rule_id").alias("id"), F.lit("pattern").alias("kind"), F.col("rule_severity").alias("severity"), F.lit(template).alias("template"), scope.alias("scope"), target.alias("target"), except_.alias("except"), params.alias("params"), F.col("message").alias("message"))
+
+
+def rule_signature(rule: Column) -> Column:
+    """What two rules share when they say the same."""
+    listed = lambda c: F.array_join(F.sort_array(c), ",")
+    params = F.transform(F.map_entries(rule["params"]), lambda p: F.concat(p["key"], F.lit("="), p["value"]))
+    return F.concat_ws("|", rule["kind"], rule["template"], rule["severity"], listed(rule["scope"]), listed(rule["target"]), listed(rule["except"]), listed(params))
+
+
 def all_matches(candidates: DataFrame, constructions_: DataFrame, files: DataFrame, boundaries: tuple[Boundary, ...] = BOUNDARIES, pattern: Construction = CONSTRUCTIONS[0], show_low: bool = False) -> DataFrame:
-    """Matches of every built-in pattern, whatever it is matched against, in the columns they share."""
-    b = boundary_matches(candidates, boundaries, show_low)
-    b = b.withColumn("proposed_rule_id", rule_name(F.col("catalog_id"), F.col("scope"), F.col("target")))
-    shared = ["repo_id", "catalog_id", "name", "category", "score", "confidence", "evidence", "support", "prevalence", "proposed_rule_id", "rule_severity", "message"]
-    return b.select(*shared).unionByName(construction_matches(constructions_, files, pattern, show_low).select(*shared))
+    """Matches of every built-in pattern, whatever it is matched against, with the proposed rules; of those that say the same the one of best score."""
+    none = F.array().cast("array<string>")
+    b = boundary_matches(candidates, boundaries, True).withColumn("proposed_rule_id", rule_name(F.col("catalog_id"), F.col("scope"), F.col("target")))
+    b = b.withColumn("rule", _rule("dependency_constraint", F.array("scope"), F.array("target"), none, F.create_map(F.lit("relation"), F.col("relation"))))
+    b = b.withColumns({"scoped_files": F.col("support"), "eligible_files": F.col("support"), "violating_files": F.col("violations"), "resolved_count": F.lit(0).cast("long"), "unresolved_count": F.lit(0).cast("long"), "sample_locations": none, "resolved_examples": none, "unresolved_reasons": F.array().cast("array<struct<reason:string,count:bigint>>")})
+    c = construction_matches(constructions_, files, pattern, True)
+    lists = [F.array(*map(F.lit, x)) if x else none for x in (pattern.scope, pattern.services, pattern.allowed)]
+    c = c.withColumn("rule", _rule("construction_policy", *lists, F.create_map(F.lit("service_name_regex"), F.lit(pattern.name_regex))))
+    m = b.select(*SHARED).unionByName(c.select(*SHARED))
+    same = Window.partitionBy("repo_id", rule_signature(F.col("rule"))).orderBy(F.desc("score"), "catalog_id")
+    m = m.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")
+    return m if show_low else m.where("confidence <> 'LOW'")
 
 
 def boundary_matches(candidates: DataFrame, boundaries: tuple[Boundary, ...] = BOUNDARIES, show_low: bool = False) -> DataFrame:

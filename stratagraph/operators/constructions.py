@@ -54,14 +54,17 @@ def construction_match(constructions: DataFrame, files: DataFrame, scope: list[s
     found = constructions.where(inside & bad).select("repo_id", place.alias("place"), F.concat(place, F.lit(":new "), "class_name").alias("example"))
     for name, value in (("sample_locations", "place"), ("resolved_examples", "example")):
         c = c.join(least_three(found, value, name), "repo_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    reasons = constructions.where(inside & ~F.col("is_resolved") & F.col("unresolved_reason").isNotNull()).groupBy("repo_id", F.col("unresolved_reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("order"), "reason")))  # one for each reason there is, six at most
+    c = c.join(reasons.groupBy("repo_id").agg(F.transform(order, lambda x: F.struct(x["reason"].alias("reason"), (-x["order"]).alias("count"))).alias("unresolved_reasons")), "repo_id", "left")
     scoped = files.where(matches_any(F.col("path"), scope)).groupBy("repo_id").agg(F.count(F.lit(1)).alias("scoped_files"))
     d = scoped.join(c, "repo_id", "left").fillna(0)
     prevalence = F.when(F.col("eligible_files") > 0, F.col("violating_files") / F.col("eligible_files")).otherwise(0.0)
     structural = F.when(F.col("resolved_count") > 0, F.col("resolved_count") / (F.col("resolved_count") + F.col("unresolved_count"))).otherwise(0.5)
     naming = F.when((F.col("unresolved_count") > 0) & (F.col("resolved_count") == 0), 0.3).otherwise(0.6)
-    d = d.withColumn("prevalence", prevalence)
-    score = weighted_score(structural, construction_support(F.col("prevalence"), F.col("eligible_files"), effective_support(min_support, F.col("scoped_files"))), naming)
-    return d.withColumn("score", score).withColumn("confidence", score_confidence(F.col("score")))
+    support = construction_support(F.col("prevalence"), F.col("eligible_files"), effective_support(min_support, F.col("scoped_files")))
+    d = d.withColumn("prevalence", prevalence).withColumn("structural_fit", structural).withColumn("prevalence_support", support).withColumn("naming_fit", naming)
+    return d.withColumn("score", weighted_score(F.col("structural_fit"), F.col("prevalence_support"), F.col("naming_fit"))).withColumn("confidence", score_confidence(F.col("score")))
 
 
 def reason_counts(constructions: DataFrame) -> DataFrame:

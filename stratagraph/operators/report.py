@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratagraph.functions.paths import clamp
 
 ADOPTED = {"high": ("HIGH",), "medium": ("HIGH", "MEDIUM")}
 
@@ -93,25 +92,67 @@ def json_candidates(candidates: DataFrame) -> DataFrame:
     return candidates.select("repo_id", "kind", "scope", "target", F.to_json(fields).alias("json"))
 
 
-def rule_signature(*lists: Column) -> Column:
-    """What two rules share when they say the same: their sorted lists, joined."""
-    return F.concat_ws("|", *(F.array_join(F.array_sort(x), ",") for x in lists))
-
-
-def catalog_rules(matches: DataFrame) -> DataFrame:
-    """Matches of a catalog (pattern_id, scope, target, score) as rules: a name from pattern and signature, the best match for each signature."""
-    w = Window.partitionBy("repo_id", "_signature").orderBy(F.desc("score"), "pattern_id")
-    m = matches.withColumn("score", clamp(F.col("score"), 0.0, 1.0)).withColumn("_signature", rule_signature(F.array("scope"), F.array("target")))
-    m = m.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    plain = F.regexp_replace(F.regexp_replace(F.replace(F.upper("pattern_id"), F.lit("_"), F.lit("-")), "^CAT-", ""), "[^A-Z0-9-]", "")
-    return m.withColumn("rule_id", F.concat(F.lit("AG-CAT-"), plain, F.lit("-"), F.substring(F.sha1("_signature"), 1, 8))).drop("_n", "_signature")
-
-
 def adopted(scored: DataFrame, threshold: str = "high") -> DataFrame:
     """Matches of enough confidence; an unknown threshold counts as high."""
     return scored.where(F.col("confidence").isin(*ADOPTED.get(threshold.strip().lower(), ADOPTED["high"])))
 
 
+# Fixed: what a starter configuration begins with.
+HEADER = """version: 1
+project:
+  roots: ["."]
+  include: ["**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.mjs", "**/*.cjs"]
+  exclude: ["**/node_modules/**", "**/dist/**", "**/build/**", "**/.next/**", "**/coverage/**", "**/.git/**"]
+rules:"""
+
+
+def adopted_rules(matches: DataFrame) -> DataFrame:
+    """(repo_id, id, yaml): the proposed rules of matches as blocks of a configuration."""
+    rule = F.col("rule")
+    listed = lambda name, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"    {name}:\n"), F.array_join(F.transform(xs, lambda x: F.concat(F.lit("      - "), quoted(x))), "\n")))
+    entries = F.transform(F.sort_array(F.map_entries(rule["params"])), lambda p: F.concat(F.lit("      "), p["key"], F.lit(": "), quoted(p["value"])))
+    lines = [_line("  - id: ", rule["id"]), _line("    kind: ", rule["kind"]), _line("    severity: ", rule["severity"]), F.when(rule["template"] != "", _line("    template: ", rule["template"]))]
+    scope = F.concat(F.lit("    scope:"), F.array_join(F.transform(rule["scope"], lambda x: F.concat(F.lit("\n      - "), quoted(x))), ""))
+    lines += [scope, listed("target", rule["target"]), listed("except", rule["except"]), F.when(F.size(entries) > 0, F.concat(F.lit("    params:\n"), F.array_join(entries, "\n")))]
+    lines += [F.when(rule["message"] != "", _line("    message: ", quoted(rule["message"])))]
+    return matches.select("repo_id", rule["id"].alias("id"), F.concat_ws("\n", *lines).alias("yaml"))
+
+
+def emitted_config(candidates: DataFrame, matches: DataFrame, threshold: str = "high", no_cycle_severity: str = "warning") -> DataFrame:
+    """(repo_id, part, id, yaml): the blocks of each repository's starter configuration, to be read in order of part and id: the header, the mined rules, and the adopted ones."""
+    mined = mined_rules(candidates, no_cycle_severity).select("repo_id", F.lit(1).alias("part"), "id", "yaml")
+    taken = adopted_rules(adopted(matches, threshold)).select("repo_id", F.lit(2).alias("part"), "id", "yaml")
+    heads = candidates.select("repo_id").union(matches.select("repo_id")).distinct().select("repo_id", F.lit(0).alias("part"), F.lit("").alias("id"), F.lit(HEADER).alias("yaml"))
+    return heads.unionByName(mined).unionByName(taken)
+
+
+def json_matches(matches: DataFrame) -> DataFrame:
+    """(repo_id, catalog_id, proposed_rule_id, json): a match of the catalog as JSON; what is empty is left out, but for the rule's lists, which are null."""
+    count = lambda c: F.when(F.col(c) > 0, F.col(c)).alias(c)
+    some = lambda c: F.when(F.size(c) > 0, F.col(c)).alias(c)
+    rule = F.col("rule")
+    full = lambda c: F.when(F.size(rule[c]) > 0, rule[c])
+    proposed = F.struct(rule["id"].alias("ID"), rule["kind"].alias("Kind"), rule["severity"].alias("Severity"), full("scope").alias("Scope"), full("target").alias("Target"), full("except").alias("Except"), rule["template"].alias("Template"), full("params").alias("Params"), rule["message"].alias("Message"))
+    parts = F.struct("structural_fit", "prevalence_support", "naming_fit")
+    first = F.struct("catalog_id", "name", "category", "score", "confidence", "evidence", "scoped_files", "eligible_files", "violating_files", "support", "prevalence", parts.alias("score_components"), count("resolved_count"), count("unresolved_count"), some("sample_locations"), some("resolved_examples"), some("unresolved_reasons"))
+    joined = F.concat(F.regexp_replace(F.to_json(first), r"\}$", ',"proposed_rule":'), F.to_json(proposed, {"ignoreNullFields": "false"}), F.lit("}"))
+    return matches.select("repo_id", "catalog_id", "proposed_rule_id", joined.alias("json"))
+
+
+def text_matches(matches: DataFrame, debug: bool = False) -> DataFrame:
+    """(repo_id, catalog_id, proposed_rule_id, block): a match of the catalog as text, with figures if debug."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), c)
+    listed = lambda c, each=lambda x: x: F.concat(F.lit("["), F.array_join(F.transform(c, each), " "), F.lit("]"))
+    shown = [line(c, F.col(c)) for c in ("catalog_id", "name", "category")] + [line("score", F.format_string("%.3f", "score"))] + [line(c, F.col(c)) for c in ("confidence", "evidence", "proposed_rule_id")]
+    if debug:
+        both = (F.col("resolved_count") > 0) | (F.col("unresolved_count") > 0)
+        shown += [line(c, F.col(c)) for c in ("scoped_files", "eligible_files", "violating_files", "support")] + [line("prevalence", F.format_string("%.4f", "prevalence"))]
+        shown += [F.format_string("score_components: structural_fit=%.3f prevalence_support=%.3f naming_fit=%.3f", "structural_fit", "prevalence_support", "naming_fit")]
+        shown += [F.when(both, line(c, F.col(c))) for c in ("resolved_count", "unresolved_count")] + [F.when(F.size(c) > 0, line(c, listed(c))) for c in ("resolved_examples", "sample_locations")]
+        shown += [F.when(F.size("unresolved_reasons") > 0, line("unresolved_reasons", listed("unresolved_reasons", lambda x: F.concat(F.lit("{"), x["reason"], F.lit(" "), x["count"], F.lit("}")))))]
+    return matches.select("repo_id", "catalog_id", "proposed_rule_id", F.concat_ws("\n", *shown).alias("block"))
+
+
 def in_workspaces(files: DataFrame, workspaces: DataFrame) -> DataFrame:
     """files (repo_id, path) with each workspace they lie in, nested ones too; workspaces are (repo_id, root).
 

@@ -8,6 +8,7 @@ from stratagraph.operators import aliases, catalog, constructions, extract, grap
 from stratagraph.operators.policy import Rule
 from stratagraph.plans import commerce as c
 from stratagraph.sources import tabular as t
+from stratagraph.sources.written import cut
 
 ALL = c._found([c.F1, c.F2, c.F3, c.F4, c.F5])
 
@@ -62,13 +63,48 @@ def _all_matches(spark, sf_dir):
     return catalog.all_matches(_mined(spark, sf_dir), made, files, c.BOUNDARIES, ROOTS, show_low=True).select("catalog_id", "name", "category", "evidence", "support", "proposed_rule_id", "message")
 
 
-BOUND = c.BOUNDARY_SQL.replace("SELECT catalog_id, 'imports' AS relation", ", bound AS (SELECT catalog_id, evidence, 'imports' AS relation") + ")"
+def _whole_matches(spark, sf_dir):
+    files, made = _resolved(spark, sf_dir)
+    return catalog.all_matches(_mined(spark, sf_dir), made, files, c.BOUNDARIES, ROOTS, show_low=True)
+
+
+def _emitted(spark, sf_dir):
+    """The starter configuration with every match of at least medium confidence adopted."""
+    mined = cut(_mined(spark, sf_dir), "mined")
+    files, made = _resolved(spark, sf_dir)
+    return report.emitted_config(mined, catalog.all_matches(mined, made, files, c.BOUNDARIES, ROOTS), "medium").select("part", "id", "yaml")
+
+
+BOUND = c.BOUNDARY_SQL.replace("SELECT catalog_id, 'imports' AS relation", ", bound AS (SELECT catalog_id, evidence, raw, ps, nm, 'imports' AS relation") + ")"
 ALL_MATCHES_SQL = BOUND + """
 SELECT catalog_id, CASE catalog_id WHEN 'CAT-BUILDING-SUPPLIERS' THEN 'Building avoids suppliers' ELSE 'Europe avoids suppliers' END AS name, 'layering' AS category, evidence, support, 'AG-' || catalog_id || '-' || substr(sha1(scope || '|' || target), 1, 8) AS proposed_rule_id,
   '[derived_from_catalog=' || catalog_id || '] ' || CASE catalog_id WHEN 'CAT-BUILDING-SUPPLIERS' THEN 'Building customers should not depend on suppliers.' ELSE 'European customers should not depend on suppliers.' END AS message FROM bound
 UNION ALL SELECT catalog_id, 'Services are made in one place', 'construction', evidence, eligible_files, proposed_rule_id, '[derived_from_catalog=CAT-TRADE-VIA-EUROPE] Services should be made in machinery.' FROM (""" + MATCH_SQL.replace("\nWITH place", "WITH place", 1) + ") AS s"
 
 
+BOUND_NAME = "CASE catalog_id WHEN 'CAT-BUILDING-SUPPLIERS' THEN 'Building avoids suppliers' ELSE 'Europe avoids suppliers' END"
+BOUND_TEXT = "'[derived_from_catalog=' || catalog_id || '] ' || CASE catalog_id WHEN 'CAT-BUILDING-SUPPLIERS' THEN 'Building customers should not depend on suppliers.' ELSE 'European customers should not depend on suppliers.' END"
+BOUND_ID = "'AG-' || catalog_id || '-' || substr(sha1(scope || '|' || target), 1, 8)"
+MATCH_ONE = "(" + MATCH_SQL.replace("SELECT 'CAT-TRADE-VIA-EUROPE' AS catalog_id, round(raw, 9)", "SELECT fit, pw, naming, resolved_count, unresolved_count, resolved_examples, raw, 'CAT-TRADE-VIA-EUROPE' AS catalog_id, round(raw, 9)").replace("AS raw FROM b)", "AS raw, (least(1.0, eligible_files / least(20, greatest(3, scoped_files))) + least(1.0, prevalence / 0.4)) / 2.0 AS pw FROM b)") + ") AS s"
+TEXT_SQL = BOUND + f"""
+SELECT catalog_id, {BOUND_ID} AS proposed_rule_id, 'catalog_id: ' || catalog_id || chr(10) || 'name: ' || {BOUND_NAME} || chr(10) || 'category: layering' || chr(10) || printf('score: %.3f', raw) || chr(10) || 'confidence: ' || confidence || chr(10) || 'evidence: ' || evidence || chr(10) || 'proposed_rule_id: ' || {BOUND_ID} || chr(10)
+  || 'scoped_files: ' || support || chr(10) || 'eligible_files: ' || support || chr(10) || 'violating_files: ' || violations || chr(10) || 'support: ' || support || chr(10) || printf('prevalence: %.4f', prevalence) || chr(10) || printf('score_components: structural_fit=1.000 prevalence_support=%.3f naming_fit=%.3f', ps, nm) AS block FROM bound
+UNION ALL SELECT catalog_id, proposed_rule_id, 'catalog_id: ' || catalog_id || chr(10) || 'name: Services are made in one place' || chr(10) || 'category: construction' || chr(10) || printf('score: %.3f', raw) || chr(10) || 'confidence: ' || confidence || chr(10) || 'evidence: ' || evidence || chr(10) || 'proposed_rule_id: ' || proposed_rule_id || chr(10)
+  || 'scoped_files: ' || scoped_files || chr(10) || 'eligible_files: ' || eligible_files || chr(10) || 'violating_files: ' || violating_files || chr(10) || 'support: ' || eligible_files || chr(10) || printf('prevalence: %.4f', prevalence) || chr(10) || printf('score_components: structural_fit=%.3f prevalence_support=%.3f naming_fit=%.3f', fit, pw, naming) || chr(10)
+  || 'resolved_count: ' || resolved_count || chr(10) || 'unresolved_count: ' || unresolved_count || chr(10) || 'resolved_examples: [' || array_to_string(resolved_examples, ' ') || ']' || chr(10) || 'sample_locations: [' || sample_locations || ']' || chr(10)
+  || 'unresolved_reasons: [' || (SELECT string_agg('{{' || reason || ' ' || n || '}}', ' ' ORDER BY n DESC, reason) FROM ({MADE} SELECT unresolved_reason AS reason, count(*) AS n FROM made WHERE NOT is_resolved AND (file LIKE 'ASIA/%' OR file LIKE 'AFRICA/%') AND file NOT LIKE '%/MACHINERY/%' GROUP BY 1) AS x) || ']' FROM {MATCH_ONE}"""
+HEAD_SQL = "'" + report.HEADER.replace("'", "''") + "'"
+BLOCK = "'  - id: ' || {id} || chr(10) || '    kind: pattern' || chr(10) || '    severity: warning' || chr(10) || '    template: {template}' || chr(10) || '    scope:' || chr(10) || {scope} || chr(10) || '    target:' || chr(10) || {target} || chr(10) || {more} || '    message: \"' || {message} || '\"'"
+ONE_ITEM = "'      - \"' || {} || '\"'"
+ADOPTED_SQL = BLOCK.format(id=BOUND_ID, template="dependency_constraint", scope=ONE_ITEM.format("scope"), target=ONE_ITEM.format("target"), more="'    params:' || chr(10) || '      relation: \"imports\"' || chr(10)", message=BOUND_TEXT)
+MADE_SQL = BLOCK.format(id="proposed_rule_id", template="construction_policy", scope=ONE_ITEM.format("'ASIA/**'") + " || chr(10) || " + ONE_ITEM.format("'AFRICA/**'"), target=ONE_ITEM.format("'EUROPE/**'"), more="'    except:' || chr(10) || " + ONE_ITEM.format("'**/MACHINERY/**'") + " || chr(10) || '    params:' || chr(10) || '      service_name_regex: \".*Service$\"' || chr(10)", message="'[derived_from_catalog=CAT-TRADE-VIA-EUROPE] Services should be made in machinery.'")
+EMIT_SQL = BOUND + f"""
+SELECT 0 AS part, '' AS id, {HEAD_SQL} AS yaml
+UNION ALL SELECT 1, id, '  - id: ' || id || chr(10) || '    kind: ' || kind || chr(10) || '    severity: warning' || chr(10) || '    scope:' || chr(10) || '      - "' || scope || '"' || chr(10) || '    target:' || chr(10) || '      - "' || target || '"' || chr(10) || '    message: "' || evidence || '"' FROM (SELECT *, 'MINED-' || lpad(row_number() OVER (ORDER BY kind, scope, target)::VARCHAR, 3, '0') AS id FROM cand)
+UNION ALL SELECT 2, {BOUND_ID}, {ADOPTED_SQL} FROM bound WHERE confidence <> 'LOW'
+UNION ALL SELECT 2, proposed_rule_id, {MADE_SQL} FROM {MATCH_ONE} WHERE confidence <> 'LOW'"""
+
+
 def _in_workspaces(spark, sf_dir):
     """Files by every second nation and every region they lie in."""
     files = t.commerce_files(spark, sf_dir)
@@ -177,6 +213,8 @@ QUERIES = {
     "construction_reasons": lambda s, d: constructions.reason_counts(_resolved(s, d)[1]).select("reason", "n"),
     "construction_boundary": _service_match,
     "catalog_all_matches": _all_matches,
+    "catalog_text": lambda s, d: report.text_matches(_whole_matches(s, d), debug=True).select("catalog_id", "proposed_rule_id", "block"),
+    "emit_config": _emitted,
     "workspace_files": _in_workspaces,
     "resolve_aliases": _resolve_aliases,
     "resolve_forms": _resolve_forms,
@@ -205,6 +243,8 @@ SQL = {
     "construction_reasons": MADE + "SELECT unresolved_reason AS reason, count(*) AS n FROM made WHERE NOT is_resolved GROUP BY 1",
     "construction_boundary": MATCH_SQL,
     "catalog_all_matches": ALL_MATCHES_SQL,
+    "catalog_text": TEXT_SQL,
+    "emit_config": EMIT_SQL,
     "workspace_files": c.BASE + "SELECT root, path FROM (SELECT split_part(path, '/', 1) AS root, path FROM files UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), path FROM files WHERE length(split_part(path, '/', 1) || '/' || split_part(path, '/', 2)) % 2 = 0)",
     "resolve_aliases": ALIAS_SQL,
     "resolve_forms": FORMS_SQL,

@@ -62,9 +62,8 @@ def test_workspaces_and_catalog(spark):
     files = spark.createDataFrame([("r", "apps/a/x.ts"), ("r", "apps/ab/y.ts"), ("r", "z.ts")], "repo_id string, path string")
     roots = spark.createDataFrame([("r", "apps/a"), ("r", "apps")], "repo_id string, root string")
     assert sorted((r.root, r.path) for r in report.in_workspaces(files, roots).collect()) == [("apps", "apps/a/x.ts"), ("apps", "apps/ab/y.ts"), ("apps/a", "apps/a/x.ts")]
-    m = spark.createDataFrame([("r", "CAT-X_y", "s", "t", 0.9, "HIGH"), ("r", "CAT-Z", "s", "t", 0.7, "MEDIUM")], "repo_id string, pattern_id string, scope string, target string, score double, confidence string")
-    got = report.catalog_rules(m).collect()
-    assert len(got) == 1 and got[0].rule_id.startswith("AG-CAT-X-Y-") and report.adopted(m, "medium").count() == 2
+    m = spark.createDataFrame([("r", "HIGH"), ("r", "MEDIUM"), ("r", "LOW")], "repo_id string, confidence string")
+    assert [report.adopted(m, x).count() for x in ("medium", " HIGH", "odd")] == [2, 1, 1]
 
 
 def test_forms_hold_what_they_state():

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -361,6 +363,32 @@ def test_construction_boundary(spark):
     assert catalog.construction_matches(spark.createDataFrame(rows, made.schema), f).count() == 0
 
 
+def test_adopted_rules_and_catalog_matches(spark):
+    """A boundary and a construction pattern: their matches as JSON and text, and the configuration that adopts them."""
+    from stratagraph.operators import catalog
+
+    schema = "repo_id string, kind string, scope string, target string, severity string, support long, violations long, prevalence double, confidence string, evidence string"
+    c = spark.createDataFrame([("r", "no_import", "src/domain/**", "src/infra/**", "warning", 40, 0, 0.0, "MEDIUM", "0/40 files in src/domain import src/infra"), ("r", "no_cycle", "a/**", None, "error", 3, 3, 1.0, "HIGH", "x")], schema)
+    f = files(spark, [f"src/feature/f{k}.ts" for k in range(3)] + ["src/services/user.ts"])
+    made = spark.createDataFrame([("r", "src/feature/f0.ts", "UserService", 4, True, True, None), ("r", "src/feature/f1.ts", "Date", 1, False, False, "symbol_not_resolved")], "repo_id string, file string, class_name string, line int, is_resolved boolean, is_service boolean, unresolved_reason string")
+    m = catalog.all_matches(c, made, f, show_low=True).cache()
+    got = {x.catalog_id: json.loads(x.json) for x in report.json_matches(m).collect()}
+    assert set(got) == {"CAT-LAYERED-DOMAIN-INFRA", "CAT-SERVICES-VIA-COMPOSITION-ROOT"}
+    layered, services = got["CAT-LAYERED-DOMAIN-INFRA"], got["CAT-SERVICES-VIA-COMPOSITION-ROOT"]
+    assert layered["proposed_rule"] | {"ID": "", "Message": ""} == {"ID": "", "Kind": "pattern", "Severity": "warning", "Scope": ["src/domain/**"], "Target": ["src/infra/**"], "Except": None, "Template": "dependency_constraint", "Params": {"relation": "imports"}, "Message": ""}
+    assert "resolved_count" not in layered and "sample_locations" not in layered and set(layered["score_components"]) == {"structural_fit", "prevalence_support", "naming_fit"}
+    assert services["unresolved_reasons"] == [{"reason": "symbol_not_resolved", "count": 1}] and services["sample_locations"] == ["src/feature/f0.ts:4"] and services["proposed_rule"]["Params"] == {"service_name_regex": ".*Service$"}
+    text = {x.catalog_id: x.block for x in report.text_matches(m, debug=True).collect()}["CAT-SERVICES-VIA-COMPOSITION-ROOT"]
+    assert "resolved_count: 1\nunresolved_count: 1\nresolved_examples: [src/feature/f0.ts:4:new UserService]" in text and text.endswith("unresolved_reasons: [{symbol_not_resolved 1}]")
+    rows = report.emitted_config(c, m, "medium", "error").orderBy("part", "id").collect()
+    whole = "\n".join(x.yaml for x in rows)
+    assert [x.part for x in rows] == [0, 1, 1] + [2] * m.where("confidence <> 'LOW'").count() and whole.startswith("version: 1\nproject:\n  roots: [\".\"]")
+    assert '    template: dependency_constraint\n    scope:\n      - "src/domain/**"\n    target:\n      - "src/infra/**"\n    params:\n      relation: "imports"\n    message: "[derived_from_catalog=CAT-LAYERED-DOMAIN-INFRA] ' in whole
+    assert "    severity: error\n    scope:\n      - \"a/**\"\n    message" in whole
+    strict = report.emitted_config(c, m).where("part = 2").count()
+    assert strict == m.where("confidence = 'HIGH'").count()
+
+
 def test_mined_rules(spark):
     schema = "repo_id string, kind string, scope string, target string, severity string, support long, violations long, prevalence double, confidence string, evidence string"
     c = spark.createDataFrame([("r", "no_cycle", "a/**", None, "error", 3, 3, 1.0, "HIGH", 'x "y"'), ("r", "file_pattern", "b/**", "^.*\\.ts$", "warning", 3, 0, 0.0, "HIGH", "e")], schema)
