@@ -69,23 +69,25 @@ def aliases(entries: DataFrame, configured: DataFrame | None = None, roots: tupl
     return every.select("repo_id", normalised("alias").alias("alias"), "position", joined(F.coalesce("base", F.lit(".")), F.col("target")).alias("target")).distinct()
 
 
-def by_repository(rows: DataFrame) -> DataFrame:
-    """(repo_id, aliases): longer aliases first, then by name and position; a repository has as many as its manifests name."""
-    key = F.struct((-F.length("alias")).alias("size"), "alias", "position", "target")
-    return rows.groupBy("repo_id").agg(F.array_sort(F.collect_list(key)).alias("aliases"))
-
-
-def stands_for(raw: Column, aliases_: Column) -> Column:
-    """Paths that an import stands for by the aliases that fit it, in order."""
-    r = F.regexp_replace(normalised(raw), "^/+", "")
-
-    def target(a: Column) -> Column:
-        head, tail = F.substring_index(a["alias"], "*", 1), F.regexp_extract(a["alias"], r"\*([^*]*)", 1)
-        star = a["alias"].contains("*")
-        rest = F.substring(r, F.length(head) + 1, F.length(r))
-        middle = F.when(F.length(tail) == 0, rest).when(rest.endswith(tail), F.substring(rest, F.lit(1), F.length(rest) - F.length(tail))).otherwise(rest)
-        fits = F.when(star, r.startswith(head) & r.endswith(tail)).otherwise(r == a["alias"])
-        value = F.when(~star, a["target"]).when(a["target"].contains("*"), F.replace(a["target"], F.lit("*"), middle)).when(middle != "", F.concat(a["target"], F.lit("/"), middle)).otherwise(a["target"])
-        return F.when(fits, value)
-
-    return F.array_compact(F.transform(F.coalesce(aliases_, F.array().cast("array<struct<size:int,alias:string,position:int,target:string>>")), target))
+def aliased_paths(imports: DataFrame, rows: DataFrame) -> DataFrame:
+    """(repo_id, source_file, raw_import, aliased) of the distinct imports that an alias fits: the paths they stand for, longer aliases first, then by name and position.
+
+    An alias fits by what stands before its star, so that is its join key; an import meets
+    it with its prefixes, of the lengths that its repository's aliases have. A list holds the
+    aliases of one import.
+    """
+    key = ["repo_id", "source_file", "raw_import"]
+    star = F.col("alias").contains("*")
+    a = rows.select("repo_id", "alias", "position", "target", star.alias("star"), F.substring_index("alias", "*", 1).alias("head"), F.regexp_extract("alias", r"\*([^*]*)", 1).alias("tail"))
+    lengths = a.where("star").groupBy("repo_id").agg(F.collect_set(F.char_length("head")).alias("lengths"))
+    r = imports.select(*key, F.regexp_replace(normalised(F.trim("raw_import")), "^/+", "").alias("r")).join(lengths, "repo_id", "left")
+    fitting = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: n <= F.char_length("r"))
+    probes = F.concat(F.transform(fitting, lambda n: F.struct(F.substring(F.col("r"), F.lit(1), n).alias("head"), F.lit(True).alias("star"))), F.array(F.struct(F.col("r").alias("head"), F.lit(False).alias("star"))))
+    met = r.select(*key, "r", F.inline(probes)).join(a, ["repo_id", "head", "star"]).where(~F.col("star") | F.col("r").endswith(F.col("tail")))
+    rest, tail = F.substring(F.col("r"), F.char_length("head") + 1, F.char_length("r")), F.col("tail")
+    middle = F.when(F.length(tail) == 0, rest).when(rest.endswith(tail), F.substring(rest, F.lit(1), F.char_length(rest) - F.char_length(tail))).otherwise(rest)
+    target = F.col("target")
+    value = F.when(~F.col("star"), target).when(target.contains("*"), F.replace(target, F.lit("*"), middle)).when(middle != "", F.concat(target, F.lit("/"), middle)).otherwise(target)
+    order = F.struct((-F.length("alias")).alias("size"), "alias", "position", "target", value.alias("value"))
+    found = met.groupBy(*key).agg(F.sort_array(F.collect_list(order)).alias("found"))
+    return found.select(*key, F.transform("found", lambda x: x["value"]).alias("aliased"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import directory, normalised
-from stratagraph.operators.aliases import by_repository, stands_for
+from stratagraph.operators.aliases import aliased_paths
 
 # Extensions in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".php")
@@ -44,10 +44,11 @@ def resolve_imports(imports: DataFrame, entries: DataFrame, aliases: DataFrame |
     raw, source = F.trim("raw_import"), F.col("source_file")
     key = ["repo_id", "source_file", "raw_import"]
     distinct = imports.select(*key).distinct()
+    none = F.array().cast("array<string>")
     if aliases is None:
-        every, aliased = distinct, F.array().cast("array<string>")
+        every, aliased = distinct, none
     else:
-        every, aliased = distinct.join(by_repository(aliases), "repo_id", "left"), stands_for(raw, F.col("aliases"))
+        every, aliased = distinct.join(aliased_paths(distinct, aliases), key, "left"), F.coalesce("aliased", none)
     every = every.select(*key, F.posexplode(F.flatten(F.transform(candidate_paths(raw, source, aliased), tried))).alias("rank", "path"))
     met = every.join(entries.select("repo_id", "path").distinct(), ["repo_id", "path"]).groupBy(*key).agg(F.min_by("path", "rank").alias("resolved_path"))
     tops = entries.where("path like '%/%'").select("repo_id", F.substring_index("path", "/", 1).alias("top")).distinct().where("top <> 'vendor'").withColumn("is_top", F.lit(True))

@@ -3,7 +3,7 @@ import pytest
 from stratagraph.operators.catalog import boundary_matches
 from stratagraph.operators.report import text_candidates
 from stratagraph.operators.workspaces import workspace_patterns, workspace_roots
-from stratagraph.sources.repository import discovered, entries
+from stratagraph.sources.repository import contents, discovered, entries, walked
 
 ENTRY = "repo_id string, path string, text string"
 CANDIDATE = "repo_id string, kind string, scope string, target string, severity string, support long, violations long, prevalence double, confidence string, evidence string"
@@ -22,6 +22,22 @@ def test_entries_are_relative_and_whole(spark, tmp_path):
     assert got == {"src/a b/x.ts": b"import 'y'", "root.php": b"<?php", "empty.ts": b""}
 
 
+def test_walk_lists_no_excluded_tree(spark, tmp_path):
+    """Files of any level with their sizes; excluded and hidden directories are not listed, which one that cannot be read shows."""
+    root = tmp_path / "repo"
+    for name, text in {"a.ts": "x", "src/deep/er/b.ts": "import 'y'", "src/empty.ts": "", "src/.git/c.ts": "no", "node_modules/p/d.js": "no", "src/dist/e.js": "no", "s p/é.ts": "ü"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "node_modules/p").rename(root / "node_modules/q")
+    before = {p: p.stat().st_atime_ns for p in (root / "node_modules", root / "node_modules/q", root / "src/.git", root / "src/dist")}
+    got = walked(spark, str(root), ("**/node_modules", "node_modules", "**/dist"), "r").cache()
+    assert {x.path: x.size for x in got.collect()} == {"a.ts": 1, "src/deep/er/b.ts": 10, "src/empty.ts": 0, "s p/é.ts": 2}
+    assert all(p.stat().st_atime_ns == at for p, at in before.items())
+    assert {x.path: bytes(x.content).decode() for x in contents(got, str(root)).collect()} == {"a.ts": "x", "src/deep/er/b.ts": "import 'y'", "src/empty.ts": "", "s p/é.ts": "ü"}
+    (root / "bare").mkdir()
+    assert walked(spark, str(root / "bare")).count() == 0
+
+
 def test_discovered_prunes_directories(spark):
     rows = [("r", p, None) for p in ["src/a.ts", "src/a.gen.ts", "src/.git/b.ts", "src/dist/deep/c.ts", "src/d.php", "lib/e.js", "src/a.ts", ".hidden.ts", None]]
     files = spark.createDataFrame(rows, ENTRY)
