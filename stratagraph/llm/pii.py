@@ -118,31 +118,41 @@ def scanned(items: Column, state: Column, step: Callable[[Column, Column], tuple
     return F.aggregate(parts, start, over, lambda r: F.struct(r["state"].alias("state"), F.flatten(r["out"]).alias("out")))
 
 
-def located(text: Column, pattern: str, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """Spans of the wanted matches: the text between matches gives their places."""
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gap = F.split(text, pattern, -1)
-    pairs = bound(match, lambda found: F.zip_with(found, F.slice(gap, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).alias("g"))))
+#: The generators of proposals, with what a text must hold for them.
+PROPOSE = {DIGIT_RUN: "[0-9]", PHONE_LIKE: "[0-9]", CARD_LIKE: "[0-9]", SPELLED: r"@|\(at\)|\[at\]"}
+FOUND = "struct<of:int,start:int,end:int,value:string>"
 
-    def step(at: Column, p: Column) -> tuple[Column, Column]:
-        begin = at + p["g"]
-        end = begin + F.char_length(p["m"])
-        span = F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("value")))
-        return end, span if wanted is None else F.when(wanted(p["m"]), span).otherwise(F.array().cast(SPAN))
 
-    return scanned(pairs, F.lit(0), step, SPAN[6:-1])["out"]
+def found(text: Column, proposed: bool = True) -> Column:
+    """Spans of all kinds that hold, `of` being the kind's number, and of all generators' proposals, of a number past those; one fold over the matches of all patterns: the text between matches gives their places."""
+    patterns = [(PATTERN[k], MAY[k]) for k in KINDS] + list(PROPOSE.items()) * proposed
 
+    def located(i: int, pattern: str) -> Column:
+        gaps = lambda m: F.slice(F.split(text, pattern, -1), 1, F.size(m))
+        tagged = lambda m, g: F.struct(F.lit(i).alias("of"), m.alias("m"), F.char_length(g).alias("g"))
+        return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.zip_with(m, gaps(m), tagged))
 
-def base_spans(text: Column, kind: str) -> Column:
-    return F.when(text.rlike(MAY[kind]), located(text, PATTERN[kind], lambda m: holds(kind, m))).otherwise(F.array().cast(SPAN))
+    items = [F.when(text.rlike(may), located(i, pattern)).otherwise(F.array().cast("array<struct<of:int,m:string,g:int>>")) for i, (pattern, may) in enumerate(patterns)]
 
+    def step(state: Column, p: Column) -> tuple[Column, Column]:
+        begin = F.when(state["of"] == p["of"], state["at"]).otherwise(0) + p["g"]
+        keep = F.lit(True)
+        for i, k in enumerate(KINDS):
+            if k != "email":
+                keep = F.when(p["of"] == i, holds(k, p["m"])).otherwise(keep)
+        span = bound(begin, lambda at: F.array(F.struct(p["of"].alias("of"), at.alias("start"), (at + F.char_length(p["m"])).alias("end"), p["m"].alias("value"))))
+        return F.struct(p["of"].alias("of"), (begin + F.char_length(p["m"])).alias("at")), F.when(keep, span).otherwise(F.array().cast(f"array<{FOUND}>"))
 
-def proposals(text: Column) -> Column:
-    """Candidate spans of all generators; what several propose comes several times."""
-    empty = F.array().cast(SPAN)
-    runs = F.when(text.rlike("[0-9]"), F.concat(*(located(text, p) for p in (DIGIT_RUN, PHONE_LIKE, CARD_LIKE)))).otherwise(empty)
-    spelled = F.when(text.rlike(r"@|\(at\)|\[at\]"), located(text, SPELLED)).otherwise(empty)
-    return F.concat(runs, spelled)
+    return scanned(F.concat(*items), F.struct(F.lit(-1).alias("of"), F.lit(0).alias("at")), step, FOUND)["out"]
+
+
+def spans_by(wanted: Callable[[Column], Column], found_: str = "found") -> Column:
+    """The spans of found whose number is wanted."""
+    return F.transform(F.filter(found_, lambda s: wanted(s["of"])), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+
+
+def base_columns() -> list[Column]:
+    return [spans_by(lambda of, i=i: of == i).alias(k) for i, k in enumerate(KINDS)]
 
 
 def free(proposed: Column, base: Column) -> Column:
@@ -174,30 +184,43 @@ def excerpt(pages: Column, at: Column, n: Column) -> Column:
     return F.when(n <= 0, "").when(last == first, head).otherwise(F.concat(head, whole, F.substring(page(last), F.lit(1), at + n - last * PAGE)))
 
 
-def feature_columns(pages: Column, s: Column) -> dict[str, Column]:
-    """Features of a span (start, end, value) of a text in pages, its value without a country prefix."""
+def near(pages: Column, at: Column, n: int) -> Column:
+    """Up to n code points from place at, n at most PAGE."""
+    return bound(F.floor(at / PAGE).cast("int"), lambda i: F.substring(F.concat(F.get(pages, i), F.coalesce(F.get(pages, i + 1), F.lit(""))), at - i * PAGE + 1, F.lit(n)))
+
+
+def described(pages: Column, s: Column) -> Column:
+    """Features of a span (start, end, value) of a text in pages, its value without a country prefix. What several features read is computed once."""
     v = F.regexp_replace(s["value"], PREFIX, "")
-    domain = F.regexp_extract(v, r"(?:@|\(at\)|\[at\])(.*)$", 1)
-    group = F.filter(F.split(v, "[^0-9]+"), lambda g: g != "")
-    size = lambda i: F.least(F.lit(7), F.coalesce(F.length(F.try_element_at(group, F.lit(i))), F.lit(0)))
+    start = F.greatest(F.lit(0), s["start"] - 24)
+    past = F.lower(F.substring(near(pages, start, 24), F.lit(1), s["start"] - start))
+    ends = F.array(F.when(s["start"] > 0, near(pages, s["start"] - 1, 1)).otherwise(""), F.coalesce(near(pages, s["end"], 1), F.lit("")))
     kind = lambda c: F.when(c == "", 0).when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\s"), 3).when(c.rlike("[,.;:!?)]"), 4).otherwise(5)
-    past = F.lower(excerpt(pages, F.greatest(F.lit(0), s["start"] - 24), F.least(F.lit(24), s["start"])))
-    return {
-        "digits": F.least(F.lit(20), F.length(digits(v))),
-        "groups": F.least(F.lit(7), F.size(group)),
-        "first": size(1),
-        "last": size(-1),
-        "separator": F.when(v.rlike("[()]"), 4).when(v.rlike(r"\."), 3).when(v.rlike("-"), 2).when(v.rlike(" "), 1).otherwise(0),
-        "open": v.startswith("(").cast("int"),
-        "luhn": luhn(v).cast("int"),
-        "octets": ((F.size(group) == 4) & F.forall(group, lambda g: octets(g))).cast("int"),
-        "labels": F.when(domain == "", 0).otherwise(F.least(F.lit(5), F.size(F.split(domain, r"\.|\(dot\)|\[dot\]")))),
-        "ending": F.when(domain == "", 0).otherwise(F.least(F.lit(7), F.length(F.regexp_extract(domain, "([A-Za-z]*)$", 1)))),
-        "before": kind(F.when(s["start"] > 0, excerpt(pages, s["start"] - 1, F.lit(1))).otherwise("")),
-        "after": kind(excerpt(pages, s["end"], F.lit(1))),
-        "word": F.when(past.rlike("order|invoice|ticket|item|part|serial|account|token|version"), 5).when(past.rlike("phone|tel|call|fax|mobil"), 1).when(past.rlike("card|visa|credit|iban"), 2).when(past.rlike("host|addr|server"), 3).when(past.rlike("mail|contact|write"), 4).otherwise(0),
-        "spelled": F.when(v.contains("@"), 1).when(v.rlike(r"\((?:at|dot)\)|\[(?:at|dot)\]"), 2).otherwise(0),
-    }
+    word = bound(past, lambda p: F.when(p.rlike("order|invoice|ticket|item|part|serial|account|token|version"), 5).when(p.rlike("phone|tel|call|fax|mobil"), 1).when(p.rlike("card|visa|credit|iban"), 2).when(p.rlike("host|addr|server"), 3).when(p.rlike("mail|contact|write"), 4).otherwise(0))
+
+    def features(b: Column) -> Column:
+        v, group, domain = b["v"], b["group"], b["domain"]
+        size = lambda i: F.least(F.lit(7), F.coalesce(F.length(F.try_element_at(group, F.lit(i))), F.lit(0)))
+        found = {
+            "digits": F.least(F.lit(20), F.length(digits(v))),
+            "groups": F.least(F.lit(7), F.size(group)),
+            "first": size(1),
+            "last": size(-1),
+            "separator": F.when(v.rlike("[()]"), 4).when(v.rlike(r"\."), 3).when(v.rlike("-"), 2).when(v.rlike(" "), 1).otherwise(0),
+            "open": v.startswith("("),
+            "luhn": luhn(v),
+            "octets": (F.size(group) == 4) & F.forall(group, lambda g: octets(g)),
+            "labels": F.when(domain == "", 0).otherwise(F.least(F.lit(5), F.size(F.split(domain, r"\.|\(dot\)|\[dot\]")))),
+            "ending": F.when(domain == "", 0).otherwise(F.least(F.lit(7), F.length(F.regexp_extract(domain, "([A-Za-z]*)$", 1)))),
+            "before": b["around"][0],
+            "after": b["around"][1],
+            "word": b["word"],
+            "spelled": F.when(v.contains("@"), 1).when(v.rlike(r"\((?:at|dot)\)|\[(?:at|dot)\]"), 2).otherwise(0),
+        }
+        return F.struct(*(c.cast("int").alias(n) for n, c in found.items()))
+
+    parts = lambda v: F.struct(v.alias("v"), F.filter(F.split(v, "[^0-9]+"), lambda g: g != "").alias("group"), F.regexp_extract(v, r"(?:@|\(at\)|\[at\])(.*)$", 1).alias("domain"), F.transform(ends, kind).alias("around"), word.alias("word"))
+    return bound(bound(v, parts), features)
 
 
 @dataclass
@@ -284,10 +307,12 @@ def candidate_cells(docs: DataFrame) -> DataFrame:
     """Counts of candidates by features and kind; the kind is empty for proposals that touch no base span."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select("doc_id", t.alias("t")).where(F.col("t").rlike(r"[0-9@]|\(at\)|\[at\]"))
-    d = d.select("t", *(base_spans(F.col("t"), k).alias(k) for k in KINDS))
-    d = d.select(*KINDS, free(proposals(F.col("t")), F.concat(*KINDS)).alias("free"), in_pages(F.col("t")).alias("pages"))
-    described = lambda kind: lambda s: F.struct(*(c.cast("int").alias(n) for n, c in feature_columns(F.col("pages"), s).items()), F.lit(kind).alias("kind"))
-    made = d.select(F.inline(F.concat(F.transform("free", described("")), *(F.transform(k, described(k)) for k in KINDS))))
+    d = d.select("t", found(F.col("t")).alias("found"))
+    d = d.select(*base_columns(), spans_by(lambda of: of >= len(KINDS)).alias("proposed"), in_pages(F.col("t")).alias("pages"))
+    d = d.select(*KINDS, free(F.col("proposed"), F.concat(*KINDS)).alias("free"), "pages")
+    named = lambda kind: lambda s: F.struct(s.alias("s"), F.lit(kind).alias("kind"))
+    every = F.concat(F.transform("free", named("")), *(F.transform(k, named(k)) for k in KINDS))
+    made = d.select(F.inline(F.transform(every, lambda x: F.struct(described(F.col("pages"), x["s"]).alias("f"), x["kind"].alias("kind"))))).select("f.*", "kind")
     return made.groupBy(*FEATURES, "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -372,12 +397,12 @@ def with_spans(docs: DataFrame, trees: dict[str, Trees]) -> DataFrame:
     """docs with _base_<kind> and _all_<kind>, arrays of (start, end, value) in order of start; columns of these names are replaced."""
     t = F.col("t")
     d = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    d = d.select("doc", "t", *(base_spans(t, k).alias(k) for k in KINDS))
     active = [k for k in KINDS if trees[k].trees and trees[k].threshold < math.inf]
+    d = d.select("doc", "t", found(t, bool(active)).alias("found"))
+    d = d.select("doc", "t", *base_columns(), spans_by(lambda of: of >= len(KINDS)).alias("proposed"))
     if active:
-        d = d.select("doc", *KINDS, free(proposals(t), F.concat(*KINDS)).alias("free"), F.when(t.rlike(r"[0-9@]|\(at\)|\[at\]"), in_pages(t)).alias("pages"))
-        described = F.transform("free", lambda s: F.struct(s.alias("s"), *(c.cast("int").alias(n) for n, c in feature_columns(F.col("pages"), s).items())))
-        margins = F.transform(described, lambda x: F.struct(x["s"].alias("s"), F.greatest(*(F.struct(_margin(trees[k], x).alias("m"), F.lit(k).alias("kind")) for k in active), F.struct(F.lit(-1.0).alias("m"), F.lit("").alias("kind"))).alias("best")))
+        d = d.select("doc", *KINDS, free(F.col("proposed"), F.concat(*KINDS)).alias("free"), F.when(F.size("proposed") > 0, in_pages(t)).alias("pages"))
+        margins = F.transform("free", lambda s: bound(described(F.col("pages"), s), lambda x: F.struct(s.alias("s"), F.greatest(*(F.struct(_margin(trees[k], x).alias("m"), F.lit(k).alias("kind")) for k in active), F.struct(F.lit(-1.0).alias("m"), F.lit("").alias("kind"))).alias("best"))))
         passing = F.filter(margins, lambda x: x["best"]["m"] >= 0)
         flat = F.transform(passing, lambda x: F.struct(x["s"]["start"].alias("start"), x["s"]["end"].alias("end"), x["s"]["value"].alias("value"), x["best"]["kind"].alias("kind"), x["best"]["m"].alias("m")))
         d = d.select("doc", *KINDS, F.when(F.size("free") > 0, flat).alias("passing"))
