@@ -44,18 +44,34 @@ def _replaced(c: Column, rules: list[tuple[str, str]], whole: bool) -> Column:
     return reduce(lambda done, r: F.when(c.rlike(r[0]), F.lit(r[1])).otherwise(done), reversed(rules), c)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value written into the plan once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _named(profile: str, path: Column) -> Column:
+    """A clean directory as the profile names it."""
+    rules = SEGMENTS.get(profile)
+    return F.array_join(F.transform(F.split(path, "/"), lambda s: _once(F.trim(s), lambda x: _replaced(x, rules, True))), "/") if rules else path
+
+
 def normal_subtree(profile: str, path: Column) -> Column:
     """A directory as the profile names it; unknown profiles and 'generic' change nothing."""
-    rules = SEGMENTS.get(profile)
-    p = normalised(F.trim(path))
-    return F.array_join(F.transform(F.split(p, "/"), lambda s: _replaced(F.trim(s), rules, True)), "/") if rules else p
+    return _once(_once(F.trim(path), normalised), lambda p: _named(profile, p))
 
 
 def normal_file(profile: str, path: Column) -> Column:
-    p = normalised(path)
-    folder = normal_subtree(profile, directory(p))
-    name = _replaced(basename(p), NAMES.get(profile, []), False)
-    return F.when(folder == ".", name).otherwise(F.concat(folder, F.lit("/"), name))
+    def named(p: Column) -> Column:
+        folder = _once(directory(p), lambda d: _named(profile, d))
+        name = _replaced(basename(p), NAMES.get(profile, []), False)
+        return _once(folder, lambda d: F.when(d == ".", name).otherwise(F.concat(d, F.lit("/"), name)))
+
+    return _once(_once(path, normalised), named)
+
+
+def by_profile(profile: Column, path: Column, normal) -> Column:
+    """path by the profile that a column names; normal is normal_subtree or normal_file. What has no profile stays as it is."""
+    return reduce(lambda done, p: F.when(profile == p, normal(p, path)).otherwise(done), SEGMENTS, path)
 
 
 def detect(entries: DataFrame) -> DataFrame:

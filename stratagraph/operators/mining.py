@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratagraph.functions import profiles
 from stratagraph.functions.paths import confidence_rank, directory, ecosystem_package, low_signal, mined_confidence, suffix
 from stratagraph.operators import graph
 from stratagraph.sources.written import cut
@@ -211,16 +212,51 @@ def greedy_caps(gated: DataFrame, accepted: DataFrame, min_support: int = 20) ->
     return g.withColumn("drop_reason", F.coalesce("drop_reason", reason)).select(*gated.columns)
 
 
-def propose(files: DataFrame, imports: DataFrame, min_support: int = 20, max_prevalence: float = 0.02, most: int = 200) -> DataFrame:
+@dataclass
+class Inputs:
+    """What is mined: files, and the graph as counted tables."""
+
+    files: DataFrame  # repo_id, path
+    nodes: DataFrame
+    edges: DataFrame
+    packages: DataFrame
+    activity: DataFrame
+
+
+def inputs(files: DataFrame, imports: DataFrame, frameworks: DataFrame | None = None) -> Inputs:
+    """The inputs of mining; with frameworks (repo_id, framework), of profiles.detect, paths are those of each repository's own profile.
+
+    Counts of directories that get one name are added, and edges within one name go. Edges between files are not
+    renamed, so where a profile applies a directory's activity is that of its packages.
+    """
+    nodes, edges, packages, local = graph.nodes(files), graph.edges(imports), graph.package_edges(imports), graph.file_edges(imports)
+    if frameworks is None:
+        return Inputs(files, nodes, edges, packages, graph.source_activity(local, packages))
+    known = frameworks.select("repo_id", F.when(F.col("framework").isin(*profiles.SEGMENTS), F.col("framework")).alias("_profile"))
+    own = lambda df: df.join(known, "repo_id", "left")
+    name = lambda c: profiles.by_profile(F.col("_profile"), F.col(c), profiles.normal_subtree).alias(c)
+    total = F.sum("n_files").alias("n_files")
+    packages = own(packages).groupBy("repo_id", name("src"), "pkg").agg(total)
+    return Inputs(
+        own(files).select("repo_id", profiles.by_profile(F.col("_profile"), F.col("path"), profiles.normal_file).alias("path")),
+        own(nodes).groupBy("repo_id", name("subtree")).agg(total),
+        own(edges).select("repo_id", name("src"), name("dst"), "n_files").where("src <> dst").groupBy("repo_id", "src", "dst").agg(total),
+        packages,
+        graph.source_activity(local.join(known.where("_profile is not null"), "repo_id", "left_anti"), packages),
+    )
+
+
+def propose(files: DataFrame, imports: DataFrame, min_support: int = 20, max_prevalence: float = 0.02, most: int = 200, frameworks: DataFrame | None = None) -> DataFrame:
     """All candidates of a repository: the four generators, caps on pairs without violations, siblings joined, at most `most` of a kind; to be ordered by kind and scope.
 
-    Limits of 0 or less mean the defaults. The graph is built once and written.
+    Limits of 0 or less mean the defaults. The graph is built once and written. frameworks: as inputs takes them.
     """
     min_support, max_prevalence, most = (x if x > 0 else y for x, y in ((min_support, 20), (max_prevalence, 0.02), (most, 200)))
     files = cut(files.select("repo_id", "path"), "files")
     facts = cut(imports.select("repo_id", "source_file", "raw_import", "resolved_path", "is_package"), "imports")
-    nodes, edges, packages = (cut(df, name) for df, name in ((graph.nodes(files), "nodes"), (graph.edges(facts), "edges"), (graph.package_edges(facts), "package-edges")))
-    activity = cut(graph.source_activity(graph.file_edges(facts), packages), "activity")
+    i = inputs(files, facts, frameworks)
+    nodes, edges, packages, activity = (cut(df, name) for df, name in ((i.nodes, "nodes"), (i.edges, "edges"), (i.packages, "package-edges"), (i.activity, "activity")))
+    files = i.files
     parts = []
     for kind, e, target in (("no_import", edges, "dst"), ("no_package", packages, "pkg")):
         s = sides(kind, nodes, e, target, activity, min_support, max_prevalence)

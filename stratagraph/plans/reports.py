@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stratagraph.functions import profiles
 from stratagraph.operators import aliases, catalog, constructions, extract, graph, languages, mining, policy, report, resolve
 from stratagraph.operators.policy import Rule
 from stratagraph.plans import commerce as c
@@ -185,6 +186,27 @@ def _workspace_candidates(spark, sf_dir):
     return mining.dedupe_workspaces(mined.unionByName(other), 10**6).select(*c.CAND)
 
 
+def _profiled(spark, sf_dir):
+    """Directories and edges of three repositories, each by the profile that its own files tell."""
+    e = t.framework_entries(spark, sf_dir)
+    facts = e.where("target is not null").select("repo_id", F.col("path").alias("source_file"), F.col("target").alias("raw_import"), F.col("target").alias("resolved_path"), F.lit(False).alias("is_package"))
+    i = mining.inputs(e.select("repo_id", "path"), facts, profiles.detect(e.select("repo_id", "path", "text")))
+    names = i.files.groupBy("repo_id", F.lit("name").alias("part"), F.regexp_extract("path", r"([^/]*?)[0-9]*(?:\.test)?\.[a-z]+$", 1).alias("src"), F.regexp_extract("path", r"((?:\.test)?\.[a-z]+)$", 1).alias("dst")).agg(F.count(F.lit(1)).alias("n_files"))
+    nodes = i.nodes.select("repo_id", F.lit("node").alias("part"), F.col("subtree").alias("src"), F.lit("").alias("dst"), "n_files")
+    return nodes.unionByName(i.edges.select("repo_id", F.lit("edge").alias("part"), "src", "dst", "n_files")).unionByName(names)
+
+
+PROFILED_SQL = """
+WITH k AS (SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN 'n' WHEN 1 THEN 'r' ELSE 'g' END AS repo_id FROM customer),
+f AS (SELECT repo_id, k, CASE repo_id WHEN 'n' THEN 'app/(group)/[param]' WHEN 'r' THEN 'src/tests/d' || k % 6 ELSE 'app/[id' || k % 5 || ']' END AS src, CASE repo_id WHEN 'n' THEN 'lib/@slot' WHEN 'r' THEN 'src/mocks' ELSE 'lib/@s' || k % 7 END AS dst FROM k),
+m AS (SELECT DISTINCT repo_id FROM f WHERE repo_id <> 'g')
+SELECT repo_id, 'node' AS part, src, '' AS dst, count(*) AS n_files FROM f GROUP BY ALL
+UNION ALL SELECT repo_id, 'node', '.', '', 1 FROM m
+UNION ALL SELECT repo_id, 'edge', src, dst, count(*) FROM f GROUP BY ALL
+UNION ALL SELECT repo_id, 'name', 'c', CASE repo_id WHEN 'r' THEN '.tsx' ELSE '.ts' END, count(*) FROM f GROUP BY ALL
+UNION ALL SELECT repo_id, 'name', CASE repo_id WHEN 'n' THEN 'next.config' ELSE 'package' END, CASE repo_id WHEN 'n' THEN '.js' ELSE '.json' END, 1 FROM m"""
+
+
 def _source_facts(spark, sf_dir):
     return extract.facts(t.customer_sources(spark, sf_dir))
 
@@ -215,6 +237,7 @@ QUERIES = {
     "catalog_all_matches": _all_matches,
     "catalog_text": lambda s, d: report.text_matches(_whole_matches(s, d), debug=True).select("catalog_id", "proposed_rule_id", "block"),
     "emit_config": _emitted,
+    "mine_profiles": _profiled,
     "workspace_files": _in_workspaces,
     "resolve_aliases": _resolve_aliases,
     "resolve_forms": _resolve_forms,
@@ -245,6 +268,7 @@ SQL = {
     "catalog_all_matches": ALL_MATCHES_SQL,
     "catalog_text": TEXT_SQL,
     "emit_config": EMIT_SQL,
+    "mine_profiles": PROFILED_SQL,
     "workspace_files": c.BASE + "SELECT root, path FROM (SELECT split_part(path, '/', 1) AS root, path FROM files UNION ALL SELECT split_part(path, '/', 1) || '/' || split_part(path, '/', 2), path FROM files WHERE length(split_part(path, '/', 1) || '/' || split_part(path, '/', 2)) % 2 = 0)",
     "resolve_aliases": ALIAS_SQL,
     "resolve_forms": FORMS_SQL,

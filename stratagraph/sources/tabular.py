@@ -215,3 +215,17 @@ def customer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     end = F.when(k % 3 == 2, ".php").otherwise(".tsx")
     return table(spark, sf_dir, "customer").select(F.concat(F.lit("m"), k % 4).alias("repo_id"), F.concat(F.lit("c"), n, end).alias("path"), text.alias("text"))
+
+
+def framework_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three repositories, a customer each, and the files that tell their frameworks: (repo_id, path, text, target), target being what a file imports."""
+    k = F.col("c_custkey")
+    part = lambda before, n, after: F.concat(F.lit(before), k % n, F.lit(after))
+    of = lambda next_, react, generic: F.when(k % 3 == 0, next_).when(k % 3 == 1, react).otherwise(generic)
+    end = lambda e: F.concat(F.lit("/c"), k, F.lit(e))
+    path = of(F.concat(part("app/(g", 4, ")"), part("/[id", 5, "]"), end(".ts")), F.concat(part("src/__tests__/d", 6, ""), end(".test.tsx")), F.concat(part("app/[id", 5, "]"), end(".ts")))
+    target = of(part("lib/@s", 7, "/m.ts"), part("src/__mocks__/m", 7, ".tsx"), part("lib/@s", 7, "/m.ts"))
+    files = table(spark, sf_dir, "customer").select(of(F.lit("n"), F.lit("r"), F.lit("g")).alias("repo_id"), path.alias("path"), F.lit(None).cast("string").alias("text"), target.alias("target"))
+    marks = files.select("repo_id").distinct().where("repo_id <> 'g'")
+    marks = marks.select("repo_id", F.when(F.col("repo_id") == "n", "next.config.js").otherwise("package.json").alias("path"), F.when(F.col("repo_id") == "r", '{"dependencies": {"react": "1"}}').alias("text"), F.lit(None).cast("string").alias("target"))
+    return files.unionByName(marks)

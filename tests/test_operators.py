@@ -363,6 +363,18 @@ def test_construction_boundary(spark):
     assert catalog.construction_matches(spark.createDataFrame(rows, made.schema), f).count() == 0
 
 
+def test_propose_by_each_repositorys_profile(spark):
+    """Directories of one name under a profile are mined as one; a repository without a profile keeps its own."""
+    paths = [f"app/[id{k}]/{name}{k}.ts" for k in range(6) for name in "ab"]
+    f = spark.createDataFrame([(repo, p) for repo in ("next", "plain") for p in [*paths, "lib/x.ts", "other/y.ts"]], "repo_id string, path string")
+    rows = [(repo, p, "axios", None, True, 1, 1, "import") for repo in ("next", "plain") for p in paths] + [(repo, p, "./x", "lib/x.ts", False, 1, 1, "import") for repo in ("next", "plain") for p in paths[:1]]
+    i = spark.createDataFrame(rows, IMPORTS)
+    frameworks = spark.createDataFrame([("next", "nextjs"), ("plain", "generic")], "repo_id string, framework string")
+    got = {(x.repo_id, x.scope, x.target): (x.support, x.violations) for x in mining.propose(f, i, 10, 0.5, frameworks=frameworks).where("kind = 'no_import'").collect()}
+    assert got == {("next", "app/[param]/**", "lib/**"): (12, 1)}
+    assert {x.repo_id for x in mining.propose(f, i, 10, 0.5).where("kind = 'no_import'").collect()} == set()
+
+
 def test_adopted_rules_and_catalog_matches(spark):
     """A boundary and a construction pattern: their matches as JSON and text, and the configuration that adopts them."""
     from stratagraph.operators import catalog
