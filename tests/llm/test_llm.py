@@ -718,6 +718,31 @@ def test_pipeline_equals_plain_version(spark):
         assert all(x.ids_crc32 == zlib.crc32(np.array(ids[x.start : x.start + x.length], "<u4").tobytes()) and x.doc_tokens == len(ids) for x in pieces) and sum(x.length for x in pieces) == len(ids)
 
 
+def test_stage_redacts_added_spans_too(spark, monkeypatch):
+    """With trees that add spans, the stage's texts are those with every span replaced by its kind."""
+    import corpus_pipeline
+
+    r = random.Random(12)
+    forms = ["+1 (605) 555-9305", "605-555-9305", "4111 1111 1111 1111 605 555 9305", "a@b.co", "10.0.0.1", "order 12", "é😀", "605.555.9305x"]
+    texts = [" ".join(r.choice(forms) for _ in range(r.randrange(1, 200))) for _ in range(60)] + ["", None, "no data", "9" * 5000]
+    on = {k: pii.Trees([(0, 9, -1.0, 1.0)] if k == "phone" else [], 0.0 if k == "phone" else float("inf")) for k in pii.KINDS}
+    monkeypatch.setattr(pii, "fitted", lambda docs: on)
+    docs = table(spark, texts)
+    spans = {x.doc_id: x for x in pii.with_spans(docs, on).select("doc_id", pii.shown("_base_").alias("b"), pii.shown("_all_").alias("a")).collect()}
+    assert sum(len(x.a.split(",")) - len(x.b.split(",")) for x in spans.values()) > 100
+    for x in corpus_pipeline.redact(spark, docs, "").collect():
+        text = texts[x.doc_id]
+        if text is None:
+            assert x.text is None
+            continue
+        out, at = "", 0
+        for a, b, kind in sorted((int(a), int(b), k) for k, a, b in (y.split(":") for y in spans[x.doc_id].a.split(",") if y)):
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        assert x.text == out + text[at:] and x.n_chars == len(x.text) and spans[x.doc_id].b == plain_spans(text)
+
+
 def test_archives_of_an_empty_table(spark):
     path = scratch(spark, "warc")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string, payload int, sha1 string"), path)
