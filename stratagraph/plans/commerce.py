@@ -199,7 +199,7 @@ def _construction_facts(spark, sf_dir):
     """Customers construct the services of their suppliers: every third supplier exports no class, and every fifth part is made by a computed name."""
     local = t.commerce_local(spark, sf_dir)
     number = F.regexp_extract("resolved_path", "supp([0-9]+)", 1).cast("long")
-    local = local.withColumn("k", number)
+    local = cut(local.select("repo_id", "source_file", "resolved_path", "line", "column", number.alias("k")), "local")
     name = F.concat(F.lit("Supp"), "k", F.lit("Service"))
     news = local.select("repo_id", F.col("source_file").alias("file"), name.alias("class_name"), "line", "column", (F.col("k") % 5 != 0).alias("is_identifier"))
     bindings = local.select("repo_id", F.col("source_file").alias("file"), name.alias("local"), name.alias("imported"), "resolved_path").where("k % 7 <> 0")
