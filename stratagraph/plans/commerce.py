@@ -116,9 +116,10 @@ def _open(kind: str):
 
     def made(spark, sf_dir):
         nodes, edges, packages, local = _graph(spark, sf_dir)
-        activity = graph.source_activity(local, packages)
-        e, target = (edges, "dst") if kind == "no_import" else (packages, "pkg")
-        return mining.open_pairs(kind, nodes, cut(e, "edges"), target, activity, SUPPORT, PREVALENCE)
+        e = cut(edges if kind == "no_import" else packages, "edges")
+        activity = cut(graph.source_activity(local, packages if kind == "no_import" else e), "activity")
+        target = "dst" if kind == "no_import" else "pkg"
+        return mining.open_pairs(kind, cut(nodes, "nodes"), e, target, activity, SUPPORT, PREVALENCE)
 
     return made
 
