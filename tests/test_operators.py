@@ -291,6 +291,112 @@ def test_components_equal_brute_force(spark):
     assert {tuple(x) for x in graph.components(e).collect()} == want and graph.components(e.limit(0)).count() == 0
 
 
+def test_long_rings_and_paths_take_few_rounds(spark, monkeypatch):
+    written = []
+    real = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: written.append(name) or real(df, name))
+    n = 4096
+    ring = spark.range(n).selectExpr("'r' AS repo_id", "concat('n', id) AS src", f"concat('n', (id + 1) % {n}) AS dst", "1L AS n_files")
+    assert [tuple(x) for x in graph.components(ring).groupBy("component").count().collect()] == [("n0", n)]
+    assert len(written) <= 20
+    written.clear()
+    path = spark.range(n).selectExpr("'p' AS repo_id", "concat('n', id) AS src", "concat('n', id + 1) AS dst", "1L AS n_files")
+    assert graph.components(path).count() == 0 and len(written) <= 20
+
+
+def test_components_of_runs_that_meet(spark):
+    """Rings that share nodes, runs between and beside them, and a ring on a ring's run, against a plain search."""
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for repo in range(8):
+        edges = [(r.randrange(6), r.randrange(6)) for _ in range(7)]
+        for k, (a, b) in enumerate(edges):  # each edge becomes a run of up to four nodes
+            run = [f"h{a}", *(f"{'abz'[k % 3]}{repo}{k}{j}" for j in range(r.randrange(5))), f"h{b}"]
+            rows += [(f"r{repo}", x, y, 1) for x, y in zip(run, run[1:])]
+    want = set()
+    for repo in {x[0] for x in rows}:
+        follow: dict = {}
+        for q, a, b, _ in rows:
+            if q == repo and a != b:
+                follow.setdefault(a, set()).add(b)
+        reach = {}
+        for a in follow:
+            seen, todo = set(), list(follow[a])
+            while todo:
+                x = todo.pop()
+                if x not in seen:
+                    seen.add(x)
+                    todo += follow.get(x, ())
+            reach[a] = seen
+        want |= {(repo, a, min(b for b in reach[a] if a in reach.get(b, ()))) for a in reach if a in reach[a]}
+    e = spark.createDataFrame(rows, "repo_id string, src string, dst string, n_files long")
+    assert len({x[2] for x in want}) > 3
+    assert {tuple(x) for x in graph.components(e).collect()} == want
+
+
+def test_chains_equal_a_plain_search(spark):
+    import random
+
+    def plain(follow):
+        out, done = [], set()
+
+        def visit(node, path):
+            done.add(node)
+            for x in sorted(follow.get(node, ())):
+                if x in path:
+                    out.append(" -> ".join([*path[path.index(x) :], x]))
+                elif x not in done:
+                    visit(x, [*path, x])
+
+        for node in sorted(follow):
+            if node not in done:
+                visit(node, [node])
+        return sorted(out)
+
+    r = random.Random(5)
+    rows = [(f"r{q}", f"n{r.randrange(9)}", f"n{r.randrange(9)}", 1) for q in range(6) for _ in range(22)]
+    e = spark.createDataFrame([x for x in rows if x[1] != x[2]], "repo_id string, src string, dst string, n_files long")
+    of = {(x.repo_id, x.node): x.component for x in graph.components(e).collect()}
+    want = []
+    for key in sorted({(q, c) for (q, _), c in of.items()}):
+        inside = {n for (q, n), c in of.items() if (q, c) == key}
+        follow: dict = {}
+        for q, a, b, _ in rows:
+            if q == key[0] and a in inside and b in inside and a != b:
+                follow.setdefault(a, set()).add(b)
+        want += [(*key, c) for c in plain(follow)]
+    assert len(want) > 20
+    assert sorted((x.repo_id, x.component, x.chain) for x in graph.cycles(e).collect()) == sorted(want)
+
+
+def test_a_component_of_a_million_edges_in_bounded_memory():
+    """In a process of its own: rings of three and two along a path of 333,335 nodes, in batches of 10,000."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from stratagraph.operators.graph import chains
+n = 333_335
+k = np.arange(n)
+src, dst = np.concatenate([k[:-1], k[1:], k[2:]]), np.concatenate([k[1:], k[:-1], k[:-2]])
+o = np.lexsort((dst, src))
+name = lambda xs: pa.array([f"src/packages/directory{x:09d}" for x in xs])
+def batches():
+    for a in range(0, len(o), 10_000):
+        s, d = name(src[o[a : a + 10_000]]), name(dst[o[a : a + 10_000]])
+        yield pa.RecordBatch.from_arrays([pa.array(["r"] * len(s)), pa.array(["c"] * len(s)), s, d], ["repo_id", "component", "src", "dst"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rows = sum(b.num_rows for b in chains(batches()))
+print(len(o), rows, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    edges, rows, megabytes = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert edges > 1_000_000 and rows == edges - 333_334 and megabytes < 1024
+
+
 def test_open_pairs_are_those_not_dropped(spark):
     import random
 
