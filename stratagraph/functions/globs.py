@@ -42,7 +42,7 @@ def _segment(s: str) -> str | None:
     return out
 
 
-def _alternatives(pattern: str) -> list[str] | None:
+def alternatives(pattern: str) -> list[str] | None:
     """Brace alternatives, expanded; None if braces are unbalanced."""
     depth, start = 0, -1
     for i, c in enumerate(pattern):
@@ -61,7 +61,7 @@ def _alternatives(pattern: str) -> list[str] | None:
                         parts.append(pattern[last:j])
                         last = j + 1
                 parts.append(pattern[last:i])
-                rest = [_alternatives(pattern[:start] + p + pattern[i + 1 :]) for p in parts]
+                rest = [alternatives(pattern[:start] + p + pattern[i + 1 :]) for p in parts]
                 return None if any(r is None for r in rest) else [x for r in rest for x in r]
     return [pattern] if depth == 0 else None
 
@@ -70,7 +70,7 @@ def glob_regex(pattern: str) -> str | None:
     """A regular expression for whole paths, None if the glob is empty or malformed. ** stands for any segments, none too."""
     if not pattern.strip():
         return None
-    every = _alternatives(clean(pattern.strip()))
+    every = alternatives(clean(pattern.strip()))
     if every is None:
         return None
     out = []

@@ -135,11 +135,26 @@ def evaluate(rules: list[Rule], files: DataFrame, imports: DataFrame, constructi
         parts.append(_scan(constructions, over))
     for k, r in ranked:
         if r.relation() == "cycles":
-            e = graph.edges(imports)
-            inside = matches_any(F.col("src"), r.scope) & matches_any(F.col("dst"), r.scope) & ~_excepted(r, F.col("src"), F.col("dst"))
-            c = graph.cycles(e.where(inside))
-            parts.append(_scan(c, [(F.lit(True), _finding(r, k, F.col("first"), one, one, none, F.col("chain"), F.concat(F.lit("dependency cycle detected: "), "chain")))]))
-    rows = reduce(DataFrame.unionByName, parts)
+            parts.append(cycle_findings(r, k, imports))
+    return once(reduce(DataFrame.unionByName, parts))
+
+
+def cycle_findings(rule: Rule, rank: int, imports: DataFrame) -> DataFrame:
+    """Findings of a rule over cycles, among the directories that it covers."""
+    one, none = F.lit(1), F.lit("")
+    inside = matches_any(F.col("src"), rule.scope) & matches_any(F.col("dst"), rule.scope) & ~_excepted(rule, F.col("src"), F.col("dst"))
+    c = graph.cycles(graph.edges(imports).where(inside))
+    return _scan(c, [(F.lit(True), _finding(rule, rank, F.col("first"), one, one, none, F.col("chain"), F.concat(F.lit("dependency cycle detected: "), "chain")))])
+
+
+def no_findings(files: DataFrame) -> DataFrame:
+    """Findings of no rule at all."""
+    nothing = Rule("", FILE_PATTERN)
+    return _scan(files.where(F.lit(False)), [(F.lit(True), _finding(nothing, 0, F.col("path"), F.lit(1), F.lit(1), F.lit(""), F.lit(""), F.lit("")))])
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Findings, of those with one fingerprint the first."""
     rows = rows.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("file_path"), F.col("line"), F.col("column"), F.col("raw_import"), F.col("details")))
     every = [c for c in rows.columns if c not in ("fingerprint", "repo_id")]
     first = rows.groupBy("repo_id", "fingerprint").agg(F.min(F.struct(*every)).alias("f"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stratagraph.functions.paths import confidence_rank, effective_support, fingerprint, naming_score, package_id, prevalence_support, score_confidence, weighted_score
-from stratagraph.operators import catalog, constructions, extract, graph, mining, policy, report, resolve, workspaces
+from stratagraph.operators import catalog, constructions, extract, graph, mining, policy, report, resolve, rule_index, workspaces
 from stratagraph.operators.policy import Rule
 from stratagraph.sources import repository
 from stratagraph.sources import tabular as t
@@ -36,6 +36,10 @@ F2 = "SELECT 'CM-002', 'no_package', 'warning', source_file || ' imports package
 F3 = "SELECT 'CM-003', 'file_pattern', 'warning', path || ' does not match required file pattern', path, 1, 1, '' FROM files WHERE regexp_matches(path, '^AFRICA/') AND NOT regexp_matches(path, '/cust[0-9]*[02468][.]customer$')"
 F4 = "SELECT 'CM-004', 'pattern', 'error', source_file || ' imports ' || resolved_path, source_file, line, 1, raw_import FROM loc WHERE regexp_matches(source_file, '^MIDDLE_EAST/') AND regexp_matches(resolved_path, '^AFRICA/NATION_[^/]*/suppliers/')"
 F5 = "SELECT 'CM-005', 'pattern', 'warning', source_file || ' imports package ' || raw_import, source_file, line, 1, raw_import FROM canon WHERE regexp_matches(source_file, '^EUROPE/(.*/)?BUILDING/') AND (raw_import LIKE '@Brand25/%' OR pkg LIKE '@Brand25/%')"
+CUST = "regexp_extract({}, '/cust([0-9]+)[.]customer$', 1)"
+M1 = f"SELECT 'MR-' || k, 'no_import', 'error', source_file || ' imports ' || resolved_path, source_file, line, 1, raw_import FROM (SELECT *, {CUST.format('source_file')}::INT AS k FROM loc) WHERE k < 5000 AND k % 3 = 0 AND regexp_matches(resolved_path, '^(ASIA|AFRICA)/') AND NOT regexp_matches(source_file, '/MACHINERY/')"
+M2 = f"SELECT 'MR-' || k, 'no_package', 'warning', source_file || ' imports package ' || raw_import, source_file, line, 1, raw_import FROM (SELECT *, {CUST.format('source_file')}::INT AS k FROM canon) WHERE k < 5000 AND k % 3 = 1 AND regexp_matches(raw_import, '^@Brand1[^/]*/')"
+M3 = f"SELECT 'MR-' || k, 'file_pattern', 'warning', path || ' does not match required file pattern', path, 1, 1, '' FROM (SELECT *, {CUST.format('path')} AS c, try_cast({CUST.format('path')} AS INT) AS k FROM files) WHERE k < 5000 AND k % 3 = 2 AND k % 2 = 1"
 COLUMNS = ("rule_id", "rule_kind", "severity", "message", "file_path", "line", "column", "raw_import", "fingerprint", "details")
 PRINT = "sha1(rule_id || '|' || file_path || '|' || line || ':' || \"column\" || '|' || raw_import || '|')"
 
@@ -53,6 +57,24 @@ def _findings(spark, sf_dir, rules):
     return policy.evaluate(rules, t.commerce_files(spark, sf_dir), t.commerce_imports(spark, sf_dir)).select(*COLUMNS)
 
 
+def _many_rules(n: int = 5000) -> list[Rule]:
+    """A rule for each of n names of files, by turns on imports, packages and the file's own name, besides RULES."""
+    rules = []
+    for k in range(n):
+        scope = [f"**/cust{k}.customer"]
+        if k % 3 == 0:
+            rules.append(Rule(f"MR-{k}", "no_import", "error", scope, ["{ASIA,AFRICA}/**/suppliers/*.supplier"], ["**/MACHINERY/**"]))
+        elif k % 3 == 1:
+            rules.append(Rule(f"MR-{k}", "no_package", "warning", scope, ["@Brand1*/*/**"]))
+        else:
+            rules.append(Rule(f"MR-{k}", "file_pattern", "warning", scope, ["^cust[0-9]*[02468][.]customer$"]))
+    return [*RULES, *rules]
+
+
+def _findings_many_rules(spark, sf_dir):
+    return rule_index.evaluate_indexed(_many_rules(), t.commerce_files(spark, sf_dir), t.commerce_imports(spark, sf_dir)).select(*COLUMNS)
+
+
 def _summary(spark, sf_dir):
     files, imports = t.commerce_files(spark, sf_dir), t.commerce_imports(spark, sf_dir)
     return policy.summary(policy.evaluate(RULES, files, imports), files, imports)
@@ -274,6 +296,7 @@ QUERIES = {
     "dependency_constraint_imports": _rule(3),
     "dependency_constraint_packages": _rule(4),
     "findings_all_rules": lambda s, d: _findings(s, d, RULES),
+    "findings_many_rules": _findings_many_rules,
     "findings_top_n": lambda s, d: policy.ordered(_findings(s, d, RULES), 100),
     "findings_summary": _summary,
     "package_canonical": lambda s, d: t.commerce_packages(s, d).select("raw_import", package_id("raw_import").alias("pkg")).distinct(),
@@ -314,6 +337,7 @@ SQL = {
     "dependency_constraint_imports": _found([F4]) + "SELECT * FROM found",
     "dependency_constraint_packages": _found([F5]) + "SELECT * FROM found",
     "findings_all_rules": _found([F1, F2, F3, F4, F5]) + "SELECT * FROM found",
+    "findings_many_rules": _found([F1, F2, F3, F4, F5, M1, M2, M3]) + "SELECT * FROM found",
     "findings_top_n": _found([F1, F2, F3, F4, F5]) + 'SELECT * FROM found ORDER BY severity, rule_id, file_path, line, "column", fingerprint LIMIT 100',
     "findings_summary": _found([F1, F2, F3, F4, F5]) + SUMMARY_SQL + "SELECT * FROM summary",
     "package_canonical": BASE + "SELECT DISTINCT raw_import, pkg FROM canon",
