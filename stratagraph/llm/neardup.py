@@ -17,8 +17,8 @@
 4. Verification reads signatures batch by batch and drops a pair as soon as the
    posterior probability (uniform prior) that its similarity reaches the
    threshold is below `miss`. Survivors are confirmed on their full sets.
-5. Components come from large-star and small-star rounds, each cut to the shared
-   folder, after a union-find within blocks of edges. The links of step 3's second
+5. Components come from rounds of pointers, each cut to the shared folder: pointers
+   double, and a union-find joins the edges within a block. The links of step 3's second
    half lead from component to component, so their rounds run on labels only.
 
 Joins are merge joins at every size: no side has a proven bound. Aggregates that
@@ -371,26 +371,59 @@ def in_stars(batches, block: int = 1 << 18):
         yield made()
 
 
-def _written(stars: DataFrame) -> tuple[DataFrame, tuple]:
-    """The stars, written, and the count and hash that tell whether they have changed."""
+POINTERS = "u long, v long, own boolean"
+EDGES = 1 << 16  # edges that a task contracts, where they are many
+
+
+def pointers(batches, block: int = 1 << 18):
+    """Batches of POINTERS from groups (u, vs) of edges u > v: each block as stars, without loss of connections; own marks the groups' u, other rows are for the groups of later rounds."""
+    held: list[pa.RecordBatch] = []
+
+    def made():
+        of, to = (pa.concat_arrays([x.column(k) for x in held]) for k in (0, 1))
+        of = of.to_numpy()
+        u, v = forest(np.repeat(of, to.value_lengths().to_numpy()), to.flatten().to_numpy())
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.isin(u, of))], [c.split()[0] for c in POINTERS.split(", ")])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(len(x.column(1).flatten()) for x in held) >= block:
+            yield made()
+            held = []
+    if held:
+        yield made()
+
+
+def _contracted(edges: DataFrame, n: int) -> tuple[DataFrame, dict]:
+    """n edges u > v, few of them for any u, as written pointers; their number and that of those that are not own."""
     seen = Observation()
-    e = cut(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
-    return e, (seen.get["n"], seen.get["sum"])
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-n // EDGES))
+    groups = edges.groupBy("u").agg(F.collect_set("v").alias("vs")).coalesce(tasks)  # a task joins what it holds, so few edges are not dealt to many
+    e = cut(groups.mapInArrow(pointers, POINTERS).observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(~F.col("own")).alias("loose")), "edges")
+    return e, seen.get
 
 
 def components(stars: DataFrame) -> DataFrame:
-    """(u, v) for every node that is not the smallest of its component, v being the smallest; stars are edges with u > v. Large-star and small-star rounds."""
-    e, now = _written(stars)
-    before = None
-    while now[0] and now != before:
-        before = now
-        least = cut(e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")), "least")
-        large = e.join(least.hint("merge"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest.hint("merge"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")).distinct()
-        past = e
-        e, now = _written(small.mapInArrow(in_stars, STARS))
-        release(past, least)
+    """(u, v, own) for every node that is not the smallest of its component, v being the smallest; stars are edges u > v, with any u once in a block.
+
+    A round moves each edge's v to v's own pointer, then groups by u. Own pointers are unique by u, so
+    they meet the edges without an aggregate, and the frequent v of a large star can be split. In each
+    round nodes get smaller or loose rows fewer; it ends where no pointer moves and none is loose.
+    """
+    seen = Observation()
+    e = cut(stars.observe(seen, F.count(F.lit(1)).alias("n")), "stars")
+    if not seen.get["n"]:
+        return e
+    past, (e, now) = e, _contracted(e, seen.get["n"])
+    release(past)
+    moved, loose = 1, 0
+    while moved or loose:
+        past, loose, seen = e, now["loose"], Observation()
+        to = e.where("own").select(F.col("u").alias("v"), F.col("v").alias("m"))
+        near = e.join(to.hint("merge"), "v", "left").observe(seen, F.count("m").alias("n"))
+        e, now = _contracted(near.select("u", F.coalesce("m", "v").alias("v")), now["n"])
+        moved = seen.get["n"]
+        release(past)
     return e
 
 

@@ -294,6 +294,24 @@ def test_unrelated_long_texts_are_pruned_at_once(spark):
     assert same[:12, :12][~np.eye(12, dtype=bool)].max() < least
 
 
+@pytest.mark.parametrize("shape", ["chain", "zigzag", "stars"])
+def test_components_take_few_written_rounds(spark, monkeypatch, shape):
+    """Components equal one union-find over all edges, and a round deals its edges three times: edges and pointers by where they lead, then groups."""
+    r, n = random.Random(4), 3000
+    names = r.sample(range(-(10**12), 10**12), 2 * n + 1)
+    names = sorted(names) if shape == "zigzag" else names
+    edges = {"chain": [(i, i + 1) for i in range(n)], "zigzag": [(i + k, 2 * n - i) for i in range(n) for k in (0, 1)], "stars": [(i % 7, i) for i in range(7, n)]}[shape]
+    edges = [tuple(sorted((names[a], names[b]), reverse=True)) for a, b in edges]
+    r.shuffle(edges)
+    written, cut = [], neardup.cut
+    monkeypatch.setattr(neardup, "cut", lambda df, name: written.append(df._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange ")) or cut(df, name))
+    stars = spark.createDataFrame(edges, neardup.STARS).repartition(8).mapInArrow(neardup.in_stars, neardup.STARS)
+    got = neardup.components(stars).collect()
+    a, b = neardup.forest(*np.array(edges).T)
+    assert {x.u: x.v for x in got} == dict(zip(a.tolist(), b.tolist(), strict=True)) and len(got) == len(a)
+    assert len(written) <= 12 and max(written[1:]) <= 3
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     import corpus_pipeline
 
