@@ -23,12 +23,12 @@ def normalised(path: Column | str) -> Column:
     segments = F.filter(F.split(p, "/"), lambda s: (s != "") & (s != "."))
 
     def step(acc: Column, s: Column) -> Column:
-        up = (s == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
-        return F.when((F.size(acc) > 0) & up, F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1))).when(rooted & (s == ".."), acc).otherwise(F.concat(acc, F.array(s)))
+        up = (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
+        return F.when(s != "..", F.concat(acc, F.array(s))).when(up, F.slice(acc, 1, F.size(acc) - 1)).when(rooted, acc).otherwise(F.concat(acc, F.array(s)))
 
-    folded = F.aggregate(segments, F.array().cast("array<string>"), lambda acc, s: F.when(F.size(acc) == 0, F.when(rooted & (s == ".."), acc).otherwise(F.array(s))).otherwise(step(acc, s)))
-    joined = F.array_join(folded, "/")
-    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+    # The folded path is named once, as an expression is computed wherever it is named.
+    joined = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), joined)).otherwise(F.regexp_replace(joined, r"\A\z", "."))
 
 
 def cleaned(path: Column | str) -> Column:

@@ -23,9 +23,17 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("n_nationkey", F.concat(under("r_name"), F.lit("/"), under("n_name")).alias("place"))
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _customer_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(_places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select("c_custkey", F.concat("place", F.lit("/"), "c_mktsegment", F.lit("/cust"), "c_custkey", F.lit(".customer")).alias("path"))
+    return c.select("c_custkey", F.concat("place", F.lit("/"), "c_mktsegment").alias("directory"))
+
+
+def customer_file(directory: Column | str, key: Column | str) -> Column:
+    return F.concat(directory, F.lit("/cust"), key, F.lit(".customer"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customer_directories(spark, sf_dir).select("c_custkey", customer_file("directory", "c_custkey").alias("path"))
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,19 +162,32 @@ def nation_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select(F.concat(F.lit("n"), "s_nationkey").alias("repo_id"), F.inline(F.array_compact(rows)))
 
 
+def form_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, directory, c_custkey): who has bought from whom, each once, dealt by suppliers.
+
+    Keys alone are dealt before: once by orders, once by customers.
+    """
+    pairs = _bought(spark, sf_dir).select(F.col("o_custkey").alias("c_custkey"), F.col("l_suppkey").alias("s_suppkey")).repartition("c_custkey").distinct()
+    places = _customer_directories(spark, sf_dir).where("directory is not null").distinct()
+    return pairs.join(places, "c_custkey").select("s_suppkey", "directory", "c_custkey").repartition("s_suppkey")
+
+
+def same_numbers(spark: SparkSession, sf_dir: str) -> bool:
+    """Whether places are named so that suppliers of several keys may have one number in their paths."""
+    return not _places(spark, sf_dir).where(F.col("place").rlike("supp[0-9]")).isEmpty()
+
+
 def form_imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Imports of every form a source may write, by the number of the supplier that is bought from, and the entries they may meet."""
-    k = F.regexp_extract("resolved_path", "supp([0-9]+)", 1).cast("long")
-    local = commerce_local(spark, sf_dir).select("repo_id", "source_file", F.col("resolved_path").alias("path"), k.alias("k"))
-    php, script = F.concat("source_file", F.lit(".php")), F.concat("source_file", F.lit(".ts"))
-    number = F.col("k").cast("string")
-    one = lambda source, raw: F.struct(source.alias("source_file"), raw.alias("raw_import"))
-    by_rest = (
-        F.when(F.col("k") % 4 == 0, one(F.col("source_file"), F.concat(F.lit("/"), "path"))).when(F.col("k") % 4 == 1, one(F.col("source_file"), F.concat(F.lit("../../../"), "path", F.lit(".ts"))))
-        .when(F.col("k") % 4 == 2, one(php, F.concat(F.lit("@alias/"), "path"))).otherwise(one(php, F.concat(F.lit("lib/"), number, F.lit(".PHP"))))
-    )
-    rest = [one(php, F.concat(F.lit("Bare_"), number)), one(script, F.concat(F.lit("Bare_"), number)), one(php, F.concat(F.lit("lib\\Gone"), number)), one(php, F.concat(F.lit("Other\\Gone"), number))]
-    imports = local.select("repo_id", F.inline(F.array(by_rest, *rest))).distinct()
+    """Imports of every form a source may write, by the number of the supplier that is bought from, and the entries they may meet.
+
+    Imports are (s_suppkey, end, raw_import): end is what follows a customer's file in the importing file's name.
+    """
+    k = F.regexp_extract("path", "supp([0-9]+)", 1).cast("long")
+    n, number = F.col("k"), F.col("k").cast("string")
+    one = lambda end, raw: F.struct(F.lit(end).alias("end"), raw.alias("raw_import"))
+    by_rest = F.when(n % 4 == 0, one("", F.concat(F.lit("/"), "path"))).when(n % 4 == 1, one("", F.concat(F.lit("../../../"), "path", F.lit(".ts")))).when(n % 4 == 2, one(".php", F.concat(F.lit("@alias/"), "path"))).otherwise(one(".php", F.concat(F.lit("lib/"), number, F.lit(".PHP"))))
+    rest = [one(".php", F.concat(F.lit("Bare_"), number)), one(".ts", F.concat(F.lit("Bare_"), number)), one(".php", F.concat(F.lit("lib\\Gone"), number)), one(".php", F.concat(F.lit("Other\\Gone"), number))]
+    imports = _suppliers(spark, sf_dir).select("s_suppkey", "path", k.alias("k")).select("s_suppkey", F.inline(F.array(by_rest, *rest))).distinct()
     suppliers = _suppliers(spark, sf_dir).select(F.lit("commerce").alias("repo_id"), F.concat("path", F.lit(".ts")).alias("path"))
     held = table(spark, sf_dir, "supplier").where(F.col("s_suppkey") % 8 == 3).select(F.lit("commerce").alias("repo_id"), F.concat(F.lit("lib/"), "s_suppkey", F.lit(".PHP")).alias("path"))
     top = table(spark, sf_dir, "region").limit(1).select(F.lit("commerce").alias("repo_id"), F.lit("lib/readme.md").alias("path"))

@@ -90,6 +90,97 @@ def test_resolution(spark):
     assert got == {"./b": ("src/b.ts", False), "./c": ("src/c/index.ts", False), "./b.js": (None, False), "@/infra/auth": ("src/infra/auth.ts", False), "react": (None, True), "/src/b": ("src/b.ts", False), "App\\Infra\\Db": ("app/Infra/Db.php", False), "Foo": (None, False), "./user.service": ("src/user.service.ts", False)}
 
 
+def _plain_resolution(source, raw, entries):
+    """What an import without aliases resolves to, tried one path after the other."""
+    import posixpath
+
+    exts, raw = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".php"), raw.strip(" ")
+    php = source.lower().endswith((".php", ".phtml"))
+    clean = lambda p: posixpath.normpath(p.replace("\\", "/")) if p else "."
+
+    def found(path):
+        tried = [path] if path.endswith(exts) else [path, *(path + e for e in exts), *(path + "/index" + e for e in exts)]
+        return next((p for p in tried if p in entries), None)
+
+    beside, php_file = clean((posixpath.dirname(source) or ".") + "/" + raw), php and "/" in raw and raw.lower().endswith(".php") and not raw.startswith("@")
+    if raw.startswith("."):
+        return found(beside), False
+    if raw.startswith("/"):
+        return found(clean(raw.lstrip("/"))), False
+    if php and raw.startswith("@"):
+        return None, False
+    if php_file:
+        return found(beside) or found(clean(raw)), False
+    if php and raw and all(c.isascii() and (c.isalnum() or c == "_") for c in raw):
+        return None, False
+    if "\\" in raw:
+        path = raw.replace("\\", "/").lstrip("/")
+        hit, top = found(clean(path)), path.split("/")[0]
+        return hit, hit is None and not (top != "vendor" and any(e.startswith(top + "/") for e in entries))
+    return None, True
+
+
+def test_resolution_equals_a_plain_reading(spark):
+    """Entries met by their stems, and by place: what lies beside a file, found by groups, and what holds for every file of its kind."""
+    import random
+
+    r = random.Random(7)
+    ends = ["", ".ts", ".tsx", ".js", ".php", ".PHP", ".js.ts", "/index.ts", "/index.php", "/index", ".service"]
+    name = lambda: "/".join(r.choice("abc") for _ in range(r.randrange(1, 4)))
+    held = sorted({name() + r.choice(ends) for _ in range(120)} | {"vendor/a/b.php", "a/b", "a/b.ts", "a/b/index.ts"})
+    before = ["./", "../", "../../", "./../", "/", "//", "", "@a/", ".", "vendor\\", "\\a\\", "a\\b\\", " "]
+    rows = sorted({(name() + r.choice([".ts", ".php", ".PHTML", ""]), r.choice(before) + name() + r.choice([*ends, "/", "/.", "\\c"])) for _ in range(3000)} | {("x.php", "Bare_1"), ("x.ts", "Bare_1"), ("x.php", "a\\gone"), ("x.php", "q\\gone")})
+    i = spark.createDataFrame([("r", s, raw, s.rsplit("/", 1)[0]) for s, raw in rows], "repo_id string, source_file string, raw_import string, g string")
+    e = files(spark, held)
+    got = {(x.source_file, x.raw_import): (x.resolved_path, x.is_package) for x in resolve.resolve_imports(i, e).collect()}
+    want = {(s, raw): _plain_resolution(s, raw, set(held)) for s, raw in rows}
+    assert got == want and sum(x[0] is not None for x in want.values()) > 300
+    rooted = resolve.named(resolve.resolve_imports(i, e, by_place=False)).join(resolve.found_beside(i, e, "g"), "g", "left")
+    path = F.coalesce(F.when(F.col("near"), F.element_at("held", resolve.beside(directory("source_file"), F.col("raw")))), "resolved_path")
+    assert {(x.source_file, x.raw_import): (x.p, x.is_package) for x in rooted.select("*", path.alias("p")).collect()} == want
+
+
+def _written_by_shuffles(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_forms_are_dealt_as_keys(spark):
+    """Shuffles hold the keys of purchases, not the imports and paths to try that follow from them; those took 16 times the tables."""
+    import os
+
+    from stratagraph.plans import registry
+
+    d = "/root/testdata/sf0.01"
+    read = sum(os.path.getsize(f"{d}/{t}.parquet") for t in ("customer", "supplier", "orders", "lineitem"))
+    before = _written_by_shuffles(spark)
+    registry.QUERIES["resolve_forms"](spark, d).write.format("noop").mode("overwrite").save()
+    assert 0 < _written_by_shuffles(spark) - before < 4 * read
+
+
+def test_forms_of_repeated_and_oddly_named_rows(spark, tmp_path):
+    """Rows that repeat, a supplier of two nations, keys that are null, and a nation whose name reads like a supplier's file."""
+    import duckdb
+
+    from stratagraph.plans import registry
+
+    con, d = duckdb.connect(), "/root/testdata/sf0.001"
+    odd = {
+        "region": "SELECT * FROM t UNION ALL SELECT * FROM t WHERE r_regionkey = 1", "customer": "SELECT * FROM t UNION ALL SELECT * FROM t WHERE c_custkey % 5 = 0 UNION ALL SELECT * REPLACE ((c_nationkey + 1) % 25 AS c_nationkey) FROM t WHERE c_custkey % 7 = 0",
+        "nation": "SELECT * REPLACE (CASE WHEN n_nationkey IN ({}) THEN 'my supp7 ' || n_nationkey ELSE n_name END AS n_name) FROM t", "supplier": "SELECT * FROM t UNION ALL SELECT * REPLACE ((s_nationkey + 3) % 25 AS s_nationkey) FROM t WHERE s_suppkey % 2 = 0 UNION ALL SELECT * FROM t",
+        "orders": "SELECT * REPLACE (nullif(o_custkey, 4) AS o_custkey) FROM t", "lineitem": "SELECT * REPLACE (nullif(l_suppkey, 3) AS l_suppkey) FROM t UNION ALL SELECT * FROM t WHERE l_orderkey % 3 = 0",
+    }
+    for nations in ("-1", ", ".join(map(str, range(0, 25, 2)))):
+        at = tmp_path / nations[:2]
+        at.mkdir()
+        for name, sql in odd.items():
+            con.execute(f"COPY ({sql.format(nations).replace('FROM t', f'''FROM '{d}/{name}.parquet' ''')}) TO '{at}/{name}.parquet'")
+            con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+        got = sorted(map(repr, map(tuple, registry.QUERIES["resolve_forms"](spark, str(at)).collect())))
+        want = sorted(map(repr, con.execute(f"SELECT source_file, raw_import, resolved_path, is_package FROM ({registry.SQL['resolve_forms']})").fetchall()))
+        assert len(want) > 1000 and got == want
+
+
 def test_constructions(spark):
     f = files(spark, ["a.ts", "s.ts"])
     news = spark.createDataFrame([("r", "a.ts", n, k, 1, i) for k, (n, i) in enumerate([("Local", True), ("Svc", True), ("Far", True), ("fn", True), ("Date", True), ("x", False)])], "repo_id string, file string, class_name string, line int, column int, is_identifier boolean")
